@@ -37,8 +37,8 @@ def block_sums(vec, blocks: int) -> Column:
     component ``k`` is the sum of elements whose 0-based index i has
     ``i % blocks == k``. Uses every element (no prefix)."""
     v = _col(vec)
-    return F.array(*[
-        F.aggregate(F.transform(v, lambda x, i, k=k: F.when(i % blocks == k, x.cast("double")).otherwise(F.lit(0.0))),
-                    F.lit(0.0), lambda acc, y: acc + y)
-        for k in range(blocks)
-    ])
+
+    def pick(k):
+        return lambda x, i: F.when(i % blocks == k, x.cast("double")).otherwise(F.lit(0.0))
+
+    return F.array(*[F.aggregate(F.transform(v, pick(k)), F.lit(0.0), lambda acc, y: acc + y) for k in range(blocks)])

@@ -2,49 +2,118 @@
 
 ``row_number().over(Window.partitionBy(g).orderBy(o))`` sends every row of a
 group to one task; a group holding a third of the data would then be sorted
-by a single core. The operators here range-partition on ``(group, order)``
-instead, so a hot group is cut into many contiguous blocks:
-
-1. ``repartitionByRange(n, *group, *order)`` + ``sortWithinPartitions``;
-   every row gets ``(block = spark_partition_id(), local = monotonically_increasing_id())``.
-   The exchange has an explicit partition count, so adaptive execution does
-   not coalesce it and block ids are stable.
-2. A small aggregate per ``(group, block)`` (at most #groups + #blocks rows)
-   gives each block's first local id, size and value sums; a window over that
-   small table gives each block's offset inside its group.
-3. Joining the offsets back gives exact positions / running sums.
-
-The order must be total (end it with a unique key): positions are then the
-same on every recomputation, which keeps retried tasks consistent.
+by a single core. The operators here cut the key space ``(group, order)``
+into blocks of bounded size instead:
+
+1. A seeded sample of the keys (key columns only) is collected - its size
+   is set by the number of blocks, not by the data - and sorted; its
+   quantiles become block boundaries. They are written into the plan as
+   literals, so ``block`` is a pure function of a row's key (a binary search
+   of depth log2(#blocks)). Every consumer and every retried task computes
+   the same block, which a range exchange cannot promise (its sample seed
+   depends on the RDD id).
+2. Rows are ranked (or summed) inside ``(group, block)``: one balanced
+   shuffle, since a block holds about N/#blocks rows whatever the groups are.
+3. A small table per ``(group, block)`` (at most #groups + #blocks rows)
+   gives each block's offset inside its group (a window over that table);
+   it is joined back on ``(group, block)``.
+
+The order must be total (end it with a unique key) for positions to be
+exact and repeatable.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+SAMPLES_PER_BLOCK = 32
+SAMPLE_SEED = 7
 
 
 def _names(cols) -> list:
-    return [cols] if isinstance(cols, (str, Column)) else list(cols)
+    if cols is None:
+        return []
+    return [cols] if isinstance(cols, str) else list(cols)
 
 
-def _partitions(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return int(num_partitions)
+def _blocks(df: DataFrame, num_blocks: int | None) -> int:
+    if num_blocks:
+        return int(num_blocks)
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _blocked(df: DataFrame, group: Sequence, order: Sequence, num_partitions: int | None) -> DataFrame:
-    n = _partitions(df, num_partitions)
-    keys = [*group, *order]
-    return (
-        df.repartitionByRange(n, *keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("_blk", F.spark_partition_id())
-        .withColumn("_loc", F.monotonically_increasing_id())
-    )
+def _encode(df: DataFrame, c: str) -> Column:
+    """An orderable stand-in for a key column whose values survive a trip
+    through the driver unchanged: timestamps without time zone and dates
+    as ISO text (text order = time order), zoned timestamps as epoch micros."""
+    t = df.schema[c].dataType
+    if isinstance(t, (T.TimestampNTZType, T.DateType)):
+        return F.col(c).cast("string")
+    if isinstance(t, T.TimestampType):
+        return F.unix_micros(F.col(c))
+    if isinstance(t, (T.StringType, T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.DoubleType,
+                      T.FloatType, T.BooleanType)):
+        return F.col(c)
+    raise TypeError(f"cannot order blocks by column {c} of type {t}")
+
+
+def _sort_key(row):
+    out = []
+    for v in row:
+        if v is None:
+            out.append((0, 0))
+        elif isinstance(v, float) and math.isnan(v):
+            out.append((2, 0))  # Spark orders NaN above every number
+        else:
+            out.append((1, v))
+    return tuple(out)
+
+
+def _less(cols: list, bound: tuple) -> Column:
+    """Lexicographic ``cols < bound`` (NULL keys sort first)."""
+    expr = None
+    for c, b in reversed(list(zip(cols, bound))):
+        if b is None:
+            lt, eq = F.lit(False), c.isNull()
+        else:
+            lt = c.isNull() | (c < F.lit(b))
+            eq = c.isNotNull() & (c == F.lit(b))
+        expr = lt if expr is None else (lt | (eq & expr))
+    return expr
+
+
+def block_of(df: DataFrame, keys: Sequence[str], num_blocks: int | None = None) -> Column:
+    """Deterministic block id in ``[0, #boundaries]`` of each row's key."""
+    n = _blocks(df, num_blocks)
+    enc_cols = [_encode(df, k) for k in keys]
+    if n <= 1:
+        return F.lit(0)
+    total = df.count()
+    if total == 0:
+        return F.lit(0)
+    frac = min(1.0, SAMPLES_PER_BLOCK * n / total)
+    sample = df.select(*[e.alias(f"_k{i}") for i, e in enumerate(enc_cols)]).sample(False, frac, SAMPLE_SEED)
+    keys_seen = sorted((tuple(r) for r in sample.collect()), key=_sort_key)
+    if not keys_seen:
+        return F.lit(0)
+    bounds = []
+    for i in range(1, n):
+        b = keys_seen[min(len(keys_seen) - 1, (i * len(keys_seen)) // n)]
+        if not bounds or _sort_key(b) > _sort_key(bounds[-1]):
+            bounds.append(b)
+
+    def build(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(_less(enc_cols, bounds[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
+
+    return build(0, len(bounds)).cast("int")
 
 
 def with_group_ordinal(
@@ -53,25 +122,13 @@ def with_group_ordinal(
     order,
     name: str = "ordinal",
     count_name: str | None = None,
+    num_blocks: int | None = None,
     num_partitions: int | None = None,
 ) -> DataFrame:
     """Add the 1-based position of each row inside its group under ``order``
     (and, if ``count_name`` is given, the group's size)."""
-    group, order = _names(group), _names(order)
-    blk = _blocked(df, group, order, num_partitions)
-    gkeys = [c for c in group if isinstance(c, str)]
-    if len(gkeys) != len(group):
-        raise ValueError("group columns must be given by name")
-    stats = blk.groupBy(*gkeys, "_blk").agg(F.min("_loc").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
-    w = Window.partitionBy(*gkeys).orderBy("_blk") if gkeys else Window.orderBy("_blk")
-    stats = stats.withColumn("_off", F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    if count_name:
-        wg = Window.partitionBy(*gkeys) if gkeys else Window.partitionBy()
-        stats = stats.withColumn(count_name, F.sum("_cnt").over(wg))
-    stats = stats.drop("_cnt")
-    out = blk.join(stats, [*gkeys, "_blk"], "inner")
-    out = out.withColumn(name, F.col("_loc") - F.col("_first") + F.coalesce(F.col("_off"), F.lit(0)) + F.lit(1))
-    return out.drop("_blk", "_loc", "_first", "_off")
+    return with_running_sums(df, group, order, {}, ordinal=name, count_name=count_name,
+                             num_blocks=num_blocks or num_partitions)
 
 
 def with_running_sums(
@@ -80,37 +137,46 @@ def with_running_sums(
     order,
     values: dict,
     ordinal: str | None = None,
+    count_name: str | None = None,
+    num_blocks: int | None = None,
     num_partitions: int | None = None,
 ) -> DataFrame:
     """Add running (cumulative, current row included) sums of the given
     expressions inside each group in ``order``. ``values`` maps output column
-    name -> Column. Optionally adds the 1-based ordinal as ``ordinal``."""
+    name -> Column. Optionally adds the 1-based position (``ordinal``) and
+    the group size (``count_name``)."""
     group, order = _names(group), _names(order)
-    gkeys = list(group)
-    tmp = {f"_v{i}": expr for i, expr in enumerate(values.values())}
+    num_blocks = num_blocks or num_partitions
+    tmp = {f"_og_v{i}": expr for i, expr in enumerate(values.values())}
     base = df
     for k, expr in tmp.items():
         base = base.withColumn(k, expr.cast("double"))
-    blk = _blocked(base, gkeys, order, num_partitions)
-    aggs = [F.sum(k).alias(f"_s{k}") for k in tmp] + [F.count(F.lit(1)).alias("_cnt")]
-    stats = blk.groupBy(*gkeys, "_blk").agg(*aggs)
-    w = (Window.partitionBy(*gkeys) if gkeys else Window.partitionBy()).orderBy("_blk").rowsBetween(
-        Window.unboundedPreceding, -1)
-    for k in tmp:
-        stats = stats.withColumn(f"_o{k}", F.coalesce(F.sum(f"_s{k}").over(w), F.lit(0.0))).drop(f"_s{k}")
-    stats = stats.withColumn("_ocnt", F.coalesce(F.sum("_cnt").over(w), F.lit(0))).drop("_cnt")
-    # Running sums inside a block: blocks are at most one range partition,
-    # so this window is balanced whatever the group sizes are.
-    wb = Window.partitionBy(*gkeys, "_blk").orderBy("_loc").rowsBetween(Window.unboundedPreceding, 0)
-    inner = blk
+    base = base.withColumn("_og_blk", block_of(df, [*group, *order], num_blocks))
+
+    # Per-block sizes and sums, then each block's offset inside its group.
+    stats = base.groupBy(*group, "_og_blk").agg(
+        F.count(F.lit(1)).alias("_og_cnt"), *[F.sum(k).alias(f"_og_s{k}") for k in tmp])
+    wg = Window.partitionBy(*group) if group else Window.partitionBy()
+    before = wg.orderBy("_og_blk").rowsBetween(Window.unboundedPreceding, -1)
+    stats = stats.withColumn("_og_ocnt", F.coalesce(F.sum("_og_cnt").over(before), F.lit(0)))
     for k in tmp:
-        inner = inner.withColumn(f"_r{k}", F.sum(k).over(wb))
+        stats = stats.withColumn(f"_og_o{k}", F.coalesce(F.sum(f"_og_s{k}").over(before), F.lit(0.0)))
+    if count_name:
+        stats = stats.withColumn(count_name, F.sum("_og_cnt").over(wg))
+    stats = stats.drop("_og_cnt", *[f"_og_s{k}" for k in tmp])
+
+    # Inside a block: bounded size, so this window is balanced.
+    wb = Window.partitionBy(*group, "_og_blk").orderBy(*order)
+    inner = base
     if ordinal:
-        inner = inner.withColumn("_rn", F.row_number().over(Window.partitionBy(*gkeys, "_blk").orderBy("_loc")))
-    out = inner.join(stats, [*gkeys, "_blk"], "inner")
+        inner = inner.withColumn("_og_rn", F.row_number().over(wb))
+    for k in tmp:
+        inner = inner.withColumn(f"_og_r{k}", F.sum(k).over(wb.rowsBetween(Window.unboundedPreceding, 0)))
+
+    out = inner.join(stats, [*group, "_og_blk"], "inner")
     for (outname, _), k in zip(values.items(), tmp):
-        out = out.withColumn(outname, F.col(f"_r{k}") + F.col(f"_o{k}"))
+        out = out.withColumn(outname, F.col(f"_og_r{k}") + F.col(f"_og_o{k}"))
     if ordinal:
-        out = out.withColumn(ordinal, F.col("_rn") + F.col("_ocnt"))
-    drop = ["_blk", "_loc", "_ocnt", "_rn"] + [c for k in tmp for c in (k, f"_r{k}", f"_o{k}")]
+        out = out.withColumn(ordinal, F.col("_og_rn") + F.col("_og_ocnt"))
+    drop = ["_og_blk", "_og_ocnt", "_og_rn"] + [c for k in tmp for c in (k, f"_og_r{k}", f"_og_o{k}")]
     return out.drop(*[c for c in drop if c in out.columns])

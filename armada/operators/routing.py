@@ -54,6 +54,7 @@ def collect_state(a_long: DataFrame, b_long: DataFrame, cfg: RouterConfig, d: in
     a, b = cold_start(cfg, d)
     a_rows = a_long.collect()
     shared = arm_col is None or arm_col not in a_long.columns
+    b_col = arm_col or "arm_idx"
     if a_rows:
         if shared:
             m = np.zeros((d, d))
@@ -71,7 +72,7 @@ def collect_state(a_long: DataFrame, b_long: DataFrame, cfg: RouterConfig, d: in
                 a[r[arm_col], r["i"], r["j"]] = r["a"]
                 a[r[arm_col], r["j"], r["i"]] = r["a"]
     for r in b_long.collect():
-        b[r[arm_col], r["i"]] = r["b"]
+        b[r[b_col], r["i"]] = r["b"]
     return a, b
 
 

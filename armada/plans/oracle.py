@@ -152,8 +152,8 @@ def _instruct_sql() -> str:
 
 def _learn_events() -> str:
     return ("SELECT event_id, ts, user_id, value / 100.0 AS x, "
-            "CASE WHEN event_id % 3 = 0 THEN 1.0 ELSE 0.0 END AS r0, "
-            "CASE WHEN (event_id + 1) % 3 = 0 THEN 1.0 ELSE 0.0 END AS r1 FROM events")
+            "CAST(CASE WHEN event_id % 3 = 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS r0, "
+            "CAST(CASE WHEN (event_id + 1) % 3 = 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS r1 FROM events")
 
 
 LC = Q.LEARN_CFG
