@@ -147,40 +147,117 @@ def fold_batch(decisions: DataFrame, vec: str, reward: str, order: Sequence[str]
     return n, a, b
 
 
+def _fold_pass(theta, linv, alpha, gamma, k, d, vec, rewards):
+    """Per-partition pass over one batch (rows grouped by block, sorted by
+    order): score with the frozen state, pick arms, and fold every block's
+    discounted statistics. Emits one small row per (block, arm)."""
+    from armada.operators.routing import ArmModel, _scores, choose
+
+    def run(it):
+        import pandas as pd
+        model = ArmModel(theta=theta, chol_inv=linv, a=None, b=None)
+        acc = {}
+        for pdf in it:
+            if pdf.empty:
+                continue
+            x = np.vstack(pdf[vec].to_numpy()).astype(np.float64).reshape(len(pdf), d)
+            idx, _ = choose(_scores(x, model, alpha))
+            rw = np.array([r[i] if i >= 0 else np.nan for r, i in zip(pdf[rewards].to_numpy(), idx)], dtype=np.float64)
+            blks = pdf["_blk"].to_numpy()
+            for blk in np.unique(blks):
+                in_blk = blks == blk
+                for arm in range(k):
+                    sel = in_blk & (idx == arm)
+                    m = int(sel.sum())
+                    if m == 0:
+                        continue
+                    xs, rs = x[sel], rw[sel]
+                    w = gamma ** np.arange(m - 1, -1, -1, dtype=np.float64)
+                    a_new = (xs * w[:, None]).T @ xs
+                    b_new = (xs * (w * rs)[:, None]).sum(axis=0)
+                    key = (int(blk), arm)
+                    if key in acc:
+                        n0, a0, b0 = acc[key]
+                        f = gamma ** m
+                        acc[key] = (n0 + m, f * a0 + a_new, f * b0 + b_new)
+                    else:
+                        acc[key] = (m, a_new, b_new)
+        if acc:
+            yield pd.DataFrame([{"blk": blk, "arm_idx": arm, "n": n, "a": a.ravel().tolist(), "b": b.tolist()}
+                                for (blk, arm), (n, a, b) in acc.items()])
+
+    return run
+
+
+def _decide_pass(states, batch, alpha, d, vec, rewards, keep):
+    """Score every row with the frozen state of its own batch."""
+    from armada.operators.routing import ArmModel, _scores, choose
+
+    def run(it):
+        import pandas as pd
+        for pdf in it:
+            if pdf.empty:
+                continue
+            for t, sub in pdf.groupby(batch, sort=False):
+                theta, linv = states[t]
+                model = ArmModel(theta=theta, chol_inv=linv, a=None, b=None)
+                x = np.vstack(sub[vec].to_numpy()).astype(np.float64).reshape(len(sub), d)
+                idx, best = choose(_scores(x, model, alpha))
+                out = sub[[batch, *keep]].copy()
+                out["arm_idx"] = pd.array(np.where(idx < 0, None, idx), dtype="Int32")
+                out["ucb"] = np.where(idx < 0, np.nan, best)
+                out["reward"] = [r[i] if i >= 0 else np.nan for r, i in zip(sub[rewards].to_numpy(), idx)]
+                yield out
+
+    return run
+
+
 def learn_microbatch(df: DataFrame, batch: str, order: Sequence[str], vec: str, rewards: str, cfg: RouterConfig,
                      d: int, keep: Sequence[str] = (), state=None, num_partitions: int | None = None,
                      run_name: str = "microbatch") -> DataFrame:
     """Global learner updated after every batch. Returns the decisions
     ``(batch, *keep, arm_idx, ucb, reward)``.
 
-    The input is written once, partitioned by batch, under the shared
-    checkpoint folder; every step reads one batch partition (pruned), scores
-    it with the frozen state, writes its decisions under its batch id
-    (rerunning a step overwrites, never duplicates) and folds the updates.
-    Only the K*d^2 state passes through the driver."""
+    The input is written once under the shared checkpoint folder,
+    partitioned by batch, after one range partitioning on ``(batch, order)``
+    that tags every row with its range block (blocks are contiguous in row
+    order; written once, so every later reader sees the same tags). Each
+    step reads one batch partition (pruned), groups rows by block, sorts them
+    by ``order`` and makes one pass that scores rows with the frozen state and
+    folds each block's discounted statistics; only those statistics (K*d^2
+    numbers per block) reach the driver, where they are merged in block
+    order, i.e. row order. The decisions are one lazy pass over all batches
+    with every batch's frozen state (K*d^2 numbers per batch) - the same
+    row-local scoring as in the steps, so the same arms."""
     spark = df.sparkSession
     base = work_dir(spark, run_name)
     order = list(order)
-    keep = list(keep)
+    keep = list(dict.fromkeys([*keep, *order]))
+    n_part = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     inp = f"{base}/input"
-    cols = list(dict.fromkeys([batch, *keep, *order, vec, rewards]))
-    df.select(*cols).write.mode("overwrite").partitionBy(batch).parquet(inp)
-    staged = spark.read.parquet(inp)
+    cols = list(dict.fromkeys([batch, *keep, vec, rewards]))
+    batch_type = df.schema[batch].dataType
+    (df.select(*cols).repartitionByRange(n_part, batch, *order).sortWithinPartitions(batch, *order)
+     .withColumn("_blk", F.spark_partition_id())
+     .write.mode("overwrite").partitionBy(batch).parquet(inp))
+    staged = spark.read.parquet(inp).withColumn(batch, F.col(batch).cast(batch_type))
     batches = [r[0] for r in staged.select(batch).distinct().orderBy(batch).collect()]
     a, b = state if state is not None else cold_start(cfg, d)
-    out_dir = f"{base}/decisions"
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    stat_schema = "blk int, arm_idx int, n long, a array<double>, b array<double>"
+    states = {}
     for t in batches:
         model = solve(a, b)
-        part = staged.where(F.col(batch) == F.lit(t))
-        dec = score_contexts(part, vec, model, cfg.alpha, keep=list(dict.fromkeys([*keep, *order, vec, rewards])))
-        dec = dec.withColumn("reward", F.element_at(rewards, F.col("arm_idx") + 1)).withColumn(batch, F.lit(t))
-        dec.drop(rewards).write.mode("overwrite").partitionBy(batch).parquet(out_dir)
-        written = spark.read.parquet(out_dir).where(F.col(batch) == F.lit(t)).where(F.col("arm_idx").isNotNull())
-        n, a_new, b_new = fold_batch(written, vec, "reward", order, cfg.k, d, cfg.gamma, num_partitions)
-        for i in range(cfg.k):
-            f = cfg.gamma ** int(n[i])
-            a[i] = f * a[i] + a_new[i]
-            b[i] = f * b[i] + b_new[i]
-    res = spark.read.parquet(out_dir)
-    return res.select(batch, *[c for c in keep], "arm_idx", "ucb", "reward")
+        states[t] = (model.theta, model.chol_inv)
+        part = (staged.where(F.col(batch) == F.lit(t)).select(vec, rewards, "_blk", *order)
+                .repartition(n_part, "_blk").sortWithinPartitions("_blk", *order))
+        fn = _fold_pass(model.theta, model.chol_inv, cfg.alpha, cfg.gamma, cfg.k, d, vec, rewards)
+        for r in sorted(part.mapInPandas(fn, stat_schema).collect(), key=lambda r: r["blk"]):
+            i, m = r["arm_idx"], int(r["n"])
+            f = cfg.gamma ** m
+            a[i] = f * a[i] + np.asarray(r["a"]).reshape(d, d)
+            b[i] = f * b[i] + np.asarray(r["b"])
+    out_schema = T.StructType([staged.schema[batch], *[staged.schema[c] for c in keep],
+                               T.StructField("arm_idx", T.IntegerType()), T.StructField("ucb", T.DoubleType()),
+                               T.StructField("reward", T.DoubleType())])
+    fn = _decide_pass(states, batch, cfg.alpha, d, vec, rewards, keep)
+    return staged.select(batch, *keep, vec, rewards).mapInPandas(fn, out_schema)

@@ -94,20 +94,33 @@ def solve(a: np.ndarray, b: np.ndarray) -> ArmModel:
 
 
 def _scores(x: np.ndarray, model: ArmModel, alpha: float) -> np.ndarray:
-    mean = x @ model.theta.T
+    """UCB of every arm for a batch of contexts. For d <= ROWWISE_MAX_D every
+    row's score is computed by row-local reductions, so it does not depend on
+    which other rows share its Arrow batch (BLAS blocking can change the last
+    bits with the batch shape, which could flip near-ties between passes)."""
+    k, d = model.theta.shape
+    rowwise = d <= ROWWISE_MAX_D
+    if rowwise:
+        mean = np.stack([np.sum(x * model.theta[i], axis=1) for i in range(k)], axis=1)
+    else:
+        mean = x @ model.theta.T
     if alpha == 0.0:
         return mean
     unc = np.empty_like(mean)
     done = {}
-    for k in range(model.k):
-        key = model.chol_inv[k].tobytes()
+    for i in range(k):
+        key = model.chol_inv[i].tobytes()
         if key not in done:
-            z = x @ model.chol_inv[k].T
-            done[key] = np.sqrt(np.einsum("ij,ij->i", z, z))
-        unc[:, k] = done[key]
+            li = model.chol_inv[i]
+            z = np.stack([np.sum(x * li[r], axis=1) for r in range(d)], axis=1) if rowwise else x @ li.T
+            done[key] = np.sqrt(np.sum(z * z, axis=1))
+        unc[:, i] = done[key]
     return mean + alpha * unc
 
 
+ROWWISE_MAX_D = 128
+
+
 def choose(scores: np.ndarray):
     """Arg-max per row: first arm wins ties, NaN is never chosen, a row with
     no finite score gets no arm (-1)."""
