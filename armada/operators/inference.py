@@ -18,14 +18,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def score_prompts(df: DataFrame, scorer_factory: Callable[[], Callable[[list], list]], prompt: str = "prompt",
+def score_prompts(df: DataFrame, scorer_factory: Callable[[], Callable], prompt: str = "prompt",
                   keep: Sequence[str] = ("row_id",)) -> DataFrame:
-    """Generated text for every prompt. ``scorer_factory()`` returns a
-    function ``list[str] -> list[str | None]`` (prompt echoed + continuation,
-    None for a failed row). Adds ``generated_text`` and ``latency_sec`` (the
-    batch's wall time shared equally by its rows)."""
-    keep = list(keep)
-    schema = T.StructType([df.schema[c] for c in keep if c != prompt] + [
+    """Generated text for every prompt.
+
+    ``scorer_factory()`` is called once per Python worker and returns
+    ``fn(batch) -> sequence of str | None``, where ``batch`` is the Arrow
+    batch as a pandas DataFrame (``keep`` columns + ``prompt``); a batch may
+    hold several models when ``keep`` has a model column. Each text is the
+    echoed prompt plus the continuation; None marks a failed row, and an
+    exception fails the whole batch (every row becomes None -> ``ERROR``).
+    Adds ``generated_text`` and ``latency_sec`` (the batch's wall time shared
+    equally by its rows). Batch size: ``spark.sql.execution.arrow.maxRecordsPerBatch``."""
+    keep = [c for c in keep if c != prompt]
+    schema = T.StructType([df.schema[c] for c in keep] + [
         df.schema[prompt], T.StructField("generated_text", T.StringType()),
         T.StructField("latency_sec", T.DoubleType())])
 
@@ -36,11 +42,11 @@ def score_prompts(df: DataFrame, scorer_factory: Callable[[], Callable[[list], l
                 continue
             t0 = time.perf_counter()
             try:
-                texts = list(fn(pdf[prompt].tolist()))
+                texts = list(fn(pdf))
             except Exception:  # a failed batch: every row becomes ERROR downstream
                 texts = [None] * len(pdf)
             dt = (time.perf_counter() - t0) / len(pdf)
-            out = pdf[[c for c in keep if c != prompt] + [prompt]].copy()
+            out = pdf[keep + [prompt]].copy()
             out["generated_text"] = texts
             out["latency_sec"] = dt
             yield out
@@ -48,19 +54,46 @@ def score_prompts(df: DataFrame, scorer_factory: Callable[[], Callable[[list], l
     return df.select(*dict.fromkeys([*keep, prompt])).mapInPandas(run, schema)
 
 
+def offline_scorer_factory(model_col: str = "model", key_col: str = "row_id", prompt: str = "prompt"):
+    """A deterministic stand-in for a text generator (no model libraries are
+    needed): for ``k`` = first md5 byte of ``'<model>:<key>'``, k%16 = 0 fails
+    (None), k%16 = 1 answers without a letter, else it answers
+    ``chr(65 + k%4)``. The same rule as ``armada.sources.tables.responses``."""
+    def factory():
+        import hashlib
+
+        def fn(batch):
+            out = []
+            for m, key, p in zip(batch[model_col], batch[key_col], batch[prompt]):
+                k = int(hashlib.md5(f"{m}:{key}".encode()).hexdigest()[:2], 16)
+                if k % 16 == 0:
+                    out.append(None)
+                elif k % 16 == 1:
+                    out.append(p + " I cannot tell.")
+                else:
+                    out.append(f"{p} The answer is {chr(65 + k % 4)}.")
+            return out
+        return fn
+    return factory
+
+
 def embed_text(df: DataFrame, embedder_factory: Callable[[], Callable[[list], np.ndarray]], text: str = "prompt",
-               keep: Sequence[str] = ("row_id",), out: str = "embedding") -> DataFrame:
+               keep: Sequence[str] = ("row_id",), out: str = "embedding", dtype: str = "float") -> DataFrame:
     """Dense vector per text from a caller-supplied batch embedder
-    (``list[str] -> ndarray (n, d)``). Row keys replace positions."""
+    (``list[str] -> ndarray (n, d)``), built once per Python worker. Row
+    keys replace positions. Whole texts are passed; any length limit is the
+    embedder's own."""
     keep = list(keep)
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, T.ArrayType(T.FloatType()))])
+    elem = T.FloatType() if dtype == "float" else T.DoubleType()
+    np_type = np.float32 if dtype == "float" else np.float64
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, T.ArrayType(elem))])
 
     def run(it):
         fn = embedder_factory()
         for pdf in it:
             if pdf.empty:
                 continue
-            vecs = np.asarray(fn(pdf[text].tolist()), dtype=np.float32)
+            vecs = np.asarray(fn(pdf[text].tolist()), dtype=np_type)
             res = pdf[keep].copy()
             res[out] = list(vecs)
             yield res
@@ -68,6 +101,29 @@ def embed_text(df: DataFrame, embedder_factory: Callable[[], Callable[[list], np
     return df.select(*dict.fromkeys([*keep, text])).mapInPandas(run, schema)
 
 
+def hashing_embedder_factory(d: int):
+    """Offline embedder: L2-normalised hashed bag of words (tokens split on
+    ASCII whitespace, bucket = first 16 bits of md5 mod d), vectorised per
+    batch with numpy. Same vectors as ``hash_embedding``."""
+    def factory():
+        import hashlib
+        import re
+        split = re.compile(r"[ \t\n\r\x0b\x0c]+")
+
+        def fn(texts):
+            m = np.zeros((len(texts), d))
+            for row, t in enumerate(texts):
+                toks = [w for w in split.split(t or "") if w]
+                if not toks:
+                    continue
+                idx = [int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % d for w in toks]
+                m[row] = np.bincount(idx, minlength=d)
+            norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+            return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+        return fn
+    return factory
+
+
 # Token separator for the hashed bag-of-words: ASCII whitespace runs.
 TOKEN_SPLIT = r"[ \t\n\r\x{0B}\x{0C}]+"
 

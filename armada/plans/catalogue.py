@@ -16,6 +16,7 @@ from armada.functions.text import instruct_prompt, mc_prompt, parse_answer, pars
 from armada.functions.vectors import as_double_array, l2_norm
 from armada.operators import grading, inference, online, policy, routing, sampling, stats
 from armada.operators.ordinal import with_group_ordinal
+from armada.plans import jobs
 from armada.sources import registry, tables
 from armada.sources.files import pending_work
 
@@ -131,10 +132,12 @@ def q11_pending_work(spark, sf):
 # ------------------------------------------------------------- vectors
 
 def q12_last_token_pool(spark, sf):
-    ev = tables.table(spark, sf, "events").select("event_id", "ts", "user_id", "value")
-    pos = with_group_ordinal(ev, ["user_id"], ["ts", "event_id"], name="_ord", count_name="_n")
+    # Each user's events are one token sequence (position = order by
+    # (ts, event_id)); ``error`` events are padding (mask 0).
+    ev = tables.table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    pos = with_group_ordinal(ev, ["user_id"], ["ts", "event_id"], name="_ord")
     tok = pos.select("user_id", (F.col("_ord") - 1).alias("pos"), F.col("value").alias("hidden"),
-                     F.when(F.col("_ord") - 1 < F.col("_n") - F.col("user_id") % 3, 1).otherwise(0).alias("mask"))
+                     (F.col("event_type") != "error").cast("int").alias("mask"))
     return inference.last_token_pool(tok, "user_id", "pos", "mask", "hidden")
 
 
@@ -158,10 +161,7 @@ def _router_split(spark, sf, cfg: RouterConfig, two_d: bool):
 
 def _warm_model(split: DataFrame, cfg: RouterConfig, d: int):
     train = split.where(F.col("split") == "train")
-    a_long = stats.gram(train, "x", d, lam=cfg.lam)
-    b_long = stats.reward_sums_wide(train, "x", [f"_rw{k}" for k in range(cfg.k)])
-    a, b = routing.collect_state(a_long, b_long, cfg, d, arm_col=None)
-    return routing.solve(a, b)
+    return jobs.warm_start(train, "x", [f"_rw{k}" for k in range(cfg.k)], cfg, d)
 
 
 def _routed(spark, sf, two_d: bool, cfg: RouterConfig = ROUTE_CFG, with_scores=False):
@@ -305,6 +305,23 @@ def q30_assemble_vectors(spark, sf):
                       _r(l2_norm("embedding")).alias("l2"))
 
 
+def q31_scored_responses(spark, sf):
+    """Batch generation slot (mapInPandas) with the offline scorer, graded."""
+    qs = tables.questions(spark, sf)
+    report, _ = jobs.evaluate(qs, tables.EVAL_MODELS, inference.offline_scorer_factory())
+    return report.select("model", "task", _r(F.col("accuracy")).alias("accuracy"), "n")
+
+
+def q32_embed_documents(spark, sf):
+    """Batch embedding slot (mapInPandas) with the offline hashing embedder,
+    over whole documents."""
+    docs = tables.table(spark, sf, "documents").select("doc_id", "text")
+    emb = inference.embed_text(docs, inference.hashing_embedder_factory(HASH_DIM), text="text", keep=["doc_id"],
+                               dtype="double")
+    ex = emb.select("doc_id", F.posexplode("embedding").alias("bucket", "weight")).where(F.col("weight") > 0)
+    return ex.select("doc_id", F.col("bucket").cast("int"), _r(F.col("weight")).alias("weight"))
+
+
 QUERIES = {name: fn for name, fn in sorted(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}
 
 

@@ -240,10 +240,9 @@ WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"""
 
 SQL["q12_last_token_pool"] = """
 SELECT user_id, max(pos) AS pooled_pos, arg_max(value, pos) AS pooled FROM (
-  SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos,
-         count(*) OVER (PARTITION BY user_id) AS n
+  SELECT user_id, value, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos
   FROM events)
-WHERE pos < n - user_id % 3
+WHERE event_type <> 'error'
 GROUP BY user_id"""
 
 SQL["q13_hash_embedding"] = f"""
@@ -403,3 +402,15 @@ WITH cut AS (
 SELECT vec_id, part, row_number() OVER (ORDER BY part, vec_id) - 1 AS pos, CAST(len(embedding) AS INTEGER) AS dim,
        round(sqrt(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE)))), 9) AS l2
 FROM cut"""
+
+SQL["q31_scored_responses"] = f"""WITH {GRADED}
+SELECT model, task, round(avg(correct), 9) AS accuracy, count(*) AS n FROM graded GROUP BY model, task"""
+
+SQL["q32_embed_documents"] = f"""
+WITH toks AS (
+  SELECT doc_id, unnest(regexp_split_to_array(text, '[ \\t\\n\\r\\x{{0B}}\\x{{0C}}]+')) AS t FROM documents),
+counts AS (
+  SELECT doc_id, CAST(CAST(('0x' || substr(md5(t), 1, 4)) AS INTEGER) % {Q.HASH_DIM} AS INTEGER) AS bucket,
+         count(*) AS cnt
+  FROM toks WHERE length(t) > 0 GROUP BY ALL)
+SELECT doc_id, bucket, round(cnt / sqrt(sum(cnt * cnt) OVER (PARTITION BY doc_id)), 9) AS weight FROM counts"""
