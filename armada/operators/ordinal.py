@@ -5,8 +5,9 @@ group to one task; a group holding a third of the data would then be sorted
 by a single core. The operators here cut the key space ``(group, order)``
 into blocks of bounded size instead:
 
-1. A seeded sample of the keys (key columns only) is collected - its size
-   is set by the number of blocks, not by the data - and sorted; its
+1. A seeded random sample of the keys (key columns only; one job, a
+   per-partition top-m by a random tag) is collected - its size is set by
+   the number of blocks, not by the data - and sorted; its
    quantiles become block boundaries. They are written into the plan as
    literals, so ``block`` is a pure function of a row's key (a binary search
    of depth log2(#blocks)). Every consumer and every retried task computes
@@ -47,18 +48,20 @@ def _blocks(df: DataFrame, num_blocks: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _encode(df: DataFrame, c: str) -> Column:
-    """An orderable stand-in for a key column whose values survive a trip
-    through the driver unchanged: timestamps without time zone and dates
-    as ISO text (text order = time order), zoned timestamps as epoch micros."""
+def _encode(df: DataFrame, c: str) -> str:
+    """SQL text of an orderable stand-in for a key column whose values survive
+    a trip through the driver unchanged: timestamps without time zone and
+    dates as ISO text (text order = time order), zoned timestamps as epoch
+    micros, other atomic types as they are."""
     t = df.schema[c].dataType
+    q = "`" + c.replace("`", "``") + "`"
     if isinstance(t, (T.TimestampNTZType, T.DateType)):
-        return F.col(c).cast("string")
+        return f"CAST({q} AS STRING)"
     if isinstance(t, T.TimestampType):
-        return F.unix_micros(F.col(c))
+        return f"unix_micros({q})"
     if isinstance(t, (T.StringType, T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.DoubleType,
                       T.FloatType, T.BooleanType)):
-        return F.col(c)
+        return q
     raise TypeError(f"cannot order blocks by column {c} of type {t}")
 
 
@@ -74,30 +77,44 @@ def _sort_key(row):
     return tuple(out)
 
 
-def _less(cols: list, bound: tuple) -> Column:
-    """Lexicographic ``cols < bound`` (NULL keys sort first)."""
+def _lit(v) -> str:
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, int):
+        return f"{v}L"
+    if isinstance(v, float):
+        if math.isnan(v) or math.isinf(v):
+            return f"CAST('{v!r}' AS DOUBLE)".replace("inf", "Infinity").replace("nan", "NaN")
+        return f"{v!r}D"
+    if isinstance(v, str):
+        return f"CAST(X'{v.encode('utf-8').hex()}' AS STRING)"
+    raise TypeError(f"unsupported key value {v!r}")
+
+
+def _less(cols: list, bound: tuple) -> str:
+    """SQL text of the lexicographic ``cols < bound`` (NULL keys sort first)."""
     expr = None
     for c, b in reversed(list(zip(cols, bound))):
         if b is None:
-            lt, eq = F.lit(False), c.isNull()
+            lt, eq = "false", f"({c} IS NULL)"
         else:
-            lt = c.isNull() | (c < F.lit(b))
-            eq = c.isNotNull() & (c == F.lit(b))
-        expr = lt if expr is None else (lt | (eq & expr))
+            lt = f"({c} IS NULL OR {c} < {_lit(b)})"
+            eq = f"({c} IS NOT NULL AND {c} = {_lit(b)})"
+        expr = lt if expr is None else f"({lt} OR ({eq} AND {expr}))"
     return expr
 
 
 def block_of(df: DataFrame, keys: Sequence[str], num_blocks: int | None = None) -> Column:
     """Deterministic block id in ``[0, #boundaries]`` of each row's key."""
     n = _blocks(df, num_blocks)
-    enc_cols = [_encode(df, k) for k in keys]
+    enc = [_encode(df, k) for k in keys]
     if n <= 1:
         return F.lit(0)
-    total = df.count()
-    if total == 0:
-        return F.lit(0)
-    frac = min(1.0, SAMPLES_PER_BLOCK * n / total)
-    sample = df.select(*[e.alias(f"_k{i}") for i, e in enumerate(enc_cols)]).sample(False, frac, SAMPLE_SEED)
+    # One job: the m keys with the smallest seeded random tag form a uniform
+    # sample (per-partition top-m, then a merge of n_partitions * m rows).
+    m = SAMPLES_PER_BLOCK * n
+    sample = (df.select(*[F.expr(e).alias(f"_k{i}") for i, e in enumerate(enc)])
+              .withColumn("_u", F.rand(SAMPLE_SEED)).orderBy("_u").limit(m).drop("_u"))
     keys_seen = sorted((tuple(r) for r in sample.collect()), key=_sort_key)
     if not keys_seen:
         return F.lit(0)
@@ -107,13 +124,14 @@ def block_of(df: DataFrame, keys: Sequence[str], num_blocks: int | None = None)
         if not bounds or _sort_key(b) > _sort_key(bounds[-1]):
             bounds.append(b)
 
-    def build(lo: int, hi: int) -> Column:
+    def build(lo: int, hi: int) -> str:
         if lo == hi:
-            return F.lit(lo)
+            return str(lo)
         mid = (lo + hi) // 2
-        return F.when(_less(enc_cols, bounds[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
+        return f"CASE WHEN {_less(enc, bounds[mid])} THEN {build(lo, mid)} ELSE {build(mid + 1, hi)} END"
 
-    return build(0, len(bounds)).cast("int")
+    # A single parsed expression (one driver->JVM call, whatever the size).
+    return F.expr(f"CAST({build(0, len(bounds))} AS INT)")
 
 
 def with_group_ordinal(

@@ -76,6 +76,21 @@ def collect_state(a_long: DataFrame, b_long: DataFrame, cfg: RouterConfig, d: in
     return a, b
 
 
+def state_from_rows(rows, cfg: RouterConfig, d: int):
+    """Dense state from collected ``ridge_stats`` rows with one shared Gram
+    (``i, j, a``) and per-arm reward sums ``b0..b{K-1}`` on the diagonal."""
+    a, b = cold_start(cfg, d)
+    if rows:
+        m = np.zeros((d, d))
+        for r in rows:
+            m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["a"]
+            if r["i"] == r["j"]:
+                for k in range(cfg.k):
+                    b[k, r["i"]] = r[f"b{k}"] or 0.0
+        a[:] = m
+    return a, b
+
+
 def solve(a: np.ndarray, b: np.ndarray) -> ArmModel:
     """``theta_k = A_k^-1 b_k`` by Cholesky, once per state version."""
     k, d = b.shape

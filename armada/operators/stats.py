@@ -43,41 +43,52 @@ def gram(df: DataFrame, vec, d: int, lam: float | Column = 0.0, weight=None, gro
     """``lam * I + sum w x x^T`` per group as ``(group..., i, j, a)``, j >= i.
 
     ``lam`` may be a Column over ``group`` (e.g. a discounted ridge term)."""
+    return ridge_stats(df, vec, d, (), lam=lam, weight=weight, group=group, method=method)
+
+
+def ridge_stats(df: DataFrame, vec, d: int, reward_cols: Sequence = (), lam: float | Column = 0.0, weight=None,
+                group: Sequence[str] = (), method: str = "auto") -> DataFrame:
+    """Gram matrix and reward sums in one pass over the rows.
+
+    Output ``(group..., i, j, a, b0, ..., b{K-1})`` for j >= i, where
+    ``a = lam [i == j] + sum w x_i x_j`` and, on diagonal rows only,
+    ``b_k = sum w r_k x_i`` (NULL elsewhere). One explode and one
+    partial + final aggregate produce both, so the input (and whatever
+    produced it) is read once."""
     group = list(group)
+    rcols = [_col(c).cast("double").alias(f"_r{k}") for k, c in enumerate(reward_cols)]
+    kk = len(rcols)
     w = F.lit(1.0) if weight is None else _col(weight).cast("double")
-    base = df.select(*group, as_double_array(vec).alias("_x"), w.alias("_w"))
+    base = df.select(*group, as_double_array(vec).alias("_x"), w.alias("_w"), *rcols)
     if method == "auto":
         method = "explode" if d <= EXPLODE_MAX_D else "tiles"
     if method == "explode":
-        s1 = base.select(*group, "_w", "_x", F.posexplode("_x").alias("i", "_xi"))
+        s1 = base.select(*group, "_w", "_x", *[f"_r{k}" for k in range(kk)], F.posexplode("_x").alias("i", "_xi"))
         s2 = s1.select(*group, "i", (F.col("_w") * F.col("_xi")).alias("_wxi"),
+                       *[(F.col("_w") * F.col(f"_r{k}") * F.col("_xi")).alias(f"_wr{k}") for k in range(kk)],
                        F.posexplode(F.slice("_x", F.col("i") + 1, F.lit(d) - F.col("i"))).alias("_dj", "_xj"))
         sums = s2.groupBy(*group, "i", (F.col("i") + F.col("_dj")).alias("j")).agg(
-            F.sum(F.col("_wxi") * F.col("_xj")).alias("_s"))
+            F.sum(F.col("_wxi") * F.col("_xj")).alias("_s"),
+            *[F.sum(F.when(F.col("_dj") == 0, F.col(f"_wr{k}"))).alias(f"b{k}") for k in range(kk)])
     elif method == "tiles":
-        sums = _gram_tiles(base, d, group)
+        sums = _gram_tiles(base, d, group, kk)
     else:
         raise ValueError(f"unknown method {method}")
-    return _add_ridge(sums, d, lam, group)
-
-
-def _add_ridge(sums: DataFrame, d: int, lam, group: list) -> DataFrame:
     lam_c = lam if isinstance(lam, Column) else F.lit(float(lam))
-    # Diagonal entries exist for every group that has rows; a group with no
-    # rows has no statistics and starts from lam * I (see cold_start).
-    return sums.withColumn(
-        "a", F.col("_s") + F.when(F.col("i") == F.col("j"), lam_c).otherwise(F.lit(0.0))
-    ).select(*group, F.col("i").cast("int"), F.col("j").cast("int"), "a")
+    return sums.select(
+        *group, F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"),
+        (F.col("_s") + F.when(F.col("i") == F.col("j"), lam_c).otherwise(F.lit(0.0))).alias("a"),
+        *[f"b{k}" for k in range(kk)])
 
 
-def _gram_tiles(base: DataFrame, d: int, group: list) -> DataFrame:
-    """Partition-local ``X^T W X`` with numpy, emitted in row blocks of the
-    upper triangle and reduced by ``(group, i, j)`` across reducers."""
+def _gram_tiles(base: DataFrame, d: int, group: list, kk: int = 0) -> DataFrame:
+    """Partition-local ``X^T W X`` (and ``X^T W R``) with numpy, emitted as
+    the upper triangle and reduced by ``(group, i, j)`` across reducers."""
     gfields = [base.schema[g] for g in group]
     out_schema = T.StructType(gfields + [
         T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()),
-        T.StructField("_s", T.DoubleType()),
-    ])
+        T.StructField("_s", T.DoubleType())] + [T.StructField(f"_b{k}", T.DoubleType()) for k in range(kk)])
+    rnames = [f"_r{k}" for k in range(kk)]
 
     def partial(it):
         import pandas as pd
@@ -89,19 +100,29 @@ def _gram_tiles(base: DataFrame, d: int, group: list) -> DataFrame:
             pdf = pdf.assign(_k=keys)
             for k, sub in pdf.groupby("_k", sort=False):
                 x = np.vstack(sub["_x"].to_numpy()).astype(np.float64)
-                m = (x * sub["_w"].to_numpy()[:, None]).T @ x
-                acc[k] = acc[k] + m if k in acc else m
+                wx = x * sub["_w"].to_numpy()[:, None]
+                m = wx.T @ x
+                bm = wx.T @ sub[rnames].to_numpy(dtype=np.float64) if kk else np.zeros((x.shape[1], 0))
+                if k in acc:
+                    acc[k] = (acc[k][0] + m, acc[k][1] + bm)
+                else:
+                    acc[k] = (m, bm)
         iu, ju = np.triu_indices(d)
-        for k, m in acc.items():
+        for k, (m, bm) in acc.items():
             for lo in range(0, len(iu), TILE * TILE):
                 sl = slice(lo, lo + TILE * TILE)
-                part = pd.DataFrame({"i": iu[sl].astype("int32"), "j": ju[sl].astype("int32"), "_s": m[iu[sl], ju[sl]]})
+                ii, jj = iu[sl], ju[sl]
+                part = pd.DataFrame({"i": ii.astype("int32"), "j": jj.astype("int32"), "_s": m[ii, jj]})
+                for r in range(kk):
+                    part[f"_b{r}"] = np.where(ii == jj, bm[ii, r], np.nan)
                 for g, v in zip(group, k):
-                    part.insert(len(part.columns) - 3, g, v)
-                yield part[group + ["i", "j", "_s"]]
+                    part[g] = v
+                yield part[group + ["i", "j", "_s"] + [f"_b{r}" for r in range(kk)]]
 
     part = base.mapInPandas(partial, out_schema)
-    return part.groupBy(*group, "i", "j").agg(F.sum("_s").alias("_s"))
+    return part.groupBy(*group, "i", "j").agg(
+        F.sum("_s").alias("_s"), *[F.sum(F.when(F.col("i") == F.col("j"), F.col(f"_b{r}"))).alias(f"b{r}")
+                                   for r in range(kk)])
 
 
 def reward_sums(df: DataFrame, vec, reward, group: Sequence[str] = (), weight=None) -> DataFrame:
@@ -119,21 +140,28 @@ def discounted_stats(df: DataFrame, vec, reward, arm: str, order: Sequence[str],
     starting from ``lam * I`` and 0.
 
     Unrolled: a row followed by m later rows of its arm weighs ``gamma^m``,
-    and the ridge term becomes ``lam * gamma^n``. Ordinals come from range
-    partitioning, so one arm may hold most rows.
+    and the ridge term becomes ``lam * gamma^n``. Ordinals come from the
+    block ordinal operator, so one arm may hold most rows; the Gram part, the
+    reward part and the counts come from one pass over the ranked rows.
 
     Returns ``(counts, A, b)``: ``(arm, n)``, ``(arm, i, j, a)``, ``(arm, i, b)``."""
-    ranked = with_group_ordinal(df, [arm], list(order), name="_ord", count_name="_n", num_partitions=num_partitions)
-    ranked = ranked.withColumn("_w", F.pow(F.lit(float(gamma)), (F.col("_n") - F.col("_ord")).cast("double")))
-    counts = df.groupBy(arm).agg(F.count(F.lit(1)).alias("n"))
-    ridge = F.lit(float(lam)) * F.pow(F.lit(float(gamma)), F.col("n").cast("double"))
-    a = gram(ranked, vec, d, lam=0.0, weight="_w", group=[arm])
-    a = a.join(counts, [arm], "inner").withColumn(
-        "a", F.col("a") + F.when(F.col("i") == F.col("j"), ridge).otherwise(F.lit(0.0))).drop("n")
-    b = reward_sums(ranked, vec, reward, group=[arm], weight="_w")
+    st = discounted_table(df, vec, reward, arm, order, d, gamma, lam, num_partitions)
+    counts = st.select(arm, "n").distinct()
+    a = st.select(arm, "i", "j", "a")
+    b = st.where(F.col("i") == F.col("j")).select(arm, "i", F.col("b0").alias("b"))
     return counts, a, b
 
 
+def discounted_table(df: DataFrame, vec, reward, arm: str, order: Sequence[str], d: int, gamma: float,
+                     lam: float, num_partitions: int | None = None) -> DataFrame:
+    """The single table behind ``discounted_stats``:
+    ``(arm, n, i, j, a, b0)`` with ``b0`` on diagonal rows."""
+    ranked = with_group_ordinal(df, [arm], list(order), name="_ord", count_name="n", num_partitions=num_partitions)
+    ranked = ranked.withColumn("_w", F.pow(F.lit(float(gamma)), (F.col("n") - F.col("_ord")).cast("double")))
+    ridge = F.lit(float(lam)) * F.pow(F.lit(float(gamma)), F.col("n").cast("double"))
+    return ridge_stats(ranked, vec, d, [reward], lam=ridge, weight="_w", group=[arm, "n"])
+
+
 def merge_discounted(old_a: np.ndarray, old_b: np.ndarray, new_a: np.ndarray, new_b: np.ndarray, n_new: int,
                      gamma: float):
     """Ordered merge of discounted statistics: the older state is discounted

@@ -18,6 +18,7 @@ from armada.operators import grading, inference, online, policy, routing, sampli
 from armada.operators.ordinal import with_group_ordinal
 from armada.plans import jobs
 from armada.sources import registry, tables
+from armada.session import materialize
 from armada.sources.files import pending_work
 
 R = 9  # rounding of doubles in query outputs
@@ -203,11 +204,11 @@ def q17_discounted_stats(spark, sf):
     ev = ev.select("event_id", "ts", F.col("event_type").alias("arm"),
                    F.array((F.col("value") / 100.0).cast("double"), F.lit(1.0)).alias("x"),
                    F.when(F.col("event_id") % 3 == 0, 1.0).otherwise(0.0).alias("r"))
-    counts, a, b = stats.discounted_stats(ev, "x", "r", "arm", ["ts", "event_id"], 2, DISC_GAMMA, DISC_LAM)
-    aw = a.groupBy("arm").agg(*[F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col("a"))).alias(f"a{i}{j}")
-                                for i, j in ((0, 0), (0, 1), (1, 1))])
-    bw = b.groupBy("arm").agg(*[F.max(F.when(F.col("i") == i, F.col("b"))).alias(f"b{i}") for i in (0, 1)])
-    out = counts.join(aw, ["arm"]).join(bw, ["arm"])
+    st = stats.discounted_table(ev, "x", "r", "arm", ["ts", "event_id"], 2, DISC_GAMMA, DISC_LAM)
+    cell = lambda i, j, c: F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col(c)))
+    out = st.groupBy("arm", "n").agg(cell(0, 0, "a").alias("a00"), cell(0, 1, "a").alias("a01"),
+                                     cell(1, 1, "a").alias("a11"), cell(0, 0, "b0").alias("b0"),
+                                     cell(1, 1, "b0").alias("b1"))
     return out.select("arm", "n", *[_r(F.col(c)).alias(c) for c in ("a00", "a01", "a11", "b0", "b1")])
 
 
@@ -241,8 +242,15 @@ def q22_arm_mix(spark, sf):
     return policy.arm_mix(_outcomes(spark, sf, True))
 
 
+def _sf_tag(sf: str) -> str:
+    return "".join(ch if ch.isalnum() else "_" for ch in sf.strip("/").split("/")[-1])
+
+
 def q23_progressive_metrics(spark, sf):
-    out = _outcomes(spark, sf, True).withColumn("_h", sampling.seeded_order("row_id", ORDER_SEED))
+    # The decisions are written once: the ordinal's key sample and the final
+    # pass then read them instead of re-running the routing job.
+    dec = materialize(_outcomes(spark, sf, True), f"q23_outcomes_{_sf_tag(sf)}")
+    out = dec.withColumn("_h", sampling.seeded_order("row_id", ORDER_SEED))
     prog = policy.progressive_metrics(out, [], ["_h", "row_id"])
     return prog.select("row_id", "step", _r(F.col("running_accuracy")).alias("running_accuracy"),
                        _r(F.col("running_price")).alias("running_price"))
@@ -256,7 +264,7 @@ def q24_learn_by_key(spark, sf):
 
 def q25_learn_microbatch(spark, sf):
     ev = tables.user_events(spark, sf).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    tag = "microbatch_" + "".join(ch if ch.isalnum() else "_" for ch in sf.strip("/").split("/")[-1])
+    tag = "microbatch_" + _sf_tag(sf)
     dec = online.learn_microbatch(ev, "day", ["ts", "event_id"], "x", "rewards", LEARN_CFG, 1,
                                   keep=["event_id"], run_name=tag)
     return dec.select("event_id", "day", "arm_idx", _r(F.col("ucb")).alias("ucb"), "reward")

@@ -68,9 +68,8 @@ def prepare_vectors(questions: DataFrame, embedder_factory, sink: str, embedder:
 def warm_start(train: DataFrame, vec: str, reward_cols: Sequence[str], cfg: RouterConfig, d: int):
     """Full-feedback warm start: one shared Gram (A does not depend on
     rewards) and one reward sum per arm, solved once."""
-    a_long = stats.gram(train, vec, d, lam=cfg.lam)
-    b_long = stats.reward_sums_wide(train, vec, list(reward_cols))
-    a, b = routing.collect_state(a_long, b_long, cfg, d, arm_col=None)
+    rows = stats.ridge_stats(train, vec, d, list(reward_cols), lam=cfg.lam).collect()
+    a, b = routing.state_from_rows(rows, cfg, d)
     return routing.solve(a, b)
 
 

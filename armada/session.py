@@ -76,3 +76,14 @@ def work_dir(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediates."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/armada/{name}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and
+    read it back: later passes (sampling, several consumers, retries) read
+    the written rows instead of recomputing the lineage. A rerun with the
+    same name overwrites."""
+    spark = df.sparkSession
+    path = work_dir(spark, f"materialized/{name}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
