@@ -36,11 +36,12 @@ def evaluate(prompts: DataFrame, models: Sequence[str], scorer_factory, split: s
     if split not in ("auxiliary_train", "test"):
         raise ValueError("split must be auxiliary_train or test")
     sampled = fraction_sample(prompts, subset_ratio, "task", "row_id", seed=seed)
-    req = sampled.select("task", "row_id", "prompt", F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
-    resp = inference.score_prompts(req, scorer_factory, keep=["model", "task", "row_id"])
-    paired = grading.align_responses(resp.drop("prompt"), sampled.select("task", "row_id", "prompt", "answer"),
-                                     ["task", "row_id"])
-    graded = grading.grade(paired).withColumn("split", F.lit(split))
+    req = sampled.select("task", "row_id", "prompt", "answer",
+                         F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
+    # The answer rides along with its prompt through the scorer: responses
+    # stay paired by construction, no join re-reads the prompt texts.
+    resp = inference.score_prompts(req, scorer_factory, keep=["model", "task", "row_id", "answer"])
+    graded = grading.grade(resp).withColumn("split", F.lit(split))
     summary = grading.accuracy(graded, ["model", "task"])
     tasks = expected_tasks if expected_tasks is not None else prompts.select("task").distinct()
     expected = tasks.select("task", F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
