@@ -7,10 +7,10 @@ into blocks of bounded size instead:
 
 1. A seeded random sample of the keys (key columns only; one job, a
    per-partition top-m by a random tag) is collected - its size is set by
-   the number of blocks, not by the data - and sorted; its
-   quantiles become block boundaries. They are written into the plan as
-   literals, so ``block`` is a pure function of a row's key (a binary search
-   of depth log2(#blocks)). Every consumer and every retried task computes
+   the number of blocks, not by the data - and sorted; its quantiles become
+   block boundaries. They are written into the plan as one array literal,
+   so ``block`` is a pure function of a row's key (a binary search of depth
+   log2(#blocks)). Every consumer and every retried task computes
    the same block, which a range exchange cannot promise (its sample seed
    depends on the RDD id).
 2. Rows are ranked (or summed) inside ``(group, block)``: one balanced
@@ -91,21 +91,14 @@ def _lit(v) -> str:
     raise TypeError(f"unsupported key value {v!r}")
 
 
-def _less(cols: list, bound: tuple) -> str:
-    """SQL text of the lexicographic ``cols < bound`` (NULL keys sort first)."""
-    expr = None
-    for c, b in reversed(list(zip(cols, bound))):
-        if b is None:
-            lt, eq = "false", f"({c} IS NULL)"
-        else:
-            lt = f"({c} IS NULL OR {c} < {_lit(b)})"
-            eq = f"({c} IS NOT NULL AND {c} = {_lit(b)})"
-        expr = lt if expr is None else f"({lt} OR ({eq} AND {expr}))"
-    return expr
-
-
 def block_of(df: DataFrame, keys: Sequence[str], num_blocks: int | None = None) -> Column:
-    """Deterministic block id in ``[0, #boundaries]`` of each row's key."""
+    """Deterministic block id in ``[0, #boundaries]`` of each row's key: the
+    number of sampled boundaries <= the key.
+
+    The boundaries are one literal ``array<struct>`` (data, not code) and the
+    search is a fixed-depth binary search (``aggregate`` over
+    ``sequence(1, depth)``), so the expression stays the same size for any
+    number of blocks."""
     n = _blocks(df, num_blocks)
     enc = [_encode(df, k) for k in keys]
     if n <= 1:
@@ -115,6 +108,7 @@ def block_of(df: DataFrame, keys: Sequence[str], num_blocks: int | None = None)
     m = SAMPLES_PER_BLOCK * n
     sample = (df.select(*[F.expr(e).alias(f"_k{i}") for i, e in enumerate(enc)])
               .withColumn("_u", F.rand(SAMPLE_SEED)).orderBy("_u").limit(m).drop("_u"))
+    types = [f.dataType.simpleString() for f in sample.schema.fields]
     keys_seen = sorted((tuple(r) for r in sample.collect()), key=_sort_key)
     if not keys_seen:
         return F.lit(0)
@@ -124,14 +118,24 @@ def block_of(df: DataFrame, keys: Sequence[str], num_blocks: int | None = None)
         if not bounds or _sort_key(b) > _sort_key(bounds[-1]):
             bounds.append(b)
 
-    def build(lo: int, hi: int) -> str:
-        if lo == hi:
-            return str(lo)
-        mid = (lo + hi) // 2
-        return f"CASE WHEN {_less(enc, bounds[mid])} THEN {build(lo, mid)} ELSE {build(mid + 1, hi)} END"
-
+    def field(i, v):
+        val = "NULL" if v is None else _lit(v)
+        return f"'k{i}', CAST({val} AS {types[i]})"
+
+    key = "named_struct(" + ", ".join(f"'k{i}', CAST({e} AS {types[i]})" for i, e in enumerate(enc)) + ")"
+    arr = "array(" + ", ".join("named_struct(" + ", ".join(field(i, v) for i, v in enumerate(b)) + ")"
+                               for b in bounds) + ")"
+    depth = max(1, math.ceil(math.log2(len(bounds) + 1)) + 1)
+    m_b = len(bounds)
+    sql = (
+        f"aggregate(sequence(1, {depth}), named_struct('lo', 0, 'hi', {m_b}), (acc, s) -> "
+        f"IF(acc.lo < acc.hi, "
+        f"IF({key} < element_at({arr}, CAST((acc.lo + acc.hi) div 2 + 1 AS INT)), "
+        f"named_struct('lo', acc.lo, 'hi', CAST((acc.lo + acc.hi) div 2 AS INT)), "
+        f"named_struct('lo', CAST((acc.lo + acc.hi) div 2 + 1 AS INT), 'hi', acc.hi)), acc)).lo"
+    )
     # A single parsed expression (one driver->JVM call, whatever the size).
-    return F.expr(f"CAST({build(0, len(bounds))} AS INT)")
+    return F.expr(f"CAST({sql} AS INT)")
 
 
 def with_group_ordinal(
