@@ -53,9 +53,10 @@ def learn_by_key(df: DataFrame, key: str, order: Sequence[str], vec: str, reward
     is used). Output: ``key, *keep, arm_idx, ucb, reward``."""
     order = list(order)
     keep = [c for c in keep if c != key]
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cols = [key, *keep, *[c for c in order if c not in keep and c != key], vec, rewards]
-    src = df.select(*cols).repartition(n, key).sortWithinPartitions(key, *order)
+    src = df.select(*cols)
+    src = (src.repartition(num_partitions, key) if num_partitions else src.repartition(key))
+    src = src.sortWithinPartitions(key, *order)
     schema = T.StructType([df.schema[key], *[df.schema[c] for c in keep],
                            T.StructField("arm_idx", T.IntegerType()), T.StructField("ucb", T.DoubleType()),
                            T.StructField("reward", T.DoubleType())])
@@ -93,60 +94,6 @@ def learn_by_key(df: DataFrame, key: str, order: Sequence[str], vec: str, reward
     return src.mapInPandas(run, schema)
 
 
-def fold_batch(decisions: DataFrame, vec: str, reward: str, order: Sequence[str], k: int, d: int, gamma: float,
-               num_partitions: int | None = None):
-    """Discounted statistics of one batch of decisions, without ridge:
-    returns ``(n[K], A[K,d,d], b[K,d])`` where, per arm, a row followed by m
-    later rows of the same arm weighs ``gamma^m``.
-
-    Range partitions over ``order`` compute partials; partials are merged on
-    the driver in partition order (they are K*d^2 numbers each)."""
-    order = list(order)
-    n_part = num_partitions or int(decisions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    src = (decisions.select(*order, "arm_idx", vec, reward)
-           .repartitionByRange(n_part, *order).sortWithinPartitions(*order)
-           .withColumn("_blk", F.spark_partition_id()))
-    schema = "blk int, arm_idx int, n long, a array<double>, b array<double>"
-
-    def partial(it):
-        import pandas as pd
-        acc = {}
-        for pdf in it:
-            if pdf.empty:
-                continue
-            blk = int(pdf["_blk"].iloc[0])
-            for arm, sub in pdf.groupby("arm_idx", sort=False):
-                x = np.vstack(sub[vec].to_numpy()).astype(np.float64).reshape(len(sub), d)
-                r = sub[reward].to_numpy(dtype=np.float64)
-                m = len(sub)
-                w = gamma ** np.arange(m - 1, -1, -1, dtype=np.float64)
-                a_new = (x * w[:, None]).T @ x
-                b_new = (x * (w * r)[:, None]).sum(axis=0)
-                kk = (blk, int(arm))
-                if kk in acc:
-                    n0, a0, b0 = acc[kk]
-                    f = gamma ** m
-                    acc[kk] = (n0 + m, f * a0 + a_new, f * b0 + b_new)
-                else:
-                    acc[kk] = (m, a_new, b_new)
-        rows = [(bk, arm, n, a.ravel().tolist(), b.tolist()) for (bk, arm), (n, a, b) in acc.items()]
-        if rows:
-            yield pd.DataFrame(rows, columns=["blk", "arm_idx", "n", "a", "b"])
-
-    parts = src.mapInPandas(partial, schema).collect()
-    parts.sort(key=lambda r: r["blk"])
-    n = np.zeros(k, dtype=np.int64)
-    a = np.zeros((k, d, d))
-    b = np.zeros((k, d))
-    for r in parts:
-        i, m = r["arm_idx"], r["n"]
-        f = gamma ** m
-        a[i] = f * a[i] + np.asarray(r["a"]).reshape(d, d)
-        b[i] = f * b[i] + np.asarray(r["b"])
-        n[i] += m
-    return n, a, b
-
-
 def _fold_pass(theta, linv, alpha, gamma, k, d, vec, rewards):
     """Per-partition pass over one batch (rows grouped by block, sorted by
     order): score with the frozen state, pick arms, and fold every block's
@@ -249,7 +196,7 @@ def learn_microbatch(df: DataFrame, batch: str, order: Sequence[str], vec: str,
         model = solve(a, b)
         states[t] = (model.theta, model.chol_inv)
         part = (staged.where(F.col(batch) == F.lit(t)).select(vec, rewards, "_blk", *order)
-                .repartition(n_part, "_blk").sortWithinPartitions("_blk", *order))
+                .repartition("_blk").sortWithinPartitions("_blk", *order))
         fn = _fold_pass(model.theta, model.chol_inv, cfg.alpha, cfg.gamma, cfg.k, d, vec, rewards)
         for r in sorted(part.mapInPandas(fn, stat_schema).collect(), key=lambda r: r["blk"]):
             i, m = r["arm_idx"], int(r["n"])

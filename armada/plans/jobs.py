@@ -66,9 +66,19 @@ def prepare_vectors(questions: DataFrame, embedder_factory, sink: str, embedder:
         (F.col("embedder") == embedder) & (F.col("split") == split))
 
 
-def warm_start(train: DataFrame, vec: str, reward_cols: Sequence[str], cfg: RouterConfig, d: int):
+def vector_dim(df: DataFrame, vec: str) -> int:
+    """The common length of a vector column; fails when lengths differ."""
+    r = df.agg(F.min(F.size(vec)).alias("lo"), F.max(F.size(vec)).alias("hi")).collect()[0]
+    if r["lo"] is None or r["lo"] != r["hi"]:
+        raise ValueError(f"vectors in {vec} must all have one length, found {r['lo']}..{r['hi']}")
+    return int(r["lo"])
+
+
+def warm_start(train: DataFrame, vec: str, reward_cols: Sequence[str], cfg: RouterConfig, d: int | None = None):
     """Full-feedback warm start: one shared Gram (A does not depend on
-    rewards) and one reward sum per arm, solved once."""
+    rewards) and one reward sum per arm, solved once. ``d`` defaults to the
+    (checked) common vector length."""
+    d = d or vector_dim(train, vec)
     rows = stats.ridge_stats(train, vec, d, list(reward_cols), lam=cfg.lam).collect()
     a, b = routing.state_from_rows(rows, cfg, d)
     return routing.solve(a, b)

@@ -68,7 +68,8 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 def write_vectors(vecs: DataFrame, path: str) -> None:
     """``(embedder, split, task, part, row_id, embedding)`` partitioned by
     embedder/split/task/part; reruns overwrite their own partitions only."""
-    (vecs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (vecs.sortWithinPartitions("embedder", "split", "task", "part", "row_id")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("embedder", "split", "task", "part").parquet(path))
 
 
@@ -77,8 +78,9 @@ def write_predictions(preds: DataFrame, path: str) -> None:
     makes a rerun replace, never duplicate."""
     cols = [c for c in ("model", "split", "task", "row_id", "prompt", "ground_truth", "prediction") if c in preds.columns]
     parts = [c for c in ("model", "split", "task") if c in preds.columns]
-    (preds.select(*cols).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .option("header", True).partitionBy(*parts).csv(path))
+    order = [*parts, "row_id"] if "row_id" in cols else parts
+    (preds.select(*cols).sortWithinPartitions(*order).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").option("header", True).partitionBy(*parts).csv(path))
 
 
 def write_summary(report: DataFrame, path: str) -> None:
