@@ -18,6 +18,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,24 +30,74 @@ from armada.operators.routing import cold_start, score_contexts, solve
 from armada.session import work_dir
 
 
-def _ucb_row(a, b, x, alpha):
-    """Scores of all arms for one context (K small, d small)."""
-    k = b.shape[0]
-    out = np.empty(k)
-    for i in range(k):
-        ai = np.linalg.inv(a[i])
-        out[i] = float(ai @ b[i] @ x) + alpha * float(np.sqrt(x @ ai @ x))
-    return out
-
-
 def _pick(scores):
+    """Strict arg-max from -inf: the first arm wins ties, NaN never wins."""
     best, arm = -np.inf, -1
     for i, s in enumerate(scores):
-        if s > best:  # strict: first arm wins ties, NaN never wins
+        if s > best:
             best, arm = s, i
     return arm, best
 
 
+class ArmLearner:
+    """One learner's state: per arm ``A^-1`` and ``b``. Updates
+    ``A <- gamma A + x x^T`` keep the inverse with Sherman-Morrison
+    (O(d^2) per step, no inversion per row). For d = 1 the arithmetic is
+    plain scalar division, in the order ``theta = b / a``,
+    ``mean = theta * x``, ``var = x * x / a``."""
+
+    def __init__(self, k: int, d: int, lam: float, gamma: float, alpha: float):
+        self.k, self.d, self.gamma, self.alpha = k, d, gamma, alpha
+        if d == 1:
+            self.a = [float(lam)] * k
+            self.b = [0.0] * k
+        else:
+            self.ainv = np.repeat((np.eye(d) / lam)[None], k, axis=0)
+            self.b = np.zeros((k, d))
+
+    def scores(self, x: np.ndarray):
+        if self.d == 1:
+            xv = float(x[0])
+            return [(self.b[i] / self.a[i]) * xv + self.alpha * math.sqrt(xv * xv / self.a[i])
+                    for i in range(self.k)]
+        out = []
+        for i in range(self.k):
+            ax = self.ainv[i] @ x
+            out.append(float((self.ainv[i] @ self.b[i]) @ x) + self.alpha * math.sqrt(max(float(x @ ax), 0.0)))
+        return out
+
+    def update(self, arm: int, x: np.ndarray, r: float):
+        g = self.gamma
+        if self.d == 1:
+            xv = float(x[0])
+            self.a[arm] = g * self.a[arm] + xv * xv
+            self.b[arm] = g * self.b[arm] + r * xv
+            return
+        inv = self.ainv[arm] / g           # (gamma A)^-1
+        u = inv @ x
+        self.ainv[arm] = inv - np.outer(u, u) / (1.0 + float(x @ u))
+        self.b[arm] = g * self.b[arm] + r * x
+
+    def state(self):
+        """Dense ``(A, b)`` arrays (K, d, d) and (K, d)."""
+        if self.d == 1:
+            return (np.array(self.a, dtype=np.float64).reshape(self.k, 1, 1),
+                    np.array(self.b, dtype=np.float64).reshape(self.k, 1))
+        return np.linalg.inv(self.ainv), np.array(self.b)
+
+    @classmethod
+    def from_state(cls, a, b, gamma: float, alpha: float):
+        k, d = np.asarray(b).shape
+        obj = cls(k, d, 1.0, gamma, alpha)
+        if d == 1:
+            obj.a = [float(v) for v in np.asarray(a).reshape(k)]
+            obj.b = [float(v) for v in np.asarray(b).reshape(k)]
+        else:
+            obj.ainv = np.linalg.inv(np.asarray(a, dtype=np.float64))
+            obj.b = np.asarray(b, dtype=np.float64).copy()
+        return obj
+
+
 def learn_by_key(df: DataFrame, key: str, order: Sequence[str], vec: str, rewards: str, cfg: RouterConfig, d: int,
                  keep: Sequence[str] = (), num_partitions: int | None = None) -> DataFrame:
     """Exact per-key LinUCB with discounting. ``vec``: array<double> context;
@@ -64,7 +116,7 @@ def learn_by_key(df: DataFrame, key: str, order: Sequence[str], vec: str, reward
 
     def run(it):
         import pandas as pd
-        cur, a, b = object(), None, None
+        cur, learner = object(), None
         for pdf in it:
             if pdf.empty:
                 continue
@@ -77,13 +129,11 @@ def learn_by_key(df: DataFrame, key: str, order: Sequence[str], vec: str, reward
             for t in range(len(pdf)):
                 if keys[t] != cur:
                     cur = keys[t]
-                    a = np.repeat((lam * np.eye(d))[None], k, axis=0)
-                    b = np.zeros((k, d))
+                    learner = ArmLearner(k, d, lam, gamma, alpha)
                 x = np.asarray(xs[t], dtype=np.float64)
-                arm, best = _pick(_ucb_row(a, b, x, alpha))
+                arm, best = _pick(learner.scores(x))
                 r = float(rs[t][arm])
-                a[arm] = gamma * a[arm] + np.outer(x, x)
-                b[arm] = gamma * b[arm] + r * x
+                learner.update(arm, x, r)
                 arms[t], ucbs[t], rew[t] = arm, best, r
             out = pdf[[key, *keep]].copy()
             out["arm_idx"] = arms.astype("int32")

@@ -77,17 +77,22 @@ def collect_state(a_long: DataFrame, b_long: DataFrame, cfg: RouterConfig, d: in
 
 
 def state_from_rows(rows, cfg: RouterConfig, d: int):
-    """Dense state from collected ``ridge_stats`` rows with one shared Gram
-    (``i, j, a``) and per-arm reward sums ``b0..b{K-1}`` on the diagonal."""
+    """Dense state from ``ridge_stats`` output with one shared Gram
+    (``i, j, a``) and per-arm reward sums ``b0..b{K-1}`` on the diagonal.
+    ``rows`` is a pandas DataFrame (Arrow transfer) or a list of Rows."""
+    import pandas as pd
     a, b = cold_start(cfg, d)
-    if rows:
+    pdf = rows if isinstance(rows, pd.DataFrame) else pd.DataFrame([r.asDict() for r in rows])
+    if len(pdf):
+        i = pdf["i"].to_numpy(dtype=np.int64)
+        j = pdf["j"].to_numpy(dtype=np.int64)
         m = np.zeros((d, d))
-        for r in rows:
-            m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["a"]
-            if r["i"] == r["j"]:
-                for k in range(cfg.k):
-                    b[k, r["i"]] = r[f"b{k}"] or 0.0
+        m[i, j] = pdf["a"].to_numpy(dtype=np.float64)
+        m[j, i] = pdf["a"].to_numpy(dtype=np.float64)
         a[:] = m
+        diag = pdf[i == j]
+        for k in range(cfg.k):
+            b[k, diag["i"].to_numpy(dtype=np.int64)] = diag[f"b{k}"].fillna(0.0).to_numpy(dtype=np.float64)
     return a, b
 
 

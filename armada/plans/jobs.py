@@ -79,7 +79,8 @@ def warm_start(train: DataFrame, vec: str, reward_cols: Sequence[str], cfg: Rout
     rewards) and one reward sum per arm, solved once. ``d`` defaults to the
     (checked) common vector length."""
     d = d or vector_dim(train, vec)
-    rows = stats.ridge_stats(train, vec, d, list(reward_cols), lam=cfg.lam).collect()
+    # K*d^2 numbers (the model), fetched as Arrow batches.
+    rows = stats.ridge_stats(train, vec, d, list(reward_cols), lam=cfg.lam).toPandas()
     a, b = routing.state_from_rows(rows, cfg, d)
     return routing.solve(a, b)
 

@@ -46,25 +46,26 @@ def learn_by_key_stream(stream: DataFrame, key: str, order: Sequence[str], vec:
 
     def step(key_tuple, pdfs, state):
         import pandas as pd
-        from armada.operators.online import _pick, _ucb_row
+        from armada.operators.online import ArmLearner, _pick
         if state.exists:
             sa, sb = state.get
-            a = np.asarray(sa, dtype=np.float64).reshape(k, d, d)
-            b = np.asarray(sb, dtype=np.float64).reshape(k, d)
+            learner = ArmLearner.from_state(np.asarray(sa, dtype=np.float64).reshape(k, d, d),
+                                            np.asarray(sb, dtype=np.float64).reshape(k, d), gamma, alpha)
         else:
-            a = np.repeat((lam * np.eye(d))[None], k, axis=0)
-            b = np.zeros((k, d))
+            learner = ArmLearner(k, d, lam, gamma, alpha)
+        # The key's rows of this micro-batch (bounded by the trigger size),
+        # in order; rows of later micro-batches are learnt later.
         rows = pd.concat(list(pdfs), ignore_index=True).sort_values(order, kind="stable")
         arms, ucbs, rews = [], [], []
         for x, rw in zip(rows[vec].to_numpy(), rows[rewards].to_numpy()):
             x = np.asarray(x, dtype=np.float64)
-            arm, best = _pick(_ucb_row(a, b, x, alpha))
+            arm, best = _pick(learner.scores(x))
             r = float(rw[arm])
-            a[arm] = gamma * a[arm] + np.outer(x, x)
-            b[arm] = gamma * b[arm] + r * x
+            learner.update(arm, x, r)
             arms.append(arm)
             ucbs.append(best)
             rews.append(r)
+        a, b = learner.state()
         state.update((a.ravel().tolist(), b.ravel().tolist()))
         out = rows[[key, *keep]].copy()
         out["arm_idx"] = np.asarray(arms, dtype="int32")

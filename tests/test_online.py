@@ -63,3 +63,20 @@ def test_microbatch_equals_loop(spark):
     got = learn_microbatch(df, "day", ["ts", "event_id"], "x", "rewards", CFG, 1, keep=["event_id"],
                            run_name="test_microbatch").collect()
     assert {r["event_id"]: r["arm_idx"] for r in got} == want
+
+
+def test_sherman_morrison_learner_matches_inverse():
+    from armada.operators.online import ArmLearner, _pick
+    rng = np.random.default_rng(11)
+    fast = ArmLearner(3, 4, 1.5, 0.95, 0.7)
+    ref = SeqLinUCB(3, 4, 0.7, 1.5, 0.95)
+    for _ in range(300):
+        x = rng.normal(size=4)
+        s1, s2 = fast.scores(x), ref.scores(x)
+        assert np.allclose(s1, s2, rtol=1e-9, atol=1e-9)
+        arm, _ = _pick(s1)
+        r = float(rng.random())
+        fast.update(arm, x, r)
+        ref.update(arm, x, r)
+    a, b = fast.state()
+    assert np.allclose(a, np.array(ref.a), rtol=1e-8) and np.allclose(b, np.array(ref.b))
