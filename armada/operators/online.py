@@ -144,27 +144,39 @@ def learn_by_key(df: DataFrame, key: str, order: Sequence[str], vec: str, reward
     return src.mapInPandas(run, schema)
 
 
-def _fold_pass(theta, linv, alpha, gamma, k, d, vec, rewards):
-    """Per-partition pass over one batch (rows grouped by block, sorted by
-    order): score with the frozen state, pick arms, and fold every block's
-    discounted statistics. Emits one small row per (block, arm)."""
+def _fold_pass(theta, linv, alpha, gamma, k, d, vec, rewards, order=(), piece_cols=("_blk",)):
+    """Per-partition pass over one batch: score with the frozen state, pick
+    arms, and fold the discounted statistics of every piece (rows sharing
+    ``piece_cols``, which arrive contiguously and in ``order``). Emits one
+    small row per (piece, arm). When ``order`` is given the pass checks that
+    every piece really arrives sorted and fails otherwise."""
     from armada.operators.routing import ArmModel, _scores, choose
+    piece_cols = list(piece_cols)
+    order = list(order)
 
     def run(it):
         import pandas as pd
         model = ArmModel(theta=theta, chol_inv=linv, a=None, b=None)
         acc = {}
+        last = {}
         for pdf in it:
             if pdf.empty:
                 continue
             x = np.vstack(pdf[vec].to_numpy()).astype(np.float64).reshape(len(pdf), d)
             idx, _ = choose(_scores(x, model, alpha))
             rw = np.array([r[i] if i >= 0 else np.nan for r, i in zip(pdf[rewards].to_numpy(), idx)], dtype=np.float64)
-            blks = pdf["_blk"].to_numpy()
-            for blk in np.unique(blks):
-                in_blk = blks == blk
+            pkey = list(pdf[piece_cols].itertuples(index=False, name=None))
+            pkeys = pd.Series(pkey)
+            for piece in pkeys.unique():
+                in_p = (pkeys == piece).to_numpy()
+                if order:
+                    ok = pdf.loc[in_p, order]
+                    if not pd.MultiIndex.from_frame(ok).is_monotonic_increasing or (
+                            piece in last and tuple(ok.iloc[0]) < last[piece]):
+                        raise RuntimeError(f"rows of piece {piece} are not in order")
+                    last[piece] = tuple(ok.iloc[-1])
                 for arm in range(k):
-                    sel = in_blk & (idx == arm)
+                    sel = in_p & (idx == arm)
                     m = int(sel.sum())
                     if m == 0:
                         continue
@@ -172,7 +184,7 @@ def _fold_pass(theta, linv, alpha, gamma, k, d, vec, rewards):
                     w = gamma ** np.arange(m - 1, -1, -1, dtype=np.float64)
                     a_new = (xs * w[:, None]).T @ xs
                     b_new = (xs * (w * rs)[:, None]).sum(axis=0)
-                    key = (int(blk), arm)
+                    key = (piece, arm)
                     if key in acc:
                         n0, a0, b0 = acc[key]
                         f = gamma ** m
@@ -180,8 +192,12 @@ def _fold_pass(theta, linv, alpha, gamma, k, d, vec, rewards):
                     else:
                         acc[key] = (m, a_new, b_new)
         if acc:
-            yield pd.DataFrame([{"blk": blk, "arm_idx": arm, "n": n, "a": a.ravel().tolist(), "b": b.tolist()}
-                                for (blk, arm), (n, a, b) in acc.items()])
+            rows = []
+            for (piece, arm), (n, a, b) in acc.items():
+                row = dict(zip(piece_cols, piece))
+                row.update({"arm_idx": arm, "n": n, "a": a.ravel().tolist(), "b": b.tolist()})
+                rows.append(row)
+            yield pd.DataFrame(rows)[[*piece_cols, "arm_idx", "n", "a", "b"]]
 
     return run
 
@@ -219,10 +235,11 @@ def learn_microbatch(df: DataFrame, batch: str, order: Sequence[str], vec: str,
     partitioned by batch, after one range partitioning on ``(batch, order)``
     that tags every row with its range block (blocks are contiguous in row
     order; written once, so every later reader sees the same tags). Each
-    step reads one batch partition (pruned), groups rows by block, sorts them
-    by ``order`` and makes one pass that scores rows with the frozen state and
-    folds each block's discounted statistics; only those statistics (K*d^2
-    numbers per block) reach the driver, where they are merged in block
+    step reads one batch partition (pruned) and, without a shuffle, makes one
+    pass that scores rows with the frozen state and folds the discounted
+    statistics of every piece (block, file, split) - the rows of a piece
+    arrive in order, which the pass checks; only those statistics (K*d^2
+    numbers per piece) reach the driver, where they are merged in piece
     order, i.e. row order. The decisions are one lazy pass over all batches
     with every batch's frozen state (K*d^2 numbers per batch) - the same
     row-local scoring as in the steps, so the same arms."""
@@ -240,15 +257,23 @@ def learn_microbatch(df: DataFrame, batch: str, order: Sequence[str], vec: str,
     staged = spark.read.parquet(inp).withColumn(batch, F.col(batch).cast(batch_type))
     batches = [r[0] for r in staged.select(batch).distinct().orderBy(batch).collect()]
     a, b = state if state is not None else cold_start(cfg, d)
-    stat_schema = "blk int, arm_idx int, n long, a array<double>, b array<double>"
     states = {}
+    # Pieces: a staged file holds one block's rows of one batch, written in
+    # order by one task; a large file is read as several splits, ordered by
+    # their offset. So (block, file, split offset) orders the pieces and no
+    # shuffle is needed per step.
+    piece_cols = ["_blk", "_file", "_start"]
+    stat_schema = "_blk int, _file string, _start long, arm_idx int, n long, a array<double>, b array<double>"
     for t in batches:
         model = solve(a, b)
         states[t] = (model.theta, model.chol_inv)
-        part = (staged.where(F.col(batch) == F.lit(t)).select(vec, rewards, "_blk", *order)
-                .repartition("_blk").sortWithinPartitions("_blk", *order))
-        fn = _fold_pass(model.theta, model.chol_inv, cfg.alpha, cfg.gamma, cfg.k, d, vec, rewards)
-        for r in sorted(part.mapInPandas(fn, stat_schema).collect(), key=lambda r: r["blk"]):
+        part = staged.where(F.col(batch) == F.lit(t)).select(
+            vec, rewards, *order, "_blk", F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_start"))
+        fn = _fold_pass(model.theta, model.chol_inv, cfg.alpha, cfg.gamma, cfg.k, d, vec, rewards,
+                        order=order, piece_cols=piece_cols)
+        pieces = part.mapInPandas(fn, stat_schema).collect()
+        for r in sorted(pieces, key=lambda r: (r["_blk"], r["_file"], r["_start"])):
             i, m = r["arm_idx"], int(r["n"])
             f = cfg.gamma ** m
             a[i] = f * a[i] + np.asarray(r["a"]).reshape(d, d)

@@ -109,10 +109,15 @@ def microbatch_learner(state_dir: str, out_dir: str, order: Sequence[str], vec:
         dec = score_contexts(staged, vec, model, cfg.alpha, keep=list(dict.fromkeys([*keep, rewards])))
         dec = dec.withColumn("reward", F.element_at(rewards, F.col("arm_idx") + 1)).drop(rewards)
         dec.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
-        part = staged.repartition(n_part, "_blk").sortWithinPartitions("_blk", *order)
-        fn = _fold_pass(model.theta, model.chol_inv, cfg.alpha, cfg.gamma, cfg.k, d, vec, rewards)
-        stats = part.mapInPandas(fn, "blk int, arm_idx int, n long, a array<double>, b array<double>").collect()
-        for r in sorted(stats, key=lambda r: r["blk"]):
+        # Each staged file holds one range block in order: fold per
+        # (block, file, split) without a shuffle, merge in that order.
+        part = staged.select(vec, rewards, *order, "_blk", F.col("_metadata.file_path").alias("_file"),
+                             F.col("_metadata.file_block_start").alias("_start"))
+        fn = _fold_pass(model.theta, model.chol_inv, cfg.alpha, cfg.gamma, cfg.k, d, vec, rewards,
+                        order=order, piece_cols=["_blk", "_file", "_start"])
+        schema = "_blk int, _file string, _start long, arm_idx int, n long, a array<double>, b array<double>"
+        stats = part.mapInPandas(fn, schema).collect()
+        for r in sorted(stats, key=lambda r: (r["_blk"], r["_file"], r["_start"])):
             i, m = r["arm_idx"], int(r["n"])
             f = cfg.gamma ** m
             a[i] = f * a[i] + np.asarray(r["a"]).reshape(d, d)
