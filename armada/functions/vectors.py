@@ -42,3 +42,14 @@ def block_sums(vec, blocks: int) -> Column:
         return lambda x, i: F.when(i % blocks == k, x.cast("double")).otherwise(F.lit(0.0))
 
     return F.array(*[F.aggregate(F.transform(v, pick(k)), F.lit(0.0), lambda acc, y: acc + y) for k in range(blocks)])
+
+
+def poly_features(vec, degree: int) -> Column:
+    """Element-wise polynomial feature map ``[x, x^2, ..., x^degree]``
+    (doubles), e.g. to give a linear router curvature."""
+    x = as_double_array(vec)
+
+    def power(p):
+        return lambda v: F.pow(v, F.lit(float(p)))
+
+    return F.concat(x, *[F.transform(x, power(p)) for p in range(2, degree + 1)])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from armada import config as C
 from armada.config import RouterConfig
 from armada.functions.text import instruct_prompt, mc_prompt, parse_answer, parse_list_literal, strip_echo
-from armada.functions.vectors import as_double_array, l2_norm
+from armada.functions.vectors import as_double_array, l2_norm, poly_features
 from armada.operators import grading, inference, online, policy, routing, sampling, stats
 from armada.operators.ordinal import with_group_ordinal
 from armada.plans import jobs
@@ -330,6 +330,15 @@ def q32_embed_documents(spark, sf):
     return ex.select("doc_id", F.col("bucket").cast("int"), _r(F.col("weight")).alias("weight"))
 
 
+def q33_gram_poly3(spark, sf):
+    """Gram of the 192-d cubic feature map of the training contexts: d > 128,
+    so the per-partition numpy plan runs (no d^2 explode per row)."""
+    split = _router_split(spark, sf, ROUTE_CFG, two_d=False)
+    train = split.where(F.col("split") == "train").select(poly_features("embedding", 3).alias("z"))
+    a = stats.gram(train, "z", 3 * 64, lam=ROUTE_CFG.lam)
+    return a.select("i", "j", _r(F.col("a")).alias("a"))
+
+
 QUERIES = {name: fn for name, fn in sorted(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}
 
 

@@ -414,3 +414,16 @@ counts AS (
          count(*) AS cnt
   FROM toks WHERE length(t) > 0 GROUP BY ALL)
 SELECT doc_id, bucket, round(cnt / sqrt(sum(cnt * cnt) OVER (PARTITION BY doc_id)), 9) AS weight FROM counts"""
+
+SQL["q33_gram_poly3"] = f"""WITH {ctx_cte(False)},
+{ordinal_split('ctx', 'row_id', 'label', T.SPLIT_SEED, T.TRAIN_SIZE)},
+feat AS (
+  SELECT row_id, list_concat(list_concat(d, list_transform(d, lambda v: pow(v, 2.0))),
+                             list_transform(d, lambda v: pow(v, 3.0))) AS z
+  FROM (SELECT row_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS d
+        FROM split_rows WHERE split = 'train')),
+el AS (SELECT row_id, unnest(z) AS x, generate_subscripts(z, 1) - 1 AS i FROM feat),
+pairs AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS s FROM el a JOIN el b ON a.row_id = b.row_id AND b.i >= a.i
+          GROUP BY a.i, b.i)
+SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j,
+       round(s + CASE WHEN i = j THEN {dbl(CFG.lam)} ELSE 0.0 END, 9) AS a FROM pairs"""
