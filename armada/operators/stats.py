@@ -13,9 +13,9 @@ Two plans for the Gram part:
 * d <= ``EXPLODE_MAX_D``: nested ``posexplode`` inside the row (no join, no
   Python) and a partial + final ``sum`` by ``(i, j)``; a hot arm is fine
   because the partial aggregate combines map-side.
-* larger d: every partition computes its own ``X^T W X`` with numpy in
-  ``mapInPandas`` (one BLAS call per batch) and emits the upper triangle;
-  a ``groupBy`` on ``(i, j)`` spreads the reduction over many reducers.
+* larger d: a bounded number of tasks each compute ``X^T W X`` with numpy
+  (one BLAS call per Arrow batch) and ship it as upper-triangle tiles; a
+  streaming sum per tile key spreads the reduction over many reducers.
 """
 
 from __future__ import annotations
@@ -81,13 +81,30 @@ def ridge_stats(df: DataFrame, vec, d: int, reward_cols: Sequence = (), lam: flo
         *[f"b{k}" for k in range(kk)])
 
 
-def _gram_tiles(base: DataFrame, d: int, group: list, kk: int = 0) -> DataFrame:
-    """Partition-local ``X^T W X`` (and ``X^T W R``) with numpy, emitted as
-    the upper triangle and reduced by ``(group, i, j)`` across reducers."""
+def _gram_tiles(base: DataFrame, d: int, group: list, kk: int = 0, max_partials: int | None = None) -> DataFrame:
+    """Large-d plan.
+
+    1. Every task computes ``X^T W X`` (and ``X^T W R``) of its rows with one
+       BLAS call per Arrow batch. The input is coalesced (no shuffle) to at
+       most ``max_partials`` tasks (default: the cluster's parallelism), so
+       the partials, d^2 numbers each, stay few whatever the row count.
+    2. Partials travel as TILE x TILE tiles of the upper triangle (arrays,
+       not cells), hash-partitioned by tile key.
+    3. A streaming numpy sum per tile key: a task keeps one accumulator per
+       tile it owns, never a group's rows. The summed tiles are emitted as
+       ``(group, i, j, _s, b0..)`` cells (j >= i), i.e. the model's size."""
+    spark = base.sparkSession
+    limit = max_partials or spark.sparkContext.defaultParallelism
+    if base.rdd.getNumPartitions() > limit:
+        base = base.coalesce(limit)
+    nt = (d + TILE - 1) // TILE
     gfields = [base.schema[g] for g in group]
-    out_schema = T.StructType(gfields + [
+    tile_schema = T.StructType(gfields + [
+        T.StructField("ti", T.IntegerType()), T.StructField("tj", T.IntegerType()),
+        T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("bv", T.ArrayType(T.DoubleType()))])
+    cell_schema = T.StructType(gfields + [
         T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()),
-        T.StructField("_s", T.DoubleType())] + [T.StructField(f"_b{k}", T.DoubleType()) for k in range(kk)])
+        T.StructField("_s", T.DoubleType())] + [T.StructField(f"b{k}", T.DoubleType()) for k in range(kk)])
     rnames = [f"_r{k}" for k in range(kk)]
 
     def partial(it):
@@ -102,27 +119,56 @@ def _gram_tiles(base: DataFrame, d: int, group: list, kk: int = 0) -> DataFrame:
                 x = np.vstack(sub["_x"].to_numpy()).astype(np.float64)
                 wx = x * sub["_w"].to_numpy()[:, None]
                 m = wx.T @ x
-                bm = wx.T @ sub[rnames].to_numpy(dtype=np.float64) if kk else np.zeros((x.shape[1], 0))
+                bm = wx.T @ sub[rnames].to_numpy(dtype=np.float64) if kk else None
                 if k in acc:
-                    acc[k] = (acc[k][0] + m, acc[k][1] + bm)
+                    acc[k] = (acc[k][0] + m, None if bm is None else acc[k][1] + bm)
                 else:
                     acc[k] = (m, bm)
-        iu, ju = np.triu_indices(d)
         for k, (m, bm) in acc.items():
-            for lo in range(0, len(iu), TILE * TILE):
-                sl = slice(lo, lo + TILE * TILE)
-                ii, jj = iu[sl], ju[sl]
-                part = pd.DataFrame({"i": ii.astype("int32"), "j": jj.astype("int32"), "_s": m[ii, jj]})
+            for ti in range(nt):
+                rows = []
+                for tj in range(ti, nt):
+                    tile = m[ti * TILE:(ti + 1) * TILE, tj * TILE:(tj + 1) * TILE]
+                    bv = bm[ti * TILE:(ti + 1) * TILE].ravel() if (bm is not None and ti == tj) else None
+                    rows.append((*k, ti, tj, tile.ravel(), bv))
+                yield pd.DataFrame(rows, columns=group + ["ti", "tj", "v", "bv"])
+
+    def reduce(it):
+        import pandas as pd
+        acc = {}
+        for pdf in it:
+            for row in pdf.itertuples(index=False, name=None):
+                *g, ti, tj, v, bv = row
+                key = (*g, ti, tj)
+                v = np.asarray(v, dtype=np.float64)
+                bv = None if bv is None else np.asarray(bv, dtype=np.float64)
+                if key in acc:
+                    a0, b0 = acc[key]
+                    acc[key] = (a0 + v, b0 if bv is None else (bv if b0 is None else b0 + bv))
+                else:
+                    acc[key] = (v, bv)
+        for key, (v, bv) in acc.items():
+            *g, ti, tj = key
+            h = min(TILE, d - ti * TILE)
+            w = min(TILE, d - tj * TILE)
+            ii, jj = np.meshgrid(np.arange(h) + ti * TILE, np.arange(w) + tj * TILE, indexing="ij")
+            keep = (jj >= ii).ravel()
+            out = pd.DataFrame({"i": ii.ravel()[keep].astype("int32"), "j": jj.ravel()[keep].astype("int32"),
+                                "_s": v.reshape(h, w).ravel()[keep]})
+            if kk:
+                bmat = bv.reshape(h, kk) if bv is not None else None
+                diag = (out["i"] == out["j"]).to_numpy()
                 for r in range(kk):
-                    part[f"_b{r}"] = np.where(ii == jj, bm[ii, r], np.nan)
-                for g, v in zip(group, k):
-                    part[g] = v
-                yield part[group + ["i", "j", "_s"] + [f"_b{r}" for r in range(kk)]]
-
-    part = base.mapInPandas(partial, out_schema)
-    return part.groupBy(*group, "i", "j").agg(
-        F.sum("_s").alias("_s"), *[F.sum(F.when(F.col("i") == F.col("j"), F.col(f"_b{r}"))).alias(f"b{r}")
-                                   for r in range(kk)])
+                    col = np.full(len(out), np.nan)
+                    if bmat is not None:
+                        col[diag] = bmat[out["i"].to_numpy()[diag] - ti * TILE, r]
+                    out[f"b{r}"] = col
+            for name, val in zip(group, g):
+                out[name] = val
+            yield out[group + ["i", "j", "_s"] + [f"b{r}" for r in range(kk)]]
+
+    tiles = base.mapInPandas(partial, tile_schema)
+    return tiles.repartition(*group, "ti", "tj").mapInPandas(reduce, cell_schema)
 
 
 def reward_sums(df: DataFrame, vec, reward, group: Sequence[str] = (), weight=None) -> DataFrame:

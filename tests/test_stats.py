@@ -73,3 +73,21 @@ def test_merge_is_associative():
     left = merge(merge(parts[0], parts[1]), parts[2])
     right = merge(parts[0], merge(parts[1], parts[2]))
     assert np.allclose(left[0], right[0]) and np.allclose(left[1], right[1])
+
+
+def test_tiled_plan_across_tile_edges(spark):
+    from armada.operators.stats import ridge_stats
+    rng = np.random.default_rng(4)
+    n, d = 120, 300
+    x = rng.normal(size=(n, d))
+    r = rng.random(size=(n, 2))
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], float(r[i, 0]), float(r[i, 1])) for i in range(n)],
+                               "i long, x array<double>, r0 double, r1 double").repartition(5)
+    pdf = ridge_stats(df, "x", d, ["r0", "r1"], lam=0.5).toPandas()
+    assert len(pdf) == d * (d + 1) // 2
+    m = np.zeros((d, d))
+    m[pdf.i, pdf.j] = pdf.a
+    want = 0.5 * np.eye(d) + x.T @ x
+    assert np.allclose(np.triu(m), np.triu(want), atol=1e-8)
+    diag = pdf[pdf.i == pdf.j].sort_values("i")
+    assert np.allclose(diag.b0, (x * r[:, :1]).sum(axis=0)) and np.allclose(diag.b1, (x * r[:, 1:]).sum(axis=0))
