@@ -22,8 +22,11 @@ from armada.config import RouterConfig
 
 @dataclass
 class ArmModel:
-    """Solved state: ``theta`` (K, d); ``chol_inv`` (K, d, d) lower-triangular
-    inverse Cholesky factors (``x^T A^-1 x = ||chol_inv @ x||^2``)."""
+    """Solved state: ``theta`` (K, d) and ``chol_inv`` = ``(factors, factor_of)``:
+    the distinct inverse Cholesky factors L^-1 (U, d, d) with
+    ``x^T A^-1 x = ||L^-1 x||^2``, and the factor index of every arm (K,).
+    Arms sharing one Gram (warm start) share one factor. ``chol_inv`` may
+    be None when only means are needed (alpha = 0)."""
 
     theta: np.ndarray
     chol_inv: np.ndarray
@@ -97,20 +100,30 @@ def state_from_rows(rows, cfg: RouterConfig, d: int):
 
 
 def solve(a: np.ndarray, b: np.ndarray) -> ArmModel:
-    """``theta_k = A_k^-1 b_k`` by Cholesky, once per state version."""
+    """``theta_k = A_k^-1 b_k`` by Cholesky, once per state version; equal
+    matrices are factorised once."""
     k, d = b.shape
     theta = np.empty((k, d))
-    linv = np.empty((k, d, d))
-    cache = {}
+    factors, factor_of, seen = [], np.empty(k, dtype=np.int64), {}
     for i in range(k):
         key = a[i].tobytes()
-        if key not in cache:
+        if key not in seen:
             lo = np.linalg.cholesky(a[i])
-            cache[key] = np.linalg.solve(lo, np.eye(d))
-        linv[i] = cache[key]
-        y = linv[i] @ b[i]
-        theta[i] = linv[i].T @ y
-    return ArmModel(theta=theta, chol_inv=linv, a=a, b=b)
+            seen[key] = len(factors)
+            factors.append(np.linalg.solve(lo, np.eye(d)))
+        factor_of[i] = seen[key]
+        li = factors[factor_of[i]]
+        theta[i] = li.T @ (li @ b[i])
+    return ArmModel(theta=theta, chol_inv=(np.stack(factors), factor_of), a=a, b=b)
+
+
+def _factor_set(model: ArmModel):
+    ci = model.chol_inv
+    if ci is None:
+        return None, None
+    if isinstance(ci, tuple):
+        return ci
+    return ci, np.arange(len(ci))
 
 
 def _scores(x: np.ndarray, model: ArmModel, alpha: float) -> np.ndarray:
@@ -126,15 +139,12 @@ def _scores(x: np.ndarray, model: ArmModel, alpha: float) -> np.ndarray:
         mean = x @ model.theta.T
     if alpha == 0.0:
         return mean
-    unc = np.empty_like(mean)
-    done = {}
-    for i in range(k):
-        key = model.chol_inv[i].tobytes()
-        if key not in done:
-            li = model.chol_inv[i]
-            z = np.stack([np.sum(x * li[r], axis=1) for r in range(d)], axis=1) if rowwise else x @ li.T
-            done[key] = np.sqrt(np.sum(z * z, axis=1))
-        unc[:, i] = done[key]
+    factors, factor_of = _factor_set(model)
+    unc_of = []
+    for li in factors:
+        z = np.stack([np.sum(x * li[r], axis=1) for r in range(d)], axis=1) if rowwise else x @ li.T
+        unc_of.append(np.sqrt(np.sum(z * z, axis=1)))
+    unc = np.stack([unc_of[factor_of[i]] for i in range(k)], axis=1)
     return mean + alpha * unc
 
 
@@ -162,7 +172,8 @@ def score_contexts(df: DataFrame, vec: str, model: ArmModel, alpha: float, keep:
     if with_scores:
         fields.append(T.StructField("scores", T.ArrayType(T.DoubleType())))
     schema = T.StructType(fields)
-    theta, linv = model.theta, model.chol_inv
+    theta = model.theta
+    linv = model.chol_inv if alpha != 0.0 else None   # means only: ship no factors
     d = model.d
 
     def run(it):
