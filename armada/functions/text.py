@@ -53,10 +53,10 @@ def task_words(task) -> Column:
     return F.replace(_col(task), F.lit("_"), F.lit(" "))
 
 
-def instruct_prompt(task, question, choices) -> Column:
+def instruct_prompt(task, question, choices, strict: bool = False) -> Column:
     """Instruction prompt for embedding. Choices are printed as ``A). text``
     without stripping; more than four choices gives NULL (the caller flags
-    the row as rejected)."""
+    the row as rejected), or fails the job when ``strict``."""
     choices = _col(choices)
     lines = F.array_join(
         F.transform(choices, lambda c, i: F.concat(_letter(i), F.lit("). "), c, F.lit("\n"))), ""
@@ -65,7 +65,11 @@ def instruct_prompt(task, question, choices) -> Column:
         F.lit(C.INSTRUCT_HEAD), task_words(task), F.lit(C.INSTRUCT_MID), _col(question),
         F.lit(C.INSTRUCT_CHOICES), lines,
     )
-    return F.when(F.size(choices) <= len(C.INSTRUCT_LETTERS), text)
+    ok = F.size(choices) <= len(C.INSTRUCT_LETTERS)
+    if strict:
+        return F.when(ok, text).otherwise(
+            F.raise_error(F.lit("a question has more than four choices")).cast("string"))
+    return F.when(ok, text)
 
 
 def python_list_literal(arr) -> Column:
@@ -108,3 +112,37 @@ def answer_letter(answer) -> Column:
 def short_model_name(model_id) -> Column:
     """Text after the last ``/``."""
     return F.substring_index(_col(model_id), "/", -1)
+
+
+def literal_list_exact(s) -> Column:
+    """Slow path of ``parse_list_literal`` for rows the JVM reader rejects
+    (tuples, ``None`` items, ``\\x`` escapes): Python ``ast.literal_eval``
+    in an Arrow-batched pandas UDF. Items become strings (``None`` stays
+    NULL); anything that is not a list or tuple gives NULL. Apply it only to
+    the rejected rows (e.g. ``where(parse_list_literal(c).isNull())``)."""
+    global _literal_list_udf
+    if _literal_list_udf is None:
+        _literal_list_udf = F.pandas_udf(_literal_list_eval, "array<string>")
+    return _literal_list_udf(_col(s))
+
+
+def _literal_list_eval(series):
+    import ast
+
+    import pandas as pd
+
+    def one(v):
+        if v is None:
+            return None
+        try:
+            out = ast.literal_eval(v)
+        except (ValueError, SyntaxError, MemoryError, RecursionError):
+            return None
+        if not isinstance(out, (list, tuple)):
+            return None
+        return [None if x is None else str(x) for x in out]
+
+    return pd.Series([one(v) for v in series])
+
+
+_literal_list_udf = None

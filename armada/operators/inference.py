@@ -18,8 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def set_batch_rows(spark, batch_rows: int | None) -> None:
+    """Rows per Arrow batch handed to the batch functions (the model's batch
+    size). A session setting, read when the job runs."""
+    if batch_rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(int(batch_rows)))
+
+
 def score_prompts(df: DataFrame, scorer_factory: Callable[[], Callable], prompt: str = "prompt",
-                  keep: Sequence[str] = ("row_id",)) -> DataFrame:
+                  keep: Sequence[str] = ("row_id",), batch_rows: int | None = None) -> DataFrame:
     """Generated text for every prompt.
 
     ``scorer_factory()`` is called once per Python worker and returns
@@ -30,6 +37,7 @@ def score_prompts(df: DataFrame, scorer_factory: Callable[[], Callable], prompt:
     exception fails the whole batch (every row becomes None -> ``ERROR``).
     Adds ``generated_text`` and ``latency_sec`` (the batch's wall time shared
     equally by its rows). Batch size: ``spark.sql.execution.arrow.maxRecordsPerBatch``."""
+    set_batch_rows(df.sparkSession, batch_rows)
     keep = [c for c in keep if c != prompt]
     schema = T.StructType([df.schema[c] for c in keep] + [
         df.schema[prompt], T.StructField("generated_text", T.StringType()),
@@ -78,11 +86,13 @@ def offline_scorer_factory(model_col: str = "model", key_col: str = "row_id", pr
 
 
 def embed_text(df: DataFrame, embedder_factory: Callable[[], Callable[[list], np.ndarray]], text: str = "prompt",
-               keep: Sequence[str] = ("row_id",), out: str = "embedding", dtype: str = "float") -> DataFrame:
+               keep: Sequence[str] = ("row_id",), out: str = "embedding", dtype: str = "float",
+               batch_rows: int | None = None) -> DataFrame:
     """Dense vector per text from a caller-supplied batch embedder
     (``list[str] -> ndarray (n, d)``), built once per Python worker. Row
     keys replace positions. Whole texts are passed; any length limit is the
     embedder's own."""
+    set_batch_rows(df.sparkSession, batch_rows)
     keep = list(keep)
     elem = T.FloatType() if dtype == "float" else T.DoubleType()
     np_type = np.float32 if dtype == "float" else np.float64

@@ -75,3 +75,14 @@ def test_small_helpers(spark):
     assert one(spark, short_model_name("m"), "m string", "google/gemma-2-2b-it") == "gemma-2-2b-it"
     assert one(spark, task_words("t"), "t string", "a_b_c") == "a b c"
     assert one(spark, strip_echo("g", "p"), "g string, p string", "PROMPT then B", "PROMPT") == " then B"
+
+
+def test_literal_fallback_and_strict(spark):
+    import pytest
+    from armada.functions.text import literal_list_exact
+    df = spark.createDataFrame([("('a', 'b')",), ("['a', None]",), ("['\\x41']",), ("not a list",), (None,)], "s string")
+    got = [r["r"] for r in df.select(literal_list_exact("s").alias("r")).collect()]
+    assert got == [["a", "b"], ["a", None], ["A"], None, None]
+    with pytest.raises(Exception, match="more than four"):
+        spark.createDataFrame([("t", "q", list("abcde"))], "t string, q string, c array<string>").select(
+            instruct_prompt("t", "q", "c", strict=True)).collect()
