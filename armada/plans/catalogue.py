@@ -304,13 +304,15 @@ def q29_chosen_label(spark, sf):
 
 
 def q30_assemble_vectors(spark, sf):
-    emb = tables.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    # Per-vector summaries are computed before the cut, so the shuffles of
+    # the two ordinals carry two numbers per row instead of the vectors.
+    emb = tables.table(spark, sf, "embeddings").select(
+        "vec_id", F.size("embedding").cast("int").alias("dim"), _r(l2_norm("embedding")).alias("l2"))
     cut = sampling.four_way_cut(emb, [], ["vec_id"])
     parts = [cut.where(F.col("part") == k) for k in (1, 2, 3, 4)]
     whole = reduce(DataFrame.unionByName, parts)
     pos = with_group_ordinal(whole, [], ["part", "vec_id"], name="_ord")
-    return pos.select("vec_id", "part", (F.col("_ord") - 1).alias("pos"), F.size("embedding").cast("int").alias("dim"),
-                      _r(l2_norm("embedding")).alias("l2"))
+    return pos.select("vec_id", "part", (F.col("_ord") - 1).alias("pos"), "dim", "l2")
 
 
 def q31_scored_responses(spark, sf):
