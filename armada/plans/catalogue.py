@@ -18,7 +18,7 @@ from armada.operators import grading, inference, online, policy, routing, sampli
 from armada.operators.ordinal import with_group_ordinal
 from armada.plans import jobs
 from armada.sources import registry, tables
-from armada.session import materialize
+from armada.session import materialize, work_dir
 from armada.sources.files import pending_work
 
 R = 9  # rounding of doubles in query outputs
@@ -174,10 +174,16 @@ def _routed(spark, sf, two_d: bool, cfg: RouterConfig = ROUTE_CFG, with_scores=F
 
 
 def _outcomes(spark, sf, two_d: bool, cfg: RouterConfig = ROUTE_CFG):
-    dec, split = _routed(spark, sf, two_d, cfg)
-    labels = policy.labels_long(split.where(F.col("split") == "validation").select("row_id", *cfg.arms),
-                                "row_id", cfg.arms)
-    return policy.attach_outcome(dec.select("row_id", "arm_idx", "ucb"), labels, routing.arms_frame(spark, cfg), "row_id")
+    """Decisions on the validation split with the chosen arm's correctness
+    (looked up in the row's own label columns: no second pass over the
+    split) and price (J7, broadcast K-row catalogue)."""
+    split = _router_split(spark, sf, cfg, two_d)
+    model = _warm_model(split, cfg, 2 if two_d else 64)
+    val = split.where(F.col("split") == "validation")
+    dec = routing.score_contexts(val, "x", model, cfg.alpha, keep=["row_id", *cfg.arms])
+    dec = dec.withColumn("correct", F.element_at(F.array(*cfg.arms), F.col("arm_idx") + 1).cast("int"))
+    arms = F.broadcast(routing.arms_frame(spark, cfg).select("arm_idx", "arm", "price"))
+    return dec.select("row_id", "arm_idx", "ucb", "correct").join(arms, ["arm_idx"], "left")
 
 
 def q14_gram(spark, sf):
@@ -300,17 +306,26 @@ def q28_normalised_price(spark, sf):
 
 
 def q29_chosen_label(spark, sf):
-    return _outcomes(spark, sf, True).select("row_id", "arm_idx", "correct")
+    # J6 as an equi-join on (row_id, arm_idx) against a long label table
+    # scanned on its own (as when labels are stored apart from decisions).
+    dec, _ = _routed(spark, sf, True)
+    labels = policy.labels_long(tables.contexts(spark, sf, ROUTE_CFG), "row_id", ROUTE_CFG.arms)
+    out = policy.attach_outcome(dec.select("row_id", "arm_idx", "ucb"), labels,
+                                routing.arms_frame(spark, ROUTE_CFG), "row_id")
+    return out.select("row_id", "arm_idx", "correct")
 
 
 def q30_assemble_vectors(spark, sf):
-    # Per-vector summaries are computed before the cut, so the shuffles of
-    # the two ordinals carry two numbers per row instead of the vectors.
+    # Per-vector summaries are computed before the cut, so shuffles carry two
+    # numbers per row. The four parts go through the per-part sink layout
+    # (one job writes every part) and the concatenation is the directory
+    # read of all parts.
     emb = tables.table(spark, sf, "embeddings").select(
         "vec_id", F.size("embedding").cast("int").alias("dim"), _r(l2_norm("embedding")).alias("l2"))
     cut = sampling.four_way_cut(emb, [], ["vec_id"])
-    parts = [cut.where(F.col("part") == k) for k in (1, 2, 3, 4)]
-    whole = reduce(DataFrame.unionByName, parts)
+    path = work_dir(spark, f"q30_parts_{_sf_tag(sf)}")
+    cut.write.mode("overwrite").partitionBy("part").parquet(path)
+    whole = spark.read.parquet(path).withColumn("part", F.col("part").cast("int"))
     pos = with_group_ordinal(whole, [], ["part", "vec_id"], name="_ord")
     return pos.select("vec_id", "part", (F.col("_ord") - 1).alias("pos"), "dim", "l2")
 
