@@ -111,23 +111,31 @@ def embed_text(df: DataFrame, embedder_factory: Callable[[], Callable[[list], np
     return df.select(*dict.fromkeys([*keep, text])).mapInPandas(run, schema)
 
 
-def hashing_embedder_factory(d: int):
+def hashing_embedder_factory(d: int, cache_size: int = 1 << 20):
     """Offline embedder: L2-normalised hashed bag of words (tokens split on
     ASCII whitespace, bucket = first 16 bits of md5 mod d), vectorised per
-    batch with numpy. Same vectors as ``hash_embedding``."""
+    batch with numpy; each distinct token is hashed once per worker (bounded
+    cache). Same vectors as ``hash_embedding``."""
     def factory():
         import hashlib
         import re
         split = re.compile(r"[ \t\n\r\x0b\x0c]+")
+        cache = {}
+
+        def bucket(w):
+            b = cache.get(w)
+            if b is None:
+                if len(cache) >= cache_size:
+                    cache.clear()
+                b = cache[w] = int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % d
+            return b
 
         def fn(texts):
             m = np.zeros((len(texts), d))
             for row, t in enumerate(texts):
-                toks = [w for w in split.split(t or "") if w]
-                if not toks:
-                    continue
-                idx = [int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % d for w in toks]
-                m[row] = np.bincount(idx, minlength=d)
+                idx = [bucket(w) for w in split.split(t or "") if w]
+                if idx:
+                    m[row] = np.bincount(idx, minlength=d)
             norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
             return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
         return fn
