@@ -71,3 +71,13 @@ def test_repeats_equal(spark):
     r = Q.q26_repeat_mean(spark, SF).collect()[0]
     m = Q.q21_policy_eval(spark, SF).collect()[0]
     assert r["runs"] == 3 and abs(r["mean_accuracy"] - m["accuracy"]) < 1e-9
+
+
+def test_choose_from_long_rules(spark):
+    from armada.operators.routing import choose_from_long
+    rows = [(1, 0, 0.5), (1, 1, 0.5), (1, 2, 0.1),          # tie -> first arm
+            (2, 0, float("nan")), (2, 1, -3.0),             # NaN never wins
+            (3, 0, float("nan")), (3, 1, None)]             # nothing to choose
+    df = spark.createDataFrame(rows, "row_id long, arm_idx int, ucb double")
+    got = {r["row_id"]: (r["arm_idx"], r["ucb"]) for r in choose_from_long(df, "row_id").collect()}
+    assert got == {1: (0, 0.5), 2: (1, -3.0)}

@@ -62,3 +62,16 @@ def test_ordinal_property(spark, rows):
         ks = sorted(k for gg, k in rows if gg == g)
         want += [(g, k, i + 1) for i, k in enumerate(ks)]
     assert got == sorted(want)
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.integers(0, 4), min_size=1, max_size=80), st.sampled_from([0.1, 0.25, 0.5, 0.75]))
+def test_fraction_sample_sizes_property(spark, groups, frac):
+    rows = [(g, i) for i, g in enumerate(groups)]
+    df = spark.createDataFrame(rows, "g int, i long")
+    got = {}
+    for r in fraction_sample(df, frac, "g", "i").collect():
+        got[r["g"]] = got.get(r["g"], 0) + 1
+    for g in set(groups):
+        want = round(frac * groups.count(g))          # Python rounds half to even
+        assert got.get(g, 0) == want

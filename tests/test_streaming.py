@@ -86,3 +86,32 @@ def test_frozen_scoring_and_running_metrics_stream(spark, scratch):
     n = pq.read_table(f"{SF}/events.parquet").num_rows
     assert len(rows) == 1 and rows[0]["arm_idx"] == 0 and rows[0]["n"] == n   # cold start: first arm
     assert abs(rows[0]["running_price"] - n) < 1e-9
+
+
+def test_keyed_stream_restart_from_checkpoint(spark, scratch):
+    """Stop after the first file, restart on the same checkpoint when the
+    second file arrives: the restored per-key state continues the loop."""
+    t = pq.read_table(f"{SF}/events.parquet").to_pandas().sort_values(["ts", "event_id"])
+    cut = t.ts.min() + (t.ts.max() - t.ts.min()) / 2
+    d = f"{scratch}/in"
+    os.makedirs(d)
+    t[t.ts <= cut].to_parquet(f"{d}/part-0.parquet", index=False)
+    sink, ck = f"{scratch}/out", f"{scratch}/ck"
+
+    def run_once():
+        out = learn_by_key_stream(_stream(spark, d), "user_id", ["ts", "event_id"], "x", "rewards", CFG, 1,
+                                  keep=["event_id"])
+        q = (out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ck)
+             .outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination()
+
+    run_once()
+    first = spark.read.parquet(sink).count()
+    assert first == int((t.ts <= cut).sum())
+    time.sleep(1.1)
+    t[t.ts > cut].to_parquet(f"{d}/part-1.parquet", index=False)
+    run_once()
+    got = {r["event_id"]: r["arm_idx"] for r in spark.read.parquet(sink).collect()}
+    want = {r["event_id"]: r["arm_idx"] for r in learn_by_key(
+        user_events(spark, SF), "user_id", ["ts", "event_id"], "x", "rewards", CFG, 1, keep=["event_id"]).collect()}
+    assert got == want
