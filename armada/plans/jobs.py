@@ -26,7 +26,8 @@ from armada.sources import files
 
 
 def evaluate(prompts: DataFrame, models: Sequence[str], scorer_factory, split: str = "test",
-             subset_ratio: float = 1.0, seed: int = 42, expected_tasks: DataFrame | None = None):
+             subset_ratio: float = 1.0, seed: int = 42, expected_tasks: DataFrame | None = None,
+             batch_rows: int | None = None):
     """Evaluate ``models`` on a prompt table ``(task, row_id, prompt, answer)``.
 
     Returns ``(report, graded)``: the report has one row per expected
@@ -40,7 +41,8 @@ def evaluate(prompts: DataFrame, models: Sequence[str], scorer_factory, split: s
                          F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
     # The answer rides along with its prompt through the scorer: responses
     # stay paired by construction, no join re-reads the prompt texts.
-    resp = inference.score_prompts(req, scorer_factory, keep=["model", "task", "row_id", "answer"])
+    resp = inference.score_prompts(req, scorer_factory, keep=["model", "task", "row_id", "answer"],
+                                   batch_rows=batch_rows)
     graded = grading.grade(resp).withColumn("split", F.lit(split))
     summary = grading.accuracy(graded, ["model", "task"])
     tasks = expected_tasks if expected_tasks is not None else prompts.select("task").distinct()
