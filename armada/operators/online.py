@@ -227,7 +227,7 @@ def _decide_pass(states, batch, alpha, d, vec, rewards, keep):
 
 def learn_microbatch(df: DataFrame, batch: str, order: Sequence[str], vec: str, rewards: str, cfg: RouterConfig,
                      d: int, keep: Sequence[str] = (), state=None, num_partitions: int | None = None,
-                     run_name: str = "microbatch") -> DataFrame:
+                     run_name: str = "microbatch", max_step_bytes: int = 1 << 30) -> DataFrame:
     """Global learner updated after every batch. Returns the decisions
     ``(batch, *keep, arm_idx, ucb, reward)``.
 
@@ -242,12 +242,17 @@ def learn_microbatch(df: DataFrame, batch: str, order: Sequence[str], vec: str,
     numbers per piece) reach the driver, where they are merged in piece
     order, i.e. row order. The decisions are one lazy pass over all batches
     with every batch's frozen state (K*d^2 numbers per batch) - the same
-    row-local scoring as in the steps, so the same arms."""
+    row-local scoring as in the steps, so the same arms. The number of
+    staging blocks is capped so that one step's partial statistics stay
+    under ``max_step_bytes``."""
     spark = df.sparkSession
     base = work_dir(spark, run_name)
     order = list(order)
     keep = list(dict.fromkeys([*keep, *order]))
     n_part = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Each piece sends K*d^2 numbers to the driver per step: keep the pieces
+    # few enough for the byte budget (with large d a piece covers more rows).
+    n_part = max(1, min(n_part, max_step_bytes // max(1, 8 * cfg.k * (d * d + d))))
     inp = f"{base}/input"
     cols = list(dict.fromkeys([batch, *keep, vec, rewards]))
     batch_type = df.schema[batch].dataType

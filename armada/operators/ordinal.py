@@ -5,9 +5,10 @@ group to one task; a group holding a third of the data would then be sorted
 by a single core. The operators here cut the key space ``(group, order)``
 into blocks of bounded size instead:
 
-1. A seeded random sample of the keys (key columns only; one job, a
-   per-partition top-m by a random tag) is collected - its size is set by
-   the number of blocks, not by the data - and sorted; its quantiles become
+1. A seeded random sample of the keys (key columns only) is collected - its
+   size is set by the number of blocks, not by the data (a merged
+   per-partition top-m by a random tag when partitions x m is small, else a
+   Bernoulli sample sized from a count) - and sorted; its quantiles become
    block boundaries. They are written into the plan as one array literal,
    so ``block`` is a pure function of a row's key (a binary search of depth
    log2(#blocks)). Every consumer and every retried task computes
@@ -34,6 +35,9 @@ from pyspark.sql import types as T
 
 SAMPLES_PER_BLOCK = 32
 SAMPLE_SEED = 7
+# Above this many rows (input partitions x sample size) the key sample is
+# drawn as a Bernoulli sample instead of a merged per-partition top-m.
+TOP_M_MAX_ROWS = 4_000_000
 
 
 def _names(cols) -> list:
@@ -103,11 +107,17 @@ def block_of(df: DataFrame, keys: Sequence[str], num_blocks: int | None = None)
     enc = [_encode(df, k) for k in keys]
     if n <= 1:
         return F.lit(0)
-    # One job: the m keys with the smallest seeded random tag form a uniform
-    # sample (per-partition top-m, then a merge of n_partitions * m rows).
     m = SAMPLES_PER_BLOCK * n
-    sample = (df.select(*[F.expr(e).alias(f"_k{i}") for i, e in enumerate(enc)])
-              .withColumn("_u", F.rand(SAMPLE_SEED)).orderBy("_u").limit(m).drop("_u"))
+    keys_df = df.select(*[F.expr(e).alias(f"_k{i}") for i, e in enumerate(enc)])
+    if keys_df.rdd.getNumPartitions() * m <= TOP_M_MAX_ROWS:
+        # One job: the m keys with the smallest seeded random tag are a
+        # uniform sample (per-partition top-m, merged: partitions * m rows).
+        sample = keys_df.withColumn("_u", F.rand(SAMPLE_SEED)).orderBy("_u").limit(m).drop("_u")
+    else:
+        # Many partitions: a Bernoulli sample sized from a count, so about m
+        # rows in total reach the driver whatever the partition count.
+        total = keys_df.count()
+        sample = keys_df.sample(False, min(1.0, m / max(total, 1)), SAMPLE_SEED)
     types = [f.dataType.simpleString() for f in sample.schema.fields]
     keys_seen = sorted((tuple(r) for r in sample.collect()), key=_sort_key)
     if not keys_seen:

@@ -75,3 +75,14 @@ def test_fraction_sample_sizes_property(spark, groups, frac):
     for g in set(groups):
         want = round(frac * groups.count(g))          # Python rounds half to even
         assert got.get(g, 0) == want
+
+
+def test_ordinal_bernoulli_sample_path(spark, monkeypatch):
+    import armada.operators.ordinal as O
+    monkeypatch.setattr(O, "TOP_M_MAX_ROWS", 0)          # force the many-partition path
+    rows = [(i % 3, i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "g int, k long").repartition(16)
+    got = {(r["g"], r["k"]): r["o"] for r in O.with_group_ordinal(df, "g", "k", "o").collect()}
+    for g in range(3):
+        ks = sorted(k for gg, k in rows if gg == g)
+        assert [got[(g, k)] for k in ks] == list(range(1, len(ks) + 1))
