@@ -79,7 +79,7 @@ def learn_by_key_stream(stream: DataFrame, key: str, order: Sequence[str], vec:
 
 
 def microbatch_learner(state_dir: str, out_dir: str, order: Sequence[str], vec: str, rewards: str,
-                       cfg: RouterConfig, d: int, keep: Sequence[str]):
+                       cfg: RouterConfig, d: int, keep: Sequence[str], max_step_bytes: int = 1 << 30):
     """T3: a ``foreachBatch`` function for a global learner updated once per
     micro-batch. State versions live under ``state_dir/version=<batch_id>``
     (version 0 = cold start); decisions under ``out_dir/batch_id=<id>``."""
@@ -101,6 +101,8 @@ def microbatch_learner(state_dir: str, out_dir: str, order: Sequence[str], vec:
         a, b = load(spark, batch_id)
         model = solve(a, b)
         n_part = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # each staged block sends K*d^2 numbers to the driver: stay within budget
+        n_part = max(1, min(n_part, max_step_bytes // max(1, 8 * cfg.k * (d * d + d))))
         staged = (batch_df.select(*dict.fromkeys([*keep, *order, vec, rewards]))
                   .repartitionByRange(n_part, *order).sortWithinPartitions(*order)
                   .withColumn("_blk", F.spark_partition_id()))
