@@ -87,9 +87,11 @@ def _lit(v) -> str:
     if isinstance(v, int):
         return f"{v}L"
     if isinstance(v, float):
-        if math.isnan(v) or math.isinf(v):
-            return f"CAST('{v!r}' AS DOUBLE)".replace("inf", "Infinity").replace("nan", "NaN")
-        return f"{v!r}D"
+        if math.isnan(v):
+            return "CAST('NaN' AS DOUBLE)"
+        if math.isinf(v):
+            return "CAST('Infinity' AS DOUBLE)" if v > 0 else "CAST('-Infinity' AS DOUBLE)"
+        return f"CAST('{v!r}' AS DOUBLE)"
     if isinstance(v, str):
         return f"CAST(X'{v.encode('utf-8').hex()}' AS STRING)"
     raise TypeError(f"unsupported key value {v!r}")

@@ -86,3 +86,13 @@ def test_ordinal_bernoulli_sample_path(spark, monkeypatch):
     for g in range(3):
         ks = sorted(k for gg, k in rows if gg == g)
         assert [got[(g, k)] for k in ks] == list(range(1, len(ks) + 1))
+
+
+def test_ordinal_double_keys_extremes(spark):
+    vals = [1e-300, -2.5e-12, 3.0, float("inf"), -float("inf"), 7.25e+200, 0.0, -0.5, 1e-05, 123456.789]
+    rows = [(i % 2, v, i) for i, v in enumerate(vals * 20)]
+    df = spark.createDataFrame(rows, "g int, v double, i long")
+    got = {(r["g"], r["i"]): r["o"] for r in with_group_ordinal(df, "g", ["v", "i"], "o", num_blocks=16).collect()}
+    for g in (0, 1):
+        mine = sorted((v, i) for gg, v, i in rows if gg == g)
+        assert [got[(g, i)] for _, i in mine] == list(range(1, len(mine) + 1))
