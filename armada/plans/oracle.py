@@ -427,3 +427,51 @@ pairs AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS s FROM el a JOIN el b ON a.row
           GROUP BY a.i, b.i)
 SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j,
        round(s + CASE WHEN i = j THEN {dbl(CFG.lam)} ELSE 0.0 END, 9) AS a FROM pairs"""
+
+
+def _route64_sql() -> str:
+    d, k = 64, CFG.k
+    lam = dbl(CFG.lam)
+    bcols = " UNION ALL ".join(
+        f"SELECT i AS r, {d + j} AS c, sum(rw{j} * x) AS v FROM el GROUP BY i" for j in range(k))
+    corr = ", ".join(f"c{j}" for j in range(k))
+    return f"""
+WITH RECURSIVE {ctx_cte(False)},
+{ordinal_split('ctx', 'row_id', 'label', T.SPLIT_SEED, T.TRAIN_SIZE)},
+el AS (SELECT row_id, {", ".join(f"rw{j}" for j in range(k))}, CAST(unnest(embedding) AS DOUBLE) AS x,
+              generate_subscripts(embedding, 1) - 1 AS i FROM split_rows WHERE split = 'train'),
+val AS (SELECT row_id, embedding, {corr}, row_number() OVER (ORDER BY row_id) - 1 AS vi
+        FROM split_rows WHERE split = 'validation'),
+vel AS (SELECT row_id, vi, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS i
+        FROM val),
+aug AS (
+  SELECT a.i AS r, b.i AS c, sum(a.x * b.x) + CASE WHEN a.i = b.i THEN {lam} ELSE 0.0 END AS v
+  FROM el a JOIN el b USING (row_id) GROUP BY a.i, b.i
+  UNION ALL {bcols}
+  UNION ALL SELECT i AS r, {d + k} + vi AS c, x AS v FROM vel),
+gj(s, r, c, v) AS (
+  SELECT 0, r, c, v FROM aug
+  UNION ALL
+  SELECT s + 1, r, c, CASE WHEN r = s THEN v / piv ELSE v - rf * pr / piv END
+  FROM (SELECT s, r, c, v,
+               max(CASE WHEN r = s AND c = s THEN v END) OVER () AS piv,
+               max(CASE WHEN c = s THEN v END) OVER (PARTITION BY r) AS rf,
+               max(CASE WHEN r = s THEN v END) OVER (PARTITION BY c) AS pr
+        FROM gj WHERE s < {d}) t),
+sol AS (SELECT r, c, v FROM gj WHERE s = {d}),
+theta AS (SELECT c - {d} AS arm_idx, r AS i, v AS t FROM sol WHERE c >= {d} AND c < {d + k}),
+ainvx AS (SELECT c - {d + k} AS vi, r AS i, v AS z FROM sol WHERE c >= {d + k}),
+mean AS (SELECT e.row_id, th.arm_idx, sum(th.t * e.x) AS m FROM vel e JOIN theta th USING (i)
+         GROUP BY e.row_id, th.arm_idx),
+var AS (SELECT e.row_id, sum(e.x * z.z) AS q FROM vel e JOIN ainvx z ON z.vi = e.vi AND z.i = e.i GROUP BY e.row_id),
+scores AS (SELECT m.row_id, m.arm_idx, m.m + {dbl(CFG.alpha)} * sqrt(var.q) AS ucb FROM mean m JOIN var USING (row_id)),
+chosen AS (SELECT row_id, arm_idx, ucb FROM (
+             SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY ucb DESC, arm_idx) AS rk FROM scores) WHERE rk = 1),
+outcomes AS (
+  SELECT c.row_id, c.arm_idx, a.arm, c.ucb,
+         CASE c.arm_idx {" ".join(f"WHEN {j} THEN v.c{j}" for j in range(k))} END AS correct, a.price
+  FROM chosen c JOIN val v USING (row_id) LEFT JOIN {ARMS} a USING (arm_idx))
+SELECT row_id, CAST(arm_idx AS INTEGER) AS arm_idx, arm, round(ucb, 6) AS ucb, correct, price FROM outcomes"""
+
+
+SQL["q20_route_64d"] = _route64_sql()
