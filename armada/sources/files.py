@@ -80,7 +80,8 @@ def write_predictions(preds: DataFrame, path: str) -> None:
     parts = [c for c in ("model", "split", "task") if c in preds.columns]
     order = [*parts, "row_id"] if "row_id" in cols else parts
     (preds.select(*cols).sortWithinPartitions(*order).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").option("header", True).partitionBy(*parts).csv(path))
+     .option("partitionOverwriteMode", "dynamic").option("header", True).option("escape", '"')
+     .partitionBy(*parts).csv(path))
 
 
 def write_summary(report: DataFrame, path: str) -> None:
@@ -88,7 +89,7 @@ def write_summary(report: DataFrame, path: str) -> None:
     from armada.operators.grading import format_summary
     out = format_summary(report)
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True)
-     .partitionBy("model", "split").csv(path))
+     .option("escape", '"').partitionBy("model", "split").csv(path))
 
 
 def pending_work(todo: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
