@@ -57,7 +57,7 @@ def cmd_evaluate(spark, a) -> None:
     known = dict(C.MODEL_REGISTRY)
     for n in names:
         if n not in known:
-            raise ValueError(f"Model {n} not supported")
+            raise ValueError(C.UNKNOWN_MODEL_ERROR.format(n))
     per_task = a.split == "test"
     path = f"{a.prompts}/{a.split}/" + ("*_prompts.csv" if per_task else "prompts.csv")
     prompts = files.read_prompt_files(spark, path, per_task=per_task)
@@ -81,7 +81,7 @@ def cmd_embed(spark, a) -> None:
     from armada.sources import files
 
     if a.miscellaneous_train_part is not None and a.split != "auxiliary_train":
-        raise ValueError("miscellaneous_train_part is only supported for auxiliary_train split")
+        raise ValueError(C.PART_SPLIT_ERROR)
     q = files.read_question_files(spark, a.questions, a.split).select("task", "row_id", "question", "choices")
     factory = _factory(a.embedder, hashing_embedder_factory(a.dim))
     vecs = prepare_vectors(q, factory, a.out, a.model.split("/")[-1], a.split,
@@ -136,7 +136,7 @@ def cmd_route(spark, a) -> None:
         print(f"run {run}: accuracy {m['accuracy']:.4f}, price per 10000 {m['price_per_10k']:.2f}")
     acc = sum(r[0] for r in results) / len(results)
     price = sum(r[1] for r in results) / len(results)
-    print(f"Total Accuracy: {acc:.4f}, Total Price: {price:.2f}")
+    print(C.ROUTE_SUMMARY_FORMAT.format(acc=acc, price=price))
 
 
 def parser() -> argparse.ArgumentParser:

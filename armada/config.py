@@ -30,6 +30,12 @@ ANSWER_PATTERN = r"\b([A-D])\b"
 
 # Error text of an evaluation that produced no rows.
 EMPTY_EVAL_ERROR = "No examples processed. Check your model and GPU configuration."
+# Error text for a model name outside the registry ({} = the name).
+UNKNOWN_MODEL_ERROR = "Model {} not supported"
+# Error text for a four-way part requested outside the training split.
+PART_SPLIT_ERROR = "miscellaneous_train_part is only supported for auxiliary_train split"
+# Final routing line: mean accuracy and mean price per 10 000 questions.
+ROUTE_SUMMARY_FORMAT = "Total Accuracy: {acc:.4f}, Total Price: {price:.2f}"
 
 # Short model name -> model id.
 MODEL_REGISTRY = [

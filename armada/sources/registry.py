@@ -29,5 +29,6 @@ def resolve_models(df: DataFrame, names_col: str, strict: bool = True) -> DataFr
         out = out.withColumn(
             "model_id",
             F.when(F.col("model_id").isNotNull(), F.col("model_id")).otherwise(
-                F.raise_error(F.concat(F.lit("Model "), F.col("model"), F.lit(" not supported"))).cast("string")))
+                F.raise_error(F.format_string(C.UNKNOWN_MODEL_ERROR.replace("{}", "%s"), F.col("model")))
+                .cast("string")))
     return out.withColumn("model_name", short_model_name("model_id"))
