@@ -94,8 +94,7 @@ def cmd_embed(spark, a) -> None:
 def cmd_route(spark, a) -> None:
     from armada.operators import policy, routing
     from armada.operators.online import learn_microbatch
-    from armada.operators.ordinal import with_group_ordinal
-    from armada.operators.sampling import seeded_order
+    from armada.operators.sampling import permutation_order
     from armada.plans.jobs import vector_dim, warm_start
 
     cfg = RouterConfig(alpha=a.alpha, lam=a.lambda_reg, gamma=a.gamma, p=a.p)
@@ -119,8 +118,7 @@ def cmd_route(spark, a) -> None:
             dec = routing.score_contexts(test, "embedding", model, cfg.alpha, keep=["row_id", *cfg.arms])
             rew = dec
         else:
-            ordered = with_group_ordinal(test.withColumn("_h", seeded_order("row_id", f"run{run}")), [],
-                                         ["_h", "row_id"], name="seq")
+            ordered = permutation_order(test, "row_id", f"run{run}", name="seq")
             ordered = ordered.withColumn("_batch", F.floor((F.col("seq") - 1) / a.update_batch_rows).cast("long"))
             ordered = ordered.withColumn("_rewards", F.array(*[
                 F.col(arm).cast("double") - F.lit(cfg.p * norm[k]) for k, arm in enumerate(cfg.arms)]))

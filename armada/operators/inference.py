@@ -169,9 +169,3 @@ def last_token_pool(tokens: DataFrame, key: str, pos: str, mask: str, hidden: st
     rule; a sequence with no unmasked position has no output row."""
     return tokens.where(F.col(mask) == 1).groupBy(key).agg(
         F.max(pos).alias("pooled_pos"), F.max_by(hidden, pos).alias("pooled"))
-
-
-def vector_slice_parts(df: DataFrame, group, order, part: int | None = None) -> DataFrame:
-    """Four-way positional cut of a vector table (one job, parts as a column)."""
-    from armada.operators.sampling import four_way_cut
-    return four_way_cut(df, group, order, part)

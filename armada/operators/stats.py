@@ -216,15 +216,6 @@ def merge_discounted(old_a: np.ndarray, old_b: np.ndarray, new_a: np.ndarray, ne
     return f * old_a + new_a, f * old_b + new_b
 
 
-def upper_to_dense(rows, d: int, key=None) -> np.ndarray:
-    """Collected ``(i, j, a)`` upper-triangle rows -> symmetric dense matrix."""
-    m = np.zeros((d, d))
-    for r in rows:
-        m[r["i"], r["j"]] = r["a"]
-        m[r["j"], r["i"]] = r["a"]
-    return m
-
-
 def reward_sums_wide(df: DataFrame, vec, reward_cols: Sequence[str]) -> DataFrame:
     """``b_k = sum r_k x`` for K reward columns at once, as ``(arm_idx, i, b)``.
     One explode, K sums per element index, partial aggregation; no join

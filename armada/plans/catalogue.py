@@ -5,12 +5,9 @@ both, so engines that add in different orders agree."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from armada import config as C
 from armada.config import RouterConfig
 from armada.functions.text import instruct_prompt, mc_prompt, parse_answer, parse_list_literal, strip_echo
 from armada.functions.vectors import as_double_array, l2_norm, poly_features

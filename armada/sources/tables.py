@@ -59,8 +59,9 @@ def responses(qs: DataFrame, models=EVAL_MODELS) -> DataFrame:
 def benchmark_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark questions: question = whole text, choices = its sentences
     (split on '. '), task = registry task ``item_id % 57``."""
+    from armada.sources.registry import tasks_frame
     b = table(spark, sf_dir, "benchmark")
-    tasks = spark.createDataFrame([(i, t) for i, t in enumerate(C.TASKS)], "task_idx int, task string")
+    tasks = tasks_frame(spark)
     items = b.select("item_id", F.col("text").alias("question"), F.split("text", r"\. ").alias("choices"),
                      (F.col("item_id") % len(C.TASKS)).cast("int").alias("task_idx"))
     return items.join(F.broadcast(tasks), ["task_idx"], "inner").drop("task_idx")
