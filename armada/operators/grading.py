@@ -32,14 +32,21 @@ def alignment_counts(responses: DataFrame, questions: DataFrame, keys: Sequence[
     )
 
 
-def grade(df: DataFrame, prompt: str = "prompt", text: str = "generated_text", answer: str = "answer") -> DataFrame:
+def grade(df: DataFrame, prompt: str = "prompt", text: str = "generated_text", answer: str = "answer",
+          prompt_len: str | None = None) -> DataFrame:
     """Add ``ground_truth``, ``prediction`` (A-D, ``NONE`` or ``ERROR``),
     ``correct`` (0/1) and ``answer_ok`` to a table of paired responses.
 
     The echoed prompt is removed by length, the first standalone A-D of the
-    rest is the prediction, a NULL response is an ``ERROR`` counted wrong."""
+    rest is the prediction, a NULL response is an ``ERROR`` counted wrong.
+    With ``prompt_len`` (the prompt's length in characters, computed before
+    pairing) the prompt text itself need not travel through the pairing join."""
     gt = answer_letter(F.col(answer))
-    parsed = parse_answer(strip_echo(F.col(text), F.col(prompt)))
+    if prompt_len:
+        rest = F.call_function("substring", F.col(text), F.col(prompt_len) + F.lit(1))
+    else:
+        rest = strip_echo(F.col(text), F.col(prompt))
+    parsed = parse_answer(rest)
     return (
         df.withColumn("ground_truth", gt)
         .withColumn("_parsed", parsed)

@@ -44,8 +44,10 @@ def _r(c, n=R):
 def _graded(spark, sf):
     qs = tables.questions(spark, sf)
     resp = tables.responses(qs.select("task", "row_id", "prompt"))
-    paired = grading.align_responses(resp, qs.select("task", "row_id", "answer", "prompt"), ["task", "row_id"])
-    return grading.grade(paired)
+    # J1 pairing by key; the question side brings the prompt's length, not its text.
+    q_side = qs.select("task", "row_id", "answer", F.length("prompt").alias("prompt_len"))
+    paired = grading.align_responses(resp, q_side, ["task", "row_id"])
+    return grading.grade(paired, prompt_len="prompt_len")
 
 
 def q01_prompt_build(spark, sf):
