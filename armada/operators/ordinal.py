@@ -214,3 +214,39 @@ def with_running_sums(
         out = out.withColumn(ordinal, F.col("_og_rn") + F.col("_og_ocnt"))
     drop = ["_og_blk", "_og_ocnt", "_og_rn"] + [c for k in tmp for c in (k, f"_og_r{k}", f"_og_o{k}")]
     return out.drop(*[c for c in drop if c in out.columns])
+
+
+BROADCAST_CUTOFF_ROWS = 1_000_000
+
+
+def group_cutoffs(keys: DataFrame, group, order, targets: DataFrame, num_blocks: int | None = None) -> DataFrame:
+    """Order values of the row at given ranks inside each group.
+
+    ``keys`` holds only the group and order columns (its shuffle carries
+    keys, never payload); ``targets`` is ``(group..., cut, rank)`` with
+    1-based ranks. Returns ``(group..., cut, <order columns as _c0, _c1...>)``
+    for targets whose rank exists in the group."""
+    group, order = _names(group), _names(order)
+    ranked = with_group_ordinal(keys.select(*group, *order), group, order, "_rank", num_blocks=num_blocks)
+    hit = ranked.join(targets, [*group], "inner").where(F.col("_rank") == F.col("rank"))
+    return hit.select(*group, "cut", *[F.col(c).alias(f"_c{i}") for i, c in enumerate(order)])
+
+
+def at_or_before(order, cut_prefix: str = "_c") -> Column:
+    """Lexicographic ``(order...) <= (cutoff...)`` against columns _c0, _c1..."""
+    order = _names(order)
+    expr = None
+    for i, c in reversed(list(enumerate(order))):
+        cc = F.col(f"{cut_prefix}{i}")
+        le, lt = F.col(c) <= cc, F.col(c) < cc
+        expr = le if expr is None else (lt | ((F.col(c) == cc) & expr))
+    return expr
+
+
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:
+    """Join a per-group table: broadcast when its measured size is within
+    ``BROADCAST_CUTOFF_ROWS`` (at most a few rows per group), else a
+    regular shuffle join."""
+    n = small.count()
+    side = F.broadcast(small) if n <= BROADCAST_CUTOFF_ROWS else small
+    return big.join(side, on, how)
