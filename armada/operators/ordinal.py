@@ -244,9 +244,13 @@ def at_or_before(order, cut_prefix: str = "_c") -> Column:
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:
-    """Join a per-group table: broadcast when its measured size is within
-    ``BROADCAST_CUTOFF_ROWS`` (at most a few rows per group), else a
-    regular shuffle join."""
-    n = small.count()
-    side = F.broadcast(small) if n <= BROADCAST_CUTOFF_ROWS else small
-    return big.join(side, on, how)
+    """Join a per-group table (a few rows per group). At most
+    ``BROADCAST_CUTOFF_ROWS + 1`` rows are fetched - that is the size check -
+    and, when within the bound, re-created locally and broadcast, so the
+    table is computed once and the big side is not shuffled. A larger table
+    is joined as it is (shuffle join)."""
+    rows = small.limit(BROADCAST_CUTOFF_ROWS + 1).collect()
+    if len(rows) > BROADCAST_CUTOFF_ROWS:
+        return big.join(small, on, how)
+    local = big.sparkSession.createDataFrame(rows, small.schema)
+    return big.join(F.broadcast(local), on, how)
