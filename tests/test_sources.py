@@ -63,3 +63,10 @@ def test_prediction_and_summary_sinks(spark, scratch):
     write_summary(rep, f"{scratch}/sum")
     r = spark.read.option("header", True).csv(f"{scratch}/sum").collect()[0]
     assert r["accuracy_text"].endswith("%") and float(r["accuracy"]) == 0.125
+
+
+def test_whole_split_prompt_file(spark, scratch):
+    _write(f"{scratch}/auxiliary_train/prompts.csv", "prompt,answer\nA,1\nB,2\nC,0\n")
+    rows = sorted((r["task"], r["row_id"], r["prompt"], r["answer"]) for r in
+                  read_prompt_files(spark, f"{scratch}/auxiliary_train/prompts.csv", per_task=False).collect())
+    assert rows == [(None, 0, "A", 1), (None, 1, "B", 2), (None, 2, "C", 0)]
