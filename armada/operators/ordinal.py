@@ -216,7 +216,7 @@ def with_running_sums(
     return out.drop(*[c for c in drop if c in out.columns])
 
 
-BROADCAST_CUTOFF_ROWS = 1_000_000
+BROADCAST_CUTOFF_ROWS = 200_000
 
 
 def group_cutoffs(keys: DataFrame, group, order, targets: DataFrame, num_blocks: int | None = None) -> DataFrame:
