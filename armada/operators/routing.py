@@ -161,12 +161,50 @@ def choose(scores: np.ndarray):
     return idx, best
 
 
+JVM_MAX_D = 16
+
+
+def _num(v: float) -> str:
+    return f"CAST('{float(v)!r}' AS DOUBLE)"
+
+
+def _jvm_scoring(df: DataFrame, vec: str, model: ArmModel, alpha: float, keep: list,
+                 with_scores: bool) -> DataFrame:
+    """Small d: the solved model is a few numbers, so scores and the arg-max
+    are one SQL expression with literal coefficients (whole-stage codegen,
+    no Python). Same rules as ``choose``: first arm wins ties, NaN never."""
+    k, d = model.theta.shape
+    q = "`" + vec.replace("`", "``") + "`"
+    x = [f"CAST({q}[{i}] AS DOUBLE)" for i in range(d)]
+    means = ["(" + " + ".join(f"{_num(model.theta[a, i])} * {x[i]}" for i in range(d)) + ")" for a in range(k)]
+    scores = means
+    if alpha != 0.0:
+        factors, factor_of = _factor_set(model)
+        unc = []
+        for li in factors:
+            rows = ["(" + " + ".join(f"{_num(li[r, c])} * {x[c]}" for c in range(d)) + ")" for r in range(d)]
+            unc.append("sqrt(" + " + ".join(f"{z} * {z}" for z in rows) + ")")
+        scores = [f"({means[a]} + {_num(alpha)} * {unc[factor_of[a]]})" for a in range(k)]
+    cand = ", ".join(f"named_struct('s', IF(isnan({sc}), NULL, {sc}), 'n', {-a})" for a, sc in enumerate(scores))
+    out = df.select(*dict.fromkeys([*keep, vec])).withColumn("_best", F.expr(f"greatest({cand})"))
+    if with_scores:
+        out = out.withColumn("scores", F.expr("array(" + ", ".join(scores) + ")"))
+    out = out.withColumn("arm_idx", F.when(F.col("_best.s").isNotNull(), -F.col("_best.n")).cast("int"))
+    out = out.withColumn("ucb", F.col("_best.s").cast("double"))
+    cols = [*keep, "arm_idx", "ucb"] + (["scores"] if with_scores else [])
+    return out.select(*cols)
+
+
 def score_contexts(df: DataFrame, vec: str, model: ArmModel, alpha: float, keep: list,
-                   with_scores: bool = False) -> DataFrame:
+                   with_scores: bool = False, engine: str = "auto") -> DataFrame:
     """Score every context against every arm and choose one arm.
 
     Adds ``arm_idx`` (int, NULL when no arm has a finite score), ``ucb``
-    (chosen score) and optionally ``scores`` (array of K doubles)."""
+    (chosen score) and optionally ``scores`` (array of K doubles).
+    ``engine``: ``jvm`` (SQL expressions, d <= JVM_MAX_D), ``numpy``
+    (Arrow batches), or ``auto``."""
+    if engine == "jvm" or (engine == "auto" and model.d <= JVM_MAX_D):
+        return _jvm_scoring(df, vec, model, alpha, list(keep), with_scores)
     fields = [df.schema[c] for c in keep] + [
         T.StructField("arm_idx", T.IntegerType()), T.StructField("ucb", T.DoubleType())]
     if with_scores:

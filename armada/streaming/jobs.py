@@ -108,7 +108,9 @@ def microbatch_learner(state_dir: str, out_dir: str, order: Sequence[str], vec:
                   .withColumn("_blk", F.spark_partition_id()))
         staged.write.mode("overwrite").parquet(f"{out_dir}/_staged/batch_id={batch_id}")
         staged = spark.read.parquet(f"{out_dir}/_staged/batch_id={batch_id}")
-        dec = score_contexts(staged, vec, model, cfg.alpha, keep=list(dict.fromkeys([*keep, rewards])))
+        # numpy scoring: the fold pass below must choose exactly the same arms
+        dec = score_contexts(staged, vec, model, cfg.alpha, keep=list(dict.fromkeys([*keep, rewards])),
+                             engine="numpy")
         dec = dec.withColumn("reward", F.element_at(rewards, F.col("arm_idx") + 1)).drop(rewards)
         dec.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
         # Each staged file holds one range block in order: fold per

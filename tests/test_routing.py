@@ -81,3 +81,25 @@ def test_choose_from_long_rules(spark):
     df = spark.createDataFrame(rows, "row_id long, arm_idx int, ucb double")
     got = {r["row_id"]: (r["arm_idx"], r["ucb"]) for r in choose_from_long(df, "row_id").collect()}
     assert got == {1: (0, 0.5), 2: (1, -3.0)}
+
+
+def test_jvm_and_numpy_scoring_agree(spark):
+    rng = np.random.default_rng(9)
+    d, k = 3, 4
+    a = np.stack([np.eye(d) * 2 + (lambda m: m @ m.T)(rng.normal(size=(d, d))) for _ in range(k)])
+    b = rng.normal(size=(k, d))
+    b[2] = b[1]
+    a[2] = a[1]                                   # arms 1 and 2 tie exactly
+    model = solve(a, b)
+    rows = [(i, [float(v) for v in rng.normal(size=d)]) for i in range(300)] + [(999, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "row_id long, x array<double>")
+    jv = {r["row_id"]: (r["arm_idx"], r["ucb"]) for r in
+          score_contexts(df, "x", model, 0.8, keep=["row_id"], engine="jvm").collect()}
+    npy = {r["row_id"]: (r["arm_idx"], r["ucb"]) for r in
+           score_contexts(df, "x", model, 0.8, keep=["row_id"], engine="numpy").collect()}
+    assert jv.keys() == npy.keys()
+    for key in jv:
+        assert jv[key][0] == npy[key][0]
+        assert abs(jv[key][1] - npy[key][1]) < 1e-9
+    assert 2 not in {v[0] for v in jv.values()}   # on the tie, arm 1 (first) always wins over arm 2
+    assert jv[999][0] == 0                          # all scores 0: first arm
