@@ -96,3 +96,14 @@ def test_ordinal_double_keys_extremes(spark):
     for g in (0, 1):
         mine = sorted((v, i) for gg, v, i in rows if gg == g)
         assert [got[(g, i)] for _, i in mine] == list(range(1, len(mine) + 1))
+
+
+def test_empty_inputs(spark):
+    empty = spark.createDataFrame([], "g string, k long")
+    assert fraction_sample(empty, 0.5, "g", "k").count() == 0
+    assert four_way_cut(empty, "g", "k").count() == 0
+    assert stratified_split(empty, "g", "k").count() == 0
+    assert with_group_ordinal(empty, "g", "k", "o").count() == 0
+    one = spark.createDataFrame([("a", 1)], "g string, k long")
+    assert [r["part"] for r in four_way_cut(one, "g", "k").collect()] == [4]
+    assert [r["split"] for r in stratified_split(one, "g", "k").collect()] == ["validation"]  # floor(0.75) = 0
