@@ -13,7 +13,7 @@ import time
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -158,8 +158,9 @@ def hash_embedding(df: DataFrame, key: str, text: str, d: int) -> DataFrame:
     carries at most d rows per text."""
     toks = df.select(key, F.explode(F.split(F.col(text), TOKEN_SPLIT)).alias("_t")).where(F.length("_t") > 0)
     counts = toks.groupBy(key, hash_bucket(F.col("_t"), d).alias("bucket")).agg(F.count(F.lit(1)).alias("cnt"))
-    norms = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("cnt") * F.col("cnt"))).alias("_norm"))
-    return counts.join(norms, [key]).withColumn("weight", F.col("cnt") / F.col("_norm")).drop("_norm")
+    # at most d rows per text: a window per text gives the norm without a join
+    norm = F.sqrt(F.sum(F.col("cnt") * F.col("cnt")).over(Window.partitionBy(key)))
+    return counts.withColumn("weight", F.col("cnt") / norm)
 
 
 def last_token_pool(tokens: DataFrame, key: str, pos: str, mask: str, hidden: str) -> DataFrame:
