@@ -80,3 +80,22 @@ def test_sherman_morrison_learner_matches_inverse():
         ref.update(arm, x, r)
     a, b = fast.state()
     assert np.allclose(a, np.array(ref.a), rtol=1e-8) and np.allclose(b, np.array(ref.b))
+
+
+def test_microbatch_with_one_row_batches_is_the_row_by_row_loop(spark):
+    """Batches of one row: the micro-batch learner is the closed loop."""
+    ev = _events().head(40)
+    ref = SeqLinUCB(2, 1, CFG.alpha, CFG.lam, CFG.gamma)
+    want = {}
+    for r in ev.itertuples():
+        x = np.array([r.x])
+        arm, _ = ref.choose(x)
+        ref.update(arm, x, r.r0 if arm == 0 else r.r1)
+        want[r.event_id] = arm
+    ids = [int(v) for v in ev.event_id]
+    # one batch per event, numbered in (ts, event_id) order
+    steps = spark.createDataFrame([(e, i) for i, e in enumerate(ids)], "event_id long, step long")
+    df = _spark_events(spark).join(steps, ["event_id"])
+    got = learn_microbatch(df, "step", ["ts", "event_id"], "x", "rewards", CFG, 1, keep=["event_id"],
+                           run_name="test_one_row_batches").collect()
+    assert {r["event_id"]: r["arm_idx"] for r in got} == want
