@@ -46,6 +46,20 @@ def _names(cols) -> list:
     return [cols] if isinstance(cols, str) else list(cols)
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where NULL matches NULL (``<=>``), keeping one
+    copy of each key column: a NULL group is a group, never dropped."""
+    keys = list(keys)
+    if not keys:
+        raise ValueError("join_keys needs at least one key")
+    r = right.select(*[F.col(k).alias(f"_jk_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(r[f"_jk_{k}"])
+        cond = c if cond is None else (cond & c)
+    return left.join(r, cond, how).drop(*[f"_jk_{k}" for k in keys])
+
+
 def _blocks(df: DataFrame, num_blocks: int | None) -> int:
     if num_blocks:
         return int(num_blocks)
@@ -207,7 +221,7 @@ def with_running_sums(
     for k in tmp:
         inner = inner.withColumn(f"_og_r{k}", F.sum(k).over(wb.rowsBetween(Window.unboundedPreceding, 0)))
 
-    out = inner.join(stats, [*group, "_og_blk"], "inner")
+    out = join_keys(inner, stats, [*group, "_og_blk"], "inner")
     for (outname, _), k in zip(values.items(), tmp):
         out = out.withColumn(outname, F.col(f"_og_r{k}") + F.col(f"_og_o{k}"))
     if ordinal:
@@ -228,7 +242,7 @@ def group_cutoffs(keys: DataFrame, group, order, targets: DataFrame, num_blocks:
     for targets whose rank exists in the group."""
     group, order = _names(group), _names(order)
     ranked = with_group_ordinal(keys.select(*group, *order), group, order, "_rank", num_blocks=num_blocks)
-    hit = ranked.join(targets, [*group], "inner").where(F.col("_rank") == F.col("rank"))
+    hit = join_keys(ranked, targets, group, "inner").where(F.col("_rank") == F.col("rank"))
     return hit.select(*group, "cut", *[F.col(c).alias(f"_c{i}") for i, c in enumerate(order)])
 
 
@@ -249,8 +263,9 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "left") -> DataF
     and, when within the bound, re-created locally and broadcast, so the
     table is computed once and the big side is not shuffled. A larger table
     is joined as it is (shuffle join)."""
+    on = [on] if isinstance(on, str) else list(on)
     rows = small.limit(BROADCAST_CUTOFF_ROWS + 1).collect()
     if len(rows) > BROADCAST_CUTOFF_ROWS:
-        return big.join(small, on, how)
+        return join_keys(big, small, on, how)
     local = big.sparkSession.createDataFrame(rows, small.schema)
-    return big.join(F.broadcast(local), on, how)
+    return join_keys(big, F.broadcast(local), on, how)

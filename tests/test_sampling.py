@@ -107,3 +107,14 @@ def test_empty_inputs(spark):
     one = spark.createDataFrame([("a", 1)], "g string, k long")
     assert [r["part"] for r in four_way_cut(one, "g", "k").collect()] == [4]
     assert [r["split"] for r in stratified_split(one, "g", "k").collect()] == ["validation"]  # floor(0.75) = 0
+
+
+def test_null_group_is_a_group(spark):
+    rows = [(None if i % 3 == 0 else "a", i) for i in range(30)]
+    df = spark.createDataFrame(rows, "g string, k long")
+    o = with_group_ordinal(df, "g", "k", "o").collect()
+    assert len(o) == 30
+    assert sorted(r["o"] for r in o if r["g"] is None) == list(range(1, 11))
+    assert fraction_sample(df, 0.5, "g", "k").where("g IS NULL").count() == 5
+    assert four_way_cut(df, "g", "k").count() == 30
+    assert stratified_split(df, "g", "k").count() == 30
