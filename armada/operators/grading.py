@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from armada import config as C
 from armada.functions.text import answer_letter, parse_answer, strip_echo
+from armada.operators.ordinal import join_keys
 
 
 def align_responses(responses: DataFrame, questions: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -16,7 +17,7 @@ def align_responses(responses: DataFrame, questions: DataFrame, keys: Sequence[s
 
     Rows are paired by key, never by position; ``alignment_counts`` reports
     rows that found no partner instead of dropping them silently."""
-    return responses.join(questions, list(keys), "inner")
+    return join_keys(responses, questions, list(keys), "inner")
 
 
 def alignment_counts(responses: DataFrame, questions: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -78,7 +79,7 @@ def run_report(summary: DataFrame, expected: DataFrame, by: Sequence[str]) -> Da
     had no rows or held an answer that cannot be graded (the whole group then
     fails, as one bad answer fails its task)."""
     by = list(by)
-    rep = expected.join(summary, by, "left")
+    rep = join_keys(expected, summary, by, "left")
     bad = F.coalesce(F.col("n_bad_answer"), F.lit(0)) > 0
     empty = F.coalesce(F.col("n"), F.lit(0)) == 0
     return (

@@ -94,7 +94,8 @@ def write_summary(report: DataFrame, path: str) -> None:
 
 def pending_work(todo: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Work units that have no output yet (left anti join)."""
-    return todo.join(done.select(*keys).distinct(), list(keys), "left_anti")
+    from armada.operators.ordinal import join_keys
+    return join_keys(todo, done.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def finished_units(spark: SparkSession, path: str) -> DataFrame:

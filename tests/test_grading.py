@@ -49,3 +49,13 @@ def test_unknown_model_fails(spark):
         resolve_models(df, "m").collect()
     ok = resolve_models(spark.createDataFrame([("llama 3B,gemma 2B",)], "m string"), "m").collect()
     assert [r["model_name"] for r in ok] == ["Llama-3.2-3B-Instruct", "gemma-2-2b-it"]
+
+
+def test_whole_split_report_with_null_task(spark):
+    rows = [("m", None, 0, "P", "P A", 0, 1.0), ("m", None, 1, "P", "P B", 0, 1.0)]
+    df = spark.createDataFrame(rows, "model string, task string, row_id long, prompt string, generated_text string, "
+                                     "answer int, latency_sec double")
+    summary = accuracy(grade(df), ["model", "task"])
+    expected = spark.createDataFrame([("m", None)], "model string, task string")
+    rep = run_report(summary, expected, ["model", "task"]).collect()
+    assert len(rep) == 1 and rep[0]["error"] is None and rep[0]["accuracy"] == 0.5 and rep[0]["n"] == 2
