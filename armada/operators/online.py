@@ -127,8 +127,10 @@ def learn_by_key(df: DataFrame, key: str, order: Sequence[str], vec: str, reward
             ucbs = np.empty(len(pdf))
             rew = np.empty(len(pdf))
             for t in range(len(pdf)):
-                if keys[t] != cur:
-                    cur = keys[t]
+                kt = keys[t]
+                same = (kt == cur) or (pd.isna(kt) and learner is not None and pd.isna(cur))
+                if not same:
+                    cur = kt
                     learner = ArmLearner(k, d, lam, gamma, alpha)
                 x = np.asarray(xs[t], dtype=np.float64)
                 arm, best = _pick(learner.scores(x))

@@ -99,3 +99,13 @@ def test_microbatch_with_one_row_batches_is_the_row_by_row_loop(spark):
     got = learn_microbatch(df, "step", ["ts", "event_id"], "x", "rewards", CFG, 1, keep=["event_id"],
                            run_name="test_one_row_batches").collect()
     assert {r["event_id"]: r["arm_idx"] for r in got} == want
+
+
+def test_learn_by_key_null_key_is_one_learner(spark):
+    rows = [(None, i, [0.5], [1.0, 0.0]) for i in range(6)]
+    df = spark.createDataFrame(rows, "user_id long, t long, x array<double>, rewards array<double>")
+    with_null = learn_by_key(df, "user_id", ["t"], "x", "rewards", CFG, 1, keep=["t"]).orderBy("t").collect()
+    keyed = learn_by_key(df.fillna({"user_id": 7}), "user_id", ["t"], "x", "rewards", CFG, 1,
+                         keep=["t"]).orderBy("t").collect()
+    assert [r["arm_idx"] for r in with_null] == [r["arm_idx"] for r in keyed]
+    assert [r["ucb"] for r in with_null] == [r["ucb"] for r in keyed]
