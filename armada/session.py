@@ -73,9 +73,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder for written intermediates."""
+    """A sub-folder of the shared checkpoint folder for written intermediates,
+    scoped by application id so concurrent applications sharing the folder
+    never overwrite each other (reruns inside one application overwrite)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/armada/{name}"
+    return f"{base}/armada/{spark.sparkContext.applicationId}/{name}"
 
 
 def materialize(df, name: str):
