@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from armada.llm import pieces, token_counts, token_files
+from armada.llm import line_quality, pieces, shards, spaced_seeds, token_counts, token_files
 
 WORD_BPE = "word_bpe_49k.json"
 PIECE_BPE = "piece_bpe_32k.model"
 END_ID = 1
 TOKEN_LIMIT = 2048
+SHARDS = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,12 +32,24 @@ def vocabulary_text(name: str) -> str:
         return f.read()
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items that overlap them."""
+    return spaced_seeds.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the corpus as token files and read the digests back from them."""
     manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), vocabulary_text(WORD_BPE), END_ID)
     return token_files.read_token_files(spark, manifest)
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contiguous shards of near equal bytes."""
+    placed = shards.assign_shards(table(spark, sf_dir, "documents"), SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+                         F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, their number, and whether decoding gives the text back."""
     return pieces.encode_pieces(table(spark, sf_dir, "documents"), vocabulary(PIECE_BPE))
@@ -47,10 +60,18 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary_text(WORD_BPE), TOKEN_LIMIT)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures and verdict of the line-first rules for every document."""
+    return line_quality.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op3_token_files": op3_token_files,
+    "op5_sharding": op5_sharding,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_token_counts": op7_token_counts,
+    "op8_quality_rules": op8_quality_rules,
 }
 
 SQL: dict[str, str] = {}
