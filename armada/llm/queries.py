@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from armada.llm import line_quality, pieces, shards, spaced_seeds, token_counts, token_files
+from armada.llm import line_quality, pieces, shards, simhash, spaced_seeds, token_counts, token_files
 
 WORD_BPE = "word_bpe_49k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -37,6 +37,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaced_seeds.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the corpus as token files and read the digests back from them."""
     manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), vocabulary_text(WORD_BPE), END_ID)
@@ -67,6 +73,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_simhash": op2_simhash,
     "op3_token_files": op3_token_files,
     "op5_sharding": op5_sharding,
     "op6_sentencepiece": op6_sentencepiece,

@@ -11,7 +11,8 @@ import os
 import uuid
 
 import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from armada.session import work_dir
 
@@ -64,3 +65,25 @@ def write_shared(df, name: str):
     path = shared_uri(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+BROADCAST_ROWS = 500_000  # (id, hash) rows of 16 bytes that may be broadcast; more are joined by shuffle
+
+
+def _meeting(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
+    right = rows.select(F.col("id").alias("_id"), F.col("h").alias("_h"))
+    if rows.count() <= BROADCAST_ROWS:
+        right = F.broadcast(right)
+    return docs.join(right, docs[id_col].cast("long").eqNullSafe(F.col("_id"))
+                     & (F.xxhash64(docs[text_col]) == F.col("_h")), how)
+
+
+def without_rows(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without those whose id and ``xxhash64(text)`` are in ``rows``
+    (id, h; a written table). No text is shuffled while ``rows`` is small."""
+    return _meeting(docs, rows, id_col, text_col, "left_anti")
+
+
+def only_rows(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` whose id and ``xxhash64(text)`` are in ``rows``."""
+    return _meeting(docs, rows, id_col, text_col, "left_semi")
