@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from armada.llm import line_quality, pieces, shards, simhash, spaced_seeds, token_counts, token_files
+from armada.llm import (line_quality, pieces, shards, simhash, spaced_seeds, suffix_dedup, token_counts,
+                        token_files)
 
 WORD_BPE = "word_bpe_49k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -49,6 +50,13 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, manifest)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the repeated byte strings."""
+    left = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contiguous shards of near equal bytes."""
     placed = shards.assign_shards(table(spark, sf_dir, "documents"), SHARDS)
@@ -75,6 +83,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_simhash": op2_simhash,
     "op3_token_files": op3_token_files,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_sharding": op5_sharding,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_token_counts": op7_token_counts,
