@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from armada.llm import (line_quality, pieces, shards, simhash, spaced_seeds, suffix_dedup, token_counts,
+from armada.llm import (line_quality, personal_data, pieces, shards, simhash, spaced_seeds, suffix_dedup, token_counts,
                         token_files)
 
 WORD_BPE = "word_bpe_49k.json"
@@ -79,6 +79,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.report(table(spark, sf_dir, "documents"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and added spans of personal data in every document."""
+    return personal_data.find(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_simhash": op2_simhash,
@@ -88,6 +93,7 @@ QUERIES = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_token_counts": op7_token_counts,
     "op8_quality_rules": op8_quality_rules,
+    "op10_personal_data": op10_personal_data,
 }
 
 SQL: dict[str, str] = {}
