@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from armada.llm import storage
+
 #: White space between words, symbol characters, end of a sentence.
 SPACE = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -108,9 +110,9 @@ def judge(docs: DataFrame, text_col: str = "text", into: str = "quality") -> Dat
     """``docs`` with a struct column ``into``: n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, clean_text (the lines that
     stay), lost (share of the words' characters removed) and kept."""
-    if into in docs.columns:
+    if into.lower() in (c.lower() for c in docs.columns):
         raise ValueError(f"column {into} is there already")
-    t, w, h, m, k = (f"{into}_{x}" for x in ("text", "words", "hashes", "marked", "left"))
+    t, w, h, m, k = (storage.free_name(docs, f"{into}_{x}") for x in ("text", "words", "hashes", "marked", "left"))
     df = docs.withColumn(t, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     bare = F.btrim(F.col(t), F.lit(SPACES))
     df = _let(df, w, F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE, -1)))
@@ -147,5 +149,6 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def keep_clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that stay, with their columns as they came and the
     failing lines gone from the text."""
-    q = judge(docs, text_col, "_quality").where(F.col("_quality")["kept"])
-    return q.withColumn(text_col, F.col("_quality")["clean_text"]).drop("_quality")
+    name = storage.free_name(docs, "_quality")
+    q = judge(docs, text_col, name).where(F.col(name)["kept"])
+    return q.withColumn(text_col, F.col(name)["clean_text"]).drop(name)

@@ -176,15 +176,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     max_bits: int = MAX_BITS) -> DataFrame:
-    """One row per document: doc_id, h, fp and component_id (the smallest id
-    in its component, its own included)."""
+    """One row per document: doc_id, h, fp, root (the component's smallest
+    fingerprint) and component_id (its smallest id, the document's own
+    included)."""
     prints = storage.write_shared(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = storage.write_shared(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
     roots = components(links(distinct, max_bits)).withColumnRenamed("v", "fp")
     linked = roots.unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
     rooted = distinct.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return prints.join(rooted.join(lowest, "root").select("fp", "component_id"), "fp")
+    return prints.join(rooted.join(lowest, "root").select("fp", "root", "component_id"), "fp")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
@@ -192,12 +193,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """``docs`` with one row of every component: the one with the smallest id
     (NULL last), then the smallest text hash; equal rows count as one."""
     found = near_duplicates(docs, id_col, text_col, shingle, max_bits)
-    # A component of NULL ids only has no component_id; its fingerprints stand for it.
-    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("g")]
-    rows = found.groupBy(*group, "doc_id", "h").agg(F.count(F.lit(1)).alias("copies"))
+    rows = found.groupBy("root", "doc_id", "h").agg(F.count(F.lit(1)).alias("copies"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "h")
-    best = rows.groupBy("component_id", "g").agg(F.min(order).alias("best"))
-    judged = rows.join(best, rows.component_id.eqNullSafe(best.component_id) & rows.g.eqNullSafe(best.g)).select(
+    best = rows.groupBy("root").agg(F.min(order).alias("best"))
+    judged = rows.join(best, "root").select(
         F.col("doc_id").alias("id"), "h", "copies", order.eqNullSafe(F.col("best")).alias("first"))
     gone = storage.write_shared(judged.where(~F.col("first") | (F.col("copies") > 1)), "near-copies")
     out = storage.without_rows(docs, gone, id_col, text_col)
@@ -207,4 +206,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     # Representatives that the table holds several times over, each once.
     held = storage.only_rows(docs, again, id_col, text_col)
     one = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(0))
-    return out.unionByName(held.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n"))
+    n = storage.free_name(docs, "_n")
+    return out.unionByName(held.withColumn(n, F.row_number().over(one)).where(F.col(n) == 1).drop(n))

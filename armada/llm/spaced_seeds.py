@@ -34,7 +34,6 @@ MIN_TOKENS = 5             # shorter items say nothing
 MIN_SAME = 0.8             # share of equal tokens
 MIN_OVERLAP = 12           # tokens of an item that must lie inside the document, or the whole item
 BLOCK_HASHES = 200_000     # seeds broadcast at a time, each with its item's tokens
-BROADCAST_LEAKS = 500_000  # leaking rows (16 bytes each) that may be broadcast; more are joined by shuffle
 
 
 def tokens(text: Column) -> Column:
@@ -129,11 +128,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                   item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose text overlaps an item; rows are told
     apart by id and text, so a NULL or repeated id is judged by its own text."""
-    row = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"))
+    row = F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("h"))
     found = find_overlaps(docs.select(row.alias("_row"), F.col(text_col).alias("t")), items, "_row", "t",
                           item_col, item_text_col)
     leaks = storage.write_shared(found.select("_row.id", "_row.h").distinct(), "leaks")
-    small = leaks.count() <= BROADCAST_LEAKS
-    right = (F.broadcast(leaks) if small else leaks).withColumnsRenamed({"id": "_leak_id", "h": "_leak_h"})
-    return docs.join(right, F.col(id_col).eqNullSafe(F.col("_leak_id"))
-                     & (F.xxhash64(F.col(text_col)) == F.col("_leak_h")), "left_anti")
+    return storage.without_rows(docs, leaks, id_col, text_col)

@@ -70,12 +70,20 @@ def write_shared(df, name: str):
 BROADCAST_ROWS = 500_000  # (id, hash) rows of 16 bytes that may be broadcast; more are joined by shuffle
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores in front, so that ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def _meeting(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
-    right = rows.select(F.col("id").alias("_id"), F.col("h").alias("_h"))
+    i, h = free_name(docs, "_id"), free_name(docs, "_h")
+    right = rows.select(F.col("id").alias(i), F.col("h").alias(h))
     if rows.count() <= BROADCAST_ROWS:
         right = F.broadcast(right)
-    return docs.join(right, docs[id_col].cast("long").eqNullSafe(F.col("_id"))
-                     & (F.xxhash64(docs[text_col]) == F.col("_h")), how)
+    return docs.join(right, F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(text_col) == F.col(h)), how)
 
 
 def without_rows(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
