@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from armada.llm.oracle import SQL  # noqa: F401  (part of the registration)
 from armada.llm import (line_quality, personal_data, pieces, shards, simhash, spaced_seeds, suffix_dedup, token_counts,
                         token_files)
 
@@ -96,4 +97,4 @@ QUERIES = {
     "op10_personal_data": op10_personal_data,
 }
 
-SQL: dict[str, str] = {}
+

@@ -24,7 +24,7 @@ def test_query_equals_sql(spark, name):
     for t in ("documents", "benchmark"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = QUERIES[name](spark, SF)
-    want = con.execute(SQL[name]).fetch_arrow_table().to_pylist()
+    want = con.sql(SQL[name]).to_arrow_table().to_pylist()
     assert set(got.columns) == set(want[0])
     key = lambda r: repr(sorted(r.items()))
     assert sorted((r.asDict() for r in got.collect()), key=key) == sorted(want, key=key)
