@@ -125,7 +125,7 @@ def cmd_route(spark, a) -> None:
             ordered = ordered.withColumn("_x", F.transform("embedding", lambda v: v.cast("double")))
             st = (state[0].copy(), state[1].copy())
             dec = learn_microbatch(ordered, "_batch", ["seq"], "_x", "_rewards", cfg, d, keep=["row_id"],
-                                   state=st, run_name=f"cli_route_run{run}")
+                                   state=st)
             rew = dec.join(test.select("row_id", *cfg.arms), ["row_id"])
         out = rew.withColumn("correct", F.element_at(F.array(*cfg.arms), F.col("arm_idx") + 1).cast("int"))
         out = out.join(F.broadcast(arms.select("arm_idx", "price")), ["arm_idx"], "left")

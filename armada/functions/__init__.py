@@ -7,5 +7,5 @@ from armada.functions.text import (  # noqa: F401
     strip_echo, task_words,
 )
 from armada.functions.vectors import (  # noqa: F401
-    as_double_array, dot, l2_norm, quad_form,
+    as_double_array, l2_norm,
 )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,24 +15,10 @@ def as_double_array(c) -> Column:
     return F.transform(_col(c), lambda x: x.cast("double"))
 
 
-def dot(a, b) -> Column:
-    """Inner product of two equal-length arrays (left-to-right sum)."""
-    return F.aggregate(F.zip_with(_col(a), _col(b), lambda x, y: x.cast("double") * y.cast("double")),
-                       F.lit(0.0), lambda acc, v: acc + v)
-
-
 def l2_norm(a) -> Column:
     return F.sqrt(F.aggregate(_col(a), F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double")))
 
 
-def quad_form(x, m_flat, d: int) -> Column:
-    """x^T M x for a row-major flattened d x d matrix column."""
-    x = as_double_array(x)
-    mx = F.transform(F.sequence(F.lit(0), F.lit(d - 1)),
-                     lambda i: dot(F.slice(_col(m_flat), i * d + 1, d), x))
-    return dot(x, mx)
-
-
 def block_sums(vec, blocks: int) -> Column:
     """Project a vector onto ``blocks`` interleaved block sums:
     component ``k`` is the sum of elements whose 0-based index i has
@@ -53,3 +40,20 @@ def poly_features(vec, degree: int) -> Column:
         return lambda v: F.pow(v, F.lit(float(p)))
 
     return F.concat(x, *[F.transform(x, power(p)) for p in range(2, degree + 1)])
+
+
+def context_rows(vectors, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """A pandas or Arrow column of vectors as an (n, d) matrix and a mask of
+    usable rows: a NULL vector or one with a NULL, NaN or infinite element is
+    not usable (a row of zeros); another length fails."""
+    values = vectors.to_numpy(zero_copy_only=False) if hasattr(vectors, "to_pylist") else vectors.to_numpy()
+    x, ok = np.zeros((len(values), d)), np.zeros(len(values), bool)
+    for i, v in enumerate(values):
+        if v is None or (isinstance(v, float) and v != v):
+            continue
+        if len(v) != d:
+            raise ValueError(f"a context has {len(v)} numbers instead of {d}")
+        x[i] = np.asarray(v, dtype=np.float64)
+        ok[i] = np.isfinite(x[i]).all()
+    x[~ok] = 0.0
+    return x, ok

@@ -9,25 +9,30 @@ update that arm. The recursion is sequential, so two exact forms are offered:
 * ``learn_microbatch``: one global learner updated between batches (e.g.
   days). Inside a batch the state is frozen and scoring is fully parallel;
   the batch's updates are folded with the ordered discounted merge
-  ``(n,A,b) + (n',A',b') = (n+n', g^n' A + A', g^n' b + b')`` computed as
-  partition partials (range-partitioned by order) merged in order. With
-  batches of one row it is the row-by-row learner.
+  ``(n,A,b) + (n',A',b') = (n+n', g^n' A + A', g^n' b + b')`` on the
+  executors. With batches of one row it is the row-by-row learner.
+
+One rule for every d: a context that is NULL or holds a NULL, NaN or infinite
+element gets no arm (NULL arm, score and reward) and teaches nothing; a NULL
+or NaN reward of the chosen arm teaches nothing; a context of another length
+fails the job.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import math
-
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from armada.config import RouterConfig
-from armada.operators.routing import cold_start, solve
-from armada.session import work_dir
+from armada.functions.vectors import context_rows
+from armada.operators.ordinal import join_keys
+from armada.operators.routing import ArmModel, cold_start, decide, solve
+from armada.operators.stats import FAN_IN, TILE
+from armada.session import fresh_dir, remove_dir
 
 
 def _pick(scores):
@@ -42,62 +47,56 @@ def _pick(scores):
 class ArmLearner:
     """One learner's state: per arm ``A^-1`` and ``b``. Updates
     ``A <- gamma A + x x^T`` keep the inverse with Sherman-Morrison
-    (O(d^2) per step, no inversion per row). For d = 1 the arithmetic is
-    plain scalar division, in the order ``theta = b / a``,
-    ``mean = theta * x``, ``var = x * x / a``."""
+    (O(d^2) per step, no inversion per row)."""
 
     def __init__(self, k: int, d: int, lam: float, gamma: float, alpha: float):
         self.k, self.d, self.gamma, self.alpha = k, d, gamma, alpha
-        if d == 1:
-            self.a = [float(lam)] * k
-            self.b = [0.0] * k
-        else:
-            self.ainv = np.repeat((np.eye(d) / lam)[None], k, axis=0)
-            self.b = np.zeros((k, d))
-
-    def scores(self, x: np.ndarray):
-        if self.d == 1:
-            xv = float(x[0])
-            return [(self.b[i] / self.a[i]) * xv + self.alpha * math.sqrt(xv * xv / self.a[i])
-                    for i in range(self.k)]
-        out = []
-        for i in range(self.k):
-            ax = self.ainv[i] @ x
-            out.append(float((self.ainv[i] @ self.b[i]) @ x) + self.alpha * math.sqrt(max(float(x @ ax), 0.0)))
-        return out
+        self.ainv = np.repeat((np.eye(d) / lam)[None], k, axis=0)
+        self.b = np.zeros((k, d))
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        ax = self.ainv @ x
+        return (self.b * ax).sum(axis=1) + self.alpha * np.sqrt(np.maximum(ax @ x, 0.0))
 
     def update(self, arm: int, x: np.ndarray, r: float):
         g = self.gamma
-        if self.d == 1:
-            xv = float(x[0])
-            self.a[arm] = g * self.a[arm] + xv * xv
-            self.b[arm] = g * self.b[arm] + r * xv
-            return
         inv = self.ainv[arm] / g           # (gamma A)^-1
         u = inv @ x
         self.ainv[arm] = inv - np.outer(u, u) / (1.0 + float(x @ u))
         self.b[arm] = g * self.b[arm] + r * x
 
+    def step(self, x: np.ndarray, usable: bool, rewards):
+        """Choose, observe, learn: (arm, score, reward), None where there is none."""
+        arm, best = _pick(self.scores(x)) if usable else (-1, None)
+        if arm < 0:
+            return None, None, None
+        r = rewards[arm] if rewards is not None else None
+        if r is None or r != r:
+            return arm, best, None
+        self.update(arm, x, float(r))
+        return arm, best, float(r)
+
     def state(self):
         """Dense ``(A, b)`` arrays (K, d, d) and (K, d)."""
-        if self.d == 1:
-            return (np.array(self.a, dtype=np.float64).reshape(self.k, 1, 1),
-                    np.array(self.b, dtype=np.float64).reshape(self.k, 1))
         return np.linalg.inv(self.ainv), np.array(self.b)
 
     @classmethod
     def from_state(cls, a, b, gamma: float, alpha: float):
         k, d = np.asarray(b).shape
         obj = cls(k, d, 1.0, gamma, alpha)
-        if d == 1:
-            obj.a = [float(v) for v in np.asarray(a).reshape(k)]
-            obj.b = [float(v) for v in np.asarray(b).reshape(k)]
-        else:
-            obj.ainv = np.linalg.inv(np.asarray(a, dtype=np.float64))
-            obj.b = np.asarray(b, dtype=np.float64).copy()
+        obj.ainv = np.linalg.inv(np.asarray(a, dtype=np.float64))
+        obj.b = np.asarray(b, dtype=np.float64).copy()
         return obj
 
 
+def outcome_columns(out, steps):
+    """``out`` (pandas) with the columns of a list of ``ArmLearner.step`` results."""
+    import pandas as pd
+    arms, ucbs, rews = zip(*steps) if steps else ((), (), ())
+    return out.assign(arm_idx=pd.array(arms, dtype="Int32"), ucb=pd.array(ucbs, dtype="Float64"),
+                      reward=pd.array(rews, dtype="Float64"))
+
+
 def learn_by_key(df: DataFrame, key: str, order: Sequence[str], vec: str, rewards: str, cfg: RouterConfig, d: int,
                  keep: Sequence[str] = (), num_partitions: int | None = None) -> DataFrame:
     """Exact per-key LinUCB with discounting. ``vec``: array<double> context;
@@ -120,173 +119,202 @@ def learn_by_key(df: DataFrame, key: str, order: Sequence[str], vec: str, reward
         for pdf in it:
             if pdf.empty:
                 continue
-            keys = pdf[key].to_numpy()
-            xs = pdf[vec].to_numpy()
-            rs = pdf[rewards].to_numpy()
-            arms = np.empty(len(pdf), dtype=np.int64)
-            ucbs = np.empty(len(pdf))
-            rew = np.empty(len(pdf))
-            for t in range(len(pdf)):
-                kt = keys[t]
+            x, ok = context_rows(pdf[vec], d)
+            steps = []
+            for t, (kt, rewards_t) in enumerate(zip(pdf[key].to_numpy(), pdf[rewards].to_numpy())):
                 same = (kt == cur) or (pd.isna(kt) and learner is not None and pd.isna(cur))
                 if not same:
                     cur = kt
                     learner = ArmLearner(k, d, lam, gamma, alpha)
-                x = np.asarray(xs[t], dtype=np.float64)
-                arm, best = _pick(learner.scores(x))
-                r = float(rs[t][arm])
-                learner.update(arm, x, r)
-                arms[t], ucbs[t], rew[t] = arm, best, r
-            out = pdf[[key, *keep]].copy()
-            out["arm_idx"] = arms.astype("int32")
-            out["ucb"] = ucbs
-            out["reward"] = rew
-            yield out
+                steps.append(learner.step(x[t], ok[t], rewards_t))
+            yield outcome_columns(pdf[[key, *keep]], steps)
 
     return src.mapInPandas(run, schema)
 
 
-def _fold_pass(theta, linv, alpha, gamma, k, d, vec, rewards, order=(), piece_cols=("_blk",)):
-    """Per-partition pass over one batch: score with the frozen state, pick
-    arms, and fold the discounted statistics of every piece (rows sharing
-    ``piece_cols``, which arrive contiguously and in ``order``). Emits one
-    small row per (piece, arm). When ``order`` is given the pass checks that
-    every piece really arrives sorted and fails otherwise."""
-    from armada.operators.routing import ArmModel, _scores, choose
-    piece_cols = list(piece_cols)
-    order = list(order)
+PIECE = ["_blk", "_file", "_start"]
 
-    def run(it):
+
+def _score_and_fold(model: ArmModel, cfg: RouterConfig, keep: list, order: list):
+    """One pass over a batch's staged rows ``(keep..., vec, rewards, PIECE)``:
+    every row is scored once with the frozen state, and the decisions that
+    are written are the ones whose discounted statistics are folded.
+
+    Emits decision rows, and per (piece, arm) the statistics as tiles of the
+    upper triangle. Rows of a piece must arrive in ``order``; if not, it fails."""
+    theta, linv, alpha, gamma, k, d = model.theta, model.chol_inv, cfg.alpha, cfg.gamma, cfg.k, model.d
+    nk = len(keep)
+
+    def run(batches):
         import pandas as pd
-        model = ArmModel(theta=theta, chol_inv=linv, a=None, b=None)
-        acc = {}
-        last = {}
-        for pdf in it:
-            if pdf.empty:
+        import pyarrow as pa
+        frozen = ArmModel(theta=theta, chol_inv=linv, a=None, b=None)
+        acc, last = {}, {}
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            x = np.vstack(pdf[vec].to_numpy()).astype(np.float64).reshape(len(pdf), d)
-            idx, _ = choose(_scores(x, model, alpha))
-            rw = np.array([r[i] if i >= 0 else np.nan for r, i in zip(pdf[rewards].to_numpy(), idx)], dtype=np.float64)
-            pkey = list(pdf[piece_cols].itertuples(index=False, name=None))
-            pkeys = pd.Series(pkey)
-            for piece in pkeys.unique():
-                in_p = (pkeys == piece).to_numpy()
-                if order:
-                    ok = pdf.loc[in_p, order]
-                    if not pd.MultiIndex.from_frame(ok).is_monotonic_increasing or (
-                            piece in last and tuple(ok.iloc[0]) < last[piece]):
-                        raise RuntimeError(f"rows of piece {piece} are not in order")
-                    last[piece] = tuple(ok.iloc[-1])
+            n = batch.num_rows
+            idx, best, _, x, _ = decide(batch.column(nk), frozen, alpha)
+            given = batch.column(nk + 1).to_numpy(zero_copy_only=False)
+            got = np.array([np.nan if i < 0 or r is None or r[i] is None else r[i] for i, r in zip(idx, given)], np.float64)
+            none = idx < 0
+            yield pa.RecordBatch.from_arrays(
+                [pa.repeat(0, n).cast(pa.int32()), *[batch.column(i) for i in range(nk)],
+                 pa.array(idx.astype(np.int32), mask=none), pa.array(best, mask=none), pa.array(got, mask=np.isnan(got)),
+                 *[pa.nulls(n, t) for t in STAT_TYPES()]], names)
+            teaches = ~none & np.isfinite(got)
+            pieces = pd.MultiIndex.from_arrays([batch.column(nk + 2 + i).to_pandas() for i in range(len(PIECE))])
+            placed = pd.DataFrame({c: batch.column(keep.index(c)).to_pandas() for c in order})
+            for piece, at in pd.Series(range(n)).groupby(pieces.to_flat_index(), sort=False).indices.items():
+                places = list(placed.iloc[at].itertuples(index=False, name=None))
+                if any(a > b for a, b in zip(places, places[1:])) or (piece in last and places[0] < last[piece]):
+                    raise RuntimeError(f"rows of piece {piece} are not in order")
+                last[piece] = places[-1]
                 for arm in range(k):
-                    sel = in_p & (idx == arm)
-                    m = int(sel.sum())
-                    if m == 0:
+                    sel = at[teaches[at] & (idx[at] == arm)]
+                    m = len(sel)
+                    if not m:
                         continue
-                    xs, rs = x[sel], rw[sel]
                     w = gamma ** np.arange(m - 1, -1, -1, dtype=np.float64)
-                    a_new = (xs * w[:, None]).T @ xs
-                    b_new = (xs * (w * rs)[:, None]).sum(axis=0)
-                    key = (piece, arm)
-                    if key in acc:
-                        n0, a0, b0 = acc[key]
-                        f = gamma ** m
-                        acc[key] = (n0 + m, f * a0 + a_new, f * b0 + b_new)
-                    else:
-                        acc[key] = (m, a_new, b_new)
-        if acc:
-            rows = []
-            for (piece, arm), (n, a, b) in acc.items():
-                row = dict(zip(piece_cols, piece))
-                row.update({"arm_idx": arm, "n": n, "a": a.ravel().tolist(), "b": b.tolist()})
-                rows.append(row)
-            yield pd.DataFrame(rows)[[*piece_cols, "arm_idx", "n", "a", "b"]]
-
-    return run
-
-
-def _decide_pass(states, batch, alpha, d, vec, rewards, keep):
-    """Score every row with the frozen state of its own batch."""
-    from armada.operators.routing import ArmModel, _scores, choose
+                    wx = x[sel] * w[:, None]
+                    new = (m, wx.T @ x[sel], wx.T @ got[sel])
+                    acc[piece, arm] = _merged(acc[piece, arm], new, gamma) if (piece, arm) in acc else new
+        for (piece, arm), (n, a, b) in acc.items():
+            for ti in range(0, d, TILE):
+                for tj in range(ti, d, TILE):
+                    row = [*piece, arm, ti, tj, n, a[ti:ti + TILE, tj:tj + TILE].ravel(), b[ti:ti + TILE] if ti == tj else None]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([1], pa.int32()), *[pa.nulls(1, t) for t in kept_types], pa.nulls(1, pa.int32()),
+                         pa.nulls(1, pa.float64()), pa.nulls(1, pa.float64()),
+                         *[pa.array([v], t) for v, t in zip(row, STAT_TYPES())]], names)
+
+    names = ["_kind", *keep, "arm_idx", "ucb", "reward", *PIECE, "_arm", "ti", "tj", "n", "v", "bv"]
+    kept_types: list = []
+
+    def with_types(batches):
+        for batch in batches:
+            kept_types[:] = [batch.schema.field(i).type for i in range(nk)]
+            yield batch
+
+    return lambda batches: run(with_types(batches))
+
+
+def STAT_TYPES():
+    import pyarrow as pa
+    return [pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(),
+            pa.list_(pa.float64()), pa.list_(pa.float64())]
+
+
+STAT_SCHEMA = "_blk int, _file string, _start long, _arm int, ti int, tj int, n long, v array<double>, bv array<double>"
+
+
+def _merged(old, new, gamma: float):
+    """Ordered merge: the older statistics are discounted once per newer row."""
+    f = gamma ** new[0]
+    return old[0] + new[0], f * old[1] + new[1], None if old[2] is None else f * old[2] + new[2]
+
+
+def _merge_pieces(stats: DataFrame, gamma: float, by: Column) -> DataFrame:
+    """Merge the statistics of all pieces with equal ``by`` in piece order,
+    one tile accumulator at a time (sorted and streamed, never collected)."""
+    keys = ["_arm", "ti", "tj", "_by"]
+    ranked = stats.withColumn("_by", by)
+    ranked = ranked.repartition(*keys).sortWithinPartitions(*keys, *PIECE)
+    cols = [*PIECE, "_arm", "ti", "tj", "n", "v", "bv"]
 
     def run(it):
         import pandas as pd
+        key, first, now = None, None, None
         for pdf in it:
-            if pdf.empty:
-                continue
-            for t, sub in pdf.groupby(batch, sort=False):
-                theta, linv = states[t]
-                model = ArmModel(theta=theta, chol_inv=linv, a=None, b=None)
-                x = np.vstack(sub[vec].to_numpy()).astype(np.float64).reshape(len(sub), d)
-                idx, best = choose(_scores(x, model, alpha))
-                out = sub[[batch, *keep]].copy()
-                out["arm_idx"] = pd.array(np.where(idx < 0, None, idx), dtype="Int32")
-                out["ucb"] = np.where(idx < 0, np.nan, best)
-                out["reward"] = [r[i] if i >= 0 else np.nan for r, i in zip(sub[rewards].to_numpy(), idx)]
-                yield out
+            for row in pdf.itertuples(index=False, name=None):
+                blk, file, start, arm, ti, tj, n, v, bv, b = row
+                new = (int(n), np.asarray(v), None if bv is None else np.asarray(bv))
+                if key == (arm, ti, tj, b):
+                    now = _merged(now, new, gamma)
+                    continue
+                if key is not None:
+                    yield pd.DataFrame([(*first, *key[:3], *now)], columns=cols)
+                key, first, now = (arm, ti, tj, b), (blk, file, start), new
+        if key is not None:
+            yield pd.DataFrame([(*first, *key[:3], *now)], columns=cols)
+
+    return ranked.select(*cols, "_by").mapInPandas(run, STAT_SCHEMA)
+
 
-    return run
+def stage(df: DataFrame, path: str, order: list, by: Sequence[str] = ()) -> None:
+    """Write rows range-partitioned and sorted by ``(by, order)``, with the
+    range block ``_blk`` of every row, one folder per value of ``by``."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = (df.repartitionByRange(n, *by, *order).sortWithinPartitions(*by, *order)
+            .withColumn("_blk", F.spark_partition_id()))
+    (rows.write.mode("overwrite").partitionBy(*by) if by else rows.write.mode("overwrite")).parquet(path)
+
+
+def learn_step(staged: DataFrame, out: str, a: np.ndarray, b: np.ndarray, order: list, vec: str, rewards: str,
+               cfg: RouterConfig, keep: list):
+    """One learning step on staged rows with the state ``(a, b)``: writes the
+    decisions to ``<out>/_kind=0`` and returns the next state.
+
+    Rows are scored once. The statistics of the pieces (a staged file holds
+    one block's rows in order; a large file is read as several splits,
+    ordered by offset) are merged on the executors in two ordered levels;
+    K·d² numbers reach the driver, whatever the number of files."""
+    spark, d = staged.sparkSession, b.shape[1]
+    model = solve(a, b)
+    fields = [staged.schema[c] for c in keep]
+    schema = T.StructType([T.StructField("_kind", T.IntegerType()), *fields, T.StructField("arm_idx", T.IntegerType()),
+                           T.StructField("ucb", T.DoubleType()), T.StructField("reward", T.DoubleType())]
+                          + T.StructType.fromDDL(STAT_SCHEMA).fields)
+    rows = staged.select(*keep, F.col(vec), F.col(rewards), "_blk", F.col("_metadata.file_path").alias("_file"),
+                         F.col("_metadata.file_block_start").alias("_start"))
+    (rows.mapInArrow(_score_and_fold(model, cfg, keep, order), schema)
+     .write.mode("overwrite").partitionBy("_kind").parquet(out))
+    written = spark.read.schema(schema).parquet(out)
+    stats = written.where("_kind = 1").select(*[f.name for f in T.StructType.fromDDL(STAT_SCHEMA)])
+    merged = _merge_pieces(_merge_pieces(stats, cfg.gamma, F.floor(F.col("_blk") / FAN_IN)), cfg.gamma, F.lit(0).cast("long"))
+    a, b = a.copy(), b.copy()
+    for r in merged.toPandas().itertuples(index=False):
+        i, f = r._3, cfg.gamma ** int(r.n)
+        h, w = min(TILE, d - r.ti), min(TILE, d - r.tj)
+        here, there = slice(r.ti, r.ti + h), slice(r.tj, r.tj + w)
+        tile = np.asarray(r.v).reshape(h, w)
+        a[i, here, there] = f * a[i, here, there] + tile
+        if r.ti == r.tj:
+            b[i, here] = f * b[i, here] + np.asarray(r.bv)
+        else:
+            a[i, there, here] = a[i, here, there].T
+    return a, b
 
 
 def learn_microbatch(df: DataFrame, batch: str, order: Sequence[str], vec: str, rewards: str, cfg: RouterConfig,
-                     d: int, keep: Sequence[str] = (), state=None, num_partitions: int | None = None,
-                     run_name: str = "microbatch", max_step_bytes: int = 1 << 30) -> DataFrame:
+                     d: int, keep: Sequence[str] = (), state=None) -> DataFrame:
     """Global learner updated after every batch. Returns the decisions
     ``(batch, *keep, arm_idx, ucb, reward)``.
 
-    The input is written once under the shared checkpoint folder,
-    partitioned by batch, after one range partitioning on ``(batch, order)``
-    that tags every row with its range block (blocks are contiguous in row
-    order; written once, so every later reader sees the same tags). Each
-    step reads one batch partition (pruned) and, without a shuffle, makes one
-    pass that scores rows with the frozen state and folds the discounted
-    statistics of every piece (block, file, split) - the rows of a piece
-    arrive in order, which the pass checks; only those statistics (K*d^2
-    numbers per piece) reach the driver, where they are merged in piece
-    order, i.e. row order. The decisions are one lazy pass over all batches
-    with every batch's frozen state (K*d^2 numbers per batch) - the same
-    row-local scoring as in the steps, so the same arms. The number of
-    staging blocks is capped so that one step's partial statistics stay
-    under ``max_step_bytes``."""
+    The input is written once under the shared checkpoint folder, one folder
+    per step (the dense number of the batch value; NULL is a batch of its
+    own and comes first), range-partitioned and sorted inside. Every step
+    reads its folder, scores each row once, writes the decisions and folds
+    them (``learn_step``). One row per step is held by the driver, which
+    runs one Spark job per step."""
     spark = df.sparkSession
-    base = work_dir(spark, run_name)
+    base = fresh_dir(spark, "microbatch")
     order = list(order)
-    keep = list(dict.fromkeys([*keep, *order]))
-    n_part = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Each piece sends K*d^2 numbers to the driver per step: keep the pieces
-    # few enough for the byte budget (with large d a piece covers more rows).
-    n_part = max(1, min(n_part, max_step_bytes // max(1, 8 * cfg.k * (d * d + d))))
-    inp = f"{base}/input"
-    cols = list(dict.fromkeys([batch, *keep, vec, rewards]))
-    batch_type = df.schema[batch].dataType
-    (df.select(*cols).repartitionByRange(n_part, batch, *order).sortWithinPartitions(batch, *order)
-     .withColumn("_blk", F.spark_partition_id())
-     .write.mode("overwrite").partitionBy(batch).parquet(inp))
-    staged = spark.read.parquet(inp).withColumn(batch, F.col(batch).cast(batch_type))
-    batches = [r[0] for r in staged.select(batch).distinct().orderBy(batch).collect()]
+    keep = list(dict.fromkeys([batch, *keep, *order]))
+    values = sorted((r[0] for r in df.select(batch).distinct().collect()), key=lambda v: (v is not None, v))
+    fields = T.StructType([df.schema[batch], T.StructField("_step", T.LongType())])
+    steps = spark.createDataFrame([(v, i) for i, v in enumerate(values)], fields)
+    rows = join_keys(df.select(*dict.fromkeys([*keep, vec, rewards])), F.broadcast(steps), [batch])
+    stage(rows, f"{base}/input", order, ["_step"])
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "_step"] + [T.StructField("_blk", T.IntegerType())])
     a, b = state if state is not None else cold_start(cfg, d)
-    states = {}
-    # Pieces: a staged file holds one block's rows of one batch, written in
-    # order by one task; a large file is read as several splits, ordered by
-    # their offset. So (block, file, split offset) orders the pieces and no
-    # shuffle is needed per step.
-    piece_cols = ["_blk", "_file", "_start"]
-    stat_schema = "_blk int, _file string, _start long, arm_idx int, n long, a array<double>, b array<double>"
-    for t in batches:
-        model = solve(a, b)
-        states[t] = (model.theta, model.chol_inv)
-        part = staged.where(F.col(batch) == F.lit(t)).select(
-            vec, rewards, *order, "_blk", F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_start"))
-        fn = _fold_pass(model.theta, model.chol_inv, cfg.alpha, cfg.gamma, cfg.k, d, vec, rewards,
-                        order=order, piece_cols=piece_cols)
-        pieces = part.mapInPandas(fn, stat_schema).collect()
-        for r in sorted(pieces, key=lambda r: (r["_blk"], r["_file"], r["_start"])):
-            i, m = r["arm_idx"], int(r["n"])
-            f = cfg.gamma ** m
-            a[i] = f * a[i] + np.asarray(r["a"]).reshape(d, d)
-            b[i] = f * b[i] + np.asarray(r["b"])
-    out_schema = T.StructType([staged.schema[batch], *[staged.schema[c] for c in keep],
-                               T.StructField("arm_idx", T.IntegerType()), T.StructField("ucb", T.DoubleType()),
-                               T.StructField("reward", T.DoubleType())])
-    fn = _decide_pass(states, batch, cfg.alpha, d, vec, rewards, keep)
-    return staged.select(batch, *keep, vec, rewards).mapInPandas(fn, out_schema)
+    a, b = np.array(a), np.array(b)
+    for t in range(len(values)):
+        staged = spark.read.schema(schema).parquet(f"{base}/input/_step={t}")
+        a, b = learn_step(staged, f"{base}/decisions/_step={t}", a, b, order, vec, rewards, cfg, keep)
+    out = T.StructType([rows.schema[c] for c in keep] + [
+        T.StructField("arm_idx", T.IntegerType()), T.StructField("ucb", T.DoubleType()), T.StructField("reward", T.DoubleType())])
+    if not values:
+        return spark.createDataFrame([], out)
+    remove_dir(spark, f"{base}/input")
+    return spark.read.schema(out).parquet(*[f"{base}/decisions/_step={t}/_kind=0" for t in range(len(values))])

@@ -4,8 +4,8 @@ score contexts against every arm, choose one arm per context.
 The arm statistics (K matrices d x d, K vectors d) are the model. They are
 collected once per state version - their size depends on K and d, never on
 the number of rows - solved with numpy (Cholesky), and shipped to executors
-inside the scoring closure. Scoring is a ``mapInPandas`` over Arrow batches:
-``X @ Theta^T`` plus, when ``alpha > 0``, ``alpha * ||L^-1 x||``. No shuffle.
+inside the scoring closure. Scoring is one pass over Arrow batches for every
+d: ``X @ Theta^T`` plus, when ``alpha > 0``, ``alpha * ||L^-1 x||``. No shuffle.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from armada.config import RouterConfig
+from armada.functions.vectors import context_rows
 
 
 @dataclass
@@ -48,37 +49,6 @@ def cold_start(cfg: RouterConfig, d: int):
     return a, np.zeros((cfg.k, d))
 
 
-def collect_state(a_long: DataFrame, b_long: DataFrame, cfg: RouterConfig, d: int,
-                  arm_col: str | None = "arm_idx"):
-    """Collect long statistics into dense arrays (K, d, d) and (K, d).
-
-    ``a_long`` without an arm column is one Gram shared by every arm (warm
-    start: A does not depend on rewards). Arms without rows keep ``lam I``/0."""
-    a, b = cold_start(cfg, d)
-    a_rows = a_long.collect()
-    shared = arm_col is None or arm_col not in a_long.columns
-    b_col = arm_col or "arm_idx"
-    if a_rows:
-        if shared:
-            m = np.zeros((d, d))
-            for r in a_rows:
-                m[r["i"], r["j"]] = r["a"]
-                m[r["j"], r["i"]] = r["a"]
-            a[:] = m
-        else:
-            seen = set()
-            for r in a_rows:
-                seen.add(r[arm_col])
-            for k in seen:
-                a[k] = 0.0
-            for r in a_rows:
-                a[r[arm_col], r["i"], r["j"]] = r["a"]
-                a[r[arm_col], r["j"], r["i"]] = r["a"]
-    for r in b_long.collect():
-        b[r[b_col], r["i"]] = r["b"]
-    return a, b
-
-
 def state_from_rows(rows, cfg: RouterConfig, d: int):
     """Dense state from ``ridge_stats`` output with one shared Gram
     (``i, j, a``) and per-arm reward sums ``b0..b{K-1}`` on the diagonal.
@@ -95,7 +65,7 @@ def state_from_rows(rows, cfg: RouterConfig, d: int):
         a[:] = m
         diag = pdf[i == j]
         for k in range(cfg.k):
-            b[k, diag["i"].to_numpy(dtype=np.int64)] = diag[f"b{k}"].fillna(0.0).to_numpy(dtype=np.float64)
+            b[k, diag["i"].to_numpy(dtype=np.int64)] = diag[f"b{k}"].to_numpy(dtype=np.float64)
     return a, b
 
 
@@ -127,28 +97,23 @@ def _factor_set(model: ArmModel):
 
 
 def _scores(x: np.ndarray, model: ArmModel, alpha: float) -> np.ndarray:
-    """UCB of every arm for a batch of contexts. For d <= ROWWISE_MAX_D every
-    row's score is computed by row-local reductions, so it does not depend on
-    which other rows share its Arrow batch (BLAS blocking can change the last
-    bits with the batch shape, which could flip near-ties between passes)."""
-    k, d = model.theta.shape
-    rowwise = d <= ROWWISE_MAX_D
-    if rowwise:
-        mean = np.stack([np.sum(x * model.theta[i], axis=1) for i in range(k)], axis=1)
-    else:
-        mean = x @ model.theta.T
+    """UCB of every arm for a batch of contexts."""
+    mean = x @ model.theta.T
     if alpha == 0.0:
         return mean
     factors, factor_of = _factor_set(model)
-    unc_of = []
-    for li in factors:
-        z = np.stack([np.sum(x * li[r], axis=1) for r in range(d)], axis=1) if rowwise else x @ li.T
-        unc_of.append(np.sqrt(np.sum(z * z, axis=1)))
-    unc = np.stack([unc_of[factor_of[i]] for i in range(k)], axis=1)
-    return mean + alpha * unc
+    unc = np.stack([np.sqrt(np.square(x @ li.T).sum(axis=1)) for li in factors], axis=1)
+    return mean + alpha * unc[:, factor_of]
 
 
-ROWWISE_MAX_D = 128
+def decide(vectors, model: ArmModel, alpha: float):
+    """Arm (-1: none), its score, all scores, contexts and the mask of usable
+    contexts for a column of vectors."""
+    x, ok = context_rows(vectors, model.d)
+    s = _scores(x, model, alpha)
+    s[~ok] = np.nan
+    idx, best = choose(s)
+    return idx, best, s, x, ok
 
 
 def choose(scores: np.ndarray):
@@ -161,86 +126,35 @@ def choose(scores: np.ndarray):
     return idx, best
 
 
-JVM_MAX_D = 16
-
-
-def _num(v: float) -> str:
-    return f"CAST('{float(v)!r}' AS DOUBLE)"
-
-
-def _jvm_scoring(df: DataFrame, vec: str, model: ArmModel, alpha: float, keep: list,
-                 with_scores: bool) -> DataFrame:
-    """Small d: the solved model is a few numbers, so scores and the arg-max
-    are one SQL expression with literal coefficients (whole-stage codegen,
-    no Python). Same rules as ``choose``: first arm wins ties, NaN never."""
-    k, d = model.theta.shape
-    q = "`" + vec.replace("`", "``") + "`"
-    x = [f"CAST({q}[{i}] AS DOUBLE)" for i in range(d)]
-    means = ["(" + " + ".join(f"{_num(model.theta[a, i])} * {x[i]}" for i in range(d)) + ")" for a in range(k)]
-    scores = means
-    if alpha != 0.0:
-        factors, factor_of = _factor_set(model)
-        unc = []
-        for li in factors:
-            rows = ["(" + " + ".join(f"{_num(li[r, c])} * {x[c]}" for c in range(d)) + ")" for r in range(d)]
-            unc.append("sqrt(" + " + ".join(f"{z} * {z}" for z in rows) + ")")
-        scores = [f"({means[a]} + {_num(alpha)} * {unc[factor_of[a]]})" for a in range(k)]
-    cand = ", ".join(f"named_struct('s', IF(isnan({sc}), NULL, {sc}), 'n', {-a})" for a, sc in enumerate(scores))
-    out = df.select(*dict.fromkeys([*keep, vec])).withColumn("_best", F.expr(f"greatest({cand})"))
-    if with_scores:
-        out = out.withColumn("scores", F.expr("array(" + ", ".join(scores) + ")"))
-    out = out.withColumn("arm_idx", F.when(F.col("_best.s").isNotNull(), -F.col("_best.n")).cast("int"))
-    out = out.withColumn("ucb", F.col("_best.s").cast("double"))
-    cols = [*keep, "arm_idx", "ucb"] + (["scores"] if with_scores else [])
-    return out.select(*cols)
-
-
 def score_contexts(df: DataFrame, vec: str, model: ArmModel, alpha: float, keep: list,
-                   with_scores: bool = False, engine: str = "auto") -> DataFrame:
+                   with_scores: bool = False) -> DataFrame:
     """Score every context against every arm and choose one arm.
 
-    Adds ``arm_idx`` (int, NULL when no arm has a finite score), ``ucb``
-    (chosen score) and optionally ``scores`` (array of K doubles).
-    ``engine``: ``jvm`` (SQL expressions, d <= JVM_MAX_D), ``numpy``
-    (Arrow batches), or ``auto``."""
-    if engine == "jvm" or (engine == "auto" and model.d <= JVM_MAX_D):
-        return _jvm_scoring(df, vec, model, alpha, list(keep), with_scores)
+    Adds ``arm_idx`` (int), ``ucb`` (chosen score) and optionally ``scores``
+    (array of K doubles); all NULL for a context that is NULL or holds a
+    NULL, NaN or infinite element. A context of another length than the
+    model's fails the job. The kept columns pass through Arrow unchanged."""
+    keep = list(keep)
     fields = [df.schema[c] for c in keep] + [
         T.StructField("arm_idx", T.IntegerType()), T.StructField("ucb", T.DoubleType())]
     if with_scores:
         fields.append(T.StructField("scores", T.ArrayType(T.DoubleType())))
-    schema = T.StructType(fields)
     theta = model.theta
     linv = model.chol_inv if alpha != 0.0 else None   # means only: ship no factors
-    d = model.d
 
-    def run(it):
-        import pandas as pd
+    def run(batches):
+        import pyarrow as pa
         m = ArmModel(theta=theta, chol_inv=linv, a=None, b=None)
-        for pdf in it:
-            if pdf.empty:
-                continue
-            x = np.vstack(pdf[vec].to_numpy()).astype(np.float64).reshape(len(pdf), d)
-            s = _scores(x, m, alpha)
-            idx, best = choose(s)
-            out = pdf[keep].copy()
-            out["arm_idx"] = pd.array(np.where(idx < 0, None, idx), dtype="Int32")
-            out["ucb"] = np.where(idx < 0, np.nan, best)
+        for batch in batches:
+            idx, best, s, _, _ = decide(batch.column(len(keep)), m, alpha)
+            none = idx < 0
+            cols = [batch.column(i) for i in range(len(keep))] + [
+                pa.array(idx.astype(np.int32), mask=none), pa.array(best, mask=none)]
             if with_scores:
-                out["scores"] = list(s)
-            yield out
-
-    return df.select(*dict.fromkeys([*keep, vec])).mapInPandas(run, schema)
-
+                cols.append(pa.array([None if n else list(r) for n, r in zip(none, s)], pa.list_(pa.float64())))
+            yield pa.RecordBatch.from_arrays(cols, [*keep, "arm_idx", "ucb", *(["scores"] if with_scores else [])])
 
-def choose_from_long(scores: DataFrame, key: str, arm: str = "arm_idx", score: str = "ucb") -> DataFrame:
-    """Arg-max over a long ``(key, arm, score)`` table without sorting groups:
-    ``max(struct(score, -arm))`` is a partial aggregate. NaN never wins; a key
-    whose scores are all NULL/NaN is left out."""
-    s = F.when(~F.isnan(F.col(score)), F.col(score))
-    best = scores.where(s.isNotNull()).groupBy(key).agg(
-        F.max(F.struct(s.alias("s"), (-F.col(arm)).alias("na"))).alias("_b"))
-    return best.select(key, (-F.col("_b.na")).cast("int").alias(arm), F.col("_b.s").alias(score))
+    return df.select(*[F.col(c) for c in keep], F.col(vec).alias("_context")).mapInArrow(run, T.StructType(fields))
 
 
 def arms_frame(spark, cfg: RouterConfig) -> DataFrame:

@@ -9,13 +9,14 @@ Results are long tables ``(group..., i, j, a)`` (upper triangle, j >= i) and
 ``(group..., i, b)``: they are the model, their size is K*d^2 whatever the
 number of rows.
 
-Two plans for the Gram part:
-* d <= ``EXPLODE_MAX_D``: nested ``posexplode`` inside the row (no join, no
-  Python) and a partial + final ``sum`` by ``(i, j)``; a hot arm is fine
-  because the partial aggregate combines map-side.
-* larger d: a bounded number of tasks each compute ``X^T W X`` with numpy
-  (one BLAS call per Arrow batch) and ship it as upper-triangle tiles; a
-  streaming sum per tile key spreads the reduction over many reducers.
+One plan for every d: a bounded number of tasks compute ``X^T W X`` and
+``X^T W R`` with numpy (one product per Arrow batch) and ship them as
+upper-triangle tiles, which are summed in two levels (first within groups of
+tasks, then per tile), so one tile key never meets all partials at once.
+
+One rule for every d: a row without a usable context (NULL, or a NULL, NaN
+or infinite element) or weight is skipped; a reward that is NULL or NaN adds
+nothing to its arm's ``b``; a context of another length fails the job.
 """
 
 from __future__ import annotations
@@ -27,80 +28,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from armada.functions.vectors import as_double_array
+from armada.functions.vectors import as_double_array, context_rows
 from armada.operators.ordinal import with_group_ordinal
 
-EXPLODE_MAX_D = 128
 TILE = 256
+FAN_IN = 32  # partials summed together in the first level
 
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def gram(df: DataFrame, vec, d: int, lam: float | Column = 0.0, weight=None, group: Sequence[str] = (),
-         method: str = "auto") -> DataFrame:
+def gram(df: DataFrame, vec, d: int, lam: float | Column = 0.0, weight=None, group: Sequence[str] = ()) -> DataFrame:
     """``lam * I + sum w x x^T`` per group as ``(group..., i, j, a)``, j >= i.
 
     ``lam`` may be a Column over ``group`` (e.g. a discounted ridge term)."""
-    return ridge_stats(df, vec, d, (), lam=lam, weight=weight, group=group, method=method)
+    return ridge_stats(df, vec, d, (), lam=lam, weight=weight, group=group)
 
 
 def ridge_stats(df: DataFrame, vec, d: int, reward_cols: Sequence = (), lam: float | Column = 0.0, weight=None,
-                group: Sequence[str] = (), method: str = "auto") -> DataFrame:
+                group: Sequence[str] = ()) -> DataFrame:
     """Gram matrix and reward sums in one pass over the rows.
 
     Output ``(group..., i, j, a, b0, ..., b{K-1})`` for j >= i, where
     ``a = lam [i == j] + sum w x_i x_j`` and, on diagonal rows only,
-    ``b_k = sum w r_k x_i`` (NULL elsewhere). One explode and one
-    partial + final aggregate produce both, so the input (and whatever
-    produced it) is read once."""
+    ``b_k = sum w r_k x_i`` (NULL elsewhere)."""
     group = list(group)
+    kk = len(reward_cols)
     rcols = [_col(c).cast("double").alias(f"_r{k}") for k, c in enumerate(reward_cols)]
-    kk = len(rcols)
     w = F.lit(1.0) if weight is None else _col(weight).cast("double")
     base = df.select(*group, as_double_array(vec).alias("_x"), w.alias("_w"), *rcols)
-    if method == "auto":
-        method = "explode" if d <= EXPLODE_MAX_D else "tiles"
-    if method == "explode":
-        s1 = base.select(*group, "_w", "_x", *[f"_r{k}" for k in range(kk)], F.posexplode("_x").alias("i", "_xi"))
-        s2 = s1.select(*group, "i", (F.col("_w") * F.col("_xi")).alias("_wxi"),
-                       *[(F.col("_w") * F.col(f"_r{k}") * F.col("_xi")).alias(f"_wr{k}") for k in range(kk)],
-                       F.posexplode(F.slice("_x", F.col("i") + 1, F.lit(d) - F.col("i"))).alias("_dj", "_xj"))
-        sums = s2.groupBy(*group, "i", (F.col("i") + F.col("_dj")).alias("j")).agg(
-            F.sum(F.col("_wxi") * F.col("_xj")).alias("_s"),
-            *[F.sum(F.when(F.col("_dj") == 0, F.col(f"_wr{k}"))).alias(f"b{k}") for k in range(kk)])
-    elif method == "tiles":
-        sums = _gram_tiles(base, d, group, kk)
-    else:
-        raise ValueError(f"unknown method {method}")
     lam_c = lam if isinstance(lam, Column) else F.lit(float(lam))
-    return sums.select(
-        *group, F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"),
-        (F.col("_s") + F.when(F.col("i") == F.col("j"), lam_c).otherwise(F.lit(0.0))).alias("a"),
-        *[f"b{k}" for k in range(kk)])
-
-
-def _gram_tiles(base: DataFrame, d: int, group: list, kk: int = 0, max_partials: int | None = None) -> DataFrame:
-    """Large-d plan.
-
-    1. Every task computes ``X^T W X`` (and ``X^T W R``) of its rows with one
-       BLAS call per Arrow batch. The input is coalesced (no shuffle) to at
-       most ``max_partials`` tasks (default: the cluster's parallelism), so
-       the partials, d^2 numbers each, stay few whatever the row count.
-    2. Partials travel as TILE x TILE tiles of the upper triangle (arrays,
-       not cells), hash-partitioned by tile key.
-    3. A streaming numpy sum per tile key: a task keeps one accumulator per
-       tile it owns, never a group's rows. The summed tiles are emitted as
-       ``(group, i, j, _s, b0..)`` cells (j >= i), i.e. the model's size."""
-    spark = base.sparkSession
-    limit = max_partials or spark.sparkContext.defaultParallelism
-    if base.rdd.getNumPartitions() > limit:
-        base = base.coalesce(limit)
+    return _tile_sums(base, d, group, kk).select(
+        *group, "i", "j", (F.col("_s") + F.when(F.col("i") == F.col("j"), lam_c).otherwise(F.lit(0.0))).alias("a"),
+        *[F.when(F.col("i") == F.col("j"), F.col(f"b{k}")).alias(f"b{k}") for k in range(kk)])
+
+
+def _tile_sums(base: DataFrame, d: int, group: list, kk: int) -> DataFrame:
+    """``(group..., i, j, _s, b0..)`` cells, j >= i, of ``X^T W X`` and ``X^T W R``.
+
+    The input is coalesced (no shuffle) to the cluster's parallelism, so the
+    partials, d^2 numbers each, stay few whatever the row count."""
     nt = (d + TILE - 1) // TILE
     gfields = [base.schema[g] for g in group]
     tile_schema = T.StructType(gfields + [
-        T.StructField("ti", T.IntegerType()), T.StructField("tj", T.IntegerType()),
+        T.StructField("ti", T.IntegerType()), T.StructField("tj", T.IntegerType()), T.StructField("fan", T.IntegerType()),
         T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("bv", T.ArrayType(T.DoubleType()))])
     cell_schema = T.StructType(gfields + [
         T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()),
@@ -109,17 +81,22 @@ def _gram_tiles(base: DataFrame, d: int, group: list, kk: int = 0, max_partials:
 
     def partial(it):
         import pandas as pd
+        from pyspark import TaskContext
+        fan = TaskContext.get().partitionId() // FAN_IN
         acc = {}
         for pdf in it:
+            x, ok = context_rows(pdf["_x"], d)
+            weight = pdf["_w"].to_numpy(dtype=np.float64)
+            ok &= np.isfinite(weight)
+            pdf, x, weight = pdf[ok], x[ok], weight[ok]
             if pdf.empty:
                 continue
             keys = list(pdf[group].itertuples(index=False, name=None)) if group else [()] * len(pdf)
-            pdf = pdf.assign(_k=keys)
-            for k, sub in pdf.groupby("_k", sort=False):
-                x = np.vstack(sub["_x"].to_numpy()).astype(np.float64)
-                wx = x * sub["_w"].to_numpy()[:, None]
-                m = wx.T @ x
-                bm = wx.T @ sub[rnames].to_numpy(dtype=np.float64) if kk else None
+            rewards = np.nan_to_num(pdf[rnames].to_numpy(dtype=np.float64), nan=0.0) if kk else None
+            for k, at in pd.Series(range(len(pdf))).groupby(pd.Series(keys), sort=False).indices.items():
+                wx = x[at] * weight[at][:, None]
+                m = wx.T @ x[at]
+                bm = wx.T @ rewards[at] if kk else None
                 if k in acc:
                     acc[k] = (acc[k][0] + m, None if bm is None else acc[k][1] + bm)
                 else:
@@ -130,25 +107,31 @@ def _gram_tiles(base: DataFrame, d: int, group: list, kk: int = 0, max_partials:
                 for tj in range(ti, nt):
                     tile = m[ti * TILE:(ti + 1) * TILE, tj * TILE:(tj + 1) * TILE]
                     bv = bm[ti * TILE:(ti + 1) * TILE].ravel() if (bm is not None and ti == tj) else None
-                    rows.append((*k, ti, tj, tile.ravel(), bv))
-                yield pd.DataFrame(rows, columns=group + ["ti", "tj", "v", "bv"])
+                    rows.append((*k, ti, tj, fan, tile.ravel(), bv))
+                yield pd.DataFrame(rows, columns=group + ["ti", "tj", "fan", "v", "bv"])
 
-    def reduce(it):
-        import pandas as pd
+    def summed(it):
+        """One accumulator per tile that the task owns, never a tile's partials together."""
         acc = {}
         for pdf in it:
-            for row in pdf.itertuples(index=False, name=None):
-                *g, ti, tj, v, bv = row
-                key = (*g, ti, tj)
+            for *key, _, v, bv in pdf.itertuples(index=False, name=None):
+                key = tuple(key)
                 v = np.asarray(v, dtype=np.float64)
                 bv = None if bv is None else np.asarray(bv, dtype=np.float64)
                 if key in acc:
-                    a0, b0 = acc[key]
-                    acc[key] = (a0 + v, b0 if bv is None else (bv if b0 is None else b0 + bv))
+                    acc[key] = (acc[key][0] + v, None if bv is None else acc[key][1] + bv)
                 else:
                     acc[key] = (v, bv)
-        for key, (v, bv) in acc.items():
-            *g, ti, tj = key
+        return acc
+
+    def first_level(it):
+        import pandas as pd
+        for key, (v, bv) in summed(it).items():
+            yield pd.DataFrame([(*key, 0, v, bv)], columns=group + ["ti", "tj", "fan", "v", "bv"])
+
+    def second_level(it):
+        import pandas as pd
+        for (*g, ti, tj), (v, bv) in summed(it).items():
             h = min(TILE, d - ti * TILE)
             w = min(TILE, d - tj * TILE)
             ii, jj = np.meshgrid(np.arange(h) + ti * TILE, np.arange(w) + tj * TILE, indexing="ij")
@@ -156,74 +139,40 @@ def _gram_tiles(base: DataFrame, d: int, group: list, kk: int = 0, max_partials:
             out = pd.DataFrame({"i": ii.ravel()[keep].astype("int32"), "j": jj.ravel()[keep].astype("int32"),
                                 "_s": v.reshape(h, w).ravel()[keep]})
             if kk:
-                bmat = bv.reshape(h, kk) if bv is not None else None
                 diag = (out["i"] == out["j"]).to_numpy()
                 for r in range(kk):
-                    col = np.full(len(out), np.nan)
-                    if bmat is not None:
-                        col[diag] = bmat[out["i"].to_numpy()[diag] - ti * TILE, r]
+                    col = np.zeros(len(out))
+                    if bv is not None:
+                        col[diag] = bv.reshape(h, kk)[out["i"].to_numpy()[diag] - ti * TILE, r]
                     out[f"b{r}"] = col
             for name, val in zip(group, g):
                 out[name] = val
             yield out[group + ["i", "j", "_s"] + [f"b{r}" for r in range(kk)]]
 
-    tiles = base.mapInPandas(partial, tile_schema)
-    return tiles.repartition(*group, "ti", "tj").mapInPandas(reduce, cell_schema)
+    tiles = base.coalesce(base.sparkSession.sparkContext.defaultParallelism).mapInPandas(partial, tile_schema)
+    tiles = tiles.repartition(*group, "ti", "tj", "fan").mapInPandas(first_level, tile_schema)
+    return tiles.repartition(*group, "ti", "tj").mapInPandas(second_level, cell_schema)
 
 
-def reward_sums(df: DataFrame, vec, reward, group: Sequence[str] = (), weight=None) -> DataFrame:
-    """``b = sum w r x`` per group as ``(group..., i, b)``."""
-    group = list(group)
-    w = F.lit(1.0) if weight is None else _col(weight).cast("double")
-    s = df.select(*group, (w * _col(reward).cast("double")).alias("_wr"), F.posexplode(as_double_array(vec)).alias("i", "_xi"))
-    return s.groupBy(*group, F.col("i").cast("int").alias("i")).agg(F.sum(F.col("_wr") * F.col("_xi")).alias("b"))
+def reward_sums(df: DataFrame, vec, d: int, reward_cols: Sequence[str]) -> DataFrame:
+    """``b_k = sum r_k x`` for K reward columns at once, as ``(arm_idx, i, b)``."""
+    diag = ridge_stats(df, vec, d, list(reward_cols)).where("i = j")
+    stack = ", ".join(f"{k}, b{k}" for k in range(len(reward_cols)))
+    return diag.selectExpr("i", f"stack({len(reward_cols)}, {stack}) as (arm_idx, b)").select(
+        F.col("arm_idx").cast("int"), "i", "b")
 
 
-def discounted_stats(df: DataFrame, vec, reward, arm: str, order: Sequence[str], d: int, gamma: float,
-                     lam: float, num_partitions: int | None = None):
+def discounted_table(df: DataFrame, vec, reward, arm: str, order: Sequence[str], d: int, gamma: float,
+                     lam: float, num_partitions: int | None = None) -> DataFrame:
     """Statistics after applying, row by row in ``order``, the discounted
     update ``A <- gamma A + x x^T``, ``b <- gamma b + r x`` to each row's arm,
-    starting from ``lam * I`` and 0.
+    starting from ``lam * I`` and 0, as ``(arm, n, i, j, a, b0)`` with ``b0``
+    on diagonal rows.
 
     Unrolled: a row followed by m later rows of its arm weighs ``gamma^m``,
     and the ridge term becomes ``lam * gamma^n``. Ordinals come from the
-    block ordinal operator, so one arm may hold most rows; the Gram part, the
-    reward part and the counts come from one pass over the ranked rows.
-
-    Returns ``(counts, A, b)``: ``(arm, n)``, ``(arm, i, j, a)``, ``(arm, i, b)``."""
-    st = discounted_table(df, vec, reward, arm, order, d, gamma, lam, num_partitions)
-    counts = st.select(arm, "n").distinct()
-    a = st.select(arm, "i", "j", "a")
-    b = st.where(F.col("i") == F.col("j")).select(arm, "i", F.col("b0").alias("b"))
-    return counts, a, b
-
-
-def discounted_table(df: DataFrame, vec, reward, arm: str, order: Sequence[str], d: int, gamma: float,
-                     lam: float, num_partitions: int | None = None) -> DataFrame:
-    """The single table behind ``discounted_stats``:
-    ``(arm, n, i, j, a, b0)`` with ``b0`` on diagonal rows."""
+    block ordinal operator, so one arm may hold most rows."""
     ranked = with_group_ordinal(df, [arm], list(order), name="_ord", count_name="n", num_partitions=num_partitions)
     ranked = ranked.withColumn("_w", F.pow(F.lit(float(gamma)), (F.col("n") - F.col("_ord")).cast("double")))
     ridge = F.lit(float(lam)) * F.pow(F.lit(float(gamma)), F.col("n").cast("double"))
     return ridge_stats(ranked, vec, d, [reward], lam=ridge, weight="_w", group=[arm, "n"])
-
-
-def merge_discounted(old_a: np.ndarray, old_b: np.ndarray, new_a: np.ndarray, new_b: np.ndarray, n_new: int,
-                     gamma: float):
-    """Ordered merge of discounted statistics: the older state is discounted
-    by ``gamma`` once per newer row. ``new_a`` holds no ridge term."""
-    f = gamma ** n_new
-    return f * old_a + new_a, f * old_b + new_b
-
-
-def reward_sums_wide(df: DataFrame, vec, reward_cols: Sequence[str]) -> DataFrame:
-    """``b_k = sum r_k x`` for K reward columns at once, as ``(arm_idx, i, b)``.
-    One explode, K sums per element index, partial aggregation; no join
-    between contexts and arms."""
-    s = df.select(*[F.col(c).cast("double").alias(f"_r{k}") for k, c in enumerate(reward_cols)],
-                  F.posexplode(as_double_array(vec)).alias("i", "_xi"))
-    wide = s.groupBy(F.col("i").cast("int").alias("i")).agg(
-        *[F.sum(F.col(f"_r{k}") * F.col("_xi")).alias(f"_b{k}") for k in range(len(reward_cols))])
-    k = len(reward_cols)
-    stack = "stack({}, {}) as (arm_idx, b)".format(k, ", ".join(f"{j}, _b{j}" for j in range(k)))
-    return wide.selectExpr("i", stack).select(F.col("arm_idx").cast("int"), "i", "b")

@@ -15,7 +15,7 @@ from armada.operators import grading, inference, online, policy, routing, sampli
 from armada.operators.ordinal import with_group_ordinal
 from armada.plans import jobs
 from armada.sources import registry, tables
-from armada.session import materialize, work_dir
+from armada.session import fresh_dir, materialize
 from armada.sources.files import pending_work
 
 R = 9  # rounding of doubles in query outputs
@@ -200,7 +200,7 @@ def q15_rewards(spark, sf):
 
 def q16_reward_sums(spark, sf):
     split = _router_split(spark, sf, ROUTE_CFG, two_d=False)
-    b = stats.reward_sums_wide(split.where(F.col("split") == "train"), "x", [f"_rw{k}" for k in range(ROUTE_CFG.k)])
+    b = stats.reward_sums(split.where(F.col("split") == "train"), "x", 64, [f"_rw{k}" for k in range(ROUTE_CFG.k)])
     return b.select("arm_idx", "i", _r(F.col("b")).alias("b"))
 
 
@@ -248,14 +248,10 @@ def q22_arm_mix(spark, sf):
     return policy.arm_mix(_outcomes(spark, sf, True))
 
 
-def _sf_tag(sf: str) -> str:
-    return "".join(ch if ch.isalnum() else "_" for ch in sf.strip("/").split("/")[-1])
-
-
 def q23_progressive_metrics(spark, sf):
     # The decisions are written once: the ordinal's key sample and the final
     # pass then read them instead of re-running the routing job.
-    dec = materialize(_outcomes(spark, sf, True), f"q23_outcomes_{_sf_tag(sf)}")
+    dec = materialize(_outcomes(spark, sf, True), "q23_outcomes")
     out = dec.withColumn("_h", sampling.seeded_order("row_id", ORDER_SEED))
     prog = policy.progressive_metrics(out, [], ["_h", "row_id"])
     return prog.select("row_id", "step", _r(F.col("running_accuracy")).alias("running_accuracy"),
@@ -270,9 +266,7 @@ def q24_learn_by_key(spark, sf):
 
 def q25_learn_microbatch(spark, sf):
     ev = tables.user_events(spark, sf).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    tag = "microbatch_" + _sf_tag(sf)
-    dec = online.learn_microbatch(ev, "day", ["ts", "event_id"], "x", "rewards", LEARN_CFG, 1,
-                                  keep=["event_id"], run_name=tag)
+    dec = online.learn_microbatch(ev, "day", ["ts", "event_id"], "x", "rewards", LEARN_CFG, 1, keep=["event_id"])
     return dec.select("event_id", "day", "arm_idx", _r(F.col("ucb")).alias("ucb"), "reward")
 
 
@@ -323,8 +317,8 @@ def q30_assemble_vectors(spark, sf):
     emb = tables.table(spark, sf, "embeddings").select(
         "vec_id", F.size("embedding").cast("int").alias("dim"), _r(l2_norm("embedding")).alias("l2"))
     cut = sampling.four_way_cut(emb, [], ["vec_id"])
-    path = work_dir(spark, f"q30_parts_{_sf_tag(sf)}")
-    cut.write.mode("overwrite").partitionBy("part").parquet(path)
+    path = fresh_dir(spark, "q30_parts")
+    cut.write.partitionBy("part").parquet(path)
     whole = spark.read.parquet(path).withColumn("part", F.col("part").cast("int"))
     pos = with_group_ordinal(whole, [], ["part", "vec_id"], name="_ord")
     return pos.select("vec_id", "part", (F.col("_ord") - 1).alias("pos"), "dim", "l2")

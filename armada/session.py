@@ -4,7 +4,9 @@ checkpoint folder taken from the session."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -56,15 +58,17 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
+    """Return the shared checkpoint folder (``spark.checkpoint.dir``).
 
-    A folder is only chosen here when the session has none, which happens in
-    local tests; on a cluster the setting names shared storage.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+    A folder is only chosen here for a ``local[...]`` master, as in tests; on
+    a cluster driver and executors share no local folder, so a session
+    without the setting is an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is not set: with master {master} it must name a folder "
+                             "that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="armada-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext.getCheckpointDir():
@@ -73,19 +77,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder for written intermediates,
-    scoped by application id so concurrent applications sharing the folder
-    never overwrite each other (reruns inside one application overwrite)."""
+    """A sub-folder of the shared checkpoint folder, scoped by application id."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/armada/{spark.sparkContext.applicationId}/{name}"
 
 
+def fresh_dir(spark: SparkSession, name: str) -> str:
+    """A sub-folder that no other call uses: lazy results of two calls never
+    read or overwrite each other's intermediates."""
+    return work_dir(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Delete a written intermediate that nothing reads any more."""
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 def materialize(df, name: str):
     """Write ``df`` once as Parquet under the shared checkpoint folder and
-    read it back: later passes (sampling, several consumers, retries) read
-    the written rows instead of recomputing the lineage. A rerun with the
-    same name overwrites."""
+    read it back: later passes (several consumers, retries) read the written
+    rows instead of recomputing the lineage."""
     spark = df.sparkSession
-    path = work_dir(spark, f"materialized/{name}")
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    path = fresh_dir(spark, f"materialized/{name}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

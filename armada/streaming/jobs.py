@@ -24,7 +24,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from armada.config import RouterConfig
-from armada.operators.routing import ArmModel, cold_start, score_contexts, solve
+from armada.operators.online import STAT_SCHEMA, learn_step, stage
+from armada.operators.routing import ArmModel, cold_start, score_contexts
+from armada.session import fresh_dir, remove_dir
 
 
 def score_stream(stream: DataFrame, vec: str, model: ArmModel, alpha: float, keep: Sequence[str]) -> DataFrame:
@@ -46,7 +48,8 @@ def learn_by_key_stream(stream: DataFrame, key: str, order: Sequence[str], vec:
 
     def step(key_tuple, pdfs, state):
         import pandas as pd
-        from armada.operators.online import ArmLearner, _pick
+        from armada.functions.vectors import context_rows
+        from armada.operators.online import ArmLearner, outcome_columns
         if state.exists:
             sa, sb = state.get
             learner = ArmLearner.from_state(np.asarray(sa, dtype=np.float64).reshape(k, d, d),
@@ -56,22 +59,11 @@ def learn_by_key_stream(stream: DataFrame, key: str, order: Sequence[str], vec:
         # The key's rows of this micro-batch (bounded by the trigger size),
         # in order; rows of later micro-batches are learnt later.
         rows = pd.concat(list(pdfs), ignore_index=True).sort_values(order, kind="stable")
-        arms, ucbs, rews = [], [], []
-        for x, rw in zip(rows[vec].to_numpy(), rows[rewards].to_numpy()):
-            x = np.asarray(x, dtype=np.float64)
-            arm, best = _pick(learner.scores(x))
-            r = float(rw[arm])
-            learner.update(arm, x, r)
-            arms.append(arm)
-            ucbs.append(best)
-            rews.append(r)
+        x, ok = context_rows(rows[vec], d)
+        steps = [learner.step(x[t], ok[t], rw) for t, rw in enumerate(rows[rewards].to_numpy())]
         a, b = learner.state()
         state.update((a.ravel().tolist(), b.ravel().tolist()))
-        out = rows[[key, *keep]].copy()
-        out["arm_idx"] = np.asarray(arms, dtype="int32")
-        out["ucb"] = ucbs
-        out["reward"] = rews
-        yield out
+        yield outcome_columns(rows[[key, *keep]], steps)
 
     cols = list(dict.fromkeys([key, *keep, *order, vec, rewards]))
     return stream.select(*cols).groupBy(key).applyInPandasWithState(
@@ -79,60 +71,44 @@ def learn_by_key_stream(stream: DataFrame, key: str, order: Sequence[str], vec:
 
 
 def microbatch_learner(state_dir: str, out_dir: str, order: Sequence[str], vec: str, rewards: str,
-                       cfg: RouterConfig, d: int, keep: Sequence[str], max_step_bytes: int = 1 << 30):
+                       cfg: RouterConfig, d: int, keep: Sequence[str]):
     """T3: a ``foreachBatch`` function for a global learner updated once per
     micro-batch. State versions live under ``state_dir/version=<batch_id>``
-    (version 0 = cold start); decisions under ``out_dir/batch_id=<id>``."""
-    from armada.operators.online import _fold_pass
-    order, keep = list(order), list(keep)
+    (version 0 = cold start; the last two are kept, for a replay); decisions
+    under ``out_dir/batch_id=<id>/_kind=0`` (``read_decisions``)."""
+    order = list(order)
+    keep = list(dict.fromkeys([*keep, *order]))
 
     def load(spark, version):
-        if version == 0:
-            return cold_start(cfg, d)
-        rows = spark.read.parquet(f"{state_dir}/version={version}").collect()
         a, b = cold_start(cfg, d)
-        for r in rows:
-            a[r["arm_idx"]] = np.asarray(r["a"]).reshape(d, d)
-            b[r["arm_idx"]] = np.asarray(r["b"])
+        if version:
+            for r in spark.read.parquet(f"{state_dir}/version={version}").collect():
+                a[r["arm_idx"]] = np.asarray(r["a"]).reshape(d, d)
+                b[r["arm_idx"]] = np.asarray(r["b"])
         return a, b
 
     def run(batch_df: DataFrame, batch_id: int):
         spark = batch_df.sparkSession
         a, b = load(spark, batch_id)
-        model = solve(a, b)
-        n_part = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        # each staged block sends K*d^2 numbers to the driver: stay within budget
-        n_part = max(1, min(n_part, max_step_bytes // max(1, 8 * cfg.k * (d * d + d))))
-        staged = (batch_df.select(*dict.fromkeys([*keep, *order, vec, rewards]))
-                  .repartitionByRange(n_part, *order).sortWithinPartitions(*order)
-                  .withColumn("_blk", F.spark_partition_id()))
-        staged.write.mode("overwrite").parquet(f"{out_dir}/_staged/batch_id={batch_id}")
-        staged = spark.read.parquet(f"{out_dir}/_staged/batch_id={batch_id}")
-        # numpy scoring: the fold pass below must choose exactly the same arms
-        dec = score_contexts(staged, vec, model, cfg.alpha, keep=list(dict.fromkeys([*keep, rewards])),
-                             engine="numpy")
-        dec = dec.withColumn("reward", F.element_at(rewards, F.col("arm_idx") + 1)).drop(rewards)
-        dec.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
-        # Each staged file holds one range block in order: fold per
-        # (block, file, split) without a shuffle, merge in that order.
-        part = staged.select(vec, rewards, *order, "_blk", F.col("_metadata.file_path").alias("_file"),
-                             F.col("_metadata.file_block_start").alias("_start"))
-        fn = _fold_pass(model.theta, model.chol_inv, cfg.alpha, cfg.gamma, cfg.k, d, vec, rewards,
-                        order=order, piece_cols=["_blk", "_file", "_start"])
-        schema = "_blk int, _file string, _start long, arm_idx int, n long, a array<double>, b array<double>"
-        stats = part.mapInPandas(fn, schema).collect()
-        for r in sorted(stats, key=lambda r: (r["_blk"], r["_file"], r["_start"])):
-            i, m = r["arm_idx"], int(r["n"])
-            f = cfg.gamma ** m
-            a[i] = f * a[i] + np.asarray(r["a"]).reshape(d, d)
-            b[i] = f * b[i] + np.asarray(r["b"])
+        staged_dir = fresh_dir(spark, f"stream-{batch_id}")
+        stage(batch_df.select(*dict.fromkeys([*keep, vec, rewards])), staged_dir, order)
+        a, b = learn_step(spark.read.parquet(staged_dir), f"{out_dir}/batch_id={batch_id}", a, b, order, vec, rewards, cfg, keep)
+        remove_dir(spark, staged_dir)
+        remove_dir(spark, f"{out_dir}/batch_id={batch_id}/_kind=1")
         rows = [(i, a[i].ravel().tolist(), b[i].tolist()) for i in range(cfg.k)]
         (spark.createDataFrame(rows, "arm_idx int, a array<double>, b array<double>")
          .write.mode("overwrite").parquet(f"{state_dir}/version={batch_id + 1}"))
+        remove_dir(spark, f"{state_dir}/version={batch_id - 1}")
 
     return run
 
 
+def read_decisions(spark, out_dir: str) -> DataFrame:
+    """The decisions that ``microbatch_learner`` has written."""
+    stats = [f.name for f in T.StructType.fromDDL(STAT_SCHEMA)]
+    return spark.read.parquet(out_dir).where("_kind = 0").drop("_kind", *stats)
+
+
 def running_metrics(outcomes_stream: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """T4: running count, accuracy and total price per group of a stream of
     outcomes (``correct``, ``price``); use output mode ``complete`` or

@@ -60,8 +60,7 @@ def test_microbatch_equals_loop(spark):
             a[arm] = CFG.gamma * a[arm] + np.outer(x, x)
             b[arm] = CFG.gamma * b[arm] + rew * x
     df = _spark_events(spark).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    got = learn_microbatch(df, "day", ["ts", "event_id"], "x", "rewards", CFG, 1, keep=["event_id"],
-                           run_name="test_microbatch").collect()
+    got = learn_microbatch(df, "day", ["ts", "event_id"], "x", "rewards", CFG, 1, keep=["event_id"]).collect()
     assert {r["event_id"]: r["arm_idx"] for r in got} == want
 
 
@@ -96,8 +95,7 @@ def test_microbatch_with_one_row_batches_is_the_row_by_row_loop(spark):
     # one batch per event, numbered in (ts, event_id) order
     steps = spark.createDataFrame([(e, i) for i, e in enumerate(ids)], "event_id long, step long")
     df = _spark_events(spark).join(steps, ["event_id"])
-    got = learn_microbatch(df, "step", ["ts", "event_id"], "x", "rewards", CFG, 1, keep=["event_id"],
-                           run_name="test_one_row_batches").collect()
+    got = learn_microbatch(df, "step", ["ts", "event_id"], "x", "rewards", CFG, 1, keep=["event_id"]).collect()
     assert {r["event_id"]: r["arm_idx"] for r in got} == want
 
 

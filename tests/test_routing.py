@@ -4,6 +4,7 @@ price rules."""
 import numpy as np
 import pandas as pd
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from armada.config import RouterConfig
@@ -51,8 +52,7 @@ def test_cold_start_picks_first_arm(spark):
 def test_high_price_sensitivity_picks_cheapest(spark):
     """With a bias feature and a large p every arm's fitted reward is about
     -p * normalised price, so the cheapest arm (arm 0) wins everywhere."""
-    from armada.operators.routing import collect_state
-    from armada.operators.stats import gram, reward_sums_wide
+    from armada.plans.jobs import warm_start
     cfg = RouterConfig(alpha=0.0, lam=1.0, p=100.0)
     rng = np.random.default_rng(5)
     rows = []
@@ -61,9 +61,8 @@ def test_high_price_sensitivity_picks_cheapest(spark):
         rows.append((i, [1.0, float(rng.normal())],
                      *[float(c[k] - cfg.p * cfg.normalised_prices[k]) for k in range(cfg.k)]))
     df = spark.createDataFrame(rows, "row_id long, x array<double>, " + ", ".join(f"r{k} double" for k in range(cfg.k)))
-    a, b = collect_state(gram(df, "x", 2, lam=cfg.lam), reward_sums_wide(df, "x", [f"r{k}" for k in range(cfg.k)]),
-                         cfg, 2, arm_col=None)
-    out = score_contexts(df, "x", solve(a, b), cfg.alpha, keep=["row_id"]).select("arm_idx").distinct().collect()
+    model = warm_start(df, "x", [f"r{k}" for k in range(cfg.k)], cfg, 2)
+    out = score_contexts(df, "x", model, cfg.alpha, keep=["row_id"]).select("arm_idx").distinct().collect()
     assert [r["arm_idx"] for r in out] == [0]
 
 
@@ -73,33 +72,43 @@ def test_repeats_equal(spark):
     assert r["runs"] == 3 and abs(r["mean_accuracy"] - m["accuracy"]) < 1e-9
 
 
-def test_choose_from_long_rules(spark):
-    from armada.operators.routing import choose_from_long
-    rows = [(1, 0, 0.5), (1, 1, 0.5), (1, 2, 0.1),          # tie -> first arm
-            (2, 0, float("nan")), (2, 1, -3.0),             # NaN never wins
-            (3, 0, float("nan")), (3, 1, None)]             # nothing to choose
-    df = spark.createDataFrame(rows, "row_id long, arm_idx int, ucb double")
-    got = {r["row_id"]: (r["arm_idx"], r["ucb"]) for r in choose_from_long(df, "row_id").collect()}
-    assert got == {1: (0, 0.5), 2: (1, -3.0)}
-
-
-def test_jvm_and_numpy_scoring_agree(spark):
+def test_exact_ties_go_to_the_first_arm(spark):
     rng = np.random.default_rng(9)
     d, k = 3, 4
     a = np.stack([np.eye(d) * 2 + (lambda m: m @ m.T)(rng.normal(size=(d, d))) for _ in range(k)])
     b = rng.normal(size=(k, d))
     b[2] = b[1]
     a[2] = a[1]                                   # arms 1 and 2 tie exactly
-    model = solve(a, b)
     rows = [(i, [float(v) for v in rng.normal(size=d)]) for i in range(300)] + [(999, [0.0, 0.0, 0.0])]
     df = spark.createDataFrame(rows, "row_id long, x array<double>")
-    jv = {r["row_id"]: (r["arm_idx"], r["ucb"]) for r in
-          score_contexts(df, "x", model, 0.8, keep=["row_id"], engine="jvm").collect()}
-    npy = {r["row_id"]: (r["arm_idx"], r["ucb"]) for r in
-           score_contexts(df, "x", model, 0.8, keep=["row_id"], engine="numpy").collect()}
-    assert jv.keys() == npy.keys()
-    for key in jv:
-        assert jv[key][0] == npy[key][0]
-        assert abs(jv[key][1] - npy[key][1]) < 1e-9
-    assert 2 not in {v[0] for v in jv.values()}   # on the tie, arm 1 (first) always wins over arm 2
-    assert jv[999][0] == 0                          # all scores 0: first arm
+    got = {r["row_id"]: r["arm_idx"] for r in score_contexts(df, "x", solve(a, b), 0.8, keep=["row_id"]).collect()}
+    assert 2 not in got.values() and got[999] == 0
+
+
+@pytest.mark.parametrize("d", [1, 2, 16, 17, 64, 128, 129, 192])
+def test_one_rule_at_every_size(spark, d):
+    """A NULL or NaN context is skipped and gets no arm, a NULL reward adds
+    nothing to its arm, a wrong length fails - whatever the vector length."""
+    from armada.plans.jobs import warm_start
+    cfg = RouterConfig(alpha=0.5, lam=1.5)
+    rng = np.random.default_rng(d)
+    x = rng.normal(size=(40, d))
+    r = rng.random((40, cfg.k))
+    rows = [(i, x[i].tolist(), *[None if (i, k) == (7, 1) else float("nan") if (i, k) == (8, 2) else float(r[i, k])
+                                  for k in range(cfg.k)]) for i in range(40)]
+    odd = [(100, None, *[1.0] * cfg.k), (101, [float("nan")] * d, *[1.0] * cfg.k), (102, [None] * d, *[1.0] * cfg.k)]
+    cols = [f"r{k}" for k in range(cfg.k)]
+    df = spark.createDataFrame(rows + odd, "row_id long, x array<double>, " + ", ".join(f"{c} double" for c in cols))
+    model = warm_start(df, "x", cols, cfg, d)
+    r[7, 1] = r[8, 2] = 0.0
+    assert np.allclose(model.a[0], cfg.lam * np.eye(d) + x.T @ x)
+    assert np.allclose(model.b, r.T @ x)
+    got = {row["row_id"]: row for row in score_contexts(df, "x", model, cfg.alpha, keep=["row_id"]).collect()}
+    for i in (100, 101, 102):
+        assert got[i]["arm_idx"] is None and got[i]["ucb"] is None
+    inv = np.linalg.inv(model.a[0])
+    want = x @ inv @ model.b.T + cfg.alpha * np.sqrt(np.einsum("nd,de,ne->n", x, inv, x))[:, None]
+    assert [got[i]["arm_idx"] for i in range(40)] == want.argmax(axis=1).tolist()
+    long = spark.createDataFrame([(1, [1.0] * (d + 1))], "row_id long, x array<double>")
+    with pytest.raises(Exception, match="numbers instead of"):
+        score_contexts(long, "x", model, cfg.alpha, keep=["row_id"]).collect()

@@ -11,7 +11,9 @@ from armada.config import RouterConfig
 from armada.operators.online import learn_by_key, learn_microbatch
 from armada.operators.routing import cold_start, solve
 from armada.sources.tables import user_events
-from armada.streaming.jobs import learn_by_key_stream, microbatch_learner, running_metrics, score_stream
+from armada.streaming.jobs import (
+    learn_by_key_stream, microbatch_learner, read_decisions, running_metrics, score_stream,
+)
 
 SF = "/root/testdata/sf0.001"
 CFG = RouterConfig(arms=("a0", "a1"), prices=(1.0, 1.0), alpha=0.5, lam=2.0, gamma=0.9)
@@ -58,10 +60,10 @@ def test_microbatch_stream_equals_batch_and_replay_is_idempotent(spark, scratch)
     q = (_stream(spark, d).writeStream.foreachBatch(fn).option("checkpointLocation", f"{scratch}/ck2")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    got = {r["event_id"]: r["arm_idx"] for r in spark.read.parquet(out_dir).collect()}
+    got = {r["event_id"]: r["arm_idx"] for r in read_decisions(spark, out_dir).collect()}
     ev = user_events(spark, SF).withColumn("half", F.when(F.col("ts") <= F.lit(cut.to_pydatetime()).cast("timestamp_ntz"), 0).otherwise(1))
     want = {r["event_id"]: r["arm_idx"] for r in learn_microbatch(
-        ev, "half", ["ts", "event_id"], "x", "rewards", CFG, 1, keep=["event_id"], run_name="test_stream_mb").collect()}
+        ev, "half", ["ts", "event_id"], "x", "rewards", CFG, 1, keep=["event_id"]).collect()}
     assert got == want
     v2 = sorted(tuple(r) for r in spark.read.parquet(f"{state_dir}/version=2").collect())
     # replaying batch 1 rewrites version 2 from version 1: same state, no double fold
