@@ -29,6 +29,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -328,7 +329,7 @@ def count_tokens(docs: DataFrame, tokenizer_json: str, limit: int, id_col: str =
             for a, b in slices(column, BATCH_BYTES):
                 part = column.slice(a, b - a)
                 tokens = counter.count(part.to_pylist())
-                size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(part), 0)).astype(np.int64)
+                size = np.asarray(pc.fill_null(pc.binary_length(part), 0)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size), pa.array(tokens),
                                                   pa.array(tokens > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 

@@ -26,6 +26,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,7 +77,7 @@ def tokenizer_of(tokenizer_json: str):
 
 def slices(column: pa.Array, limit: int = BATCH_BYTES):
     """(start, stop) row ranges of a string column of about ``limit`` bytes."""
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0))
+    lengths = np.asarray(pc.fill_null(pc.binary_length(column), 0))
     ends = np.cumsum(lengths, dtype=np.int64)
     start = 0
     while start < len(lengths):
@@ -143,7 +144,7 @@ def write_token_files(docs: DataFrame, tokenizer_json: str, end_id: int, id_col:
                 lengths = np.fromiter((len(e) // width + 1 for e in enc), np.uint64, len(enc))
                 files[0].write(end.join(enc) + end)
                 files[1].write((np.cumsum(lengths) + np.uint64(total)).astype("<u8").tobytes())
-                files[2].write(np.asarray(pa.compute.fill_null(ids.slice(a, b - a), NULL_ID)).astype("<i8").tobytes())
+                files[2].write(np.asarray(pc.fill_null(ids.slice(a, b - a), NULL_ID)).astype("<i8").tobytes())
                 total += int(lengths.sum())
                 n_docs += b - a
         if files is not None:
