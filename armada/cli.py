@@ -62,17 +62,16 @@ def cmd_evaluate(spark, a) -> None:
     path = f"{a.prompts}/{a.split}/" + ("*_prompts.csv" if per_task else "prompts.csv")
     prompts = files.read_prompt_files(spark, path, per_task=per_task)
     if not per_task:
-        prompts = prompts.withColumn("task", F.lit(a.split))
+        prompts = prompts.drop("task")
     factory = _factory(a.scorer, offline_scorer_factory())
     report, graded = evaluate(prompts, names, factory, split=a.split, subset_ratio=a.subset_ratio,
                               batch_rows=a.batch_size)
     ids = models_frame(spark).select("model", short_model_name("model_id").alias("model_name"))
     report = report.join(F.broadcast(ids), ["model"], "left")
     files.write_summary(report, f"{a.out}/summary")
-    files.write_predictions(graded.select("model", "split", "task", "row_id", "prompt", "ground_truth", "prediction"),
-                            f"{a.out}/predictions")
-    report.select("model_name", "task", "split", "accuracy", "avg_time_sec", "n", "error").orderBy(
-        "model_name", "task").show(1000, truncate=False)
+    files.write_predictions(graded, f"{a.out}/predictions")
+    cols = [c for c in ("model_name", "task", "split", "accuracy", "avg_time_sec", "n", "error") if c in report.columns]
+    show(report.select(*cols).orderBy(*[c for c in ("model_name", "task") if c in cols]))
 
 
 def cmd_embed(spark, a) -> None:
@@ -84,56 +83,58 @@ def cmd_embed(spark, a) -> None:
         raise ValueError(C.PART_SPLIT_ERROR)
     q = files.read_question_files(spark, a.questions, a.split).select("task", "row_id", "question", "choices")
     factory = _factory(a.embedder, hashing_embedder_factory(a.dim))
-    vecs = prepare_vectors(q, factory, a.out, a.model.split("/")[-1], a.split,
-                           cut_parts=a.miscellaneous_train_part is not None)
-    if a.miscellaneous_train_part is not None:
-        vecs = vecs.where(F.col("part") == a.miscellaneous_train_part)
-    vecs.groupBy("task", "part").agg(F.count("*").alias("vectors")).orderBy("task", "part").show(1000)
+    vecs, rejected = prepare_vectors(q, factory, a.out, a.model.split("/")[-1], a.split, part=a.miscellaneous_train_part)
+    show(vecs.groupBy("task", "part").agg(F.count("*").alias("vectors")).orderBy("task", "part"))
+    show(rejected.groupBy("task", "error").agg(F.count("*").alias("rejected")).orderBy("task", "error"))
+
+
+def show(df) -> None:
+    """Print every row (one per model and task, or per unit), streamed."""
+    print("\t".join(df.columns))
+    for row in df.toLocalIterator():
+        print("\t".join("" if v is None else str(v) for v in row))
 
 
 def cmd_route(spark, a) -> None:
     from armada.operators import policy, routing
-    from armada.operators.online import learn_microbatch
-    from armada.operators.sampling import permutation_order
-    from armada.plans.jobs import vector_dim, warm_start
+    from armada.plans.jobs import learning_repeats, pair_labels, vector_dim, warm_start
 
     cfg = RouterConfig(alpha=a.alpha, lam=a.lambda_reg, gamma=a.gamma, p=a.p)
-    test = spark.read.parquet(a.test)
+
+    def table(path, labels):
+        rows = spark.read.parquet(path)
+        if not labels:
+            return rows
+        rows, counts = pair_labels(rows, spark.read.parquet(labels).select("row_id", *cfg.arms))
+        lost = counts.first()
+        if lost["labels_unmatched"] or lost["vectors_unmatched"]:
+            print(f"{path}: {lost['vectors_unmatched']} vectors without labels, {lost['labels_unmatched']} labels without a vector")
+        return rows
+
+    test = table(a.test, a.test_labels)
     d = vector_dim(test, "embedding")
     norm = cfg.normalised_prices
     if a.past_context:
-        train = spark.read.parquet(a.train)
+        train = table(a.train, a.train_labels)
         for k, arm in enumerate(cfg.arms):
             train = train.withColumn(f"_rw{k}", F.col(arm).cast("double") - F.lit(cfg.p * norm[k]))
         model = warm_start(train, "embedding", [f"_rw{k}" for k in range(cfg.k)], cfg, d)
-        state = (model.a.copy(), model.b.copy())
     else:
-        state = routing.cold_start(cfg, d)
-        model = routing.solve(*state)
+        model = routing.solve(*routing.cold_start(cfg, d))
     arms = routing.arms_frame(spark, cfg)
-    results = []
-    for run in range(a.repeats):
-        if not a.update:
-            # a frozen policy decides each row alone: the order of a run cannot matter
-            dec = routing.score_contexts(test, "embedding", model, cfg.alpha, keep=["row_id", *cfg.arms])
-            rew = dec
-        else:
-            ordered = permutation_order(test, "row_id", f"run{run}", name="seq")
-            ordered = ordered.withColumn("_batch", F.floor((F.col("seq") - 1) / a.update_batch_rows).cast("long"))
-            ordered = ordered.withColumn("_rewards", F.array(*[
-                F.col(arm).cast("double") - F.lit(cfg.p * norm[k]) for k, arm in enumerate(cfg.arms)]))
-            ordered = ordered.withColumn("_x", F.transform("embedding", lambda v: v.cast("double")))
-            st = (state[0].copy(), state[1].copy())
-            dec = learn_microbatch(ordered, "_batch", ["seq"], "_x", "_rewards", cfg, d, keep=["row_id"],
-                                   state=st)
-            rew = dec.join(test.select("row_id", *cfg.arms), ["row_id"])
-        out = rew.withColumn("correct", F.element_at(F.array(*cfg.arms), F.col("arm_idx") + 1).cast("int"))
-        out = out.join(F.broadcast(arms.select("arm_idx", "price")), ["arm_idx"], "left")
-        m = policy.policy_metrics(out).collect()[0]
-        results.append((m["accuracy"], m["price_per_10k"]))
-        print(f"run {run}: accuracy {m['accuracy']:.4f}, price per 10000 {m['price_per_10k']:.2f}")
-    acc = sum(r[0] for r in results) / len(results)
-    price = sum(r[1] for r in results) / len(results)
+    if a.update:
+        out = learning_repeats(test, "embedding", model, cfg, a.repeats, a.update_batch_rows)
+    else:
+        # a frozen policy decides each row alone: the order of a run cannot matter, so it is run once
+        dec = routing.score_contexts(test, "embedding", model, cfg.alpha, keep=["row_id", *cfg.arms])
+        out = dec.withColumn("correct", F.get(F.array(*cfg.arms), F.col("arm_idx")).cast("int")).withColumn(
+            "run", F.explode(F.array(*[F.lit(r) for r in range(a.repeats)])))
+    out = out.join(F.broadcast(arms.select("arm_idx", "price")), ["arm_idx"], "left")
+    results = policy.policy_metrics(out, ["run"]).orderBy("run").collect()  # one row per run
+    for m in results:
+        print(f"run {m['run']}: accuracy {m['accuracy']:.4f}, price per 10000 {m['price_per_10k']:.2f}")
+    acc = sum(m["accuracy"] for m in results) / len(results)
+    price = sum(m["price_per_10k"] for m in results) / len(results)
     print(C.ROUTE_SUMMARY_FORMAT.format(acc=acc, price=price))
 
 
@@ -159,6 +160,8 @@ def parser() -> argparse.ArgumentParser:
     r = sub.add_parser("route")
     r.add_argument("--train", default=None)
     r.add_argument("--test", required=True)
+    r.add_argument("--train_labels", default=None, help="Parquet with row_id and one 0/1 column per arm, if apart")
+    r.add_argument("--test_labels", default=None)
     r.add_argument("--alpha", type=float, default=C.ROUTER_DEFAULTS["alpha"])
     r.add_argument("--lambda_reg", type=float, default=C.ROUTER_DEFAULTS["lam"])
     r.add_argument("--gamma", type=float, default=C.ROUTER_DEFAULTS["gamma"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # ---------------------------------------------------------------------------
 # Fixed values. These must equal the evaluated program's values for results
@@ -28,15 +28,6 @@ INSTRUCT_LETTERS = ["A", "B", "C", "D"]
 # First standalone capital A-D.
 ANSWER_PATTERN = r"\b([A-D])\b"
 
-# Error text of an evaluation that produced no rows.
-EMPTY_EVAL_ERROR = "No examples processed. Check your model and GPU configuration."
-# Error text for a model name outside the registry ({} = the name).
-UNKNOWN_MODEL_ERROR = "Model {} not supported"
-# Error text for a four-way part requested outside the training split.
-PART_SPLIT_ERROR = "miscellaneous_train_part is only supported for auxiliary_train split"
-# Final routing line: mean accuracy and mean price per 10 000 questions.
-ROUTE_SUMMARY_FORMAT = "Total Accuracy: {acc:.4f}, Total Price: {price:.2f}"
-
 # Short model name -> model id.
 MODEL_REGISTRY = [
     ("gemma 2B", "google/gemma-2-2b-it"),
@@ -87,6 +78,13 @@ WS_CLASS = (
 )
 
 
+# Our own messages.
+EMPTY_EVAL_ERROR = "no question was evaluated"
+UNKNOWN_MODEL_ERROR = "{} is not in the model registry"
+PART_SPLIT_ERROR = "only the split auxiliary_train is cut into parts"
+ROUTE_SUMMARY_FORMAT = "mean accuracy {acc:.4f}, mean price per 10 000 questions {price:.2f}"
+
+
 @dataclass(frozen=True)
 class RouterConfig:
     """Parameters of the linear upper-confidence-bound router.
@@ -103,7 +101,6 @@ class RouterConfig:
     lam: float = ROUTER_DEFAULTS["lam"]
     gamma: float = ROUTER_DEFAULTS["gamma"]
     p: float = ROUTER_DEFAULTS["p"]
-    extra: dict = field(default_factory=dict, compare=False)
 
     def __post_init__(self):
         if len(self.arms) != len(self.prices) or not self.arms:

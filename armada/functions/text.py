@@ -26,14 +26,16 @@ def _letter(i: Column) -> Column:
 def mc_prompt(question, choices) -> Column:
     """Multiple-choice prompt from a question and an ``array<string>`` of
     choices: one ``X. choice`` line per choice (stripped), as many letters as
-    choices. A NULL choices array gives the four placeholder lines."""
+    choices. A NULL choices array gives the four placeholder lines; a NULL
+    choice cannot be stripped and makes the whole prompt NULL (the caller
+    flags the row)."""
     choices = _col(choices)
     lines = F.array_join(
         F.transform(choices, lambda c, i: F.concat(_letter(i), F.lit(". "), strip_unicode(c), F.lit("\n"))),
         "",
     )
     placeholder = F.lit("".join(f"{chr(65 + i)}. {t}\n" for i, t in enumerate(C.MC_PLACEHOLDER_CHOICES)))
-    body = F.when(choices.isNull(), placeholder).otherwise(lines)
+    body = F.when(choices.isNull(), placeholder).when(~F.exists(choices, lambda c: c.isNull()), lines)
     return F.concat(F.lit(C.MC_PROMPT_HEAD), _col(question), F.lit(C.MC_PROMPT_OPTIONS), body, F.lit(C.MC_PROMPT_TAIL))
 
 
@@ -55,11 +57,12 @@ def task_words(task) -> Column:
 
 def instruct_prompt(task, question, choices, strict: bool = False) -> Column:
     """Instruction prompt for embedding. Choices are printed as ``A). text``
-    without stripping; more than four choices gives NULL (the caller flags
-    the row as rejected), or fails the job when ``strict``."""
+    without stripping, a NULL choice as ``None``; more than four choices
+    gives NULL (the caller flags the row as rejected), or fails the job when
+    ``strict``."""
     choices = _col(choices)
     lines = F.array_join(
-        F.transform(choices, lambda c, i: F.concat(_letter(i), F.lit("). "), c, F.lit("\n"))), ""
+        F.transform(choices, lambda c, i: F.concat(_letter(i), F.lit("). "), F.coalesce(c, F.lit("None")), F.lit("\n"))), ""
     )
     text = F.concat(
         F.lit(C.INSTRUCT_HEAD), task_words(task), F.lit(C.INSTRUCT_MID), _col(question),
@@ -93,6 +96,13 @@ def parse_list_literal(s) -> Column:
     )
 
 
+def read_choices(s) -> Column:
+    """``parse_list_literal``, and ``literal_list_exact`` for what it cannot read."""
+    s = _col(s)
+    fast = parse_list_literal(s)
+    return F.coalesce(fast, literal_list_exact(F.when(fast.isNull(), s)))
+
+
 def strip_echo(generated_text, prompt) -> Column:
     """Drop the echoed prompt by its length (no prefix check)."""
     return F.call_function("substring", _col(generated_text), F.length(_col(prompt)) + F.lit(1))

@@ -26,39 +26,40 @@ def alignment_counts(responses: DataFrame, questions: DataFrame, keys: Sequence[
     keys = list(keys)
     r = responses.select(*keys).withColumn("_r", F.lit(1))
     q = questions.select(*[k for k in keys if k in questions.columns]).withColumn("_q", F.lit(1))
-    both = r.join(q, [k for k in keys if k in questions.columns], "full_outer")
+    both = join_keys(r, q, [k for k in keys if k in questions.columns], "full_outer")
     return both.agg(
         F.sum(F.when(F.col("_q").isNull(), 1).otherwise(0)).cast("long").alias("responses_unmatched"),
         F.sum(F.when(F.col("_r").isNull(), 1).otherwise(0)).cast("long").alias("questions_unmatched"),
     )
 
 
-def grade(df: DataFrame, prompt: str = "prompt", text: str = "generated_text", answer: str = "answer",
-          prompt_len: str | None = None) -> DataFrame:
-    """Add ``ground_truth``, ``prediction`` (A-D, ``NONE`` or ``ERROR``),
-    ``correct`` (0/1) and ``answer_ok`` to a table of paired responses.
-
-    The echoed prompt is removed by length, the first standalone A-D of the
-    rest is the prediction, a NULL response is an ``ERROR`` counted wrong.
-    With ``prompt_len`` (the prompt's length in characters, computed before
-    pairing) the prompt text itself need not travel through the pairing join."""
-    gt = answer_letter(F.col(answer))
+def parse_responses(df: DataFrame, prompt: str = "prompt", text: str = "generated_text",
+                    prompt_len: str | None = None) -> DataFrame:
+    """Add ``_parsed`` (first standalone A-D behind the echoed prompt, which
+    is removed by length) and ``_failed`` (no response). With ``prompt_len``
+    (the prompt's length in characters) the prompt itself is not needed."""
     if prompt_len:
         rest = F.call_function("substring", F.col(text), F.col(prompt_len) + F.lit(1))
     else:
         rest = strip_echo(F.col(text), F.col(prompt))
-    parsed = parse_answer(rest)
-    return (
-        df.withColumn("ground_truth", gt)
-        .withColumn("_parsed", parsed)
-        .withColumn(
-            "prediction",
-            F.when(F.col(text).isNull(), F.lit("ERROR")).otherwise(F.coalesce(F.col("_parsed"), F.lit("NONE"))),
-        )
-        .withColumn("correct", F.coalesce(F.col("_parsed") == F.col("ground_truth"), F.lit(False)).cast("int"))
-        .withColumn("answer_ok", F.col("ground_truth").isNotNull())
-        .drop("_parsed")
-    )
+    return df.withColumn("_parsed", parse_answer(rest)).withColumn("_failed", F.col(text).isNull())
+
+
+def grade_parsed(df: DataFrame, answer: str = "answer") -> DataFrame:
+    """Add ``ground_truth``, ``prediction`` (A-D, ``NONE`` or ``ERROR``),
+    ``correct`` (0/1) and ``answer_ok`` to parsed responses with their answer;
+    a failed response is an ``ERROR`` counted wrong."""
+    df = df.withColumn("ground_truth", answer_letter(F.col(answer)))
+    prediction = F.when(F.col("_failed"), F.lit("ERROR")).otherwise(F.coalesce(F.col("_parsed"), F.lit("NONE")))
+    return (df.withColumn("prediction", prediction)
+            .withColumn("correct", F.coalesce(F.col("_parsed") == F.col("ground_truth"), F.lit(False)).cast("int"))
+            .withColumn("answer_ok", F.col("ground_truth").isNotNull()).drop("_parsed", "_failed"))
+
+
+def grade(df: DataFrame, prompt: str = "prompt", text: str = "generated_text", answer: str = "answer",
+          prompt_len: str | None = None) -> DataFrame:
+    """``parse_responses`` and ``grade_parsed`` of responses that carry their answer."""
+    return grade_parsed(parse_responses(df, prompt, text, prompt_len), answer)
 
 
 def accuracy(graded: DataFrame, by: Sequence[str], latency: str | None = "latency_sec") -> DataFrame:
@@ -69,6 +70,8 @@ def accuracy(graded: DataFrame, by: Sequence[str], latency: str | None = "latenc
         F.count(F.lit(1)).alias("n"),
         F.sum(F.when(F.col("answer_ok"), 0).otherwise(1)).cast("long").alias("n_bad_answer"),
     ]
+    if "scorer_error" in graded.columns:
+        aggs.append(F.min("scorer_error").alias("scorer_error"))
     if latency:
         aggs.append((F.sum(latency) / F.count(F.lit(1))).alias("avg_time_sec"))
     return graded.groupBy(*by).agg(*aggs)
@@ -76,27 +79,31 @@ def accuracy(graded: DataFrame, by: Sequence[str], latency: str | None = "latenc
 
 def run_report(summary: DataFrame, expected: DataFrame, by: Sequence[str]) -> DataFrame:
     """Every expected group with its metrics, or an ``error`` when the group
-    had no rows or held an answer that cannot be graded (the whole group then
-    fails, as one bad answer fails its task)."""
+    had no rows, when scoring any of its batches failed, or when it held an
+    answer that cannot be graded (one failure fails the whole group)."""
     by = list(by)
     rep = join_keys(expected, summary, by, "left")
     bad = F.coalesce(F.col("n_bad_answer"), F.lit(0)) > 0
     empty = F.coalesce(F.col("n"), F.lit(0)) == 0
+    if "scorer_error" not in rep.columns:
+        rep = rep.withColumn("scorer_error", F.lit(None).cast("string"))
+    failed = F.col("scorer_error").isNotNull()
     return (
         rep.withColumn(
             "error",
-            F.when(empty, F.lit(C.EMPTY_EVAL_ERROR)).when(bad, F.lit("answer outside 0..25")),
+            F.when(empty, F.lit(C.EMPTY_EVAL_ERROR)).when(failed, F.col("scorer_error"))
+            .when(bad, F.lit("answer outside 0..25")),
         )
         .withColumn("accuracy", F.when(F.col("error").isNull(), F.col("accuracy")))
         .withColumn("avg_time_sec", F.when(F.col("error").isNull(), F.col("avg_time_sec")))
         .withColumn("n", F.coalesce(F.col("n"), F.lit(0)).cast("long"))
-        .drop("n_bad_answer")
+        .drop("n_bad_answer", "scorer_error")
     )
 
 
 def format_summary(report: DataFrame) -> DataFrame:
-    """Display strings for a sink: ``dd.dd%`` and ``d.dd``. Raw doubles stay
-    in the report; Java rounds ties half-up where Python rounds half-even."""
-    return report.withColumn("accuracy_text", F.format_string("%.2f%%", F.col("accuracy") * 100)).withColumn(
-        "avg_time_text", F.format_string("%.2f", F.col("avg_time_sec"))
-    )
+    """Display strings for a sink: ``dd.dd%`` and ``d.dd``, ties rounded to
+    even as in Python; raw doubles stay in the report."""
+    two = lambda c: F.format_string("%.2f", F.bround(c, 2))
+    return report.withColumn("accuracy_text", F.concat(two(F.col("accuracy") * 100), F.lit("%"))).withColumn(
+        "avg_time_text", two(F.col("avg_time_sec")))

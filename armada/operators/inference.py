@@ -13,16 +13,29 @@ import time
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def set_batch_rows(spark, batch_rows: int | None) -> None:
-    """Rows per Arrow batch handed to the batch functions (the model's batch
-    size). A session setting, read when the job runs."""
-    if batch_rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(int(batch_rows)))
+def rebatched(batches, rows: int | None):
+    """Pandas batches of exactly ``rows`` rows (the last may be shorter), cut
+    and joined inside the task; as they come when ``rows`` is None."""
+    import pandas as pd
+    if not rows:
+        yield from (b for b in batches if len(b))
+        return
+    held, n = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        n += len(pdf)
+        if n >= rows:
+            whole = pd.concat(held, ignore_index=True)
+            for at in range(0, n - n % rows, rows):
+                yield whole.iloc[at:at + rows].reset_index(drop=True)
+            held, n = [whole.iloc[n - n % rows:].reset_index(drop=True)], n % rows
+    if n:
+        yield pd.concat(held, ignore_index=True)
 
 
 def score_prompts(df: DataFrame, scorer_factory: Callable[[], Callable], prompt: str = "prompt",
@@ -30,34 +43,33 @@ def score_prompts(df: DataFrame, scorer_factory: Callable[[], Callable], prompt:
     """Generated text for every prompt.
 
     ``scorer_factory()`` is called once per Python worker and returns
-    ``fn(batch) -> sequence of str | None``, where ``batch`` is the Arrow
-    batch as a pandas DataFrame (``keep`` columns + ``prompt``); a batch may
-    hold several models when ``keep`` has a model column. Each text is the
-    echoed prompt plus the continuation; None marks a failed row, and an
-    exception fails the whole batch (every row becomes None -> ``ERROR``).
-    Adds ``generated_text`` and ``latency_sec`` (the batch's wall time shared
-    equally by its rows). Batch size: ``spark.sql.execution.arrow.maxRecordsPerBatch``."""
-    set_batch_rows(df.sparkSession, batch_rows)
+    ``fn(batch) -> sequence of str | None``, where ``batch`` is a pandas
+    DataFrame (``keep`` columns + ``prompt``) of ``batch_rows`` rows; a batch
+    may hold several models when ``keep`` has a model column. Each text is the
+    echoed prompt plus the continuation; None marks a failed row
+    (-> ``ERROR``). An exception is the failure of the whole batch: its rows
+    have no text and its message in ``scorer_error``, and ``run_report``
+    reports their model and task as failed, without an accuracy.
+    Adds ``generated_text``, ``scorer_error`` and ``latency_sec`` (the batch's
+    wall time shared equally by its rows)."""
     keep = [c for c in keep if c != prompt]
     schema = T.StructType([df.schema[c] for c in keep] + [
         df.schema[prompt], T.StructField("generated_text", T.StringType()),
-        T.StructField("latency_sec", T.DoubleType())])
+        T.StructField("scorer_error", T.StringType()), T.StructField("latency_sec", T.DoubleType())])
 
     def run(it):
         fn = scorer_factory()
-        for pdf in it:
-            if pdf.empty:
-                continue
+        for pdf in rebatched(it, batch_rows):
             t0 = time.perf_counter()
+            error = None
             try:
                 texts = list(fn(pdf))
-            except Exception:  # a failed batch: every row becomes ERROR downstream
-                texts = [None] * len(pdf)
+                if len(texts) != len(pdf):
+                    raise ValueError(f"{len(texts)} texts for {len(pdf)} prompts")
+            except Exception as e:
+                texts, error = [None] * len(pdf), f"{type(e).__name__}: {e}"
             dt = (time.perf_counter() - t0) / len(pdf)
-            out = pdf[keep + [prompt]].copy()
-            out["generated_text"] = texts
-            out["latency_sec"] = dt
-            yield out
+            yield pdf[keep + [prompt]].assign(generated_text=texts, scorer_error=error, latency_sec=dt)
 
     return df.select(*dict.fromkeys([*keep, prompt])).mapInPandas(run, schema)
 
@@ -92,7 +104,6 @@ def embed_text(df: DataFrame, embedder_factory: Callable[[], Callable[[list], np
     (``list[str] -> ndarray (n, d)``), built once per Python worker. Row
     keys replace positions. Whole texts are passed; any length limit is the
     embedder's own."""
-    set_batch_rows(df.sparkSession, batch_rows)
     keep = list(keep)
     elem = T.FloatType() if dtype == "float" else T.DoubleType()
     np_type = np.float32 if dtype == "float" else np.float64
@@ -100,9 +111,7 @@ def embed_text(df: DataFrame, embedder_factory: Callable[[], Callable[[list], np
 
     def run(it):
         fn = embedder_factory()
-        for pdf in it:
-            if pdf.empty:
-                continue
+        for pdf in rebatched(it, batch_rows):
             vecs = np.asarray(fn(pdf[text].tolist()), dtype=np_type)
             res = pdf[keep].copy()
             res[out] = list(vecs)
@@ -153,20 +162,40 @@ def hash_bucket(token, d: int):
 
 def hash_embedding(df: DataFrame, key: str, text: str, d: int) -> DataFrame:
     """Hashed bag-of-words of whole texts, long form ``(key, bucket, cnt,
-    weight)`` with ``weight = cnt / ||cnt||``. Tokens are exploded row-local
-    and counted with a partial aggregate by ``(key, bucket)``, so a shuffle
-    carries at most d rows per text."""
-    toks = df.select(key, F.explode(F.split(F.col(text), TOKEN_SPLIT)).alias("_t")).where(F.length("_t") > 0)
-    counts = toks.groupBy(key, hash_bucket(F.col("_t"), d).alias("bucket")).agg(F.count(F.lit(1)).alias("cnt"))
-    # at most d rows per text: a window per text gives the norm without a join
-    norm = F.sqrt(F.sum(F.col("cnt") * F.col("cnt")).over(Window.partitionBy(key)))
-    return counts.withColumn("weight", F.col("cnt") / norm)
+    weight)`` with ``weight = cnt / ||cnt||``. A text is one row, so its
+    tokens are split, hashed and counted inside the row: no shuffle."""
+    split = F.explode(F.array(F.split(F.coalesce(F.col(text), F.lit("")), TOKEN_SPLIT)))
+    words = df.select(key, split.alias("_w"))
+    buckets = F.transform(F.filter("_w", lambda t: F.length(t) > 0), lambda t: hash_bucket(t, d))
+    rows = words.select(key, F.explode(F.array(F.sort_array(buckets))).alias("_b"))
+    # Runs of the sorted buckets: a run ends where the next bucket differs.
+    size = F.size("_b")
+    ends = F.filter(F.sequence(F.lit(1), size), lambda i: (i == size) | (F.get("_b", i) != F.get("_b", i - 1)))
+    rows = rows.where(size > 0).select(key, "_b", F.explode(F.array(ends)).alias("_e"))
+    counted = F.transform("_e", lambda e, i: F.struct(
+        F.get("_b", e - 1).alias("bucket"), (e - F.when(i == 0, 0).otherwise(F.get("_e", i - 1))).cast("long").alias("cnt")))
+    rows = rows.select(key, F.explode(F.array(counted)).alias("_c"))
+    norm = F.sqrt(F.aggregate("_c", F.lit(0).cast("long"), lambda s, c: s + c["cnt"] * c["cnt"]))
+    return rows.select(key, norm.alias("_norm"), F.inline("_c")).select(
+        key, "bucket", "cnt", (F.col("cnt") / F.col("_norm")).alias("weight"))
 
 
 def last_token_pool(tokens: DataFrame, key: str, pos: str, mask: str, hidden: str) -> DataFrame:
-    """Vector at the last position whose mask is 1, per sequence: a partial
-    ``max_by`` aggregate (a very long sequence is combined map-side).
-    For contiguous masks this equals both the left- and the right-padding
-    rule; a sequence with no unmasked position has no output row."""
-    return tokens.where(F.col(mask) == 1).groupBy(key).agg(
-        F.max(pos).alias("pooled_pos"), F.max_by(hidden, pos).alias("pooled"))
+    """Vector of the last real token per sequence, from rows ``(key, pos from
+    0, mask, hidden)`` with contiguous padding on one side.
+
+    If the last position is real the sequence is padded on the left (or not
+    at all) and the last position is taken, else position ``sum(mask) - 1``.
+    One partial aggregate, so a very long sequence is combined map-side. A
+    sequence without a real token has a row with NULLs."""
+    n = F.sum(mask)
+    real = F.col(mask) == 1
+    picked = tokens.groupBy(key).agg(
+        n.alias("_n"), F.max(pos).alias("_last"), F.max_by(mask, pos).alias("_end"),
+        F.max(F.when(real, F.col(pos))).alias("_last_real"),
+        F.max_by(hidden, F.when(real, F.col(pos))).alias("pooled"), F.min(F.when(real, F.col(pos))).alias("_first_real"))
+    at = F.when(F.col("_n") == 0, None).when(F.col("_end") == 1, F.col("_last")).otherwise(F.col("_n") - 1)
+    # With contiguous padding that position is the last real one; otherwise the mask is malformed.
+    whole = (F.col("_n") == 0) | (F.col("_last_real") - F.col("_first_real") + 1 == F.col("_n"))
+    return picked.select(key, F.when(whole, at).otherwise(F.raise_error(F.lit("padding must be contiguous")).cast("long"))
+                         .cast("long").alias("pooled_pos"), "pooled")

@@ -6,9 +6,7 @@ by a single core. The operators here cut the key space ``(group, order)``
 into blocks of bounded size instead:
 
 1. A seeded random sample of the keys (key columns only) is collected - its
-   size is set by the number of blocks, not by the data (a merged
-   per-partition top-m by a random tag when partitions x m is small, else a
-   Bernoulli sample sized from a count) - and sorted; its quantiles become
+   size is set by the number of blocks, not by the data - and sorted; its quantiles become
    block boundaries. They are written into the plan as one array literal,
    so ``block`` is a pure function of a row's key (a binary search of depth
    log2(#blocks)). Every consumer and every retried task computes
@@ -33,11 +31,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from armada.session import materialize
+
 SAMPLES_PER_BLOCK = 32
 SAMPLE_SEED = 7
-# Above this many rows (input partitions x sample size) the key sample is
-# drawn as a Bernoulli sample instead of a merged per-partition top-m.
-TOP_M_MAX_ROWS = 4_000_000
+LEADS = 1 << 16  # buckets of the leading order value in a group
 
 
 def _names(cols) -> list:
@@ -125,15 +123,9 @@ def block_of(df: DataFrame, keys: Sequence[str], num_blocks: int | None = None)
         return F.lit(0)
     m = SAMPLES_PER_BLOCK * n
     keys_df = df.select(*[F.expr(e).alias(f"_k{i}") for i, e in enumerate(enc)])
-    if keys_df.rdd.getNumPartitions() * m <= TOP_M_MAX_ROWS:
-        # One job: the m keys with the smallest seeded random tag are a
-        # uniform sample (per-partition top-m, merged: partitions * m rows).
-        sample = keys_df.withColumn("_u", F.rand(SAMPLE_SEED)).orderBy("_u").limit(m).drop("_u")
-    else:
-        # Many partitions: a Bernoulli sample sized from a count, so about m
-        # rows in total reach the driver whatever the partition count.
-        total = keys_df.count()
-        sample = keys_df.sample(False, min(1.0, m / max(total, 1)), SAMPLE_SEED)
+    # A Bernoulli sample sized from a count: about m rows reach the driver
+    # whatever the rows and partitions.
+    sample = keys_df.sample(False, min(1.0, m / max(keys_df.count(), 1)), SAMPLE_SEED)
     types = [f.dataType.simpleString() for f in sample.schema.fields]
     keys_seen = sorted((tuple(r) for r in sample.collect()), key=_sort_key)
     if not keys_seen:
@@ -230,20 +222,54 @@ def with_running_sums(
     return out.drop(*[c for c in drop if c in out.columns])
 
 
-BROADCAST_CUTOFF_ROWS = 200_000
+def hash_lead(c: str) -> Column:
+    """Bucket of a hexadecimal hash, in its order: the first 16 bits."""
+    return F.conv(F.substring(c, 1, 4), 16, 10).cast("long")
 
 
-def group_cutoffs(keys: DataFrame, group, order, targets: DataFrame, num_blocks: int | None = None) -> DataFrame:
+def with_lead(keys: DataFrame, group, c: str) -> DataFrame:
+    """``keys`` with ``_lead``, a bucket that never falls as ``c`` rises:
+    the position between the group's smallest and largest value for numbers
+    and times, the first three bytes for everything else. NULLs come first."""
+    t, group = keys.schema[c].dataType, _names(group)
+    if isinstance(t, T.TimestampType):
+        v = F.unix_micros(c)
+    elif isinstance(t, T.DateType):
+        v = F.unix_date(c)
+    elif isinstance(t, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        v = F.col(c)
+    else:
+        head = F.hex(F.substring(F.encode(F.col(c).cast("string"), "UTF-8"), 1, 3))
+        lead = F.conv(F.rpad(head, 6, "0"), 16, 10).cast("long")
+        if isinstance(t, (T.FloatType, T.DoubleType, T.DecimalType, T.BooleanType)):
+            lead = F.lit(0).cast("long")  # text order is not theirs: one bucket
+        return keys.withColumn("_lead", F.coalesce(lead, F.lit(-1)))
+    bounds = materialize(keys.groupBy(*group).agg(F.min(v).cast("double").alias("_lo"), F.max(v).cast("double").alias("_hi")),
+                         "bounds")
+    place = F.floor((v.cast("double") - F.col("_lo")) * LEADS / (F.col("_hi") - F.col("_lo") + 1)).cast("long")
+    return join_keys(keys, bounds, group).withColumn("_lead", F.coalesce(place, F.lit(-1))).drop("_lo", "_hi")
+
+
+def group_cutoffs(keys: DataFrame, group, order, targets: DataFrame) -> DataFrame:
     """Order values of the row at given ranks inside each group.
 
-    ``keys`` holds only the group and order columns (its shuffle carries
-    keys, never payload); ``targets`` is ``(group..., cut, rank)`` with
-    1-based ranks. Returns ``(group..., cut, <order columns as _c0, _c1...>)``
-    for targets whose rank exists in the group."""
+    ``keys`` holds the group and order columns and ``_lead`` (a bucket in
+    their order; nothing of the payload); ``targets`` is
+    ``(group..., cut, rank)`` with 1-based ranks. One partial aggregate
+    counts the rows of every bucket, running sums over the buckets find the
+    one that holds a rank, and only that bucket's rows are ranked. Returns
+    ``(group..., cut, <order columns as _c0, _c1...>)`` for targets whose
+    rank exists, written once: a few rows per group that the planner
+    broadcasts if their size allows it."""
     group, order = _names(group), _names(order)
-    ranked = with_group_ordinal(keys.select(*group, *order), group, order, "_rank", num_blocks=num_blocks)
-    hit = join_keys(ranked, targets, group, "inner").where(F.col("_rank") == F.col("rank"))
-    return hit.select(*group, "cut", *[F.col(c).alias(f"_c{i}") for i, c in enumerate(order)])
+    counts = keys.groupBy(*group, "_lead").agg(F.count(F.lit(1)).alias("_n"))
+    upto = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*group).orderBy("_lead")))
+    held = join_keys(upto, targets, group).where((F.col("rank") <= F.col("_upto")) & (F.col("rank") > F.col("_upto") - F.col("_n")))
+    held = held.select(*group, "_lead", "cut", (F.col("rank") - F.col("_upto") + F.col("_n")).alias("_at"))
+    near = join_keys(keys, held, [*group, "_lead"])
+    near = near.withColumn("_rank", F.row_number().over(Window.partitionBy(*group, "cut").orderBy(*order)))
+    hit = near.where(F.col("_rank") == F.col("_at"))
+    return materialize(hit.select(*group, "cut", *[F.col(c).alias(f"_c{i}") for i, c in enumerate(order)]), "cutoffs")
 
 
 def at_or_before(order, cut_prefix: str = "_c") -> Column:
@@ -252,20 +278,7 @@ def at_or_before(order, cut_prefix: str = "_c") -> Column:
     expr = None
     for i, c in reversed(list(enumerate(order))):
         cc = F.col(f"{cut_prefix}{i}")
-        le, lt = F.col(c) <= cc, F.col(c) < cc
-        expr = le if expr is None else (lt | ((F.col(c) == cc) & expr))
+        same = F.col(c).eqNullSafe(cc)
+        lt = F.coalesce(F.col(c) < cc, F.col(c).isNull() & cc.isNotNull())  # NULLs come first
+        expr = (lt | same) if expr is None else (lt | (same & expr))
     return expr
-
-
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:
-    """Join a per-group table (a few rows per group). At most
-    ``BROADCAST_CUTOFF_ROWS + 1`` rows are fetched - that is the size check -
-    and, when within the bound, re-created locally and broadcast, so the
-    table is computed once and the big side is not shuffled. A larger table
-    is joined as it is (shuffle join)."""
-    on = [on] if isinstance(on, str) else list(on)
-    rows = small.limit(BROADCAST_CUTOFF_ROWS + 1).collect()
-    if len(rows) > BROADCAST_CUTOFF_ROWS:
-        return join_keys(big, small, on, how)
-    local = big.sparkSession.createDataFrame(rows, small.schema)
-    return join_keys(big, F.broadcast(local), on, how)

@@ -5,16 +5,18 @@ both, so engines that add in different orders agree."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from armada.config import RouterConfig
-from armada.functions.text import instruct_prompt, mc_prompt, parse_answer, parse_list_literal, strip_echo
+from armada.functions.text import instruct_prompt, mc_prompt, parse_answer, parse_list_literal, read_choices, strip_echo
 from armada.functions.vectors import as_double_array, l2_norm, poly_features
 from armada.operators import grading, inference, online, policy, routing, sampling, stats
 from armada.operators.ordinal import with_group_ordinal
 from armada.plans import jobs
-from armada.sources import registry, tables
+from armada.sources import files, registry, tables
 from armada.session import fresh_dir, materialize
 from armada.sources.files import pending_work
 
@@ -22,8 +24,10 @@ R = 9  # rounding of doubles in query outputs
 
 # Router used by the embedding queries: exploration on, price-sensitive.
 ROUTE_CFG = RouterConfig(alpha=0.5, lam=12.94, gamma=1.0, p=0.3)
-# Keyed / micro-batch learners: two arms, scalar context.
+# Keyed / micro-batch learners: two arms.
 LEARN_CFG = RouterConfig(arms=("a0", "a1"), prices=(1.0, 1.0), alpha=0.5, lam=2.0, gamma=0.9, p=0.0)
+BATCH_CFG = RouterConfig(arms=("a0", "a1"), prices=(1.0, 1.0), alpha=0.5, lam=2.0, gamma=0.999, p=0.0)
+KEYED_D, BATCH_D = 4, 132   # vector lengths of the keyed and the micro-batch learner
 # Discounted statistics over the event log.
 DISC_GAMMA, DISC_LAM = 0.99, 1.0
 HASH_DIM = 32
@@ -42,12 +46,9 @@ def _r(c, n=R):
 # --------------------------------------------------------------------- grading
 
 def _graded(spark, sf):
-    qs = tables.questions(spark, sf)
-    resp = tables.responses(qs.select("task", "row_id", "prompt"))
-    # J1 pairing by key; the question side brings the prompt's length, not its text.
-    q_side = qs.select("task", "row_id", "answer", F.length("prompt").alias("prompt_len"))
-    paired = grading.align_responses(resp, q_side, ["task", "row_id"])
-    return grading.grade(paired, prompt_len="prompt_len")
+    """Graded responses: a response carries its question's answer and prompt
+    length, so the question table is read once and no text is exchanged."""
+    return grading.grade(tables.responses(tables.questions(spark, sf)), prompt_len="prompt_len")
 
 
 def q01_prompt_build(spark, sf):
@@ -78,8 +79,13 @@ def q03_parse_answer(spark, sf):
 
 
 def q04_grade_predictions(spark, sf):
-    g = _graded(spark, sf)
-    return g.select("model", "task", "row_id", "ground_truth", "prediction", "correct")
+    # J1: the answers come from a table of their own and are paired by key;
+    # responses are parsed where they lie, so the pairing moves letters only.
+    qs = tables.questions(spark, sf)
+    parsed = grading.parse_responses(tables.responses(qs), prompt_len="prompt_len").select(
+        "model", "task", "row_id", "_parsed", "_failed")
+    paired = grading.align_responses(parsed, qs.select("task", "row_id", "answer"), ["task", "row_id"])
+    return grading.grade_parsed(paired).select("model", "task", "row_id", "ground_truth", "prediction", "correct")
 
 
 def q05_model_task_accuracy(spark, sf):
@@ -133,12 +139,16 @@ def q11_pending_work(spark, sf):
 
 def q12_last_token_pool(spark, sf):
     # Each user's events are one token sequence (position = order by
-    # (ts, event_id)); ``error`` events are padding (mask 0).
-    ev = tables.table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    pos = with_group_ordinal(ev, ["user_id"], ["ts", "event_id"], name="_ord")
-    tok = pos.select("user_id", (F.col("_ord") - 1).alias("pos"), F.col("value").alias("hidden"),
-                     (F.col("event_type") != "error").cast("int").alias("mask"))
-    return inference.last_token_pool(tok, "user_id", "pos", "mask", "hidden")
+    # (ts, event_id)) of 2-d vectors. A third of it is padding: on the left
+    # for even users, on the right for odd ones.
+    ev = tables.table(spark, sf, "events").select("event_id", "ts", "user_id", "value")
+    pos = with_group_ordinal(ev, ["user_id"], ["ts", "event_id"], name="_ord", count_name="_n")
+    pos = pos.withColumn("pos", F.col("_ord") - 1).withColumn("_pad", F.floor(F.col("_n") / 3))
+    real = F.when(F.col("user_id") % 2 == 0, F.col("pos") >= F.col("_pad")).otherwise(F.col("pos") < F.col("_n") - F.col("_pad"))
+    hidden = F.array(F.col("value").cast("double"), F.col("pos").cast("double"))
+    tok = pos.select("user_id", "pos", hidden.alias("hidden"), real.cast("int").alias("mask"))
+    pooled = inference.last_token_pool(tok, "user_id", "pos", "mask", "hidden")
+    return pooled.select("user_id", "pooled_pos", F.col("pooled")[0].alias("pooled_0"), F.col("pooled")[1].alias("pooled_1"))
 
 
 def q13_hash_embedding(spark, sf):
@@ -258,16 +268,23 @@ def q23_progressive_metrics(spark, sf):
                        _r(F.col("running_price")).alias("running_price"))
 
 
+def _one_hot(ev, d):
+    """The event's value at position ``event_id % d`` of a d-vector, else zeros."""
+    at = (F.col("event_id") % d).cast("int")
+    x = F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.when(i == at, F.col("value") / 100.0).otherwise(F.lit(0.0)))
+    return ev.withColumn("x", x)
+
+
 def q24_learn_by_key(spark, sf):
-    ev = tables.user_events(spark, sf)
-    dec = online.learn_by_key(ev, "user_id", ["ts", "event_id"], "x", "rewards", LEARN_CFG, 1, keep=["event_id"])
+    ev = _one_hot(tables.user_events(spark, sf), KEYED_D)
+    dec = online.learn_by_key(ev, "user_id", ["ts", "event_id"], "x", "rewards", LEARN_CFG, KEYED_D, keep=["event_id"])
     return dec.select("event_id", "user_id", "arm_idx", _r(F.col("ucb")).alias("ucb"), "reward")
 
 
 def q25_learn_microbatch(spark, sf):
-    ev = tables.user_events(spark, sf).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    dec = online.learn_microbatch(ev, "day", ["ts", "event_id"], "x", "rewards", LEARN_CFG, 1, keep=["event_id"])
-    return dec.select("event_id", "day", "arm_idx", _r(F.col("ucb")).alias("ucb"), "reward")
+    ev = _one_hot(tables.user_events(spark, sf), BATCH_D).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    dec = online.learn_microbatch(ev, "day", ["ts", "event_id"], "x", "rewards", BATCH_CFG, BATCH_D, keep=["event_id"])
+    return dec.select("event_id", "day", "arm_idx", _r(F.col("ucb"), 6).alias("ucb"), "reward")
 
 
 def q26_repeat_mean(spark, sf):
@@ -350,6 +367,100 @@ def q33_gram_poly3(spark, sf):
     return a.select("i", "j", _r(F.col("a")).alias("a"))
 
 
+def q34_csv_by_name(spark, sf):
+    """Correctness per arm written as CSV with its columns in another order
+    and strangers among them, read back by name."""
+    path = fresh_dir(spark, "q34_csv")
+    ctx = tables.contexts(spark, sf, ROUTE_CFG)
+    ctx.select(F.lit("q").alias("question"), "qwen", "label", "mistral", F.col("row_id").alias("id"), "gemma", "llama8B").write.option(
+        "header", True).csv(f"{path}/labels")
+    back = files.read_label_file(spark, f"{path}/labels", ROUTE_CFG.arms)
+    tables.table(spark, sf, "conversations").select(
+        "role", (F.col("turn") % 4).alias("answer"), F.col("text").alias("prompt")).write.option("header", True).option(
+        "escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{path}/prompts")
+    prompts = files.read_prompt_files(spark, f"{path}/prompts", per_task=False)
+    labels = back.groupBy(*ROUTE_CFG.arms).agg(F.count(F.lit(1)).alias("n")).select(
+        F.concat_ws(",", *ROUTE_CFG.arms).alias("value"), F.lit(None).cast("int").alias("answer"), "n")
+    texts = prompts.groupBy(F.md5("prompt").alias("value"), "answer").agg(F.count(F.lit(1)).alias("n"))
+    return labels.unionByName(texts.select("value", "answer", "n"))
+
+
+def q35_prepare_vectors(spark, sf):
+    """Every question is embedded or rejected with a reason."""
+    it = tables.question_file_rows(spark, sf).select("task", F.col("item_id").alias("row_id"), "question",
+                                                     read_choices("choices_text").alias("choices"))
+    vecs, rejected = jobs.prepare_vectors(it, inference.hashing_embedder_factory(HASH_DIM), fresh_dir(spark, "q35_vectors"),
+                                          "hash", "test")
+    done = vecs.select("task", "row_id", F.size("embedding").cast("int").alias("dim"), F.lit(None).cast("string").alias("error"))
+    return done.unionByName(rejected.select("task", "row_id", F.lit(None).cast("int").alias("dim"), "error"))
+
+
+class DeviceLost(Exception):
+    pass
+
+
+def _failing_scorer():
+    def score(batch):
+        raise DeviceLost("no device")
+    return score
+
+
+def q36_failing_scorer(spark, sf):
+    """A scorer that raises: an error for every task, and no accuracy."""
+    report, _ = jobs.evaluate(tables.questions(spark, sf), ["phi 2B"], _failing_scorer)
+    return report.select("model", "task", "accuracy", "n", "error")
+
+
+def q37_pair_labels(spark, sf):
+    """J3: vectors and labels in two tables, paired by key, with the counts of the unmatched."""
+    vec = tables.table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
+    lab = tables.table(spark, sf, "labels").select(F.col("doc_id").alias("row_id"), "quality")
+    both, counts = jobs.pair_labels(vec, lab)
+    sums = both.agg(F.count(F.lit(1)).alias("n"), F.sum("quality").cast("long").alias("n_good"))
+    return sums.join(F.broadcast(counts))  # one row beside one row
+
+
+def q38_split_data(spark, sf):
+    """J2: the task joined to every vector by position, then split per task."""
+    ctx = tables.contexts(spark, sf, ROUTE_CFG)
+    prompts = ctx.select("row_id", F.concat(F.lit("task "), F.col("label")).alias("task"), *ROUTE_CFG.arms)
+    return jobs.split_data(ctx.select("row_id", "embedding"), prompts, tables.TRAIN_SIZE, tables.SPLIT_SEED).select(
+        "row_id", "task", *ROUTE_CFG.arms, "split")
+
+
+def q39_odd_rows(spark, sf):
+    """NULL and NaN contexts and NULL rewards follow one rule at d = 2, 64 and 192."""
+    ctx = tables.contexts(spark, sf, ROUTE_CFG)
+    out = []
+    for d in (2, 64, 192):
+        x = tables.project2("embedding") if d == 2 else poly_features("embedding", d // 64)
+        bad = F.transform(x, lambda v, i: F.when(i == d - 1, F.lit(float("nan"))).otherwise(v))
+        rows = ctx.select("row_id", *[F.when(F.col("row_id") % 7 != k, F.col(a).cast("double")).alias(f"_r{k}")
+                                      for k, a in enumerate(ROUTE_CFG.arms)],
+                          F.when(F.col("row_id") % 17 == 0, None).when(F.col("row_id") % 19 == 0, bad).otherwise(x).alias("x"))
+        names = [f"_r{k}" for k in range(ROUTE_CFG.k)]
+        sums = materialize(stats.ridge_stats(rows, "x", d, names, lam=ROUTE_CFG.lam), "q39_stats")
+        model = routing.solve(*routing.state_from_rows(sums.toPandas(), ROUTE_CFG, d))
+        none = routing.score_contexts(rows, "x", model, ROUTE_CFG.alpha, keep=["row_id"]).agg(
+            F.count_if(F.col("arm_idx").isNull() & F.col("ucb").isNull()).alias("n_no_arm"))
+        diag = sums.where("i = j").select(F.lit(d).alias("d"), "i", _r(F.col("a"), 6).alias("a"),
+                                          *[_r(F.col(f"b{k}"), 6).alias(f"b{k}") for k in range(ROUTE_CFG.k)])
+        out.append(diag.join(F.broadcast(none)))  # one row
+    return reduce(DataFrame.unionByName, out)
+
+
+def q40_learning_repeats(spark, sf):
+    """Runs of the micro-batch learner in seeded random orders (2-d contexts)."""
+    split = _router_split(spark, sf, ROUTE_CFG, two_d=True)
+    split = materialize(split.select("row_id", "x", "split", *ROUTE_CFG.arms, *[f"_rw{k}" for k in range(ROUTE_CFG.k)]), "q40_split")
+    model = _warm_model(split, ROUTE_CFG, 2)
+    val = split.where(F.col("split") == "validation")
+    runs = jobs.learning_repeats(val, "x", model, ROUTE_CFG, REPEATS, 250)
+    runs = runs.join(F.broadcast(routing.arms_frame(spark, ROUTE_CFG).select("arm_idx", "price")), ["arm_idx"], "left")
+    m = policy.policy_metrics(runs, ["run"])
+    return m.select("run", "n", _r(F.col("accuracy")).alias("accuracy"), _r(F.col("price_per_10k")).alias("price_per_10k"))
+
+
 QUERIES = {name: fn for name, fn in sorted(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}
 
 

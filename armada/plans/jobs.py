@@ -14,58 +14,115 @@ the model-specific parts are the caller's batch functions.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from armada import config as C
 from armada.config import RouterConfig
 from armada.functions.text import instruct_prompt
-from armada.operators import grading, inference, policy, routing, stats
-from armada.operators.sampling import fraction_sample, four_way_cut
+from armada.functions.vectors import as_double_array
+from armada.operators import grading, inference, online, policy, routing, stats
+from armada.operators.ordinal import join_keys
+from armada.operators.sampling import fraction_sample, four_way_cut, permutation_order, stratified_split
+from armada.session import materialize
 from armada.sources import files
 
 
 def evaluate(prompts: DataFrame, models: Sequence[str], scorer_factory, split: str = "test",
              subset_ratio: float = 1.0, seed: int = 42, expected_tasks: DataFrame | None = None,
              batch_rows: int | None = None):
-    """Evaluate ``models`` on a prompt table ``(task, row_id, prompt, answer)``.
+    """Evaluate ``models`` on a prompt table ``(task, row_id, prompt, answer)``;
+    a whole split without tasks has no ``task`` column.
+
+    Every prompt is scored once per model: the graded rows are written to
+    the shared folder, and the report, the predictions and whatever else is
+    made of them read what was written.
 
     Returns ``(report, graded)``: the report has one row per expected
     (model, task) with accuracy, mean seconds per question, row count and an
-    ``error`` for groups that produced nothing; ``graded`` holds every
-    prediction (``ERROR``/``NONE`` included)."""
+    ``error`` for groups that failed or produced nothing; ``graded`` holds
+    every prediction (``ERROR``/``NONE`` included)."""
     if split not in ("auxiliary_train", "test"):
         raise ValueError("split must be auxiliary_train or test")
-    sampled = fraction_sample(prompts, subset_ratio, "task", "row_id", seed=seed)
-    req = sampled.select("task", "row_id", "prompt", "answer",
-                         F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
+    by = ["task"] if "task" in prompts.columns else []
+    sampled = fraction_sample(prompts, subset_ratio, by, "row_id", seed=seed)
+    each = F.explode(F.array(*[F.lit(m) for m in models])).alias("model")
     # The answer rides along with its prompt through the scorer: responses
     # stay paired by construction, no join re-reads the prompt texts.
-    resp = inference.score_prompts(req, scorer_factory, keep=["model", "task", "row_id", "answer"],
-                                   batch_rows=batch_rows)
-    graded = grading.grade(resp).withColumn("split", F.lit(split))
-    summary = grading.accuracy(graded, ["model", "task"])
-    tasks = expected_tasks if expected_tasks is not None else prompts.select("task").distinct()
-    expected = tasks.select("task", F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
-    report = grading.run_report(summary, expected, ["model", "task"]).withColumn("split", F.lit(split))
+    resp = inference.score_prompts(sampled.select(*by, "row_id", "prompt", "answer", each), scorer_factory,
+                                   keep=["model", *by, "row_id", "answer"], batch_rows=batch_rows)
+    graded = materialize(grading.grade(resp).withColumn("split", F.lit(split)), "graded")
+    summary = grading.accuracy(graded, ["model", *by])
+    if by:
+        tasks = expected_tasks if expected_tasks is not None else prompts.select("task").distinct()
+        expected = tasks.select("task", each)
+    else:
+        expected = prompts.sparkSession.createDataFrame([(m,) for m in models], "model string")
+    report = grading.run_report(summary, expected, ["model", *by]).withColumn("split", F.lit(split))
     return report, graded
 
 
+def instruct_questions(questions: DataFrame) -> DataFrame:
+    """``questions`` with their instruction ``prompt`` and the reason for
+    which one cannot be embedded (``error``, NULL when it can)."""
+    q = questions.withColumn("prompt", instruct_prompt("task", "question", "choices"))
+    size = F.size("choices")
+    return q.withColumn("error", F.when(F.col("choices").isNull(), F.lit("unreadable choices"))
+                        .when(size > len(C.INSTRUCT_LETTERS), F.lit("more than four choices"))
+                        .when(F.col("prompt").isNull(), F.lit("no question or task")))
+
+
 def prepare_vectors(questions: DataFrame, embedder_factory, sink: str, embedder: str, split: str,
-                    cut_parts: bool = False) -> DataFrame:
+                    cut_parts: bool = False, part: int | None = None, batch_rows: int | None = None):
     """Embed instruction prompts of ``(task, row_id, question, choices)`` and
     write them per (embedder, split, task, part); units already present in
-    the sink are skipped. Returns all vectors of the split (new and old)."""
-    q = questions.withColumn("prompt", instruct_prompt("task", "question", "choices"))
-    q = q.where(F.col("prompt").isNotNull())
-    q = four_way_cut(q, "task", "row_id") if cut_parts else q.withColumn("part", F.lit(0))
-    q = q.withColumn("embedder", F.lit(embedder)).withColumn("split", F.lit(split))
+    the sink are skipped. ``cut_parts`` cuts every task in four, ``part``
+    embeds only one of the four.
+
+    Returns ``(vectors, rejected)``: all vectors of the split (new and old;
+    of the part, if one is asked for), and the questions that cannot be
+    embedded with their ``error``. Every question is in one of the two."""
+    every = instruct_questions(questions)
+    cut_parts = cut_parts or part is not None
+    # Parts are cut before anything is rejected, as positions in the file.
+    every = four_way_cut(every, "task", "row_id", part=part) if cut_parts else every.withColumn("part", F.lit(0))
+    rejected = every.where(F.col("error").isNotNull())
+    q = every.where(F.col("error").isNull()).withColumn("embedder", F.lit(embedder)).withColumn("split", F.lit(split))
     unit = ["embedder", "split", "task", "part"]
     todo = files.pending_work(q, files.finished_units(q.sparkSession, sink), unit)
-    vecs = inference.embed_text(todo, embedder_factory, text="prompt", keep=[*unit, "row_id"])
+    vecs = inference.embed_text(todo, embedder_factory, text="prompt", keep=[*unit, "row_id"], batch_rows=batch_rows)
     files.write_vectors(vecs, sink)
-    return files.read_vectors(q.sparkSession, sink).where(
-        (F.col("embedder") == embedder) & (F.col("split") == split))
+    mine = (F.col("embedder") == embedder) & (F.col("split") == split)
+    mine = mine & (F.col("part") == part) if part is not None else mine
+    return files.read_vectors(q.sparkSession, sink).where(mine), rejected
+
+
+def pair_labels(vectors: DataFrame, labels: DataFrame, keys: Sequence[str] = ("row_id",)):
+    """Vectors with their labels, kept in two tables and paired by key (a
+    NULL key pairs with a NULL key), and one row with the counts of rows on
+    either side that found no partner. Vectors are shuffled once."""
+    keys = list(keys)
+    if vectors.groupBy(*keys).count().where("count > 1").limit(1).count():
+        raise ValueError(f"vectors are not unique by {', '.join(keys)}")
+    counts = grading.alignment_counts(labels, vectors, keys).select(
+        F.col("responses_unmatched").alias("labels_unmatched"), F.col("questions_unmatched").alias("vectors_unmatched"))
+    return join_keys(vectors, labels, keys, "inner"), counts
+
+
+def attach_task(vectors: DataFrame, prompts: DataFrame) -> DataFrame:
+    """Vectors with the task (and the labels) of the prompt at the same
+    position; a vector without a prompt is an error, none is dropped."""
+    joined = join_keys(vectors, prompts, ["row_id"], "left")
+    return joined.withColumn("task", F.when(F.col("task").isNotNull(), F.col("task")).otherwise(
+        F.raise_error(F.concat(F.lit("no task for row "), F.col("row_id").cast("string"))).cast("string")))
+
+
+def split_data(vectors: DataFrame, prompts: DataFrame, train_size: float = 0.75, seed: int = 1010) -> DataFrame:
+    """The router's data: every vector with its task and labels, split into
+    ``train`` and ``validation`` with exact sizes per task."""
+    return stratified_split(attach_task(vectors, prompts), "task", "row_id", train_size, seed)
 
 
 def vector_dim(df: DataFrame, vec: str) -> int:
@@ -94,5 +151,26 @@ def route(contexts: DataFrame, vec: str, model: routing.ArmModel, cfg: RouterCon
     dec = routing.score_contexts(contexts, vec, model, cfg.alpha, keep=[key])
     if labels is None:
         return dec
-    arms = routing.arms_frame(contexts.sparkSession, cfg)
-    return policy.attach_outcome(dec, labels, arms, key)
+    return policy.attach_outcome(dec, labels, routing.arms_frame(contexts.sparkSession, cfg), key)
+
+
+def learning_repeats(contexts: DataFrame, vec: str, model: routing.ArmModel, cfg: RouterConfig, repeats: int,
+                     batch_rows: int) -> DataFrame:
+    """Runs of the micro-batch learner over ``contexts`` (``row_id``, ``vec``
+    and one 0/1 column per arm), each in its own seeded order and from the
+    same warm state, as ``(run, row_id, seq, arm_idx, ucb, reward, correct)``."""
+    norm = cfg.normalised_prices
+    rewards = F.array(*[F.col(a).cast("double") - F.lit(cfg.p * norm[k]) for k, a in enumerate(cfg.arms)])
+    rows = contexts.select("row_id", as_double_array(vec).alias("_x"), rewards.alias("_rewards"))
+    runs = []
+    for run in range(repeats):
+        seq = permutation_order(rows.select("row_id"), "row_id", f"run{run}", name="seq")
+        ordered = join_keys(rows, seq.withColumn("_batch", F.floor((F.col("seq") - 1) / batch_rows).cast("long")), ["row_id"])
+        d = model.b.shape[1]
+        dec = online.learn_microbatch(ordered, "_batch", ["seq"], "_x", "_rewards", cfg, d, keep=["row_id"],
+                                      state=(model.a.copy(), model.b.copy()))
+        # The reward gives the outcome back, so no label is looked up again.
+        price = F.get(F.array(*[F.lit(cfg.p * v) for v in norm]), F.col("arm_idx"))
+        runs.append(dec.select(F.lit(run).alias("run"), "row_id", "seq", "arm_idx", "ucb", "reward",
+                               F.round(F.col("reward") + price, 0).cast("int").alias("correct")))
+    return reduce(DataFrame.unionByName, runs)

@@ -239,11 +239,11 @@ SELECT d.doc_id, d.source FROM documents d
 WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"""
 
 SQL["q12_last_token_pool"] = """
-SELECT user_id, max(pos) AS pooled_pos, arg_max(value, pos) AS pooled FROM (
-  SELECT user_id, value, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos
-  FROM events)
-WHERE event_type <> 'error'
-GROUP BY user_id"""
+WITH tok AS (
+  SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos,
+         count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT user_id, pos AS pooled_pos, CAST(value AS DOUBLE) AS pooled_0, CAST(pos AS DOUBLE) AS pooled_1
+FROM tok WHERE pos = CASE WHEN user_id % 2 = 0 THEN n - 1 ELSE n - n // 3 - 1 END"""
 
 SQL["q13_hash_embedding"] = f"""
 WITH toks AS (
@@ -315,58 +315,72 @@ SELECT row_id, row_number() OVER w AS step,
        round(sum(price) OVER w, 9) AS running_price
 FROM o WINDOW w AS (ORDER BY h, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 
+
+def _hot(d: int) -> str:
+    # one-hot contexts keep A diagonal: each arm is two lists of d numbers
+    return f"SELECT *, CAST(event_id % {d} AS INTEGER) + 1 AS j FROM ({_learn_events()})"
+
+
+def _step(old: str, arm: int, add: str) -> str:
+    """A diagonal (or b) after one row of ``arm``: all discounted, one raised."""
+    return (f"CASE WHEN arm_idx = {arm} THEN list_transform({old}, lambda v, i: {dbl(LC.gamma)} * v + "
+            f"CASE WHEN i = j THEN {add} ELSE 0.0 END) ELSE {old} END")
+
+
 SQL["q24_learn_by_key"] = f"""
 WITH RECURSIVE ev AS (
-  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM ({_learn_events()})),
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM ({_hot(Q.KEYED_D)})),
 run(user_id, step, event_id, arm_idx, ucb, reward, a0, b0, a1, b1) AS (
   SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS INTEGER), CAST(NULL AS DOUBLE),
-         CAST(NULL AS DOUBLE), {dbl(LC.lam)}, 0.0::DOUBLE, {dbl(LC.lam)}, 0.0::DOUBLE
+         CAST(NULL AS DOUBLE), list_transform(range({Q.KEYED_D}), lambda i: {dbl(LC.lam)}), list_transform(range({Q.KEYED_D}), lambda i: 0.0::DOUBLE),
+         list_transform(range({Q.KEYED_D}), lambda i: {dbl(LC.lam)}), list_transform(range({Q.KEYED_D}), lambda i: 0.0::DOUBLE)
   FROM ev
   UNION ALL
-  SELECT user_id, step, event_id, arm_idx, ucb, reward,
-    CASE WHEN arm_idx = 0 THEN {dbl(LC.gamma)} * a0 + x * x ELSE a0 END,
-    CASE WHEN arm_idx = 0 THEN {dbl(LC.gamma)} * b0 + reward * x ELSE b0 END,
-    CASE WHEN arm_idx = 1 THEN {dbl(LC.gamma)} * a1 + x * x ELSE a1 END,
-    CASE WHEN arm_idx = 1 THEN {dbl(LC.gamma)} * b1 + reward * x ELSE b1 END
+  SELECT user_id, step, event_id, arm_idx, ucb, reward, {_step('a0', 0, 'x * x')}, {_step('b0', 0, 'reward * x')},
+         {_step('a1', 1, 'x * x')}, {_step('b1', 1, 'reward * x')}
   FROM (
     SELECT s.*, CASE WHEN u1 > u0 THEN 1 ELSE 0 END AS arm_idx,
            CASE WHEN u1 > u0 THEN u1 ELSE u0 END AS ucb,
            CASE WHEN u1 > u0 THEN r1 ELSE r0 END AS reward
     FROM (
-      SELECT r.user_id, e.step, e.event_id, e.x, e.r0, e.r1, r.a0, r.b0, r.a1, r.b1,
-             {_u('r.a0', 'r.b0', 'e.x')} AS u0, {_u('r.a1', 'r.b1', 'e.x')} AS u1
+      SELECT r.user_id, e.step, e.event_id, e.x, e.j, e.r0, e.r1, r.a0, r.b0, r.a1, r.b1,
+             {_u('r.a0[e.j]', 'r.b0[e.j]', 'e.x')} AS u0, {_u('r.a1[e.j]', 'r.b1[e.j]', 'e.x')} AS u1
       FROM run r JOIN ev e ON e.user_id = r.user_id AND e.step = r.step + 1) s) t)
 SELECT event_id, user_id, arm_idx, round(ucb, 9) AS ucb, reward FROM run WHERE step > 0"""
 
+
+def _fold(old: str, arm: int, what: str) -> str:
+    """The list after a day: the old one discounted once per row of the arm,
+    plus the day's discounted sums by position."""
+    n = f"sum(CASE WHEN arm_idx = {arm} THEN 1 ELSE 0 END)"
+    rows = f"list(CASE WHEN arm_idx = {arm} THEN {{'j': j, 's': w * {what}}} END)"
+    return (f"list_transform(any_value({old}), lambda v, i: pow({dbl(Q.BATCH_CFG.gamma)}, {n}) * v + "
+            f"coalesce(list_sum(list_transform(list_filter({rows}, lambda e: e.j = i), lambda e: e.s)), 0.0))")
+
+
 SQL["q25_learn_microbatch"] = f"""
 WITH RECURSIVE ev AS (
   SELECT *, strftime(ts, '%Y-%m-%d') AS day, dense_rank() OVER (ORDER BY strftime(ts, '%Y-%m-%d')) AS dstep
-  FROM ({_learn_events()})),
+  FROM ({_hot(Q.BATCH_D)})),
 st(dstep, a0, b0, a1, b1) AS (
-  SELECT CAST(0 AS BIGINT), {dbl(LC.lam)}, 0.0::DOUBLE, {dbl(LC.lam)}, 0.0::DOUBLE
+  SELECT CAST(0 AS BIGINT), list_transform(range({Q.BATCH_D}), lambda i: {dbl(LC.lam)}), list_transform(range({Q.BATCH_D}), lambda i: 0.0::DOUBLE),
+         list_transform(range({Q.BATCH_D}), lambda i: {dbl(LC.lam)}), list_transform(range({Q.BATCH_D}), lambda i: 0.0::DOUBLE)
   UNION ALL
-  SELECT any_value(dstep),
-    pow({dbl(LC.gamma)}, sum(CASE WHEN arm_idx = 0 THEN 1 ELSE 0 END)) * any_value(a0)
-      + sum(CASE WHEN arm_idx = 0 THEN w * x * x ELSE 0 END),
-    pow({dbl(LC.gamma)}, sum(CASE WHEN arm_idx = 0 THEN 1 ELSE 0 END)) * any_value(b0)
-      + sum(CASE WHEN arm_idx = 0 THEN w * reward * x ELSE 0 END),
-    pow({dbl(LC.gamma)}, sum(CASE WHEN arm_idx = 1 THEN 1 ELSE 0 END)) * any_value(a1)
-      + sum(CASE WHEN arm_idx = 1 THEN w * x * x ELSE 0 END),
-    pow({dbl(LC.gamma)}, sum(CASE WHEN arm_idx = 1 THEN 1 ELSE 0 END)) * any_value(b1)
-      + sum(CASE WHEN arm_idx = 1 THEN w * reward * x ELSE 0 END)
+  SELECT any_value(dstep), {_fold('a0', 0, 'x * x')}, {_fold('b0', 0, 'reward * x')},
+         {_fold('a1', 1, 'x * x')}, {_fold('b1', 1, 'reward * x')}
   FROM (
-    SELECT d.*, pow({dbl(LC.gamma)}, CAST(count(*) OVER (PARTITION BY arm_idx ORDER BY ts, event_id
+    SELECT d.*, pow({dbl(Q.BATCH_CFG.gamma)}, CAST(count(*) OVER (PARTITION BY arm_idx ORDER BY ts, event_id
                  ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS DOUBLE)) AS w
     FROM (
-      SELECT e.dstep, e.ts, e.event_id, e.x, s.a0, s.b0, s.a1, s.b1,
-             CASE WHEN {_u('s.a1', 's.b1', 'e.x')} > {_u('s.a0', 's.b0', 'e.x')} THEN 1 ELSE 0 END AS arm_idx,
-             CASE WHEN {_u('s.a1', 's.b1', 'e.x')} > {_u('s.a0', 's.b0', 'e.x')} THEN e.r1 ELSE e.r0 END AS reward
+      SELECT e.dstep, e.ts, e.event_id, e.x, e.j, s.a0, s.b0, s.a1, s.b1,
+             CASE WHEN {_u('s.a1[e.j]', 's.b1[e.j]', 'e.x')} > {_u('s.a0[e.j]', 's.b0[e.j]', 'e.x')} THEN 1 ELSE 0 END AS arm_idx,
+             CASE WHEN {_u('s.a1[e.j]', 's.b1[e.j]', 'e.x')} > {_u('s.a0[e.j]', 's.b0[e.j]', 'e.x')} THEN e.r1 ELSE e.r0 END AS reward
       FROM st s JOIN ev e ON e.dstep = s.dstep + 1) d) z
   GROUP BY dstep)
 SELECT e.event_id, e.day, CASE WHEN u1 > u0 THEN 1 ELSE 0 END AS arm_idx,
-       round(CASE WHEN u1 > u0 THEN u1 ELSE u0 END, 9) AS ucb,
+       round(CASE WHEN u1 > u0 THEN u1 ELSE u0 END, 6) AS ucb,
        CASE WHEN u1 > u0 THEN r1 ELSE r0 END AS reward
-FROM (SELECT e.*, {_u('s.a0', 's.b0', 'e.x')} AS u0, {_u('s.a1', 's.b1', 'e.x')} AS u1
+FROM (SELECT e.*, {_u('s.a0[e.j]', 's.b0[e.j]', 'e.x')} AS u0, {_u('s.a1[e.j]', 's.b1[e.j]', 'e.x')} AS u1
       FROM ev e JOIN st s ON s.dstep = e.dstep - 1) e"""
 
 SQL["q26_repeat_mean"] = f"""WITH {route2d_ctes()},
@@ -475,3 +489,42 @@ SELECT row_id, CAST(arm_idx AS INTEGER) AS arm_idx, arm, round(ucb, 6) AS ucb, c
 
 
 SQL["q20_route_64d"] = _route64_sql()
+
+SQL["q34_csv_by_name"] = f"""
+SELECT concat_ws(',', {", ".join(f"c{k}" for k in range(CFG.k))}) AS value, CAST(NULL AS INTEGER) AS answer, count(*) AS n
+FROM (SELECT {", ".join(f"{_correct(k)} AS c{k}" for k in range(CFG.k))} FROM embeddings) GROUP BY ALL
+UNION ALL
+SELECT md5(text) AS value, CAST(turn % 4 AS INTEGER) AS answer, count(*) AS n FROM conversations GROUP BY ALL"""
+
+SQL["q35_prepare_vectors"] = f"""
+SELECT t.task, b.item_id AS row_id, CASE WHEN n <= 4 THEN {Q.HASH_DIM} END AS dim,
+       CASE WHEN n > 4 THEN 'more than four choices' END AS error
+FROM (SELECT item_id, len(string_split(text, '. ')) AS n FROM benchmark) b JOIN {TASKS} t ON t.task_idx = b.item_id % 57"""
+
+SQL["q36_failing_scorer"] = """
+SELECT 'phi 2B' AS model, d.source AS task, CAST(NULL AS DOUBLE) AS accuracy, count(*) AS n, 'DeviceLost: no device' AS error
+FROM documents d JOIN labels l USING (doc_id) GROUP BY d.source"""
+
+SQL["q37_pair_labels"] = """
+SELECT count(e.vec_id) FILTER (l.doc_id IS NOT NULL) AS n,
+       CAST(sum(l.quality) FILTER (e.vec_id IS NOT NULL) AS BIGINT) AS n_good,
+       count(*) FILTER (e.vec_id IS NULL) AS labels_unmatched, count(*) FILTER (l.doc_id IS NULL) AS vectors_unmatched
+FROM embeddings e FULL JOIN labels l ON e.vec_id = l.doc_id"""
+
+SQL["q38_split_data"] = f"""WITH ctx AS (
+  SELECT vec_id AS row_id, 'task ' || label AS task, {", ".join(f"{_correct(k)} AS {a}" for k, a in enumerate(CFG.arms))} FROM embeddings),
+{ordinal_split('ctx', 'row_id', 'task', 1010, 0.75)}
+SELECT row_id, task, {", ".join(CFG.arms)}, split FROM split_rows"""
+
+SQL["q39_odd_rows"] = " UNION ALL ".join(f"""
+SELECT * FROM (
+  SELECT {d} AS d, CAST(i - 1 AS INTEGER) AS i, round(sum(x * x) + 12.94::DOUBLE, 6) AS a,
+         {", ".join(f"round(sum(CASE WHEN vec_id % 7 <> {k} THEN x * CAST({_correct(k)} AS DOUBLE) ELSE 0.0 END), 6) AS b{k}" for k in range(CFG.k))}
+  FROM (SELECT vec_id, label, i, v[i] AS x FROM (
+    SELECT vec_id, label, {v} AS v, unnest(range(1, {d} + 1)) AS i FROM embeddings WHERE vec_id % 17 <> 0 AND vec_id % 19 <> 0))
+  GROUP BY i), (SELECT count(*) AS n_no_arm FROM embeddings WHERE vec_id % 17 = 0 OR vec_id % 19 = 0)"""
+    for d, v in (
+        (2, "[list_sum([CAST(y AS DOUBLE) FOR y, k IN embedding IF k % 2 = 1]), list_sum([CAST(y AS DOUBLE) FOR y, k IN embedding IF k % 2 = 0])]"),
+        (64, "list_transform(embedding, lambda y: CAST(y AS DOUBLE))"),
+        (192, "list_concat(list_concat(list_transform(embedding, lambda y: CAST(y AS DOUBLE)), list_transform(embedding, lambda y: "
+              "pow(CAST(y AS DOUBLE), 2))), list_transform(embedding, lambda y: pow(CAST(y AS DOUBLE), 3)))")))

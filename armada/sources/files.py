@@ -10,22 +10,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from armada.functions.text import parse_list_literal
+from armada.functions.text import read_choices
 
-PROMPT_SCHEMA = "prompt string, answer int"
-QUESTION_SCHEMA = "question string, choices string"
-
-
-def _csv(spark: SparkSession, schema: str, path):
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
+def _csv(spark: SparkSession, path, types: dict) -> DataFrame:
+    """The named columns of CSV files, wherever they stand in the header;
+    other columns are ignored, a missing one fails. Values are read as text
+    and cast. Every file must have the same header."""
+    raw = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+           .option("enforceSchema", False).csv(path))
+    missing = [c for c in types if c not in raw.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}; its header is {', '.join(raw.columns)}")
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return raw.select(*[quoted(c).cast(t).alias(c) for c, t in types.items()], F.col("_metadata.file_path").alias("_file"))
 
 
 def _with_position(df: DataFrame, file_col: str = "_file") -> DataFrame:
-    df = df.withColumn(file_col, F.col("_metadata.file_path")).withColumn("_mid", F.monotonically_increasing_id())
+    df = df.withColumn("_mid", F.monotonically_increasing_id())
     first = df.groupBy(file_col).agg(F.min("_mid").alias("_first"))
     return df.join(first, [file_col]).withColumn("row_id", F.col("_mid") - F.col("_first")).drop("_mid", "_first")
 
@@ -34,7 +39,7 @@ def read_prompt_files(spark: SparkSession, path: str, per_task: bool = True) ->
     """Prompt CSVs ``(prompt, answer)``. ``per_task``: files named
     ``<task>_prompts.csv`` (task from the file name); else one file for a
     whole split (task NULL). Output ``(task, row_id, prompt, answer)``."""
-    df = _with_position(_csv(spark, PROMPT_SCHEMA, path))
+    df = _with_position(_csv(spark, path, {"prompt": "string", "answer": "int"}))
     task = (F.regexp_extract(F.element_at(F.split("_file", "/"), -1), r"(.*)_prompts\.csv$", 1)
             if per_task else F.lit(None).cast("string"))
     return df.select(task.alias("task"), "row_id", "prompt", "answer")
@@ -43,23 +48,30 @@ def read_prompt_files(spark: SparkSession, path: str, per_task: bool = True) ->
 def read_question_files(spark: SparkSession, root: str, split: str) -> DataFrame:
     """Question CSVs under ``<root>/<task>/<split>.csv``; ``auxiliary_train``
     reads ``train``. Choices are Python list literals, parsed to
-    ``array<string>`` (NULL when not readable)."""
+    ``array<string>``: in the JVM, and what that cannot read (tuples, None
+    items, ``\\x`` escapes) by Python's own reader; NULL when neither can."""
     file_split = "train" if split == "auxiliary_train" else split
     if split not in ("auxiliary_train", "test"):
         raise ValueError("split must be auxiliary_train or test")
-    df = _with_position(_csv(spark, QUESTION_SCHEMA, f"{root.rstrip('/')}/*/{file_split}.csv"))
+    df = _with_position(_csv(spark, f"{root.rstrip('/')}/*/{file_split}.csv", {"question": "string", "choices": "string"}))
     task = F.element_at(F.split("_file", "/"), -2)
     return df.select(task.alias("task"), F.lit(split).alias("split"), "row_id", "question",
-                     F.col("choices").alias("choices_text"), parse_list_literal("choices").alias("choices"))
+                     F.col("choices").alias("choices_text"), read_choices("choices").alias("choices"))
 
 
 def read_label_file(spark: SparkSession, path: str, arms: Sequence[str]) -> DataFrame:
     """Wide 0/1 correctness per arm, keyed by position."""
-    schema = ", ".join(f"`{a}` double" for a in arms)
-    df = _with_position(_csv(spark, schema, path).select(*arms))
+    df = _with_position(_csv(spark, path, {a: "double" for a in arms}))
     return df.select("row_id", *[F.col(a).cast("int").alias(a) for a in arms])
 
 
+def read_task_file(spark: SparkSession, path: str, arms: Sequence[str]) -> DataFrame:
+    """Prompt, task and correctness per arm, keyed by position (the file that
+    tells a whole split's rows their task)."""
+    df = _with_position(_csv(spark, path, {"prompt": "string", "task": "string"} | {a: "double" for a in arms}))
+    return df.select("row_id", "prompt", "task", *[F.col(a).cast("int").alias(a) for a in arms])
+
+
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     """Vector tables written by ``write_vectors`` (any sub-tree of it)."""
     return spark.read.option("basePath", path.split("/embedder=")[0]).parquet(path)
@@ -67,10 +79,12 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 def write_vectors(vecs: DataFrame, path: str) -> None:
     """``(embedder, split, task, part, row_id, embedding)`` partitioned by
-    embedder/split/task/part; reruns overwrite their own partitions only."""
-    (vecs.sortWithinPartitions("embedder", "split", "task", "part", "row_id")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("embedder", "split", "task", "part").parquet(path))
+    embedder/split/task/part; reruns overwrite their own partitions only.
+    Rows of a unit are brought together (a large unit into several files),
+    so there are not tasks x units small files."""
+    unit = ["embedder", "split", "task", "part"]
+    (vecs.hint("rebalance", *unit).sortWithinPartitions(*unit, "row_id")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*unit).parquet(path))
 
 
 def write_predictions(preds: DataFrame, path: str) -> None:
@@ -79,13 +93,14 @@ def write_predictions(preds: DataFrame, path: str) -> None:
     cols = [c for c in ("model", "split", "task", "row_id", "prompt", "ground_truth", "prediction") if c in preds.columns]
     parts = [c for c in ("model", "split", "task") if c in preds.columns]
     order = [*parts, "row_id"] if "row_id" in cols else parts
-    (preds.select(*cols).sortWithinPartitions(*order).write.mode("overwrite")
+    (preds.select(*cols).hint("rebalance", *parts).sortWithinPartitions(*order).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").option("header", True).option("escape", '"')
      .partitionBy(*parts).csv(path))
 
 
 def write_summary(report: DataFrame, path: str) -> None:
-    """Summary rows per model/split as CSV (raw doubles plus display text)."""
+    """Summary rows per model/split as CSV (raw doubles plus display text); a
+    whole split without tasks has no task column."""
     from armada.operators.grading import format_summary
     out = format_summary(report)
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True)
@@ -93,14 +108,19 @@ def write_summary(report: DataFrame, path: str) -> None:
 
 
 def pending_work(todo: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Work units that have no output yet (left anti join)."""
+    """Work units that have no output yet (left anti join; repeated rows of
+    ``done`` do no harm)."""
     from armada.operators.ordinal import join_keys
-    return join_keys(todo, done.select(*keys).distinct(), list(keys), "left_anti")
+    return join_keys(todo, done.select(*keys), list(keys), "left_anti")
 
 
 def finished_units(spark: SparkSession, path: str) -> DataFrame:
-    """Partition values already present under a vector sink."""
+    """Partition values already present under a vector sink. Only a missing
+    path means that nothing is written yet; any other failure is raised."""
     try:
-        return spark.read.parquet(path).select("embedder", "split", "task", "part").distinct()
-    except Exception:  # nothing written yet
+        found = spark.read.option("basePath", path).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return spark.createDataFrame([], "embedder string, split string, task string, part int")
+    return found.select("embedder", "split", "task", "part").distinct()

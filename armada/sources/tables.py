@@ -52,7 +52,7 @@ def responses(qs: DataFrame, models=EVAL_MODELS) -> DataFrame:
     text = (F.when(k % 16 == 0, F.lit(None).cast("string"))
             .when(k % 16 == 1, F.concat(F.col("prompt"), F.lit(" I cannot tell.")))
             .otherwise(F.concat(F.col("prompt"), F.lit(" The answer is "), F.char(F.lit(65) + k % 4), F.lit("."))))
-    return m.select("model", "task", "row_id", text.alias("generated_text"),
+    return m.select("model", "task", "row_id", "answer", F.length("prompt").alias("prompt_len"), text.alias("generated_text"),
                     ((k % 50 + 1).cast("double") / 100.0).alias("latency_sec"))
 
 

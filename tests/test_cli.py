@@ -32,10 +32,10 @@ def test_cli_route_frozen_and_update(spark, scratch, capsys):
     cli.main(["route", "--train", f"{scratch}/train", "--test", f"{scratch}/test", "--past_context",
               "--alpha", "0.5", "--repeats", "2"])
     out = capsys.readouterr().out
-    assert out.count("run ") == 2 and "Total Accuracy" in out
+    assert out.count("run ") == 2 and "mean accuracy" in out
     cli.main(["route", "--test", f"{scratch}/test", "--repeats", "1"])      # cold start, frozen
     out = capsys.readouterr().out
     assert "price per 10000 1000.00" in out                                  # first (cheapest) arm always
     cli.main(["route", "--test", f"{scratch}/test", "--update", "--update_batch_rows", "50", "--repeats", "1",
               "--alpha", "0.5"])
-    assert "Total Accuracy" in capsys.readouterr().out
+    assert "mean accuracy" in capsys.readouterr().out

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from armada.config import RouterConfig
 from armada.operators.routing import choose, cold_start, score_contexts, solve
 from armada.plans import catalogue as Q
-from numpy_learner import SeqLinUCB
+from numpy_learner import HistoryLinUCB
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,13 +28,12 @@ def test_route_64d_matches_numpy(spark):
     emb = pq.read_table(f"{SF}/embeddings.parquet").to_pandas()
     emb = emb.merge(split, left_on="vec_id", right_on="row_id")
     norm = cfg.normalised_prices
-    ref = SeqLinUCB(cfg.k, 64, cfg.alpha, cfg.lam, 1.0)
+    ref = HistoryLinUCB(cfg.k, 64, cfg.alpha, cfg.lam, 1.0)
     train = emb[emb.split == "train"]
     X = np.vstack(train.embedding.to_numpy()).astype(np.float64)
     for k in range(cfg.k):
-        ref.a[k] = ref.a[k] + X.T @ X
         corr = (((train.label.to_numpy() + 3 * k) % 5) <= k).astype(float)
-        ref.b[k] = ((corr - cfg.p * norm[k])[:, None] * X).sum(axis=0)
+        ref.extra[k] = (X.T @ X, ((corr - cfg.p * norm[k])[:, None] * X).sum(axis=0))
     val = emb[emb.split == "validation"]
     want = {int(r.vec_id): ref.choose(np.asarray(r.embedding, dtype=np.float64))[0] for r in val.itertuples()}
     got = {r["row_id"]: r["arm_idx"] for r in Q.q20_route_64d(spark, SF).collect()}

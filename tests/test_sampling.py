@@ -17,6 +17,17 @@ def test_four_way_cut_sizes(spark):
     assert sizes == {("a", 4): 3, ("b", 1): 2, ("b", 2): 2, ("b", 3): 2, ("b", 4): 4}
 
 
+def test_four_way_cut_of_any_order_type(spark):
+    base = spark.range(37).select((F.col("id") % 2).alias("g"), F.col("id").alias("i"))
+    for expr in ("i", "-i * i * i", "cast(i as string)", "timestamp_micros(i * 1000003)", "cast(i as double) / 7",
+                 "date_add(date '2000-01-01', cast(i * i as int))", "if(i < 5, null, i * 1000000000000)"):
+        df = base.withColumn("k", F.expr(expr))
+        got = {r["i"]: r["part"] for r in four_way_cut(df, "g", ["k", "i"]).collect()}
+        w = Window.partitionBy("g").orderBy("k", "i")
+        for r in df.select("i", F.row_number().over(w).alias("rn"), F.count("*").over(Window.partitionBy("g")).alias("n")).collect():
+            assert got[r["i"]] == min((r["rn"] - 1) // (r["n"] // 4) + 1, 4), expr
+
+
 def test_fraction_sample_half_even(spark):
     df = spark.createDataFrame([("g", i) for i in range(5)], "g string, i long")
     assert fraction_sample(df, 0.5, "g", "i").count() == 2          # round_half_even(2.5) = 2
@@ -77,9 +88,8 @@ def test_fraction_sample_sizes_property(spark, groups, frac):
         assert got.get(g, 0) == want
 
 
-def test_ordinal_bernoulli_sample_path(spark, monkeypatch):
+def test_ordinal_many_partitions(spark):
     import armada.operators.ordinal as O
-    monkeypatch.setattr(O, "TOP_M_MAX_ROWS", 0)          # force the many-partition path
     rows = [(i % 3, i) for i in range(2000)]
     df = spark.createDataFrame(rows, "g int, k long").repartition(16)
     got = {(r["g"], r["k"]): r["o"] for r in O.with_group_ordinal(df, "g", "k", "o").collect()}

@@ -28,7 +28,7 @@ def test_question_files_parse_choices(spark, scratch):
     _write(f"{scratch}/q/anatomy/train.csv", 'question,choices\nWhat?,"[\'a\', ""b\'s""]"\nBad,"(\'x\',)"\n')
     rows = {r["row_id"]: r for r in read_question_files(spark, f"{scratch}/q", "auxiliary_train").collect()}
     assert rows[0]["choices"] == ["a", "b's"] and rows[0]["task"] == "anatomy"
-    assert rows[1]["choices"] is None and rows[0]["split"] == "auxiliary_train"
+    assert rows[1]["choices"] == ["x"] and rows[0]["split"] == "auxiliary_train"
 
 
 def test_label_file(spark, scratch):
@@ -70,3 +70,34 @@ def test_whole_split_prompt_file(spark, scratch):
     rows = sorted((r["task"], r["row_id"], r["prompt"], r["answer"]) for r in
                   read_prompt_files(spark, f"{scratch}/auxiliary_train/prompts.csv", per_task=False).collect())
     assert rows == [(None, 0, "A", 1), (None, 1, "B", 2), (None, 2, "C", 0)]
+
+
+def test_columns_are_found_by_name(spark, scratch):
+    import pytest
+    _write(f"{scratch}/p/test/anatomy_prompts.csv", "task,answer,prompt\nt,3,Q\n")
+    r = read_prompt_files(spark, f"{scratch}/p/test/*_prompts.csv").collect()[0]
+    assert (r["task"], r["prompt"], r["answer"]) == ("anatomy", "Q", 3)
+    _write(f"{scratch}/q/anatomy/test.csv", "question,subject,choices,answer\nWhat?,anat,\"['a', 'b']\",1\n")
+    r = read_question_files(spark, f"{scratch}/q", "test").collect()[0]
+    assert r["question"] == "What?" and r["choices"] == ["a", "b"]
+    _write(f"{scratch}/labels.csv", "question,task,qwen,gemma,llama8B,mistral\nq,t,0,1,1,0\n")
+    arms = ["gemma", "llama8B", "mistral", "qwen"]
+    assert tuple(read_label_file(spark, f"{scratch}/labels.csv", arms).collect()[0]) == (0, 1, 1, 0, 0)
+    _write(f"{scratch}/bad.csv", "question,gemma\nq,1\n")
+    with pytest.raises(ValueError, match="no column llama8B"):
+        read_label_file(spark, f"{scratch}/bad.csv", ["gemma", "llama8B"])
+
+
+def test_only_a_missing_sink_means_nothing_written(spark, scratch):
+    import pytest
+    assert finished_units(spark, f"{scratch}/none").count() == 0
+    _write(f"{scratch}/broken/embedder=e/split=test/task=t/part=0/x.parquet", "not parquet")
+    with pytest.raises(Exception):
+        finished_units(spark, f"{scratch}/broken").count()
+
+
+def test_summary_rounds_ties_to_even(spark):
+    from armada.operators.grading import format_summary
+    df = spark.createDataFrame([(0.00125, 0.125), (0.00375, 0.375)], "accuracy double, avg_time_sec double")
+    got = [tuple(r)[2:] for r in format_summary(df).collect()]
+    assert got == [(f"{0.125:.2f}%", f"{0.125:.2f}"), (f"{0.375:.2f}%", f"{0.375:.2f}")]
