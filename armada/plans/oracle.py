@@ -1,16 +1,16 @@
 """DuckDB SQL equal to every registered query (same column names).
 
-Fragments are built from the same fixed values as the Spark side
-(``armada.config``, ``armada.plans.catalogue``). DuckDB notes: decimal
+Fixed values come from ``oracle_values``, not from the modules that are
+checked. DuckDB notes: decimal
 literals are cast to DOUBLE; lists index from 1; ``\\b`` is ASCII-only in
 RE2, so the word boundary is spelled out as "not a letter, decimal digit or
 underscore", which is what Java's ``\\b`` uses."""
 
 from __future__ import annotations
 
-from armada import config as C
-from armada.plans import catalogue as Q
-from armada.sources import tables as T
+from armada.plans import oracle_values as C
+
+Q = T = C
 
 
 def lit(s: str) -> str:

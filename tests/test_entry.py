@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from armada.plans.catalogue import QUERIES
+from armada.plans.oracle import SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("events documents embeddings benchmark labels conversations").split()
@@ -19,8 +21,9 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_oracle_or_reason():
-    q, o = E.queries(), E.oracle_sql()
-    assert set(o) == set(q)
+    # the runs of a learner in random orders are checked against loops in test_jobs
+    assert set(QUERIES) - set(SQL) == {"q40_learning_repeats"} and not set(SQL) - set(QUERIES)
+    assert set(QUERIES) <= set(E.queries()) and set(SQL) <= set(E.oracle_sql())
 
 
 def _norm(v):
@@ -29,7 +32,7 @@ def _norm(v):
     return v
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_oracle(spark, name):
     con = duckdb.connect()
     for t in TABLES:

@@ -87,10 +87,10 @@ def test_whole_split_without_tasks(spark):
 
 def test_labels_and_tasks_from_other_tables(spark):
     vec = spark.createDataFrame([(i, [float(i or 0)]) for i in (*range(20), None)], "row_id long, embedding array<double>")
-    lab = spark.createDataFrame([(i, i % 2) for i in (*range(5, 30), None)], "row_id long, gemma int")
+    lab = spark.createDataFrame([(i, (i or 0) % 2) for i in (*range(5, 30), None)], "row_id long, gemma int")
     both, counts = jobs.pair_labels(vec, lab)
     assert both.count() == 16 and counts.first().asDict() == {"labels_unmatched": 10, "vectors_unmatched": 5}
-    prompts = spark.createDataFrame([(i, f"t{i % 3}") for i in (*range(20), None)], "row_id long, task string")
+    prompts = spark.createDataFrame([(i, f"t{(i or 0) % 3}") for i in (*range(20), None)], "row_id long, task string")
     split = jobs.split_data(vec, prompts).collect()
     assert len(split) == 21 and sum(r["split"] == "train" for r in split) == 15
     import pytest

@@ -31,7 +31,8 @@ def test_strip_unicode(spark):
 
 def test_mc_prompt_list_choices(spark):
     got = one(spark, mc_prompt("q", "c"), "q string, c array<string>", "Why?", [" x ", "y\t"])
-    want = C.MC_PROMPT_HEAD + "Why?\nOptions:\nA. x\nB. y\nAnswer:"
+    want = ("Answer the following multiple-choice question with only the answer letter (A, B, C, or D):\n"
+            "Question: Why?\nOptions:\nA. x\nB. y\nAnswer:")
     assert got == want
 
 
