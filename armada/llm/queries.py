@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from armada.llm.oracle import SQL  # noqa: F401  (part of the registration)
-from armada.llm import (line_quality, personal_data, pieces, shards, simhash, spaced_seeds, suffix_dedup, token_counts,
+from armada.llm import (licenses, line_quality, personal_data, pieces, shards, simhash, spaced_seeds, suffix_dedup, token_counts,
                         token_files)
 
 WORD_BPE = "word_bpe_49k.json"
@@ -80,6 +80,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.report(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document: matched coverage and spans."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and added spans of personal data in every document."""
     return personal_data.find(table(spark, sf_dir, "documents"))
@@ -94,6 +99,7 @@ QUERIES = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_token_counts": op7_token_counts,
     "op8_quality_rules": op8_quality_rules,
+    "op9_license_scan": op9_license_scan,
     "op10_personal_data": op10_personal_data,
 }
 
