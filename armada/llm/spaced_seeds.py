@@ -8,7 +8,7 @@ with a document, and the tokens of the whole item are compared along it:
 an overlap counts if at least ``MIN_SAME`` of its tokens are equal.
 
 The test side is small beside the corpus but may grow: it goes out in
-blocks of at most ``BLOCK_HASHES`` seeds, each broadcast and joined in a
+blocks of about ``BLOCK_HASHES`` seeds and ``BLOCK_BYTES`` at most, each broadcast and joined in a
 pass over the documents without shuffling any text. Hits are reduced to one
 row per document, item and alignment before anything is exchanged.
 
@@ -33,7 +33,8 @@ SPAN = len(MASKS[0])
 MIN_TOKENS = 5             # shorter items say nothing
 MIN_SAME = 0.8             # share of equal tokens
 MIN_OVERLAP = 12           # tokens of an item that must lie inside the document, or the whole item
-BLOCK_HASHES = 200_000     # seeds broadcast at a time, each with its item's tokens
+BLOCK_HASHES = 200_000     # seeds broadcast at a time, each with its item's tokens,
+BLOCK_BYTES = 64 << 20     # and their size
 
 
 def tokens(text: Column) -> Column:
@@ -93,7 +94,10 @@ def find_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         parts.append(rows.select("_item", "item", F.posexplode(_all_seeds(F.col("h"), use)).alias("i", "seed"))
                      .select("seed", "_item", "item", _place(F.col("i"), n_items, use).alias("q")))
     seeds = reduce(DataFrame.unionByName, parts)
-    blocks = max(1, -(-seeds.count() // BLOCK_HASHES))
+    # A broadcast row holds its item's tokens (offsets and padding of 16 bytes each).
+    n, size = seeds.agg(F.count(F.lit(1)), F.coalesce(F.sum(
+        F.octet_length(F.array_join("item", "")) + 16 * n_items), F.lit(0))).first()
+    blocks = max(1, -(-n // BLOCK_HASHES), -(-size // BLOCK_BYTES))
 
     corpus = _let(docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("t")), "words", tokens(F.col("t")))
     corpus = _hashed(corpus.drop("t"), "words").select(

@@ -8,14 +8,20 @@ as the next stage's ``docs``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from armada.llm import line_quality, personal_data, pieces, simhash, spaced_seeds, storage
 from armada.llm.queries import PIECE_BPE, table, vocabulary
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """``n_chars`` of a text that may have changed."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the line rules, without the lines that fail."""
-    return line_quality.keep_clean(docs)
+    return counted(line_quality.keep_clean(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +36,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by its kind."""
-    return personal_data.masked(docs)
+    return counted(personal_data.masked(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
