@@ -33,7 +33,7 @@ from armada.llm.token_files import slices
 
 GRAM = 3                  # tokens
 WINDOW = 3                # grams
-BAND = 8                  # diagonals on either side of the hits
+BAND = 8                  # diagonals on either side of the hits, but at most a fifth of the template
 MATCH, MISS, GAP = 2, -1, -1
 COVERAGE = 0.8            # share of the template's tokens that must be matched
 PIECE = 1 << 20           # characters scanned at a time,
@@ -89,6 +89,7 @@ class Index:
         self.names = [n for n, _ in templates]
         self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for t in words for w in t}))}
         self.sequences = [np.array([self.vocabulary[w] for w in t], np.int64) for t in words]
+        self.bands = [min(BAND, max(1, len(s) // 5)) for s in self.sequences]
         self.base = len(self.vocabulary) + 1
         self.postings: dict[int, list] = {}
         for k, seq in enumerate(self.sequences):
@@ -144,7 +145,8 @@ def align(template: np.ndarray, text: np.ndarray, low: int, high: int):
 
 
 def candidates(index: Index, ids: np.ndarray):
-    """(template, lowest diagonal, highest diagonal) of every group of hits."""
+    """(template, lowest diagonal, highest diagonal) of every band: hits that
+    lie closer than two places where the template stands can."""
     grams = index.grams(ids)
     at = np.flatnonzero(np.isin(grams, index.keys))
     hits: dict[int, list] = {}
@@ -153,13 +155,14 @@ def candidates(index: Index, ids: np.ndarray):
             hits.setdefault(k, []).append(p - j)
     for k, diagonals in hits.items():
         diagonals.sort()
+        band = index.bands[k]
         low = last = diagonals[0]
         for d in diagonals[1:]:
-            if d > last + BAND or d > low + 2 * BAND:
-                yield k, low, last
+            if d > low + band:
+                yield k, low - band, last + band
                 low = d
             last = d
-        yield k, low, last
+        yield k, low - band, last + band
 
 
 def find(index: Index, text: str) -> list[tuple]:
@@ -172,7 +175,7 @@ def find(index: Index, text: str) -> list[tuple]:
         spans = None
         for k, low, high in candidates(index, ids):
             seq = index.sequences[k]
-            score, matched, a, b = align(seq, ids, low - BAND, high + BAND)
+            score, matched, a, b = align(seq, ids, low, high)
             if a < 0 or matched < COVERAGE * len(seq):
                 continue
             spans = spans or [m.span() for m in TOKEN.finditer(piece)]
