@@ -70,15 +70,19 @@ class PieceModel:
         return cls([(p, s.get_score(i)) for i, p in enumerate(plain)], byte_ids, s.unk_id(),
                    "bpe" if kind == 2 else "unigram", norm.add_dummy_prefix)
 
+    @property
+    def cut_at_spaces(self) -> bool:
+        """Whether no piece goes on behind a space after something else."""
+        return not any(SPACE in p.lstrip(SPACE) for p in self.text if p)
+
     def unknown(self, c: str) -> list[int]:
         return [self.byte_ids[b] for b in c.encode()] if len(self.byte_ids) == 256 else [self.unk]
 
     def cutter(self) -> re.Pattern:
         """Cuts escaped text where all paths must meet: in front of a run of
         spaces, and around the common unknown characters."""
-        inner = any(SPACE in p.lstrip(SPACE) for p in self.text if p)
         lone = "".join(re.escape(c) for c in "\n\t\r" if c not in self.trie.child[0])
-        if inner:
+        if not self.cut_at_spaces:
             return re.compile(f"[^{lone}]+|[{lone}]" if lone else "(?s:.+)")
         return re.compile(f"{SPACE}*[^{SPACE}{lone}]+|{SPACE}+" + (f"|[{lone}]" if lone else ""))
 
@@ -181,6 +185,45 @@ class StreamEncoder:
         return ids
 
 
+def encode_window(model: PieceModel, text: str) -> list[int] | None:
+    """Viterbi over a text that fits into the open window as a whole, so
+    that nothing needs to be committed on the way; None if it holds a
+    character outside the vocabulary or has no path."""
+    n, child, token = len(text), model.trie.child, model.trie.token
+    merge, score = model.model, model.score
+    known = merge._fits if merge else {}
+    back, piece, total = [0] * (n + 1), [-1] * (n + 1), [0.0] * (n + 1)
+    for start in range(n):  # all arcs into this boundary are drawn by now
+        last = piece[start]
+        if start and last < 0:
+            continue
+        node, end, pair = 0, start, last << 32
+        while end < n:
+            node = child[node].get(text[end])
+            if node is None:
+                break
+            end += 1
+            t = token[node]
+            if t < 0:
+                continue
+            if merge is None:
+                if piece[end] < 0 or total[start] + score[t] > total[end]:
+                    piece[end], back[end], total[end] = t, start, total[start] + score[t]
+            elif piece[end] < 0:
+                if start:
+                    fit = known.get(pair | t)
+                    if not (merge.fits(last, t) if fit is None else fit):
+                        continue
+                piece[end], back[end] = t, start
+    if piece[n] < 0:
+        return None
+    out = []
+    while n:
+        out.append(piece[n])
+        n = back[n]
+    return out[::-1]
+
+
 def encode_text(model: PieceModel, text: str) -> list[int]:
     """One text through the stream encoder, without any cache."""
     if not text:
@@ -195,10 +238,29 @@ def encode_texts(model: PieceModel, texts: list) -> list[bytes]:
     key = (id(model), model.kind, len(model.text))
     cache, cut = _CACHES.setdefault(key, (ChunkCache(), model.cutter()))
     prefix = " " if model.dummy_prefix else ""
-    split = [cut.findall((prefix + t).replace(" ", SPACE)) if t else [] for t in texts]
     enc = StreamEncoder(model)
-    for part in cache.missing(set(itertools.chain.from_iterable(split))):
-        cache.young[part] = np.asarray(enc.push(part) + enc.finish(), "<i4").tobytes()
+
+    def fill(parts) -> None:
+        for part in cache.missing(set(parts)):
+            inner = cut.findall(part)
+            if len(inner) < 2:
+                ids = encode_window(model, part) if len(part) <= 2 * model.reach else None
+                cache.young[part] = np.asarray(enc.push(part) + enc.finish() if ids is None else ids, "<i4").tobytes()
+            else:  # a word with unknown characters inside: its parts are common, the whole seldom is
+                fill(inner)
+                cache.young[part] = b"".join(map(cache.young.__getitem__, inner))
+
+    # With single spaces only, every word starts where all paths meet.
+    by_word = model.dummy_prefix and model.cut_at_spaces
+    split = []
+    for t in texts:
+        if not t:
+            split.append([])
+        elif by_word and "  " not in t and t[0] != " ":
+            split.append((SPACE + t.replace(" ", f" {SPACE}")).split(" "))
+        else:
+            split.append(cut.findall((prefix + t).replace(" ", SPACE)))
+    fill(itertools.chain.from_iterable(split))
     get = cache.young.__getitem__
     out = [b"".join(map(get, parts)) for parts in split]
     cache.turn()

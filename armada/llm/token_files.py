@@ -50,7 +50,9 @@ class ChunkCache:
     def missing(self, chunks: set) -> list:
         young, old = self.young, self.old
         out = []
-        for c in chunks - young.keys():
+        for c in chunks:
+            if c in young:
+                continue
             v = old.get(c)
             if v is None:
                 out.append(c)

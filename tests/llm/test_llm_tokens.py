@@ -90,6 +90,16 @@ def test_open_window_stays_bounded():
     assert [model.text[i] for i in ids] and "".join(model.text[i] for i in ids) == text
 
 
+def test_window_and_stream_agree():
+    model = pieces.PieceModel.load(vocabulary(PIECE_BPE))
+    r = random.Random(6)
+    for _ in range(1500):
+        text = "▁" + "".join(r.choice("aeinrstößédl-.,'▁") for _ in range(r.randrange(1, 2 * model.reach)))
+        enc = pieces.StreamEncoder(model)
+        assert pieces.encode_window(model, text) == enc.push(text) + enc.finish()
+    assert pieces.encode_window(model, "▁a\ue123b") is None
+
+
 def test_unigram_takes_the_best_path():
     scores = {"a": -2.0, "b": -2.0, "c": -2.5, "ab": -3.5, "bc": -2.8, "abc": -5.0, "ca": -3.0}
     model = pieces.PieceModel(list(scores.items()), {}, -1, "unigram", dummy_prefix=False)
@@ -99,9 +109,9 @@ def test_unigram_takes_the_best_path():
         best = [0.0] + [None] * len(text)
         for i in range(1, len(text) + 1):
             best[i] = max(best[j] + scores[text[j:i]] for j in range(max(0, i - 3), i) if text[j:i] in scores)
-        ids = pieces.encode_text(model, text)
-        assert "".join(model.text[i] for i in ids) == text
-        assert abs(sum(model.score[i] for i in ids) - best[-1]) < 1e-9
+        for ids in (pieces.encode_text(model, text), pieces.encode_window(model, text)):
+            assert "".join(model.text[i] for i in ids) == text
+            assert abs(sum(model.score[i] for i in ids) - best[-1]) < 1e-9
 
 
 def test_neighbours_that_fit_are_the_encoding():
