@@ -22,7 +22,7 @@ one anchor (about one in 34 bytes is one).
 3. The windows of those records are fetched and sorted again by gram; in a
    bucket the 100-byte strings at every start are compared. Grams at a
    bucket's ends, which may go on in the neighbour, are compared across
-   boundaries by grouping the fingerprints of their strings.
+   boundaries: their strings meet in the task that owns the fingerprint.
 4. The spans found are joined with the texts and cut out.
 
 Strings are compared by fingerprints of 112 to 128 bits.
@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -194,10 +195,10 @@ def _pack(fields: list[np.ndarray]) -> bytes:
     return len(fields[0]).to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
-def _unpack(blob: bytes) -> list[np.ndarray]:
+def _unpack(blob: bytes, fields=FIELDS) -> list[np.ndarray]:
     n = int.from_bytes(blob[:4], "little")
     raw, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[4:]), np.uint8), 0, []
-    for _, kind in FIELDS:
+    for _, kind in fields:
         size = np.dtype(kind).itemsize
         out.append(np.ascontiguousarray(raw[at:at + n * size].reshape(size, n).T).reshape(-1).view(kind))
         at += n * size
@@ -325,10 +326,44 @@ def _windows(rows: DataFrame, open_ones: DataFrame) -> DataFrame:
     return joined.mapInArrow(cut, "key long, doc long, v long, start long, text binary")
 
 
+def _neighbours(doc: np.ndarray, v: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last rows of the runs of neighbouring starts (rows in order)."""
+    cut = np.ones(len(p), bool)
+    cut[1:] = (doc[1:] != doc[:-1]) | (v[1:] != v[:-1]) | (p[1:] > p[:-1] + 1)
+    first = np.flatnonzero(cut)
+    return first, np.append(first[1:], len(p)) - 1
+
+
+PLACES = (("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("v", "<i8"), ("start", "<i8"))
+
+
+def _across(edges: DataFrame, buckets: int) -> DataFrame:
+    """(doc, v, start, stop): strings that another bucket holds earlier."""
+    def compare(batches):
+        blobs = [_unpack(x, PLACES) for batch in batches for x in batch.column(1).to_pylist()]
+        if not blobs:
+            return
+        a, b, doc, v, p = (np.concatenate(x) for x in zip(*blobs))
+        order = multikey_quicksort([a, b, doc, v, p])
+        a, b, doc, v, p = (x[order] for x in (a, b, doc, v, p))
+        again = np.zeros(len(a), bool)
+        again[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+        head = np.maximum.accumulate(np.where(again, 0, np.arange(len(a))))
+        again &= (doc != doc[head]) | (v != v[head]) | (p != p[head])
+        doc, v, p = doc[again], v[again], p[again]
+        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(v), pa.array(p), pa.array(p + LENGTH)],
+                                         ["doc", "v", "start", "stop"])
+
+    sent = edges.where("blob is not null").select("bucket", "blob").repartitionById(buckets, "bucket")
+    return sent.mapInArrow(compare, "doc long, v long, start long, stop long")
+
+
 def _second_pass(windows: DataFrame, buckets: int) -> DataFrame:
-    """(doc, v, start, stop, a, b): spans of repeated strings (a, b NULL), and
-    single strings with their fingerprint that other buckets may hold as well."""
-    schema = "doc long, v long, start long, stop long, a long, b long"
+    """(doc, v, start, stop, bucket, blob): spans of strings that the bucket
+    holds earlier (blob NULL); and packed, for the task that owns their
+    fingerprints, the first places of the strings that other buckets may
+    hold as well."""
+    schema = "doc long, v long, start long, stop long, bucket int, blob binary"
 
     def compare(batches):
         got = [batch for batch in batches if batch.num_rows]
@@ -336,7 +371,7 @@ def _second_pass(windows: DataFrame, buckets: int) -> DataFrame:
             return
         got = pa.Table.from_batches(got)
         key, doc, v, start = (got.column(i).to_numpy() for i in range(4))
-        text = pa.compute.binary_length(got.column(4)).to_numpy().astype(np.int64)
+        text = pc.binary_length(got.column(4)).to_numpy().astype(np.int64)
         data = np.frombuffer(b"".join(got.column(4).to_pylist()), np.uint8)
         del got
         begin = np.cumsum(text) - text
@@ -347,33 +382,31 @@ def _second_pass(windows: DataFrame, buckets: int) -> DataFrame:
         a, b = (_mix(_rolled(data, LENGTH, base))[spot] for base in (BASE_A, BASE_B))
         p, doc, v, key = start[row] + step, doc[row], v[row], key[row]
         ends = (key == key.min()) | (key == key.max())  # the order of the exchange: signed
-        r = np.flatnonzero(ends)
-        for i in range(0, len(r), 1 << 18):
-            x = r[i:i + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[x]), pa.array(v[x]), pa.array(p[x]), pa.array(p[x] + LENGTH),
-                                              pa.array(a[x].view(np.int64)), pa.array(b[x].view(np.int64))],
-                                             ["doc", "v", "start", "stop", "a", "b"])
-        r = np.flatnonzero(~ends)
-        if not len(r):
-            return
-        a, b, doc, v, p = a[r], b[r], doc[r], v[r], p[r]
         order = multikey_quicksort([a, b, doc, v, p])
-        a, b, doc, v, p = (x[order] for x in (a, b, doc, v, p))
+        a, b, doc, v, p, ends = (x[order] for x in (a, b, doc, v, p, ends))
         new = (np.diff(a, prepend=~a[:1]) != 0) | (np.diff(b, prepend=~b[:1]) != 0)
         head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        # The bucket's first place of a string that others may hold: to the task that owns its fingerprint.
+        r = np.flatnonzero(new & ends)
+        to = (a[r] % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(to, kind="stable")
+        r, to = r[order], to[order]
+        cuts = np.append(np.flatnonzero(np.diff(to, prepend=-1)), len(to))
+        blobs = [_pack([x[r[i:j]] for x in (a, b, doc, v, p)]) for i, j in zip(cuts[:-1], cuts[1:])]
+        if blobs:
+            none = pa.nulls(len(blobs), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(to[cuts[:-1]]), pa.array(blobs, pa.binary())],
+                                             ["doc", "v", "start", "stop", "bucket", "blob"])
         again = ~new & ((doc != doc[head]) | (v != v[head]) | (p != p[head]))
         doc, v, p = doc[again], v[again], p[again]
         order = np.lexsort([p, v, doc])
         doc, v, p = doc[order], v[order], p[order]
         if not len(p):
             return
-        cut = np.ones(len(p), bool)
-        cut[1:] = (doc[1:] != doc[:-1]) | (v[1:] != v[:-1]) | (p[1:] > p[:-1] + 1)
-        first = np.flatnonzero(cut)
-        last = np.append(first[1:], len(p)) - 1
-        none = pa.nulls(len(first), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(v[first]), pa.array(p[first]),
-                                          pa.array(p[last] + LENGTH), none, none], ["doc", "v", "start", "stop", "a", "b"])
+        first, last = _neighbours(doc, v, p)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(doc[first]), pa.array(v[first]), pa.array(p[first]), pa.array(p[last] + LENGTH),
+             pa.nulls(len(first), pa.int32()), pa.nulls(len(first), pa.binary())], ["doc", "v", "start", "stop", "bucket", "blob"])
 
     ranged = windows.repartitionByRange(buckets, "key", "doc", "v", "start")
     return storage.write_shared(ranged.mapInArrow(compare, schema), "suffix-edges")
@@ -389,13 +422,8 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     runs = _first_pass(rows, buckets, _splitters(spark, rows, buckets, n_docs, total))
     whole = runs.where("key is null").select("doc", "v", "start", (F.col("start") + F.col("n") + (LENGTH - 1)).alias("stop"))
     edges = _second_pass(_windows(rows, runs.where("key is not null")), buckets)
-    inner = edges.where("a is null").select("doc", "v", "start", "stop")
-    # Across boundaries: the first place of every string in the grams at the buckets' ends.
-    place = F.struct("doc", "v", "start")
-    across = edges.where("a is not null")
-    first = across.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    outer = across.join(first, ["a", "b"]).where(place > F.col("first")).select("doc", "v", "start", "stop")
-    return whole.unionByName(inner).unionByName(outer)
+    inner = edges.where("blob is null").select("doc", "v", "start", "stop")
+    return whole.unionByName(inner).unionByName(_across(edges, buckets))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
