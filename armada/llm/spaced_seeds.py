@@ -4,8 +4,11 @@ A text becomes lower-case tokens of letters and digits. Fixed masks laid
 over every position keep some tokens of a span and ignore the others, so a
 substituted token under an ignored position does not change the hash. Test
 and training hashes are joined; every hit fixes an alignment of an item
-with a document, and the tokens of the whole item are compared along it:
-an overlap counts if at least ``MIN_SAME`` of its tokens are equal.
+with a document, and the tokens of the item are compared along it: an
+overlap counts if at least ``MIN_SAME`` of the whole item's tokens are equal,
+or of a stretch of ``MIN_OVERLAP`` of them or more (a part quoted between
+other text, the lines that are left of an item), or of an item below
+``SHORT`` tokens with one token put in or left out.
 
 The test side is small beside the corpus but may grow: it goes out in
 blocks of about ``BLOCK_HASHES`` seeds and ``BLOCK_BYTES`` at most, each broadcast and joined in a
@@ -33,6 +36,7 @@ SPAN = len(MASKS[0])
 MIN_TOKENS = 5             # shorter items say nothing
 MIN_SAME = 0.8             # share of equal tokens
 MIN_OVERLAP = 12           # tokens of an item that must lie inside the document, or the whole item
+SHORT = 25                 # items below are also compared with one token put in or left out
 BLOCK_HASHES = 200_000     # seeds broadcast at a time, each with its item's tokens,
 BLOCK_BYTES = 64 << 20     # and their size
 
@@ -106,26 +110,91 @@ def find_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     for b in range(blocks):
         block = seeds.where(F.pmod(F.col("seed"), F.lit(blocks)) == b) if blocks > 1 else seeds
         met = corpus.join(F.broadcast(block), "seed")
-        found.append(met.withColumn("position", _place(F.col("i"), F.size("words"), masks) - F.col("q")).select(
-            "_doc", "_item", "position", F.size("item").alias("n_item"), _compare().alias("c")))
+        met = _let(met, "position", _place(F.col("i"), F.size("words"), masks) - F.col("q"))
+        met = _let(met, "equal", _equal(F.col("position")))
+        found.append(met.select("_doc", "_item", "position", _agreement(min_same).alias("c")))
     hits = reduce(DataFrame.unionByName, found)
-    ok = (F.col("c.n_compared") >= F.least(F.lit(MIN_OVERLAP), F.col("n_item"))) & \
-         (F.col("c.n_same") >= min_same * F.col("c.n_compared"))
-    best = F.max(F.struct("c.n_same", "c.n_compared", (-F.col("position")).alias("p"))).alias("b")
-    return hits.where(ok).groupBy("_doc", "_item").agg(best).select(
+    best = F.max(F.struct("c.whole", "c.n_same", "c.n_compared", (-F.col("position")).alias("p"))).alias("b")
+    return hits.where(F.col("c").isNotNull()).groupBy("_doc", "_item").agg(best).select(
         F.col("_doc").alias(id_col), F.col("_item").alias(item_col), (-F.col("b.p")).cast("long").alias("position"),
         F.col("b.n_same").cast("long").alias("n_same"), F.col("b.n_compared").cast("long").alias("n_compared"),
         (F.col("b.n_same") / F.col("b.n_compared")).alias("same"))
 
 
-def _compare() -> Column:
-    """Tokens of the item that lie inside the document along the hit, and how many are equal."""
-    skip = F.greatest(-F.col("position"), F.lit(0))     # item tokens before the document's start
-    part = F.slice(F.col("words"), F.greatest(F.col("position"), F.lit(0)) + 1, F.size("item") - skip)
+def _equal(position: Column) -> Column:
+    """Whether (1 or 0) the tokens of the item that lie inside the document are equal along a hit, in their order."""
+    skip = F.greatest(-position, F.lit(0))              # item tokens before the document's start
+    part = F.slice(F.col("words"), F.greatest(position, F.lit(0)) + 1, F.size("item") - skip)
     item = F.slice(F.col("item"), skip + 1, F.size("item"))
     pairs = F.zip_with(part, item, lambda a, b: a == b)  # NULL beyond the end of either
-    return F.struct(F.size(F.filter(pairs, lambda x: x)).alias("n_same"),
-                    F.size(F.filter(pairs, lambda x: x.isNotNull())).alias("n_compared"))
+    return F.transform(F.filter(pairs, lambda x: x.isNotNull()), lambda x: x.cast("int"))
+
+
+def _agreement(min_same: float) -> Column:
+    """(whole, n_same, n_compared) of the item if it agrees along the hit as a
+    whole, else of its best stretch, else of the item with one gap; NULL if none does."""
+    equal, n_item = F.col("equal"), F.size("item")
+
+    def of(whole, n_same, n_compared):
+        return F.struct(F.lit(whole).alias("whole"), n_same.alias("n_same"), n_compared.alias("n_compared"))
+
+    n_same, n = F.size(F.array_remove(equal, 0)), F.size(equal)
+    out = F.when((n >= F.least(F.lit(MIN_OVERLAP), n_item)) & (n_same >= min_same * n), of(True, n_same, n))
+    stretch, gap = _stretch(min_same), _one_gap()
+    some = F.when((n >= MIN_OVERLAP) & (n_same >= min_same * MIN_OVERLAP), F.filter(
+        F.transform(F.array(stretch), lambda x: of(False, x["n_same"], x["n"])), lambda x: x["n_compared"] > 0))
+    found = F.get(F.filter(F.transform(F.array(gap), lambda x: of(False, x, n_item)),
+                           lambda x: x["n_same"] >= min_same * x["n_compared"]), F.lit(0))
+    return out.otherwise(F.coalesce(F.get(some, F.lit(0)), F.when(n_item < SHORT, found)))
+
+
+def _stretch(min_same: float) -> Column:
+    """(n, n_same) of the stretch of at least ``MIN_OVERLAP`` tokens along a hit in which equal
+    tokens outweigh the others most; n is 0 if none has ``min_same`` equal tokens.
+    A running sum of weights against its least value ``MIN_OVERLAP`` tokens back or more."""
+    hit, miss = 1000 - round(1000 * min_same), -round(1000 * min_same)
+    weight = lambda x: F.when(x == 1, F.lit(hit)).otherwise(F.lit(miss))
+    state = lambda i, s, back, low, best: F.struct(
+        i.alias("i"), s.alias("s"), back.alias("back"), low.alias("low"), best.alias("best"))
+    point = lambda s, i: F.struct(s.alias("s"), i.alias("i"))
+    score = lambda s, n: F.struct(s.alias("s"), n.alias("n"))
+
+    def step(a, x):
+        i, s = a["i"] + 1, a["s"] + weight(x)           # tokens so far and their weight
+        start = i - MIN_OVERLAP                         # the last place where a stretch can begin
+        back = F.when(start > 0, a["back"] + weight(F.get(F.col("equal"), start - 1))).otherwise(F.lit(0))
+        low = F.when(start > 0, F.least(a["low"], point(back, start))).otherwise(a["low"])
+        return state(i, s, back, low, a["best"])
+
+    def scored(a, x):
+        b = step(a, x)
+        return F.element_at(F.transform(F.array(b), lambda b: state(
+            b["i"], b["s"], b["back"], b["low"], F.when(b["i"] >= MIN_OVERLAP, F.greatest(
+                b["best"], score(b["s"] - b["low"]["s"], b["i"] - b["low"]["i"]))).otherwise(b["best"]))), 1)
+
+    zero = state(F.lit(0), F.lit(0), F.lit(0), point(F.lit(0), F.lit(0)), score(F.lit(-1), F.lit(0)))
+    return F.aggregate(F.col("equal"), zero, scored, lambda a: F.struct(
+        a["best"]["n"].alias("n"), ((a["best"]["s"] - miss * a["best"]["n"]) / 1000).cast("int").alias("n_same")))
+
+
+def _one_gap() -> Column:
+    """Most equal tokens of the item if it leaves the hit's diagonal for a neighbouring
+    one, or comes from it, at one place; a token that only the document has counts as one unequal."""
+    words, item = F.col("words"), F.col("item")
+
+    def along(d):
+        return F.transform(item, lambda x, i: F.coalesce(
+            (F.get(words, F.col("position") + d + i) == x).cast("int"), F.lit(0)))
+
+    def turned(first, second):
+        """Tokens equal on ``first`` up to some place and on ``second`` from there on."""
+        gain = F.aggregate(F.zip_with(first, second, lambda a, b: a - b), F.struct(F.lit(0).alias("s"), F.lit(0).alias("top")),
+                           lambda a, x: F.struct((a["s"] + x).alias("s"), F.greatest(a["top"], a["s"] + x).alias("top")),
+                           lambda a: a["top"])
+        return gain + F.size(F.array_remove(second, 0))
+
+    return F.element_at(F.transform(F.array(F.struct(along(-1).alias("a"), along(0).alias("b"), along(1).alias("c"))), lambda x: F.greatest(
+        turned(x["a"], x["b"]) - 1, turned(x["b"], x["c"]) - 1, turned(x["b"], x["a"]), turned(x["c"], x["b"]))), 1)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",

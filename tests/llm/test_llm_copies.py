@@ -189,3 +189,19 @@ def test_multikey_quicksort():
     tokens = [rng.integers(0, 3, 20_000).astype(np.uint64), rng.integers(0, 50, 20_000), rng.integers(0, 1 << 40, 20_000)]
     order = suffix_dedup.multikey_quicksort(tokens)
     assert (order == np.lexsort(tokens[::-1])).all() or all((t[order] == t[np.lexsort(tokens[::-1])]).all() for t in tokens)
+
+
+def test_overlaps_of_parts(spark):
+    r = random.Random(11)
+    item, short = words(100, r), words(20, r)
+    body = lambda n: words(n, r, 10**6)
+    rows = [(0, [*body(40), *item[25:75], *body(40)]), (1, [*item[:50], "inserted", *item[50:]]), (2, [*item[:50], *item[51:]]),
+            (3, [*body(9), *short[:10], "inserted", *short[10:], *body(9)]), (4, [*body(9), *short[:10], *short[11:], *body(9)]),
+            (5, [*body(30), *item[40:52], *body(30)]), (6, [*body(30), *item[40:49], *body(30)]), (7, [*body(30), *item[:50:2], *body(30)])]
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in rows], "doc_id long, text string")
+    test = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(short))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in spaced_seeds.find_overlaps(docs, test).collect()}
+    assert set(got) == {(0, 0), (1, 0), (2, 0), (3, 1), (4, 1), (5, 0)}
+    assert got[0, 0].position == 15 and got[0, 0].n_same == 50 == got[0, 0].n_compared
+    assert all(x.same >= 0.8 for x in got.values())
+    assert {x.doc_id for x in spaced_seeds.decontaminate(docs, test).collect()} == {6, 7}
