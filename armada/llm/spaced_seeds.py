@@ -15,9 +15,13 @@ blocks of about ``BLOCK_HASHES`` seeds and ``BLOCK_BYTES`` at most, each broadca
 pass over the documents without shuffling any text. Hits are reduced to one
 row per document, item and alignment before anything is exchanged.
 
+The two spaced masks leave gaps in items with many substitutions, so every
+item also has unbroken masks of two to four tokens, as long as the run that
+must be left of it.
+
 Defined results: NULL and empty texts have no tokens and no overlaps; items
-of fewer than ``SPAN`` tokens are found by their unbroken token sequence
-(one mask of that length); repeated rows of a document or an item give the
+of fewer than ``MIN_TOKENS`` tokens say nothing, and in scripts without
+spaces every letter is a token; repeated rows of a document or an item give the
 rows once; empty tables give no rows.
 """
 
@@ -33,6 +37,7 @@ from armada.llm import storage
 #: The masks (1 keeps a token, 0 ignores it).
 MASKS = ("111010110", "110101011")
 SPAN = len(MASKS[0])
+UNSPACED = "[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}]"
 MIN_TOKENS = 5             # shorter items say nothing
 MIN_SAME = 0.8             # share of equal tokens
 MIN_OVERLAP = 12           # tokens of an item that must lie inside the document, or the whole item
@@ -42,8 +47,9 @@ BLOCK_BYTES = 64 << 20     # and their size
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits."""
+    """Lower-case runs of letters and digits; a letter of a script without spaces is a run of its own."""
     t = F.lower(F.coalesce(text.cast("string"), F.lit("")))
+    t = F.when(t.rlike(UNSPACED), F.regexp_replace(t, f"({UNSPACED}\\p{{M}}*)", " $1 ")).otherwise(t)
     return F.filter(F.split(t, "[^\\p{L}\\p{M}\\p{N}]+", -1), lambda x: x != "")
 
 
@@ -78,6 +84,14 @@ def _place(i: Column, n: Column, masks: list[tuple[int, str]]) -> Column:
     return out
 
 
+def _run(n: int) -> int:
+    """Equal neighbours that an item of ``n`` tokens keeps somewhere, whichever tokens ``MIN_SAME``
+    lets be others. It is 4 from 16 tokens on, and so long are the runs of every stretch of
+    ``MIN_OVERLAP`` tokens or more, but for one of 15 that is found by the second of ``MASKS``."""
+    changed = n // 5
+    return min(4, -(-(n - changed) // (changed + 1)))
+
+
 def _hashed(df: DataFrame, words: str) -> DataFrame:
     return _let(df, "h", F.transform(F.col(words), lambda x: F.xxhash64(x)))
 
@@ -88,13 +102,18 @@ def find_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     (of the item's first token in the document, may be negative), n_same,
     n_compared and same (their ratio) of the alignment with most equal tokens."""
     test = items.select(F.col(item_col).alias("_item"), tokens(F.col(item_text_col)).alias("item"))
-    test = test.where(F.size("item") >= MIN_TOKENS).distinct()
-    # Below SPAN there are few lengths, however many items.
-    lengths = sorted(r[0] for r in test.where(F.size("item") < SPAN).select(F.size("item")).distinct().collect())
-    masks = [*enumerate(MASKS), *((SPAN + n, "1" * n) for n in lengths)]
-    test, n_items, parts = _hashed(test, "item"), F.size("item"), []
-    for use, rows in ((list(enumerate(MASKS)), test.where(n_items >= SPAN)),
-                      *(([(SPAN + n, "1" * n)], test.where(n_items == n)) for n in lengths)):
+    test = _hashed(test.where(F.size("item") >= MIN_TOKENS).distinct(), "item")
+    # Short items have few lengths, however many items.
+    n_items, fixed = F.size("item"), list(enumerate(MASKS))
+    lengths = [r[0] for r in test.where(n_items < SHORT).select(n_items).distinct().collect()]
+    runs = sorted({_run(n) for n in (*lengths, SHORT)})
+    masks, parts = [*fixed, *((SPAN + n, "1" * n) for n in runs)], []
+    sides = [(fixed, test.where(n_items >= SPAN))]
+    for n in runs:
+        mine = [x for x in lengths if _run(x) == n]
+        rows = n_items.isin(mine) | (n_items >= SHORT) if n == _run(SHORT) else n_items.isin(mine)
+        sides.append(([(SPAN + n, "1" * n)], test.where(rows)))
+    for use, rows in sides:
         parts.append(rows.select("_item", "item", F.posexplode(_all_seeds(F.col("h"), use)).alias("i", "seed"))
                      .select("seed", "_item", "item", _place(F.col("i"), n_items, use).alias("q")))
     seeds = reduce(DataFrame.unionByName, parts)

@@ -205,3 +205,33 @@ def test_overlaps_of_parts(spark):
     assert got[0, 0].position == 15 and got[0, 0].n_same == 50 == got[0, 0].n_compared
     assert all(x.same >= 0.8 for x in got.values())
     assert {x.doc_id for x in spaced_seeds.decontaminate(docs, test).collect()} == {6, 7}
+
+
+def test_no_allowed_substitution_is_lost(spark):
+    r = random.Random(12)
+    items = [words(n, r) for n in range(5, 31) for _ in range(3)]
+    rows, expected = [], set()
+    for i, item in enumerate(items):
+        for k in range(12):
+            copy = list(item)
+            for j in r.sample(range(len(item)), len(item) // 5):
+                copy[j] = f"sub{k}"
+            d = len(rows)
+            rows.append((d, [*words(20, r), *copy, *words(20, r)]))
+            expected.add((d, i))
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in rows], "doc_id long, text string")
+    test = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in spaced_seeds.find_overlaps(docs, test).collect()}
+
+    def agree(t, v):
+        for p in range(1 - len(v), len(t)):
+            pairs = [t[p + k] == v[k] for k in range(len(v)) if 0 <= p + k < len(t)]
+            if len(pairs) >= min(12, len(v)) and sum(pairs) >= 0.8 * len(pairs):
+                return True
+        return False
+    assert expected <= got and expected <= {(d, i) for d, i in got if agree(rows[d][1], items[i])}
+    assert {(d, i) for d, t in rows[::6] for i, v in enumerate(items) if agree(t, v)} <= got
+    text = "今日は天気がとても良いので公園へ散歩に行きました"
+    han = spark.createDataFrame([(0, "前文。" + text + "。後文"), (1, "別の文章です。関係はありません")], "doc_id long, text string")
+    one = spark.createDataFrame([(0, text)], "item_id long, text string")
+    assert [(x.doc_id, x.item_id) for x in spaced_seeds.find_overlaps(han, one).collect()] == [(0, 0)]
