@@ -250,13 +250,13 @@ def encode_texts(model: PieceModel, texts: list) -> list[bytes]:
                 fill(inner)
                 cache.young[part] = b"".join(map(cache.young.__getitem__, inner))
 
-    # With single spaces only, every word starts where all paths meet.
+    # With single spaces only and no literal U+2581, every word starts where all paths meet.
     by_word = model.dummy_prefix and model.cut_at_spaces
     split = []
     for t in texts:
         if not t:
             split.append([])
-        elif by_word and "  " not in t and t[0] != " ":
+        elif by_word and "  " not in t and SPACE not in t and t[0] != " ":
             split.append((SPACE + t.replace(" ", f" {SPACE}")).split(" "))
         else:
             split.append(cut.findall((prefix + t).replace(" ", SPACE)))
