@@ -2,8 +2,9 @@
 
 Templates are token sequences. Their ``GRAM``-token grams are winnowed (the
 smallest hash of every ``WINDOW`` neighbouring grams is kept), so any shared
-run of ``GRAM + WINDOW - 1`` tokens holds a kept one; the kept grams form an
-inverted index of (template, position), whose size is that of the template
+run of ``GRAM + WINDOW - 1`` tokens holds a kept one; of templates below
+``SHORT`` tokens, whose finds need not share such a run, all grams are kept
+and all pairs of neighbours as well. The kept grams form an inverted index of (template, position), whose size is that of the template
 list, and which is broadcast. Every gram of every document is looked up;
 hits on nearby diagonals are one candidate, and a local alignment inside a
 band around them, with substitutions and gaps, gives the matched share of
@@ -33,6 +34,7 @@ from armada.llm.token_files import slices
 
 GRAM = 3                  # tokens
 WINDOW = 3                # grams
+SHORT = 15                # templates of fewer tokens are not winnowed
 BAND = 8                  # diagonals on either side of the hits, but at most a fifth of the template
 MATCH, MISS, GAP = 2, -1, -1
 COVERAGE = 0.8            # share of the template's tokens that must be matched
@@ -91,7 +93,7 @@ class Index:
         self.sequences = [np.array([self.vocabulary[w] for w in t], np.int64) for t in words]
         self.bands = [min(BAND, max(1, len(s) // 5)) for s in self.sequences]
         self.base = len(self.vocabulary) + 1
-        self.postings: dict[int, list] = {}
+        self.postings: dict[int, dict[int, list]] = {GRAM: {}, GRAM - 1: {}}  # by size of the gram
         for k, seq in enumerate(self.sequences):
             grams = self.grams(seq)
             ranks = [zlib.crc32(int(g).to_bytes(8, "little")) for g in grams]
@@ -99,15 +101,18 @@ class Index:
             for i in range(max(1, len(grams) - WINDOW + 1)):
                 window = range(i, min(i + WINDOW, len(grams)))
                 kept.add(min(window, key=lambda j: (ranks[j], -j)))
-            for j in kept:
-                self.postings.setdefault(int(grams[j]), []).append((k, j))
-        self.keys = np.array(sorted(self.postings), np.int64)
-
-    def grams(self, ids: np.ndarray) -> np.ndarray:
+            short = len(seq) < SHORT
+            for j in range(len(grams)) if short else kept:
+                self.postings[GRAM].setdefault(int(grams[j]), []).append((k, j))
+            for j, g in enumerate(self.grams(seq, GRAM - 1)) if short else ():
+                self.postings[GRAM - 1].setdefault(int(g), []).append((k, j))
+        self.keys = {size: np.array(sorted(p), np.int64) for size, p in self.postings.items()}
+
+    def grams(self, ids: np.ndarray, size: int = GRAM) -> np.ndarray:
         """Gram numbers; those with an unknown token (0) are 0."""
-        n = max(0, len(ids) - GRAM + 1)
+        n = max(0, len(ids) - size + 1)
         out, known = np.zeros(n, np.int64), np.ones(n, bool)
-        for i in range(GRAM):
+        for i in range(size):
             out = out * self.base + ids[i:i + n]
             known &= ids[i:i + n] > 0
         return np.where(known, out, 0)
@@ -147,12 +152,13 @@ def align(template: np.ndarray, text: np.ndarray, low: int, high: int):
 def candidates(index: Index, ids: np.ndarray):
     """(template, lowest diagonal, highest diagonal) of every band: hits that
     lie closer than two places where the template stands can."""
-    grams = index.grams(ids)
-    at = np.flatnonzero(np.isin(grams, index.keys))
     hits: dict[int, list] = {}
-    for p in at.tolist():
-        for k, j in index.postings[int(grams[p])]:
-            hits.setdefault(k, []).append(p - j)
+    for size, postings in index.postings.items():
+        grams = index.grams(ids, size)
+        at = np.flatnonzero(np.isin(grams, index.keys[size]))
+        for p in at.tolist():
+            for k, j in postings[int(grams[p])]:
+                hits.setdefault(k, []).append(p - j)
     for k, diagonals in hits.items():
         diagonals.sort()
         band = index.bands[k]

@@ -14,3 +14,19 @@ def test_literal_markers_are_encoded_as_in_the_library():
     texts = ["x▁ 7", "▁ a", "a ▁", "▂▁ ▁▃ bars", "▁", *("".join(r.choice("ab7 ▁▁\n") for _ in range(12)) for _ in range(200))]
     got = [np.frombuffer(b, "<i4").tolist() for b in pieces.encode_texts(model, texts)]
     assert got == [library.encode(t) for t in texts]
+
+
+def test_short_notices_survive_every_allowed_change():
+    index = licenses.Index(licenses.TEMPLATES)
+    for k, (_, text) in enumerate(licenses.TEMPLATES):
+        words = licenses.tokens(text)
+        if len(words) >= licenses.SHORT or len(words) < 5:
+            continue
+        alone = licenses.Index([licenses.TEMPLATES[k]])
+        for i in range(len(words)):
+            changed = " ".join(["before", *words[:i], "zzz", *words[i + 1:], "after"])
+            assert licenses.find(alone, changed), changed
+            assert licenses.find(index, changed), changed
+    for text, name in (("Released under an MIT License", "MIT"), ("Licensed under the MIT Licence", "MIT"),
+                       ("Licensed with CC BY-NC 4.0", "CC-BY-NC-4.0")):
+        assert [index.names[f[2]] for f in licenses.find(index, text)] == [name]
