@@ -7,7 +7,8 @@ are observed. A node has a trained unary potential over shape features,
 neighbouring words share a chain potential, and all words of one normalised
 value (the digits of a number, the folded form of anything else), however
 far apart, share skip potentials through a common hub, so a value that is
-repeated m times costs m edges. Loopy sum-product messages spread what is
+repeated m times costs m edges. The words of one number share a hub as well,
+told by its last digits, so other groupings and prefixes are tied. Loopy sum-product messages spread what is
 known of one mention to the others; words whose label becomes likely enough
 are added to the spans.
 
@@ -22,6 +23,7 @@ anything to train on no span is added.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import zlib
@@ -52,6 +54,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"\S+")
 NODE = re.compile(r"[0-9@]")
+TAIL, MOST = 7, 19                  # last digits that tell a number, and digits of the longest
 
 
 def luhn(digits: str) -> bool:
@@ -126,7 +129,7 @@ class Field:
             if i == n - 1 or not linked[i]:
                 self._run(start, i + 1)
                 start = i + 1
-        values: dict[str, int] = {}
+        values: dict = {}
         self.value = np.full(n, -1, np.int64)
         for i, w in enumerate(self.word):
             digits = re.sub(r"[^0-9]", "", w)
@@ -134,6 +137,50 @@ class Field:
             key = digits if plain else w.strip("\"'.,;:!?()[]<>{}#*$%&|").casefold()
             if "@" in w or not plain or len(digits) >= 4:
                 self.value[i] = values.setdefault(key, len(values))
+        # (node, hub) pairs: the words of one value, and all words of one number however it is grouped.
+        pairs = [(i, v) for i, v in enumerate(self.value.tolist()) if v >= 0]
+        for tail, mentions in self._numbers(linked, base, text).items():
+            if len(mentions) > 1:
+                hub = values.setdefault((tail,), len(values))
+                pairs += [(i, hub) for i in sorted({i for a, b in mentions for i in range(a, b)})]
+        self.member, self.hub = np.array(pairs, np.int64).reshape(-1, 2).T
+
+    def _numbers(self, linked: np.ndarray, base: list, text: str) -> dict:
+        """Last ``TAIL`` digits of a number -> the runs of words (first, one past the last) that
+        write it: base spans, what repeats a base span's number or its end, and whole runs."""
+        out: dict[str, set] = {}
+        digits = [re.sub(r"[^0-9]", "", w) for w in self.word]
+        plain = [bool(d) and "@" not in w and not any(c.isalpha() for c in w) for d, w in zip(digits, self.word)]
+        starts = [a for a, _ in self.span]
+        ends, spans = [b for _, b in self.span], []
+        for a, k, b in base:
+            number = re.sub(r"[^0-9]", "", text[a:b])
+            if KINDS[k] in ("card", "phone") and len(number) >= TAIL:
+                i, j = bisect.bisect_right(ends, a), bisect.bisect_left(starts, b)
+                out.setdefault(number[-TAIL:], set()).add((i, j))
+                spans.append(number)
+        known = {n[i:] for n in spans for i in range(len(n) - TAIL + 1)}
+        at, n = 0, len(digits)
+        while at < n:
+            end = at + 1
+            while end < n and linked[end - 1] and plain[end - 1] and plain[end]:
+                end += 1
+            if plain[at]:
+                whole = "".join(digits[at:min(end, at + MOST + 1)])
+                if TAIL <= len(whole) <= MOST and end - at <= MOST:
+                    out.setdefault(whole[-TAIL:], set()).add((at, end))
+                for i in range(at, end) if known else ():
+                    window = ""
+                    for j in range(i, end):
+                        window += digits[j]
+                        if len(window) > MOST + 1:
+                            break
+                        if window in known or window.lstrip("0") in known:  # a trunk 0 or 00 in front
+                            out.setdefault(window[-TAIL:], set()).add((i, j + 1))
+            at = end
+        # A window inside another one is the same mention.
+        return {t: {(a, b) for a, b in m if not any((x, y) != (a, b) and x <= a and b <= y for x, y in m)} if len(m) < 200 else m
+                for t, m in out.items()}
 
     def _run(self, a: int, b: int) -> None:
         shapes = [_shape(w) for w in self.word[a:b]]
@@ -173,8 +220,7 @@ class Model:
         unary[seen, field.known[seen]] = 0.0
         left, right = field.chain, field.chain + 1
         to_right, to_left = np.zeros((len(left), LABELS)), np.zeros((len(left), LABELS))
-        member = np.flatnonzero(field.value >= 0)
-        hub = field.value[member]
+        member, hub = field.member, field.hub
         hubs = int(hub.max()) + 1 if len(hub) else 0
         many = np.bincount(hub, minlength=hubs)[hub] > 1 if hubs else np.zeros(0, bool)
         member, hub = member[many], hub[many]

@@ -30,3 +30,38 @@ def test_short_notices_survive_every_allowed_change():
     for text, name in (("Released under an MIT License", "MIT"), ("Licensed under the MIT Licence", "MIT"),
                        ("Licensed with CC BY-NC 4.0", "CC-BY-NC-4.0")):
         assert [index.names[f[2]] for f in licenses.find(index, text)] == [name]
+
+
+def test_numbers_in_other_groupings_share_a_hub():
+    def tied(text, mention):
+        f = personal_data.Field(text, personal_data.base_spans(text))
+        at = text.rindex(mention)
+        own = [i for i, (a, b) in enumerate(f.span) if a >= at and b <= at + len(mention)]
+        seen = {h for i, h in zip(f.member.tolist(), f.hub.tolist()) if f.known[i]}
+        return [any(h in seen for j, h in zip(f.member.tolist(), f.hub.tolist()) if j == i) for i in own]
+
+    for first, again in (("+33 1 42 68 53 00", "1 42 68 53 00"), ("+33 1 42 68 53 00", "01 42 68 53 00"),
+                         ("+1 (826) 555-4081", "826 555 4081"), ("+1 (826) 555-4081", "1 (826) 555-4081"),
+                         ("4111 1111 1111 1111", "4111111111111111")):
+        for text in (f"Call {first} now or some other day {again} please", f"Call {first} now, or {again} 24 7 please"):
+            got = tied(text, again)
+            assert got and all(got), (text, got)
+    f = personal_data.Field("the years 1999 2000 2001 were good", [])
+    assert len(f.hub) == len(set(f.hub.tolist())) == 3
+
+
+def test_distant_repeats_in_short_groups_are_added():
+    r, texts = random.Random(2), []
+    group = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    for _ in range(200):
+        number = " ".join(["1", *(f"{r.randrange(10, 99)}" for _ in range(4))])
+        texts.append(f"Call +33 {number} today, lot {group(3)} of {group(2)} sold {group(2)} {group(2)} times")
+    fields = [personal_data.Field(t, personal_data.base_spans(t)) for t in texts]
+    pairs = np.zeros((personal_data.LABELS,) * 2)
+    for f in fields:
+        np.add.at(pairs, (f.known[f.chain], f.known[f.chain + 1]), 1)
+    model = personal_data.fit(np.concatenate([f.features for f in fields]), np.concatenate([f.known for f in fields]),
+                              pairs, np.eye(personal_data.LABELS))
+    text = "Call +33 1 42 68 53 00 today. There is much to say of it, and the desk takes calls at 1 42 68 53 00 all day."
+    at = text.rindex("1 42")
+    assert (at, 3, at + 13) in model.added(text, personal_data.base_spans(text))
