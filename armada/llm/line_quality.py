@@ -9,7 +9,8 @@ Line rules:
 * punctuation: marks and doubled exclamation or question marks on too many
   words, or a line of few words that does not end like a sentence;
 * navigation: items between separators, or nothing but a menu word;
-* boilerplate: a stock phrase, or a line equal to an earlier line of the
+* boilerplate: a stock phrase in a line of few words (a long line loses the
+  short sentences that hold one), or a line equal to an earlier line of the
   document.
 
 All work happens inside the row: no shuffle, memory bounded by a document.
@@ -33,6 +34,7 @@ SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 MARKS = "[#*$%&|<>]+|[!?]{2,}"
 ENDING = "[.!?:;…。！？\"'”’»)\\]]\\s*$"
+SENTENCE = "(?<=[.!?…])\\s+|(?<=[。！？])"
 SEPARATORS = "(^|\\s)[|>»›·•/\\\\]+(?=\\s|$)"
 MENU = "(?i)^\\W*(home|menu|search|login|log in|sign in|sign up|register|next|previous|back|top|contact|about|help|" \
        "sitemap|share|tweet|print|read more|skip to content|skip to main content)\\W*$"
@@ -44,6 +46,7 @@ MAX_REPEATED = 50           # percent of words in repeated windows
 MAX_MARKS = 0.3             # marks a word
 MAX_SEPARATORS = 0.2        # separators a word
 SHORT_LINE = 4              # words; shorter lines need an ending
+LONG_LINE = 40              # words; such lines are judged by sentence for stock phrases
 MAX_LOST = 0.3              # share of the words' characters
 
 
@@ -95,6 +98,16 @@ def _marked_lines(lines: Column) -> Column:
     return F.when(F.size(F.array_distinct(lines)) == F.size(lines), plain).otherwise(_in(by_text, back))
 
 
+def _left(x: Column) -> Column:
+    """What stays of a line, NULL if nothing does. A phrase fails a line of few
+    words; of a long line it fails the sentences of few words that hold it."""
+    line = x["l"]
+    words = lambda t: F.regexp_count(t, F.lit(WORD))
+    kept = F.filter(F.split(line, SENTENCE, -1), lambda t: ~t.rlike(BOILERPLATE) | (words(t) >= LONG_LINE))
+    return F.when(_line_fails(x), F.lit(None)).when(~line.rlike(BOILERPLATE), line).when(
+        words(line) >= LONG_LINE, F.nullif(F.array_join(kept, " "), F.lit("")))
+
+
 def _line_fails(x: Column) -> Column:
     line = x["l"]
     n = F.regexp_count(line, F.lit(WORD))
@@ -102,8 +115,7 @@ def _line_fails(x: Column) -> Column:
     separators = F.regexp_count(line, F.lit(SEPARATORS))
     punctuation = ((marks >= 2) & (marks > MAX_MARKS * n)) | ((n < SHORT_LINE) & ~line.rlike(ENDING))
     navigation = ((separators >= 2) & (separators > MAX_SEPARATORS * n)) | line.rlike(MENU)
-    boilerplate = x["again"] | line.rlike(BOILERPLATE)
-    return (n > 0) & (punctuation | navigation | boilerplate)
+    return (n > 0) & (punctuation | navigation | x["again"])
 
 
 def judge(docs: DataFrame, text_col: str = "text", into: str = "quality") -> DataFrame:
@@ -118,7 +130,7 @@ def judge(docs: DataFrame, text_col: str = "text", into: str = "quality") -> Dat
     df = _let(df, w, F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE, -1)))
     df = _let(df, h, F.transform(F.col(w), lambda x: F.xxhash64(x)))
     df = _let(df, m, _marked_lines(F.split(F.col(t), "\n", -1)))
-    df = _let(df, k, F.array_join(F.transform(F.filter(F.col(m), lambda x: ~_line_fails(x)), lambda x: x["l"]), "\n"))
+    df = _let(df, k, F.array_join(F.transform(F.col(m), _left), "\n"))
     words, hashes, marked, left = F.col(w), F.col(h), F.col(m), F.col(k)
     n = F.size(words)
     # Equal windows have equal hashes, so distinct hashes prove that no window is repeated.

@@ -65,3 +65,13 @@ def test_distant_repeats_in_short_groups_are_added():
     text = "Call +33 1 42 68 53 00 today. There is much to say of it, and the desk takes calls at 1 42 68 53 00 all day."
     at = text.rindex("1 42")
     assert (at, 3, at + 13) in model.added(text, personal_data.base_spans(text))
+
+
+def test_a_phrase_does_not_fail_a_long_line(spark):
+    r = random.Random(3)
+    sentence = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n)) + "."
+    clean = " ".join(sentence(12) for _ in range(20))
+    one_line = clean + " We wrote it in JavaScript. " + sentence(12)
+    rows = [(0, one_line), (1, clean + "\nClick here"), (2, clean), (3, " ".join(f"w{i}" for i in range(80)) + " lorem ipsum and more")]
+    got = {x.doc_id: x.text for x in line_quality.keep_clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: one_line.replace("We wrote it in JavaScript. ", ""), 1: clean, 2: clean, 3: rows[3][1]}
