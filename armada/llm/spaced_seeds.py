@@ -131,7 +131,7 @@ def find_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         met = corpus.join(F.broadcast(block), "seed")
         met = _let(met, "position", _place(F.col("i"), F.size("words"), masks) - F.col("q"))
         met = _let(met, "equal", _equal(F.col("position")))
-        found.append(met.select("_doc", "_item", "position", _agreement(min_same).alias("c")))
+        found.append(_let(met, "c", _agreement(min_same)).select("_doc", "_item", "position", "c"))
     hits = reduce(DataFrame.unionByName, found)
     best = F.max(F.struct("c.whole", "c.n_same", "c.n_compared", (-F.col("position")).alias("p"))).alias("b")
     return hits.where(F.col("c").isNotNull()).groupBy("_doc", "_item").agg(best).select(
