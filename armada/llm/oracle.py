@@ -134,9 +134,86 @@ SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed,
 FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+AUDIT = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+           list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM documents
+), firsts AS (
+    SELECT t, min(doc_id) AS first FROM d GROUP BY t
+), l AS (
+    SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS bad FROM labels GROUP BY doc_id
+), failed AS (
+    SELECT part, [CASE WHEN len(w) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' END,
+                  CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' END,
+                  CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END, CASE WHEN doc_id > first THEN 'E' END] AS f,
+           coalesce(good, false)::INT AS good, coalesce(bad, false)::INT AS bad
+    FROM d JOIN firsts USING (t) LEFT JOIN l USING (doc_id)
+), groups AS (
+    SELECT part, list_filter(f, lambda x: x IS NOT NULL) AS f, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM failed GROUP BY ALL
+), letters AS (
+    SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+    SELECT o, s, o[s] AS own, string_split(o[1:s - 1], '') AS before FROM orders, range(1, 6) r(s)
+), sums AS (
+    SELECT part, o, s, own, coalesce(sum(n) FILTER (NOT meets AND NOT earlier), 0) AS kept,
+           coalesce(sum(n) FILTER (meets AND NOT earlier), 0) AS removed, coalesce(sum(n) FILTER (meets AND earlier), 0) AS redundant,
+           coalesce(sum(n) FILTER (f = [own]), 0) AS unique_fails, coalesce(sum(good) FILTER (meets AND NOT earlier), 0) AS good_lost,
+           coalesce(sum(bad) FILTER (meets AND NOT earlier), 0) AS toxic_lost
+    FROM (SELECT *, list_contains(f, own) AS meets, list_has_any(f, before) AS earlier FROM groups, steps) GROUP BY ALL
+)
+SELECT part, o AS filter_order, s::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM sums
+"""
+
+
+def vector_codes(rounds: int = 4) -> str:
+    """Plain Lloyd, a full scan for every assignment."""
+    def assigned(k: int) -> str:
+        return f"""assigned{k} AS MATERIALIZED (
+    SELECT r, p, min(d * 256 + e) AS best FROM (
+        SELECT r, x.p, e, (list_inner_product(x.v, x.v) - 2 * list_inner_product(x.v, b.v) + list_inner_product(b.v, b.v))::BIGINT AS d
+        FROM parts x JOIN book{k} b ON x.p = b.p) GROUP BY r, p)"""
+
+    def updated(k: int) -> str:
+        return f"""book{k + 1} AS MATERIALIZED (
+    SELECT b.p, b.e, coalesce(u.v, b.v) AS v FROM book{k} b LEFT JOIN (
+        SELECT p, e, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY j) AS v FROM (
+            SELECT p, best % 256 AS e, j, sum(v[j]::BIGINT)::BIGINT AS s, count(*) AS n
+            FROM assigned{k} JOIN parts USING (r, p), range(1, 17) t(j) GROUP BY ALL) GROUP BY p, e) u ON b.p = u.p AND b.e = u.e)"""
+
+    steps = ",\n".join(f"{assigned(k)},\n{updated(k)}" for k in range(rounds))
+    return f"""
+WITH kept AS MATERIALIZED (
+    SELECT vec_id, label, x, row_number() OVER (ORDER BY vec_id NULLS LAST, x) AS r FROM (
+        SELECT vec_id, label, list_transform(embedding, lambda y: floor(1024 * y::DOUBLE)) AS x FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0)
+), parts AS MATERIALIZED (
+    SELECT r, p, x[16 * p + 1:16 * p + 16] AS v FROM kept, range(4) t(p)
+), book0 AS (
+    SELECT p, r - 1 AS e, v FROM parts WHERE r <= 256
+), {steps},
+{assigned(rounds)}, coded AS (
+    SELECT r, string_agg(lower(printf('%02x', best % 256)), '' ORDER BY p) AS code, sum(best // 256)::BIGINT AS error
+    FROM assigned{rounds} GROUP BY r
+), print AS (
+    SELECT sha256(string_agg(list_aggregate(list_transform(v, lambda y: y::BIGINT), 'string_agg', ','), ',' ORDER BY p, e)) AS h FROM book{rounds}
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256
+FROM kept JOIN coded USING (r), print
+"""
+
+
 SQL = {
     "op1_decontamination": DECONTAMINATION,
     "op4_suffix_dedup": SUFFIXES,
     "op5_sharding": SHARDING,
     "op8_quality_rules": QUALITY,
+    "op11_filter_audit": AUDIT,
+    "op13_vector_codes": vector_codes(),
 }

@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators, one ``opN_<name>`` each.
 
-Every query reads the whole ``documents`` table, runs its operator and
+Every query reads the whole ``documents`` or ``embeddings`` table, runs its operator and
 derives the digest columns from the operator's real outputs.
 """
 
@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from armada.llm.oracle import SQL  # noqa: F401  (part of the registration)
-from armada.llm import (licenses, line_quality, personal_data, pieces, shards, simhash, spaced_seeds, suffix_dedup, token_counts,
-                        token_files)
+from armada.llm import (filter_audit, licenses, line_quality, neighbours, personal_data, pieces, shards, simhash, spaced_seeds,
+                        suffix_dedup, token_counts, token_files, vector_codes)
 
 WORD_BPE = "word_bpe_49k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -90,6 +90,21 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.find(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order of five filters: what each step keeps and removes, by source."""
+    return filter_audit.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every twentieth one."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and errors of every vector, and the codebooks' fingerprint."""
+    return vector_codes.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_simhash": op2_simhash,
@@ -101,6 +116,9 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_license_scan": op9_license_scan,
     "op10_personal_data": op10_personal_data,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 

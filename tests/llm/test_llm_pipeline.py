@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered():
     names = entry.queries()
-    assert {f"op{n}" for n in range(1, 11) if n != 9} <= {k.split("_")[0] for k in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} <= {k.split("_")[0] for k in QUERIES}
     assert set(QUERIES) <= set(names) and "pipeline" in names
 
 
@@ -21,7 +21,7 @@ def test_registered():
 def test_query_equals_sql(spark, name):
     import duckdb
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings", "labels"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = QUERIES[name](spark, SF)
     want = con.sql(SQL[name]).to_arrow_table().to_pylist()
