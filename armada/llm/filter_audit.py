@@ -4,13 +4,14 @@
 Texts are tokenised in shards of about ``SHARD_BYTES``; a shard is one row
 with its document keys and its part of the matrix in compressed sparse rows
 (row ends, columns, counts), columns numbered by the shard's own word list.
-The word lists of all shards, where a word stands once a shard, are dealt out
-by word and sorted, and every distinct word gets the next number of its
-partition; partition bases from prefix sums make the numbers global and
-dense. Each shard then gets its list back as numbers and its columns are
-rewritten. Row sums are words, nonzero counts are distinct words: they decide
-filters A and B. The other flags come from the same pass over the text and
-from the smallest id of equal texts (SHA-256).
+The list is dealt out in buckets by word hash, one row for each bucket and
+shard, and a bucket numbers its distinct words as they come; bucket bases
+from prefix sums make the numbers global and dense. A word stands once a
+shard, so no word is hotter than another. Each shard gets its list back as
+numbers and its columns are rewritten. Row sums are words, nonzero counts
+are distinct words: they decide filters A and B. The other flags come from
+the same pass over the text and from the smallest id of equal texts
+(SHA-256).
 
 The audit itself needs only the number of documents per part, set of failed
 filters and labels; every order and step is a sum over these.
@@ -31,6 +32,8 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -45,32 +48,46 @@ FILTERS = "ABCDE"
 LEAST_WORDS = 200
 SYMBOLS = b"#$%&*|"
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 16 << 20
 
-SHARD = ("doc_id array<bigint>, part array<string>, digest array<binary>, capitals array<boolean>, symbols array<boolean>, "
-         "ends array<bigint>, columns array<int>, counts array<int>, words array<binary>")
+#: Numbers of the matrix are packed little-endian: ends as 64 bits, counts as 32, columns as 32 (own list) or 64 (global).
+KEYS = "doc_id array<bigint>, part array<string>, digest array<binary>, capitals array<boolean>, symbols array<boolean>"
+SHARD = f"{KEYS}, ends binary, counts binary, columns binary, words array<binary>"
+MATRIX = f"shard long, {KEYS}, ends binary, counts binary, columns binary"
 
 
-def _shard(ids: list, parts: list, texts: list[bytes], chars: list[int]) -> pa.RecordBatch:
-    """One row: the texts' keys and flags, and their matrix over the shard's own words."""
-    number: dict[bytes, int] = {}
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _shard(ids: list, parts: list, texts: list[bytes], chars: list[int], buckets: int) -> pa.RecordBatch:
+    """One row: the texts' keys and flags, and their matrix over the shard's
+    own words; ``words`` has the words of every bucket, joined by spaces."""
+    number = defaultdict(itertools.count().__next__)
     columns, counts, ends = [], [], [0]
     for text in texts:
         words = text.split()  # bytes: exactly the six ASCII white-space characters
-        at = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words))
-        column, count = np.unique(at, return_counts=True)
-        columns.append(column), counts.append(count.astype(np.int32)), ends.append(ends[-1] + len(column))
+        column, count = np.unique(np.fromiter(map(number.__getitem__, words), np.int32, len(words)), return_counts=True)
+        columns.append(column), counts.append(count.astype("<i4")), ends.append(ends[-1] + len(column))
+    known = list(number)
+    bucket = np.fromiter(map(zlib.crc32, known), np.int64, len(known)) % buckets
+    order = np.argsort(bucket, kind="stable")
+    renumbered = np.empty(len(known), "<i4")
+    renumbered[order] = np.arange(len(known))
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+    known = [known[i] for i in order.tolist()]
+    listed = [b" ".join(known[a:b]) for a, b in zip(cuts, cuts[1:])]
     capitals = [100 * (len(t) - len(t.translate(None, CAPITALS))) > 2 * n for t, n in zip(texts, chars)]
     symbols = [len(t.translate(None, SYMBOLS)) < len(t) for t in texts]
-    values = [pa.array(ids, pa.int64()), pa.array(parts, pa.string()),
-              pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array(capitals), pa.array(symbols),
-              pa.array(ends, pa.int64()), pa.array(np.concatenate(columns)), pa.array(np.concatenate(counts)),
-              pa.array(list(number), pa.binary())]
-    lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in values]
-    return pa.RecordBatch.from_arrays(lists, [c.split()[0] for c in SHARD.split(", ")])
+    digests = [hashlib.sha256(t).digest() for t in texts]
+    lists = [pa.array([v], pa.list_(t)) for v, t in ((ids, pa.int64()), (parts, pa.string()), (digests, pa.binary()),
+                                                     (capitals, pa.bool_()), (symbols, pa.bool_()))]
+    packed = [np.array(ends, "<i8"), np.concatenate(counts), renumbered[np.concatenate(columns)]]
+    return pa.RecordBatch.from_arrays([*lists, *(pa.array([v.tobytes()], pa.binary()) for v in packed),
+                                       pa.array([listed], pa.list_(pa.binary()))], _names(SHARD))
 
 
-def local_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source",
+def local_shards(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source",
                  shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """A row for each shard, columns numbered by its own word list."""
     def run(batches):
@@ -84,81 +101,67 @@ def local_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     column.append(v)
                 size += len(text)
                 if size >= shard_bytes or len(held[0]) >= 1 << 16:
-                    yield _shard(*held)
+                    yield _shard(*held, buckets)
                     held, size = ([], [], [], []), 0
         if held[0]:
-            yield _shard(*held)
+            yield _shard(*held, buckets)
 
     narrow = docs.select(F.col(id_col).cast("long"), F.coalesce(F.col(part_col).cast("string"), F.lit("")),
                          F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     return narrow.mapInArrow(run, SHARD)
 
 
-def dictionary(shards: DataFrame) -> DataFrame:
-    """(shard, local, id, word): the global number of every word of every
-    shard; ``word`` stands in one row of each number. Numbers are dense."""
-    spark = shards.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
+def numbered(shards: DataFrame, buckets: int) -> DataFrame:
+    """(shard, bucket, ranks, first, words, n): the numbers inside the bucket
+    of a shard's words, and the words met here first, numbered from
+    ``first`` on; ``n`` is how many these are."""
     def run(batches):
-        last, rank, part = None, -1, None
+        at, number = None, None
         for batch in batches:
-            words, new = batch.column(0), np.ones(batch.num_rows, bool)
-            if not batch.num_rows:
-                continue
-            part = batch.column(3)[0].as_py()
-            new[1:] = pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)
-            new[0] = words[0].as_py() != last
-            ranks = rank + np.cumsum(new)
-            rank, last = int(ranks[-1]), words[-1].as_py()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(2), batch.column(3), pa.array(ranks),
-                 pc.if_else(pa.array(new), words, pa.scalar(None, pa.binary()))], ["shard", "local", "part", "rank", "word"])
-
-    # A word stands once a shard, so no word has more rows than there are shards.
-    listed = shards.select("shard", F.posexplode("words").alias("local", "word")).select("word", "shard", "local")
-    ranked = listed.repartition(n, "word").sortWithinPartitions("word").withColumn("part", F.spark_partition_id()).mapInArrow(
-        run, "shard long, local int, part int, rank long, word binary")
-    ranked = storage.write_shared(ranked, "word-ranks")
-    sizes = ranked.groupBy("part").agg((F.max("rank") + 1).alias("n"))  # a row for each partition of the setting
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return ranked.join(F.broadcast(bases), "part").select("shard", "local", (F.col("base") + F.col("rank")).alias("id"), "word")
+            for shard, bucket, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != at:
+                    at, number = bucket, defaultdict(itertools.count().__next__)
+                words, first = blob.split(b" "), len(number)
+                ranks = np.fromiter(map(number.__getitem__, words), "<i8", len(words))
+                new = [words[i] for i in np.flatnonzero(ranks >= first).tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([shard]), pa.array([bucket], pa.int32()), pa.array([ranks.astype("<i4").tobytes()], pa.binary()),
+                     pa.array([first], pa.int64()), pa.array([b" ".join(new)], pa.binary()), pa.array([len(new)], pa.int64())],
+                    ["shard", "bucket", "ranks", "first", "words", "n"])
+
+    listed = shards.select("shard", F.posexplode("words").alias("bucket", "words")).where(F.octet_length("words") > 0)
+    return listed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(
+        run, "shard long, bucket int, ranks binary, first long, words binary, n long")
 
 
 def matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source",
            shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(shards, dictionary): shards hold ``ends``, ``columns`` (global
-    numbers, ascending in a row) and ``counts`` beside their documents' keys
-    and flags; the dictionary has (id, word)."""
-    local = local_shards(docs, id_col, text_col, part_col, shard_bytes).withColumn("shard", F.monotonically_increasing_id())
-    local = storage.write_shared(local, "local-shards")
-    numbers = storage.write_shared(dictionary(local), "dictionary")
+    """(shards, dictionary): a row for each shard with its documents' keys and
+    flags and ``ends``, ``counts`` and global ``columns``, packed; and (id,
+    word) with dense ids."""
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    local = local_shards(docs, buckets, id_col, text_col, part_col, shard_bytes)
+    local = storage.write_shared(local.withColumn("shard", F.monotonically_increasing_id()), "local-shards")
+    numbers = storage.write_shared(numbered(local, buckets), "dictionary")
+    sizes = numbers.groupBy("bucket").agg(F.sum("n").alias("held"))  # a row for each bucket of the setting
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("bucket", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))
+    based = numbers.join(F.broadcast(bases), "bucket")
+    lists = based.groupBy("shard").agg(F.collect_list(F.struct("bucket", "base", "ranks")).alias("lists"))
 
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                ends = row.column("ends").flatten().to_numpy(zero_copy_only=False)
-                at = row.column("columns").flatten().to_numpy(zero_copy_only=False)
-                number = np.empty(len(row.column("locals").flatten()), np.int64)
-                number[row.column("locals").flatten().to_numpy(zero_copy_only=False)] = row.column("ids").flatten().to_numpy(
-                    zero_copy_only=False)
-                column = number[at]
-                order = np.lexsort((column, np.repeat(np.arange(len(ends) - 1), np.diff(ends))))
-                counts = row.column("counts").flatten().to_numpy(zero_copy_only=False)[order]
-                one = pa.array([0, len(at)], pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [*(row.column(c) for c in ("shard", "doc_id", "part", "digest", "capitals", "symbols", "ends")),
-                     pa.ListArray.from_arrays(one, pa.array(column[order])), pa.ListArray.from_arrays(one, pa.array(counts))],
-                    ["shard", "doc_id", "part", "digest", "capitals", "symbols", "ends", "columns", "counts"])
+            out = batch.column("columns").to_pylist()
+            for i, given in enumerate(batch.column("lists").to_pylist()):
+                ids = [np.frombuffer(g["ranks"], "<i4") + np.int64(g["base"]) for g in sorted(given or (), key=lambda g: g["bucket"])]
+                if ids:
+                    out[i] = np.concatenate(ids)[np.frombuffer(out[i], "<i4")].astype("<i8").tobytes()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _names(MATRIX)[:-1]), pa.array(out, pa.binary())], _names(MATRIX))
 
-    lists = numbers.groupBy("shard").agg(F.collect_list(F.struct("local", "id")).alias("l"))  # a shard's own words
-    joined = local.drop("words").join(lists, "shard", "left").select(
-        *(c for c in local.columns if c != "words"), F.coalesce("l.local", F.array().cast("array<int>")).alias("locals"),
-        F.coalesce("l.id", F.array().cast("array<bigint>")).alias("ids"))
-    shards = joined.mapInArrow(run, "shard long, " + SHARD.rsplit(", ", 1)[0].replace("columns array<int>", "columns array<bigint>"))
-    return storage.write_shared(shards, "matrix"), numbers.where("word is not null").select("id", "word")
+    joined = local.drop("words").join(lists, "shard", "left")
+    words = based.where("n > 0").select((F.col("base") + F.col("first")).alias("_first"), F.posexplode(
+        F.split(F.col("words").cast("string"), " ")).alias("_at", "word")).select((F.col("_first") + F.col("_at")).alias("id"), "word")
+    return joined.mapInArrow(run, MATRIX), words
 
 
 def flagged(shards: DataFrame) -> DataFrame:
@@ -167,16 +170,16 @@ def flagged(shards: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c).slice(i, 1).flatten() for c in batch.schema.names}
-                ends = row["ends"].to_numpy(zero_copy_only=False)
-                running = np.concatenate([[0], np.cumsum(row["counts"].to_numpy(zero_copy_only=False), dtype=np.int64)])
+                row = {c: batch.column(c).slice(i, 1) for c in batch.schema.names}
+                ends, counts = (np.frombuffer(row[c][0].as_py(), t) for c, t in (("ends", "<i8"), ("counts", "<i4")))
+                running = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+                keys = {c: row[c].flatten() for c in ("doc_id", "part", "digest", "capitals", "symbols")}
                 yield pa.RecordBatch.from_arrays(
-                    [row["doc_id"], row["part"], row["digest"], pa.array(running[ends[1:]] - running[ends[:-1]]),
-                     pa.array(np.diff(ends)), row["capitals"], row["symbols"]],
+                    [keys["doc_id"], keys["part"], keys["digest"], pa.array(running[ends[1:]] - running[ends[:-1]]),
+                     pa.array(np.diff(ends)), keys["capitals"], keys["symbols"]],
                     ["doc_id", "part", "digest", "words", "distinct", "c", "d"])
 
-    rows = shards.select("doc_id", "part", "digest", "capitals", "symbols", "ends", "counts").mapInArrow(
-        run, "doc_id long, part string, digest binary, words long, distinct long, c boolean, d boolean")
+    rows = shards.mapInArrow(run, "doc_id long, part string, digest binary, words long, distinct long, c boolean, d boolean")
     return rows.withColumn("a", F.col("words") < LEAST_WORDS).withColumn("b", 100 * F.col("distinct") < 50 * F.col("words"))
 
 

@@ -2,6 +2,8 @@
 import itertools
 import re
 
+import numpy as np
+
 from armada.llm import filter_audit as audit
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -87,14 +89,15 @@ def test_empty_tables_and_clashing_columns(spark):
 def test_the_matrix_gives_the_texts_word_counts_back(spark):
     docs, _ = frames(spark, [r for r in ROWS if r[0] is not None and len(r[1] or "") < 100_000], LABELS)
     shards, words = audit.matrix(docs, shard_bytes=2_000)
-    word = {r.id: bytes(r.word) for r in words.collect()}
-    assert sorted(word) == list(range(len(word))) and len(set(word.values())) == len(word)
+    listed = words.collect()
+    word = {r.id: r.word.encode() for r in listed}
+    assert sorted(r.id for r in listed) == list(range(len(listed))) and len(set(word.values())) == len(listed)
     got = []
     for s in shards.collect():
-        assert s.ends[0] == 0 and s.ends[-1] == len(s["columns"]) == len(s.counts)
-        for i, a, b in zip(s.doc_id, s.ends, s.ends[1:]):
-            assert s["columns"][a:b] == sorted(set(s["columns"][a:b]))
-            got.append((i, sorted((word[c], n) for c, n in zip(s["columns"][a:b], s.counts[a:b]))))
+        ends, columns, counts = (np.frombuffer(b, t).tolist() for b, t in ((s.ends, "<i8"), (s["columns"], "<i8"), (s.counts, "<i4")))
+        assert ends[0] == 0 and ends[-1] == len(columns) == len(counts)
+        for i, a, b in zip(s.doc_id, ends, ends[1:]):
+            got.append((i, sorted((word[c], n) for c, n in zip(columns[a:b], counts[a:b]))))
     assert shards.count() > 2
     want = [(i, sorted((w, t.encode().split().count(w)) for w in set(t.encode().split())))
             for i, t in ((r.doc_id, r.text or "") for r in docs.collect())]
