@@ -48,7 +48,7 @@ FILTERS = "ABCDE"
 LEAST_WORDS = 200
 SYMBOLS = b"#$%&*|"
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 
 #: Numbers of the matrix are packed little-endian: ends as 64 bits, counts as 32, columns as 32 (own list) or 64 (global).
 KEYS = "doc_id array<bigint>, part array<string>, digest array<binary>, capitals array<boolean>, symbols array<boolean>"
@@ -151,12 +151,14 @@ def matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part
 
     def run(batches):
         for batch in batches:
-            out = batch.column("columns").to_pylist()
-            for i, given in enumerate(batch.column("lists").to_pylist()):
-                ids = [np.frombuffer(g["ranks"], "<i4") + np.int64(g["base"]) for g in sorted(given or (), key=lambda g: g["bucket"])]
-                if ids:
-                    out[i] = np.concatenate(ids)[np.frombuffer(out[i], "<i4")].astype("<i8").tobytes()
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _names(MATRIX)[:-1]), pa.array(out, pa.binary())], _names(MATRIX))
+            for i in range(batch.num_rows):  # one shard in memory
+                row = batch.slice(i, 1)
+                given = sorted(row.column("lists")[0].as_py() or (), key=lambda g: g["bucket"])
+                ids = [np.frombuffer(g["ranks"], "<i4") + np.int64(g["base"]) for g in given]
+                columns = np.frombuffer(row.column("columns")[0].as_py(), "<i4")
+                columns = np.concatenate(ids)[columns].astype("<i8") if ids else columns.astype("<i8")
+                yield pa.RecordBatch.from_arrays([*(row.column(c) for c in _names(MATRIX)[:-1]), pa.array([columns.tobytes()], pa.binary())],
+                                                 _names(MATRIX))
 
     joined = local.drop("words").join(lists, "shard", "left")
     words = based.where("n > 0").select((F.col("base") + F.col("first")).alias("_first"), F.posexplode(
