@@ -88,7 +88,7 @@ def test_empty_tables_and_clashing_columns(spark):
 
 def test_the_matrix_gives_the_texts_word_counts_back(spark):
     docs, _ = frames(spark, [r for r in ROWS if r[0] is not None and len(r[1] or "") < 100_000], LABELS)
-    shards, words = audit.matrix(docs, shard_bytes=2_000)
+    shards, words = audit.matrix(*audit.encoded(docs, shard_bytes=2_000, block=300))
     listed = words.collect()
     word = {r.id: r.word.encode() for r in listed}
     assert sorted(r.id for r in listed) == list(range(len(listed))) and len(set(word.values())) == len(listed)
