@@ -7,10 +7,11 @@ update that arm. The recursion is sequential, so two exact forms are offered:
   Memory is one Arrow batch plus one state; a hot key is streamed, never
   materialised (its updates are inherently one after another).
 * ``learn_microbatch``: one global learner updated between batches (e.g.
-  days). Inside a batch the state is frozen and scoring is fully parallel;
-  the batch's updates are folded with the ordered discounted merge
+  days). Inside a batch the state is frozen; the batch's updates are folded
+  with the ordered discounted merge
   ``(n,A,b) + (n',A',b') = (n+n', g^n' A + A', g^n' b + b')`` on the
-  executors. With batches of one row it is the row-by-row learner.
+  executors. Many small batches share a job, a large one is scored in
+  parallel. With batches of one row it is the row-by-row learner.
 
 One rule for every d: a context that is NULL or holds a NULL, NaN or infinite
 element gets no arm (NULL arm, score and reward) and teaches nothing; a NULL
@@ -29,10 +30,10 @@ from pyspark.sql import types as T
 
 from armada.config import RouterConfig
 from armada.functions.vectors import context_rows
-from armada.operators.ordinal import join_keys
-from armada.operators.routing import ArmModel, cold_start, decide, solve
+from armada.operators.ordinal import join_keys, with_running_sums
+from armada.operators.routing import ArmModel, _scores, choose, cold_start, decide, solve
 from armada.operators.stats import FAN_IN, TILE
-from armada.session import fresh_dir, remove_dir
+from armada.session import fresh_dir, materialize, remove_dir
 
 
 def _pick(scores):
@@ -250,17 +251,16 @@ def stage(df: DataFrame, path: str, order: list, by: Sequence[str] = ()) -> None
     (rows.write.mode("overwrite").partitionBy(*by) if by else rows.write.mode("overwrite")).parquet(path)
 
 
-def learn_step(staged: DataFrame, out: str, a: np.ndarray, b: np.ndarray, order: list, vec: str, rewards: str,
-               cfg: RouterConfig, keep: list):
-    """One learning step on staged rows with the state ``(a, b)``: writes the
-    decisions to ``<out>/_kind=0`` and returns the next state.
+def score_and_fold(staged: DataFrame, out: str, model: ArmModel, order: list, vec: str, rewards: str, cfg: RouterConfig,
+                   keep: list) -> DataFrame:
+    """One step on staged rows with a solved state: writes the decisions to
+    ``<out>/_kind=0`` and returns the step's discounted statistics as tiles
+    ``(_arm, ti, tj, n, v, bv)``, one row a tile.
 
     Rows are scored once. The statistics of the pieces (a staged file holds
     one block's rows in order; a large file is read as several splits,
-    ordered by offset) are merged on the executors in two ordered levels;
-    K·d² numbers reach the driver, whatever the number of files."""
-    spark, d = staged.sparkSession, b.shape[1]
-    model = solve(a, b)
+    ordered by offset) are merged on the executors in two ordered levels."""
+    spark = staged.sparkSession
     fields = [staged.schema[c] for c in keep]
     schema = T.StructType([T.StructField("_kind", T.IntegerType()), *fields, T.StructField("arm_idx", T.IntegerType()),
                            T.StructField("ucb", T.DoubleType()), T.StructField("reward", T.DoubleType())]
@@ -271,7 +271,15 @@ def learn_step(staged: DataFrame, out: str, a: np.ndarray, b: np.ndarray, order:
      .write.mode("overwrite").partitionBy("_kind").parquet(out))
     written = spark.read.schema(schema).parquet(out)
     stats = written.where("_kind = 1").select(*[f.name for f in T.StructType.fromDDL(STAT_SCHEMA)])
-    merged = _merge_pieces(_merge_pieces(stats, cfg.gamma, F.floor(F.col("_blk") / FAN_IN)), cfg.gamma, F.lit(0).cast("long"))
+    return _merge_pieces(_merge_pieces(stats, cfg.gamma, F.floor(F.col("_blk") / FAN_IN)), cfg.gamma, F.lit(0).cast("long"))
+
+
+def learn_step(staged: DataFrame, out: str, a: np.ndarray, b: np.ndarray, order: list, vec: str, rewards: str,
+               cfg: RouterConfig, keep: list):
+    """``score_and_fold`` with the state ``(a, b)``; returns the next one.
+    K·d² numbers reach the driver, whatever the number of files."""
+    d = b.shape[1]
+    merged = score_and_fold(staged, out, solve(a, b), order, vec, rewards, cfg, keep)
     a, b = a.copy(), b.copy()
     for r in merged.toPandas().itertuples(index=False):
         i, f = r._3, cfg.gamma ** int(r.n)
@@ -286,35 +294,154 @@ def learn_step(staged: DataFrame, out: str, a: np.ndarray, b: np.ndarray, order:
     return a, b
 
 
+#: Rows of consecutive small steps that one task learns in one job; a step of more rows has a job of its own.
+BLOCK_ROWS = 100_000
+
+
+def _learn_block(states: dict, cfg: RouterConfig, d: int, keep: list, has_run: bool, last: bool):
+    """One pass over rows ``(keep..., vec, rewards, _step[, run])`` sorted by
+    (run, step, order): a step's rows are scored with the state before it and
+    folded when the step ends. One Arrow batch and one state are in memory.
+
+    Emits the decisions and, unless ``last``, the tiles of each run's state."""
+    gamma, alpha, k, nk = cfg.gamma, cfg.alpha, cfg.k, len(keep)
+    names = ["_kind", *keep, "arm_idx", "ucb", "reward", "_run", "_arm", "ti", "tj", "v", "bv"]
+
+    def run(batches):
+        import pyarrow as pa
+        now, model, acc, a, b = None, None, {}, None, None
+        types = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+
+        def fold():
+            for arm, (n, add, sums) in acc.items():
+                a[arm] = gamma ** n * a[arm] + add
+                b[arm] = gamma ** n * b[arm] + sums
+            acc.clear()
+
+        def state_rows(of, kept):
+            for arm in range(k):
+                for ti in range(0, d, TILE):
+                    for tj in range(ti, d, TILE):
+                        row = [of, arm, ti, tj, a[arm, ti:ti + TILE, tj:tj + TILE].ravel(), b[arm, ti:ti + TILE] if ti == tj else None]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([1], pa.int32()), *[pa.nulls(1, t) for t in kept], pa.nulls(1, pa.int32()), pa.nulls(1, pa.float64()),
+                             pa.nulls(1, pa.float64()), *[pa.array([v], t) for v, t in zip(row, types)]], names)
+
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            kept = [batch.column(i).type for i in range(nk)]
+            x, ok = context_rows(batch.column(nk), d)
+            given = batch.column(nk + 1).to_numpy(zero_copy_only=False)
+            step = batch.column(nk + 2).to_numpy()
+            of = batch.column(nk + 3).to_numpy() if has_run else np.zeros(n, np.int32)
+            cuts = [0, *(np.flatnonzero((np.diff(step) != 0) | (np.diff(of) != 0)) + 1).tolist(), n]
+            arms, best, got = np.full(n, -1), np.full(n, np.nan), np.full(n, np.nan)
+            for i, j in zip(cuts, cuts[1:]):
+                if now != (of[i], step[i]):
+                    if now is not None:
+                        fold()
+                    if now is None or now[0] != of[i]:
+                        if now is not None and not last:
+                            yield from state_rows(int(now[0]), kept)
+                        a, b = (np.array(y) for y in states[int(of[i])])
+                    now, model = (of[i], step[i]), solve(a, b)
+                s = _scores(x[i:j], model, alpha)
+                s[~ok[i:j]] = np.nan
+                arms[i:j], best[i:j] = choose(s)
+                got[i:j] = [np.nan if m < 0 or r is None or r[m] is None else r[m] for m, r in zip(arms[i:j], given[i:j])]
+                for arm in range(k):
+                    sel = i + np.flatnonzero((arms[i:j] == arm) & np.isfinite(got[i:j]))
+                    if len(sel):
+                        w = gamma ** np.arange(len(sel) - 1, -1, -1, dtype=np.float64)
+                        wx = x[sel] * w[:, None]
+                        new = (len(sel), wx.T @ x[sel], wx.T @ got[sel])
+                        acc[arm] = _merged(acc[arm], new, gamma) if arm in acc else new
+            none = arms < 0
+            yield pa.RecordBatch.from_arrays(
+                [pa.repeat(0, n).cast(pa.int32()), *[batch.column(i) for i in range(nk)], pa.array(arms.astype(np.int32), mask=none),
+                 pa.array(best, mask=none), pa.array(got, mask=np.isnan(got)), *[pa.nulls(n, t) for t in types]], names)
+        if now is not None and not last:
+            fold()
+            yield from state_rows(int(now[0]), kept)
+
+    return run
+
+
+def _states_after(written: DataFrame, states: dict, d: int) -> dict:
+    """The runs' states from the tiles that a block has written."""
+    rows = written.where("_kind = 1").select("_run", "_arm", "ti", "tj", "v", "bv").toArrow()
+    states = {r: (np.array(a), np.array(b)) for r, (a, b) in states.items()}
+    for r, arm, ti, tj, v, bv in zip(*(rows[c] for c in rows.schema.names)):
+        a, b = states[r.as_py()]
+        arm, ti, tj = arm.as_py(), ti.as_py(), tj.as_py()
+        here, there = slice(ti, min(ti + TILE, d)), slice(tj, min(tj + TILE, d))
+        tile = v.values.to_numpy(zero_copy_only=False).reshape(here.stop - ti, there.stop - tj)
+        a[arm, here, there] = tile
+        a[arm, there, here] = tile.T
+        if ti == tj:
+            b[arm, here] = bv.values.to_numpy(zero_copy_only=False)
+    return states
+
+
 def learn_microbatch(df: DataFrame, batch: str, order: Sequence[str], vec: str, rewards: str, cfg: RouterConfig,
-                     d: int, keep: Sequence[str] = (), state=None) -> DataFrame:
+                     d: int, keep: Sequence[str] = (), state=None, run: str | None = None,
+                     block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Global learner updated after every batch. Returns the decisions
-    ``(batch, *keep, arm_idx, ucb, reward)``.
-
-    The input is written once under the shared checkpoint folder, one folder
-    per step (the dense number of the batch value; NULL is a batch of its
-    own and comes first), range-partitioned and sorted inside. Every step
-    reads its folder, scores each row once, writes the decisions and folds
-    them (``learn_step``). One row per step is held by the driver, which
-    runs one Spark job per step."""
+    ``([run,] batch, *keep, arm_idx, ucb, reward)``.
+
+    With ``run`` (an int column) every run is a learner of its own that
+    starts from ``state``; all runs are learnt in the same jobs.
+
+    Batches are numbered in order (NULL is a batch of its own and comes
+    first) and consecutive ones that begin within the same ``block_rows``
+    rows make a block; a batch of more rows is a block alone. The input is
+    written once under the shared checkpoint folder, range-partitioned by
+    (block, batch, order). A block of small batches is one job: a task for
+    each run streams its rows and hands the state on from batch to batch. A
+    large batch is scored and folded in parallel (``learn_step``). So the
+    number of jobs follows the rows, not the batches, and no task streams
+    much more than ``block_rows`` rows of a run."""
     spark = df.sparkSession
     base = fresh_dir(spark, "microbatch")
-    order = list(order)
-    keep = list(dict.fromkeys([batch, *keep, *order]))
-    values = sorted((r[0] for r in df.select(batch).distinct().collect()), key=lambda v: (v is not None, v))
-    fields = T.StructType([df.schema[batch], T.StructField("_step", T.LongType())])
-    steps = spark.createDataFrame([(v, i) for i, v in enumerate(values)], fields)
-    rows = join_keys(df.select(*dict.fromkeys([*keep, vec, rewards])), F.broadcast(steps), [batch])
-    stage(rows, f"{base}/input", order, ["_step"])
-    schema = T.StructType([f for f in rows.schema.fields if f.name != "_step"] + [T.StructField("_blk", T.IntegerType())])
-    a, b = state if state is not None else cold_start(cfg, d)
-    a, b = np.array(a), np.array(b)
-    for t in range(len(values)):
-        staged = spark.read.schema(schema).parquet(f"{base}/input/_step={t}")
-        a, b = learn_step(staged, f"{base}/decisions/_step={t}", a, b, order, vec, rewards, cfg, keep)
-    out = T.StructType([rows.schema[c] for c in keep] + [
+    order, runs = list(order), [run] if run else []
+    keep = list(dict.fromkeys([*runs, batch, *keep, *order]))
+    rows = df.select(*dict.fromkeys([*keep, vec, rewards]))
+    counts = rows.groupBy(*runs, batch).agg(F.count(F.lit(1)).alias("_n"))
+    steps = with_running_sums(counts, runs, [batch], {"_upto": F.col("_n")}, ordinal="_step")
+    large = F.col("_n") > block_rows
+    block = (2 * F.floor((F.col("_upto") - F.col("_n")) / block_rows) + large.cast("int")).cast("long")
+    steps = materialize(steps.select(*runs, batch, "_step", block.alias("_block")), "steps")
+    # Blocks of a run: about two for each ``block_rows`` of its rows.
+    blocks = sorted(tuple(r) for r in steps.select("_block", *(F.col(c) for c in runs)).distinct().collect())
+    states = {r[1] if runs else 0: None for r in blocks}
+    states = dict.fromkeys(states, state if state is not None else cold_start(cfg, d))
+    out = T.StructType([T.StructField(c, rows.schema[c].dataType) for c in keep] + [
         T.StructField("arm_idx", T.IntegerType()), T.StructField("ucb", T.DoubleType()), T.StructField("reward", T.DoubleType())])
-    if not values:
+    if not blocks:
         return spark.createDataFrame([], out)
+    stage(join_keys(rows, steps, [*runs, batch]), f"{base}/input", [*runs, "_step", *order], ["_block"])
+    staged_schema = T.StructType([*rows.schema.fields, steps.schema["_step"], T.StructField("_blk", T.IntegerType())])
+    written_schema = T.StructType([T.StructField("_kind", T.IntegerType()), *out.fields,
+                                   *T.StructType.fromDDL("_run int, _arm int, ti int, tj int, v array<double>, bv array<double>").fields])
+    numbers = sorted({r[0] for r in blocks})
+    for number in numbers:
+        staged = spark.read.schema(staged_schema).parquet(f"{base}/input/_block={number}")
+        path = f"{base}/decisions/_block={number}"
+        if number % 2:
+            for r in blocks:
+                if r[0] == number:
+                    of = r[1] if runs else 0
+                    own = staged.where(F.col(run) == of) if runs else staged
+                    states[of] = learn_step(own, f"{path}-{of}", *states[of], order, vec, rewards, cfg, keep)
+            continue
+        by = [*runs, "_step"]
+        alone = (staged.repartition(len(states), *runs) if runs else staged.coalesce(1)).sortWithinPartitions(*by, *order)
+        learn = _learn_block(states, cfg, d, keep, bool(runs), number == numbers[-1])
+        (alone.select(*keep, vec, rewards, "_step", *(F.col(c).alias("_of") for c in runs)).mapInArrow(learn, written_schema)
+         .write.mode("overwrite").partitionBy("_kind").parquet(path))
+        if number != numbers[-1]:
+            states = _states_after(spark.read.schema(written_schema).parquet(path), states, d)
     remove_dir(spark, f"{base}/input")
-    return spark.read.schema(out).parquet(*[f"{base}/decisions/_step={t}/_kind=0" for t in range(len(values))])
+    return spark.read.schema(out).parquet(f"{base}/decisions/*/_kind=0")

@@ -64,8 +64,24 @@ def ridge_stats(df: DataFrame, vec, d: int, reward_cols: Sequence = (), lam: flo
         *[F.when(F.col("i") == F.col("j"), F.col(f"b{k}")).alias(f"b{k}") for k in range(kk)])
 
 
+def ridge_tiles(df: DataFrame, vec, d: int, reward_cols: Sequence = (), weight=None) -> DataFrame:
+    """Gram matrix and reward sums as tiles ``(ti, tj, v, b)``: first row and
+    column, the numbers row by row, and on diagonal tiles the sums of all
+    rewards for each row. No ridge term; an empty input has no tiles."""
+    rcols = [_col(c).cast("double").alias(f"_r{k}") for k, c in enumerate(reward_cols)]
+    w = F.lit(1.0) if weight is None else _col(weight).cast("double")
+    base = df.select(as_double_array(vec).alias("_x"), w.alias("_w"), *rcols)
+    tiles = _tiles(base, d, [], len(reward_cols))
+    return tiles.select((F.col("ti") * TILE).alias("ti"), (F.col("tj") * TILE).alias("tj"), "v", F.col("bv").alias("b"))
+
+
 def _tile_sums(base: DataFrame, d: int, group: list, kk: int) -> DataFrame:
-    """``(group..., i, j, _s, b0..)`` cells, j >= i, of ``X^T W X`` and ``X^T W R``.
+    """``(group..., i, j, _s, b0..)`` cells, j >= i, of ``X^T W X`` and ``X^T W R``."""
+    return _tiles(base, d, group, kk, as_cells=True)
+
+
+def _tiles(base: DataFrame, d: int, group: list, kk: int, as_cells: bool = False) -> DataFrame:
+    """``(group..., ti, tj, fan, v, bv)``, one row a tile, or its cells.
 
     The input is coalesced (no shuffle) to the cluster's parallelism, so the
     partials, d^2 numbers each, stay few whatever the row count."""
@@ -124,12 +140,12 @@ def _tile_sums(base: DataFrame, d: int, group: list, kk: int) -> DataFrame:
                     acc[key] = (v, bv)
         return acc
 
-    def first_level(it):
+    def added(it):
         import pandas as pd
         for key, (v, bv) in summed(it).items():
             yield pd.DataFrame([(*key, 0, v, bv)], columns=group + ["ti", "tj", "fan", "v", "bv"])
 
-    def second_level(it):
+    def cells(it):
         import pandas as pd
         for (*g, ti, tj), (v, bv) in summed(it).items():
             h = min(TILE, d - ti * TILE)
@@ -150,8 +166,9 @@ def _tile_sums(base: DataFrame, d: int, group: list, kk: int) -> DataFrame:
             yield out[group + ["i", "j", "_s"] + [f"b{r}" for r in range(kk)]]
 
     tiles = base.coalesce(base.sparkSession.sparkContext.defaultParallelism).mapInPandas(partial, tile_schema)
-    tiles = tiles.repartition(*group, "ti", "tj", "fan").mapInPandas(first_level, tile_schema)
-    return tiles.repartition(*group, "ti", "tj").mapInPandas(second_level, cell_schema)
+    tiles = tiles.repartition(*group, "ti", "tj", "fan").mapInPandas(added, tile_schema)
+    tiles = tiles.repartition(*group, "ti", "tj")
+    return tiles.mapInPandas(cells, cell_schema) if as_cells else tiles.mapInPandas(added, tile_schema)
 
 
 def reward_sums(df: DataFrame, vec, d: int, reward_cols: Sequence[str]) -> DataFrame:

@@ -19,6 +19,7 @@ from armada.plans import jobs
 from armada.sources import files, registry, tables
 from armada.session import fresh_dir, materialize
 from armada.sources.files import pending_work
+from armada.streaming import jobs as streaming
 
 R = 9  # rounding of doubles in query outputs
 
@@ -28,6 +29,8 @@ ROUTE_CFG = RouterConfig(alpha=0.5, lam=12.94, gamma=1.0, p=0.3)
 LEARN_CFG = RouterConfig(arms=("a0", "a1"), prices=(1.0, 1.0), alpha=0.5, lam=2.0, gamma=0.9, p=0.0)
 BATCH_CFG = RouterConfig(arms=("a0", "a1"), prices=(1.0, 1.0), alpha=0.5, lam=2.0, gamma=0.999, p=0.0)
 KEYED_D, BATCH_D = 4, 132   # vector lengths of the keyed and the micro-batch learner
+WIDE_D = 512                # of the wide solve
+ARRIVALS = (0, 1, 2, 3)     # micro-batches of a replayed stream
 # Discounted statistics over the event log.
 DISC_GAMMA, DISC_LAM = 0.99, 1.0
 HASH_DIM = 32
@@ -461,6 +464,104 @@ def q40_learning_repeats(spark, sf):
     return m.select("run", "n", _r(F.col("accuracy")).alias("accuracy"), _r(F.col("price_per_10k")).alias("price_per_10k"))
 
 
+def _paired(ev, half):
+    """2 * half numbers: the event's value at position j = event_id % half and
+    its hour at j + half, so that far positions meet in one row."""
+    at = (F.col("event_id") % half).cast("int")
+    x = F.transform(F.sequence(F.lit(0), F.lit(2 * half - 1)), lambda i: F.when(i == at, F.col("value") / 100.0).when(
+        i == at + half, F.hour("ts") / 24.0).otherwise(F.lit(0.0)))
+    return ev.withColumn("x", x)
+
+
+def q41_solve_512(spark, sf):
+    """M8 at d = 512: tiles of one Gram go to one task, which factorises it in blocks."""
+    ev = _paired(tables.user_events(spark, sf), WIDE_D // 2).select("x", *[F.col("rewards")[k].alias(f"r{k}") for k in range(2)])
+    model = jobs.warm_start(ev, "x", ["r0", "r1"], LEARN_CFG, WIDE_D)
+    spread = [float((model.chol_inv[0][0][:, i] ** 2).sum()) for i in range(WIDE_D)]  # diagonal of the inverse
+    rows = [(k, i, float(model.theta[k, i]), spread[i]) for k in range(2) for i in range(WIDE_D)]
+    out = spark.createDataFrame(rows, "arm_idx int, i int, theta double, spread double")
+    return out.select("arm_idx", "i", _r(F.col("theta"), 6).alias("theta"), _r(F.col("spread"), 6).alias("spread"))
+
+
+# ----------------------------------------------------------------- streams
+
+def _arrival():
+    """Events arrive in four parts of their month."""
+    return F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3)).cast("int")
+
+
+def _run_stream(frame, sink, checkpoint, mode="append"):
+    """Write a stream to ``sink``, a folder or a ``foreachBatch`` function, until it has read what is there."""
+    to = frame.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode(mode)
+    return to.foreachBatch(sink).start() if callable(sink) else to.format("parquet").start(sink)
+
+
+def q42_stream_by_key(spark, sf):
+    """T2: the keyed learner over a stream of events, its state carried from arrival to arrival."""
+    ev = _one_hot(tables.user_events(spark, sf), KEYED_D).withColumn("arrival", _arrival())
+    base = fresh_dir(spark, "q42")
+
+    def start(stream):
+        out = streaming.learn_by_key_stream(stream, "user_id", ["ts", "event_id"], "x", "rewards", LEARN_CFG, KEYED_D, keep=["event_id"])
+        return _run_stream(out, f"{base}/out", f"{base}/checkpoint")
+
+    streaming.replay(ev, "arrival", ARRIVALS, f"{base}/in", start)
+    dec = spark.read.parquet(f"{base}/out")
+    return dec.select("event_id", "user_id", "arm_idx", _r(F.col("ucb")).alias("ucb"), "reward")
+
+
+def q43_stream_microbatch(spark, sf):
+    """T3: the global learner over a stream, one version of its tile table an arrival."""
+    ev = _one_hot(tables.user_events(spark, sf), BATCH_D).withColumn("arrival", _arrival())
+    base = fresh_dir(spark, "q43")
+    learn = streaming.microbatch_learner(f"{base}/state", f"{base}/out", ["ts", "event_id"], "x", "rewards", BATCH_CFG, BATCH_D,
+                                         keep=["event_id"])
+    streaming.replay(ev, "arrival", ARRIVALS, f"{base}/in", lambda stream: _run_stream(stream, learn, f"{base}/checkpoint"))
+    dec = streaming.read_decisions(spark, f"{base}/out")
+    return dec.select("event_id", F.col("batch_id").cast("int").alias("arrival"), "arm_idx", _r(F.col("ucb"), 6).alias("ucb"), "reward")
+
+
+def _streamed_contexts(spark, sf):
+    """The validation contexts in four arrivals (by id) and the warm 2-d model."""
+    split = _router_split(spark, sf, ROUTE_CFG, two_d=True)
+    split = materialize(split.select("row_id", "x", "split", *ROUTE_CFG.arms, *[f"_rw{k}" for k in range(ROUTE_CFG.k)]), "stream_split")
+    val = split.where(F.col("split") == "validation").select("row_id", "x", *ROUTE_CFG.arms, (F.col("row_id") % 4).cast("int").alias("arrival"))
+    return val, _warm_model(split, ROUTE_CFG, 2)
+
+
+def q44_stream_scores(spark, sf):
+    """T1: contexts routed by a frozen model as they arrive."""
+    val, model = _streamed_contexts(spark, sf)
+    base = fresh_dir(spark, "q44")
+
+    def start(stream):
+        return _run_stream(streaming.score_stream(stream, "x", model, ROUTE_CFG.alpha, ["row_id"]), f"{base}/out", f"{base}/checkpoint")
+
+    streaming.replay(val, "arrival", ARRIVALS, f"{base}/in", start)
+    return spark.read.parquet(f"{base}/out").select("row_id", "arm_idx", _r(F.col("ucb")).alias("ucb"))
+
+
+def q45_stream_metrics(spark, sf):
+    """T4: running accuracy and price per arm after every arrival."""
+    val, model = _streamed_contexts(spark, sf)
+    base = fresh_dir(spark, "q45")
+    prices = F.array(*[F.lit(float(p)) for p in ROUTE_CFG.prices])
+
+    def keep(batch, batch_id):  # a replayed batch replaces its rows
+        batch.withColumn("arrival", F.lit(batch_id).cast("int")).write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
+
+    def start(stream):
+        dec = streaming.score_stream(stream, "x", model, ROUTE_CFG.alpha, ["row_id", *ROUTE_CFG.arms])
+        outcomes = dec.select("arm_idx", F.get(F.array(*ROUTE_CFG.arms), F.col("arm_idx")).cast("int").alias("correct"),
+                              F.get(prices, F.col("arm_idx")).alias("price"))
+        return _run_stream(streaming.running_metrics(outcomes, ["arm_idx"]), keep, f"{base}/checkpoint", "complete")
+
+    streaming.replay(val, "arrival", ARRIVALS, f"{base}/in", start)
+    out = spark.read.parquet(f"{base}/out")
+    return out.select("arrival", "arm_idx", "n", _r(F.col("running_accuracy")).alias("running_accuracy"),
+                      _r(F.col("running_price")).alias("running_price"))
+
+
 QUERIES = {name: fn for name, fn in sorted(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}
 
 

@@ -14,8 +14,6 @@ the model-specific parts are the caller's batch functions.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +22,9 @@ from armada.config import RouterConfig
 from armada.functions.text import instruct_prompt
 from armada.functions.vectors import as_double_array
 from armada.operators import grading, inference, online, policy, routing, stats
-from armada.operators.ordinal import join_keys
-from armada.operators.sampling import fraction_sample, four_way_cut, permutation_order, stratified_split
+from armada.operators.ordinal import join_keys, with_group_ordinal
+from armada.operators.state import solve_tiles
+from armada.operators.sampling import fraction_sample, four_way_cut, stratified_split
 from armada.session import materialize
 from armada.sources import files
 
@@ -135,13 +134,11 @@ def vector_dim(df: DataFrame, vec: str) -> int:
 
 def warm_start(train: DataFrame, vec: str, reward_cols: Sequence[str], cfg: RouterConfig, d: int | None = None):
     """Full-feedback warm start: one shared Gram (A does not depend on
-    rewards) and one reward sum per arm, solved once. ``d`` defaults to the
-    (checked) common vector length."""
+    rewards) and one reward sum per arm, solved once, on one executor, from
+    256 x 256 tiles. ``d`` defaults to the (checked) common vector length."""
     d = d or vector_dim(train, vec)
-    # K*d^2 numbers (the model), fetched as Arrow batches.
-    rows = stats.ridge_stats(train, vec, d, list(reward_cols), lam=cfg.lam).toPandas()
-    a, b = routing.state_from_rows(rows, cfg, d)
-    return routing.solve(a, b)
+    tiles = stats.ridge_tiles(train, vec, d, list(reward_cols)).withColumn("gram", F.lit(0))
+    return solve_tiles(tiles, cfg.k, d, lam=cfg.lam)
 
 
 def route(contexts: DataFrame, vec: str, model: routing.ArmModel, cfg: RouterConfig, key: str = "row_id",
@@ -158,19 +155,18 @@ def learning_repeats(contexts: DataFrame, vec: str, model: routing.ArmModel, cfg
                      batch_rows: int) -> DataFrame:
     """Runs of the micro-batch learner over ``contexts`` (``row_id``, ``vec``
     and one 0/1 column per arm), each in its own seeded order and from the
-    same warm state, as ``(run, row_id, seq, arm_idx, ucb, reward, correct)``."""
+    same warm state, as ``(run, row_id, seq, arm_idx, ucb, reward, correct)``.
+    The run is a key: all runs are ordered and learnt in the same jobs."""
     norm = cfg.normalised_prices
     rewards = F.array(*[F.col(a).cast("double") - F.lit(cfg.p * norm[k]) for k, a in enumerate(cfg.arms)])
     rows = contexts.select("row_id", as_double_array(vec).alias("_x"), rewards.alias("_rewards"))
-    runs = []
-    for run in range(repeats):
-        seq = permutation_order(rows.select("row_id"), "row_id", f"run{run}", name="seq")
-        ordered = join_keys(rows, seq.withColumn("_batch", F.floor((F.col("seq") - 1) / batch_rows).cast("long")), ["row_id"])
-        d = model.b.shape[1]
-        dec = online.learn_microbatch(ordered, "_batch", ["seq"], "_x", "_rewards", cfg, d, keep=["row_id"],
-                                      state=(model.a.copy(), model.b.copy()))
-        # The reward gives the outcome back, so no label is looked up again.
-        price = F.get(F.array(*[F.lit(cfg.p * v) for v in norm]), F.col("arm_idx"))
-        runs.append(dec.select(F.lit(run).alias("run"), "row_id", "seq", "arm_idx", "ucb", "reward",
-                               F.round(F.col("reward") + price, 0).cast("int").alias("correct")))
-    return reduce(DataFrame.unionByName, runs)
+    keys = rows.select("row_id", F.explode(F.array(*[F.lit(r) for r in range(repeats)])).alias("run"))
+    hashed = keys.withColumn("_h", F.md5(F.concat(F.lit("run"), F.col("run").cast("string"), F.lit(":"), F.col("row_id").cast("string"))))
+    seq = with_group_ordinal(hashed, ["run"], ["_h", "row_id"], name="seq").drop("_h")
+    ordered = join_keys(rows, seq.withColumn("_batch", F.floor((F.col("seq") - 1) / batch_rows).cast("long")), ["row_id"])
+    d = model.theta.shape[1]
+    dec = online.learn_microbatch(ordered, "_batch", ["seq"], "_x", "_rewards", cfg, d, keep=["row_id"],
+                                  state=(model.a.copy(), model.b.copy()), run="run")
+    # The reward gives the outcome back, so no label is looked up again.
+    price = F.get(F.array(*[F.lit(cfg.p * v) for v in norm]), F.col("arm_idx"))
+    return dec.select("run", "row_id", "seq", "arm_idx", "ucb", "reward", F.round(F.col("reward") + price, 0).cast("int").alias("correct"))

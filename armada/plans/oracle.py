@@ -358,9 +358,11 @@ def _fold(old: str, arm: int, what: str) -> str:
             f"coalesce(list_sum(list_transform(list_filter({rows}, lambda e: e.j = i), lambda e: e.s)), 0.0))")
 
 
-SQL["q25_learn_microbatch"] = f"""
+def _microbatch(batch: str) -> str:
+    """CTEs up to ``e``: every event with the scores of both arms under the state before its batch."""
+    return f"""
 WITH RECURSIVE ev AS (
-  SELECT *, strftime(ts, '%Y-%m-%d') AS day, dense_rank() OVER (ORDER BY strftime(ts, '%Y-%m-%d')) AS dstep
+  SELECT *, {batch} AS day, dense_rank() OVER (ORDER BY {batch}) AS dstep
   FROM ({_hot(Q.BATCH_D)})),
 st(dstep, a0, b0, a1, b1) AS (
   SELECT CAST(0 AS BIGINT), list_transform(range({Q.BATCH_D}), lambda i: {dbl(LC.lam)}), list_transform(range({Q.BATCH_D}), lambda i: 0.0::DOUBLE),
@@ -376,12 +378,16 @@ st(dstep, a0, b0, a1, b1) AS (
              CASE WHEN {_u('s.a1[e.j]', 's.b1[e.j]', 'e.x')} > {_u('s.a0[e.j]', 's.b0[e.j]', 'e.x')} THEN 1 ELSE 0 END AS arm_idx,
              CASE WHEN {_u('s.a1[e.j]', 's.b1[e.j]', 'e.x')} > {_u('s.a0[e.j]', 's.b0[e.j]', 'e.x')} THEN e.r1 ELSE e.r0 END AS reward
       FROM st s JOIN ev e ON e.dstep = s.dstep + 1) d) z
-  GROUP BY dstep)
-SELECT e.event_id, e.day, CASE WHEN u1 > u0 THEN 1 ELSE 0 END AS arm_idx,
+  GROUP BY dstep),
+e AS (SELECT e.*, {_u('s.a0[e.j]', 's.b0[e.j]', 'e.x')} AS u0, {_u('s.a1[e.j]', 's.b1[e.j]', 'e.x')} AS u1
+      FROM ev e JOIN st s ON s.dstep = e.dstep - 1)
+SELECT event_id, day, CASE WHEN u1 > u0 THEN 1 ELSE 0 END AS arm_idx,
        round(CASE WHEN u1 > u0 THEN u1 ELSE u0 END, 6) AS ucb,
        CASE WHEN u1 > u0 THEN r1 ELSE r0 END AS reward
-FROM (SELECT e.*, {_u('s.a0[e.j]', 's.b0[e.j]', 'e.x')} AS u0, {_u('s.a1[e.j]', 's.b1[e.j]', 'e.x')} AS u1
-      FROM ev e JOIN st s ON s.dstep = e.dstep - 1) e"""
+FROM e"""
+
+
+SQL["q25_learn_microbatch"] = _microbatch("strftime(ts, '%Y-%m-%d')")
 
 SQL["q26_repeat_mean"] = f"""WITH {route2d_ctes()},
 runs AS (SELECT r.run, o.* FROM outcomes o CROSS JOIN range({Q.REPEATS}) r(run)),
@@ -528,3 +534,70 @@ SELECT * FROM (
         (64, "list_transform(embedding, lambda y: CAST(y AS DOUBLE))"),
         (192, "list_concat(list_concat(list_transform(embedding, lambda y: CAST(y AS DOUBLE)), list_transform(embedding, lambda y: "
               "pow(CAST(y AS DOUBLE), 2))), list_transform(embedding, lambda y: pow(CAST(y AS DOUBLE), 3)))")))
+
+
+ARRIVAL = "CAST(least((day(ts) - 1) // 8, 3) AS INTEGER)"
+
+# A stream gives what its batch operator gives: arrivals are parts of the month.
+SQL["q42_stream_by_key"] = SQL["q24_learn_by_key"]
+
+SQL["q43_stream_microbatch"] = f"SELECT event_id, day AS arrival, arm_idx, ucb, reward FROM ({_microbatch(ARRIVAL)})"
+
+SQL["q44_stream_scores"] = f"""WITH {route2d_ctes()}
+SELECT row_id, CAST(arm_idx AS INTEGER) AS arm_idx, round(ucb, 9) AS ucb FROM outcomes"""
+
+SQL["q45_stream_metrics"] = f"""WITH {route2d_ctes()}
+SELECT CAST(a.arrival AS INTEGER) AS arrival, CAST(arm_idx AS INTEGER) AS arm_idx, count(*) AS n,
+       round(sum(coalesce(correct, 0)) / count(*), 9) AS running_accuracy, round(sum(price), 9) AS running_price
+FROM outcomes JOIN range(4) a(arrival) ON row_id % 4 <= a.arrival GROUP BY ALL"""
+
+# Two positions of 512 meet in a row: the solve falls apart into 256 pairs.
+HALF = Q.WIDE_D // 2
+SQL["q41_solve_512"] = f"""
+WITH ev AS (SELECT event_id % {HALF} AS j, x, hour(ts) / 24.0 AS y, r0, r1 FROM ({_learn_events()}) JOIN (SELECT event_id, ts FROM events) USING (event_id, ts)),
+s AS (
+  SELECT p.j, {dbl(LC.lam)} + coalesce(sum(x * x), 0) AS a, coalesce(sum(x * y), 0) AS c, {dbl(LC.lam)} + coalesce(sum(y * y), 0) AS b,
+         {", ".join(f"coalesce(sum(r{k} * {v}), 0) AS {v}{k}" for k in range(2) for v in "xy")}
+  FROM range({HALF}) p(j) LEFT JOIN ev USING (j) GROUP BY p.j),
+d AS (SELECT *, a * b - c * c AS det FROM s)
+SELECT arm_idx, i, round(theta, 6) AS theta, round(spread, 6) AS spread FROM (
+  {" UNION ALL ".join(f"SELECT {k} AS arm_idx, CAST(j AS INTEGER) AS i, (b * x{k} - c * y{k}) / det AS theta, b / det AS spread FROM d"
+                      f" UNION ALL SELECT {k}, CAST(j + {HALF} AS INTEGER), (a * y{k} - c * x{k}) / det, a / det FROM d" for k in range(2))})"""
+
+
+def _repeats_sql() -> str:
+    """Three runs of the learner over the validation contexts, in batches of
+    250 rows of a seeded order; every arm's 2 x 2 state is three numbers, its
+    reward sums two. No row is discounted (gamma is 1)."""
+    k = CFG.k
+    state = [f"{n}{m}" for m in range(k) for n in ("p", "q", "s", "u", "v")]
+    det = [f"(st.p{m} * st.s{m} - st.q{m} * st.q{m})" for m in range(k)]
+    score = [f"((st.s{m} * st.u{m} - st.q{m} * st.v{m}) * e.x0 + (st.p{m} * st.v{m} - st.q{m} * st.u{m}) * e.x1) / {det[m]} + {dbl(CFG.alpha)}"
+             f" * sqrt((st.s{m} * e.x0 * e.x0 - 2 * st.q{m} * e.x0 * e.x1 + st.p{m} * e.x1 * e.x1) / {det[m]})" for m in range(k)]
+    add = {"p": "x0 * x0", "q": "x0 * x1", "s": "x1 * x1", "u": "x0 * reward", "v": "x1 * reward"}
+    best = lambda col: "CASE " + " ".join(
+        f"WHEN {' AND '.join(f'w{m} >= w{o}' for o in range(k) if o != m)} THEN {col.format(m=m)}" for m in range(k)) + " END"
+    first = ", ".join(f"{c} AS {n}{m}" for m in range(k) for n, c in zip(("p", "q", "s", "u", "v"), ("a00", "a01", "a11", f"z.b0_{m}", f"z.b1_{m}")))
+    return f"""
+WITH RECURSIVE {route2d_ctes()},
+z AS (SELECT a00, a01, a11, {", ".join(f"max(CASE WHEN arm_idx = {m} THEN b{i} END) AS b{i}_{m}" for m in range(k) for i in range(2))}
+      FROM bs, g GROUP BY a00, a01, a11),
+e AS (SELECT r.run, v.row_id, v.x0, v.x1, {", ".join(f"c{m}, rw{m}" for m in range(k))},
+             (row_number() OVER (PARTITION BY r.run ORDER BY md5('run' || r.run || ':' || v.row_id), v.row_id) - 1) // {Q.REPEAT_ROWS} + 1 AS step
+      FROM val v, range({Q.REPEATS}) r(run)),
+st AS (
+  SELECT r.run, CAST(0 AS BIGINT) AS step, {first} FROM z, range({Q.REPEATS}) r(run)
+  UNION ALL
+  SELECT run, any_value(step), {", ".join(f"any_value({c}) + sum(CASE WHEN arm_idx = {c[1:]} THEN {add[c[0]]} ELSE 0.0 END)" for c in state)}
+  FROM (SELECT *, {best('{m}')} AS arm_idx, {best('rw{m}')} AS reward FROM (
+    SELECT e.run, e.step, e.x0, e.x1, {", ".join(f"rw{m}" for m in range(k))}, {", ".join(f"st.{c}" for c in state)},
+           {", ".join(f"{score[m]} AS w{m}" for m in range(k))}
+    FROM st JOIN e ON e.run = st.run AND e.step = st.step + 1)) GROUP BY run),
+decided AS (SELECT run, {best('{m}')} AS arm_idx, {best('c{m}')} AS correct FROM (
+  SELECT e.run, {", ".join(f"c{m}" for m in range(k))}, {", ".join(f"{score[m]} AS w{m}" for m in range(k))}
+  FROM st JOIN e ON e.run = st.run AND e.step = st.step + 1))
+SELECT CAST(run AS INTEGER) AS run, count(*) AS n, round(avg(correct), 9) AS accuracy, round(sum(price) / count(*) * 10000.0, 9) AS price_per_10k
+FROM decided JOIN {ARMS} USING (arm_idx) GROUP BY run"""
+
+
+SQL["q40_learning_repeats"] = _repeats_sql()

@@ -46,7 +46,8 @@ ROUTE_CFG = SimpleNamespace(arms=("gemma", "llama8B", "mistral", "qwen"), prices
                             lam=12.94, p=0.3, normalised_prices=tuple(v / 0.3 for v in (0.1, 0.18, 0.2, 0.3)))
 LEARN_CFG = SimpleNamespace(alpha=0.5, lam=2.0, gamma=0.9)
 BATCH_CFG = SimpleNamespace(gamma=0.999)
-KEYED_D, BATCH_D = 4, 132
+KEYED_D, BATCH_D, WIDE_D = 4, 132, 512
+REPEAT_ROWS = 250
 DISC_GAMMA, DISC_LAM = 0.99, 1.0
 HASH_DIM = 32
 SAMPLE_FRACTION, SAMPLE_SEED = 0.25, 42
