@@ -101,14 +101,14 @@ def cmd_route(spark, a) -> None:
 
     cfg = RouterConfig(alpha=a.alpha, lam=a.lambda_reg, gamma=a.gamma, p=a.p)
 
+    paired = {}
+
     def table(path, labels):
         rows = spark.read.parquet(path)
         if not labels:
             return rows
         rows, counts = pair_labels(rows, spark.read.parquet(labels).select("row_id", *cfg.arms))
-        lost = counts.first()
-        if lost["labels_unmatched"] or lost["vectors_unmatched"]:
-            print(f"{path}: {lost['vectors_unmatched']} vectors without labels, {lost['labels_unmatched']} labels without a vector")
+        paired[path] = counts
         return rows
 
     test = table(a.test, a.test_labels)
@@ -121,6 +121,10 @@ def cmd_route(spark, a) -> None:
         model = warm_start(train, "embedding", [f"_rw{k}" for k in range(cfg.k)], cfg, d)
     else:
         model = routing.solve(*routing.cold_start(cfg, d))
+    for path, counts in paired.items():  # known since the vectors were read above
+        lost = counts.get
+        if lost["labels_unmatched"] or lost["vectors_unmatched"]:
+            print(f"{path}: {lost['vectors_unmatched']} vectors without labels, {lost['labels_unmatched']} labels without a vector")
     arms = routing.arms_frame(spark, cfg)
     if a.update:
         out = learning_repeats(test, "embedding", model, cfg, a.repeats, a.update_batch_rows)

@@ -120,6 +120,71 @@ def embed_text(df: DataFrame, embedder_factory: Callable[[], Callable[[list], np
     return df.select(*dict.fromkeys([*keep, text])).mapInPandas(run, schema)
 
 
+def last_real(mask: np.ndarray) -> np.ndarray:
+    """Position of the last real token of every row of a 0/1 mask with
+    contiguous padding on one side: the last position if it is real, else the
+    number of real tokens less one; -1 for a row without any."""
+    n = mask.sum(axis=1)
+    at = np.where(n == 0, -1, np.where(mask[:, -1] == 1, mask.shape[1] - 1, n - 1)) if mask.shape[1] else n - 1
+    first = np.where(n == 0, 0, at - n + 1)
+    whole = [bool(mask[i, f:f + k].all()) for i, (f, k) in enumerate(zip(first, n))]
+    if not all(whole):
+        raise ValueError("padding must be contiguous")
+    return at
+
+
+def embed_last_token(df: DataFrame, embedder_factory: Callable[[], Callable[[list], tuple]], text: str = "prompt",
+                     keep: Sequence[str] = ("row_id",), out: str = "embedding", dtype: str = "float",
+                     batch_rows: int | None = None) -> DataFrame:
+    """Dense vector per text: the vector of its last real token.
+
+    ``embedder_factory()`` is called once per Python worker and returns
+    ``fn(list[str]) -> (hidden (n, length, d), mask (n, length))`` for a batch
+    padded to one length on either side. A batch is pooled where it was
+    embedded, so no token leaves its task; the rule is that of
+    ``last_token_pool``. A text without a real token has a NULL vector."""
+    keep = list(keep)
+    np_type = np.float32 if dtype == "float" else np.float64
+    elem = T.FloatType() if dtype == "float" else T.DoubleType()
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, T.ArrayType(elem))])
+
+    def run(it):
+        fn = embedder_factory()
+        for pdf in rebatched(it, batch_rows):
+            hidden, mask = (np.asarray(y) for y in fn(pdf[text].tolist()))
+            if len(hidden) != len(pdf) or mask.shape != hidden.shape[:2]:
+                raise ValueError(f"hidden states {hidden.shape} and mask {mask.shape} for {len(pdf)} texts")
+            res = pdf[keep].copy()
+            res[out] = [None if at < 0 else row[at].astype(np_type) for at, row in zip(last_real(mask), hidden)]
+            yield res
+
+    return df.select(*dict.fromkeys([*keep, text])).mapInPandas(run, schema)
+
+
+def offline_token_embedder_factory(left: bool, max_tokens: int | None = None):
+    """A deterministic stand-in for a token model: tokens are split on ASCII
+    whitespace; a token's vector is (first 16 bits of its md5 / 65536, its
+    number from 1); batches are padded on the ``left`` or right. Tokens beyond
+    ``max_tokens`` are the model's own limit."""
+    def factory():
+        import hashlib
+        import re
+        split = re.compile(r"[ \t\n\r\x0b\x0c]+")
+
+        def fn(texts):
+            tokens = [[w for w in split.split(t or "") if w][:max_tokens] for t in texts]
+            length = max(map(len, tokens), default=0)
+            hidden, mask = np.zeros((len(texts), length, 2)), np.zeros((len(texts), length), np.int64)
+            for row, words in enumerate(tokens):
+                at = slice(length - len(words), length) if left else slice(0, len(words))
+                mask[row, at] = 1
+                hidden[row, at, 0] = [int(hashlib.md5(w.encode()).hexdigest()[:4], 16) / 65536 for w in words]
+                hidden[row, at, 1] = np.arange(1, len(words) + 1)
+            return hidden, mask
+        return fn
+    return factory
+
+
 def hashing_embedder_factory(d: int, cache_size: int = 1 << 20):
     """Offline embedder: L2-normalised hashed bag of words (tokens split on
     ASCII whitespace, bucket = first 16 bits of md5 mod d), vectorised per

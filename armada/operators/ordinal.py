@@ -35,7 +35,7 @@ from armada.session import materialize
 
 SAMPLES_PER_BLOCK = 32
 SAMPLE_SEED = 7
-LEADS = 1 << 16  # buckets of the leading order value in a group
+SMALL = 1 << 20  # rows of a bucket that one task ranks
 
 
 def _names(cols) -> list:
@@ -75,6 +75,8 @@ def _encode(df: DataFrame, c: str) -> str:
         return f"CAST({q} AS STRING)"
     if isinstance(t, T.TimestampType):
         return f"unix_micros({q})"
+    if isinstance(t, T.DecimalType):
+        return f"CAST({q} AS DOUBLE)"
     if isinstance(t, (T.StringType, T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.DoubleType,
                       T.FloatType, T.BooleanType)):
         return q
@@ -118,7 +120,9 @@ def block_of(df: DataFrame, keys: Sequence[str], num_blocks: int | None = None)
     ``sequence(1, depth)``), so the expression stays the same size for any
     number of blocks."""
     n = _blocks(df, num_blocks)
-    enc = [_encode(df, k) for k in keys]
+    # A decimal's stand-in may be equal for two values: what follows it must not place a row.
+    rough = next((i for i, k in enumerate(keys) if isinstance(df.schema[k].dataType, T.DecimalType)), len(keys))
+    enc = [_encode(df, k) for k in keys[:rough + 1]]
     if n <= 1:
         return F.lit(0)
     m = SAMPLES_PER_BLOCK * n
@@ -227,48 +231,40 @@ def hash_lead(c: str) -> Column:
     return F.conv(F.substring(c, 1, 4), 16, 10).cast("long")
 
 
-def with_lead(keys: DataFrame, group, c: str) -> DataFrame:
-    """``keys`` with ``_lead``, a bucket that never falls as ``c`` rises:
-    the position between the group's smallest and largest value for numbers
-    and times, the first three bytes for everything else. NULLs come first."""
-    t, group = keys.schema[c].dataType, _names(group)
-    if isinstance(t, T.TimestampType):
-        v = F.unix_micros(c)
-    elif isinstance(t, T.DateType):
-        v = F.unix_date(c)
-    elif isinstance(t, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
-        v = F.col(c)
-    else:
-        head = F.hex(F.substring(F.encode(F.col(c).cast("string"), "UTF-8"), 1, 3))
-        lead = F.conv(F.rpad(head, 6, "0"), 16, 10).cast("long")
-        if isinstance(t, (T.FloatType, T.DoubleType, T.DecimalType, T.BooleanType)):
-            lead = F.lit(0).cast("long")  # text order is not theirs: one bucket
-        return keys.withColumn("_lead", F.coalesce(lead, F.lit(-1)))
-    bounds = materialize(keys.groupBy(*group).agg(F.min(v).cast("double").alias("_lo"), F.max(v).cast("double").alias("_hi")),
-                         "bounds")
-    place = F.floor((v.cast("double") - F.col("_lo")) * LEADS / (F.col("_hi") - F.col("_lo") + 1)).cast("long")
-    return join_keys(keys, bounds, group).withColumn("_lead", F.coalesce(place, F.lit(-1))).drop("_lo", "_hi")
-
-
-def group_cutoffs(keys: DataFrame, group, order, targets: DataFrame) -> DataFrame:
+def group_cutoffs(keys: DataFrame, group, order, targets: DataFrame, small: int = SMALL) -> DataFrame:
     """Order values of the row at given ranks inside each group.
 
-    ``keys`` holds the group and order columns and ``_lead`` (a bucket in
-    their order; nothing of the payload); ``targets`` is
+    ``keys`` holds the group and order columns (nothing of the payload) and,
+    if there is one, ``_lead``, an even bucket in their order; ``targets`` is
     ``(group..., cut, rank)`` with 1-based ranks. One partial aggregate
-    counts the rows of every bucket, running sums over the buckets find the
-    one that holds a rank, and only that bucket's rows are ranked. Returns
+    counts the rows of every bucket, and running sums over the buckets find
+    the one that holds a rank. A bucket of more than ``small`` rows is
+    counted again in buckets of its own, as often as needed; the rows of what
+    is left are ranked. Buckets are blocks between sampled quantiles of
+    (group, order), so they are even for every type and distribution. Returns
     ``(group..., cut, <order columns as _c0, _c1...>)`` for targets whose
     rank exists, written once: a few rows per group that the planner
     broadcasts if their size allows it."""
     group, order = _names(group), _names(order)
-    counts = keys.groupBy(*group, "_lead").agg(F.count(F.lit(1)).alias("_n"))
-    upto = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*group).orderBy("_lead")))
-    held = join_keys(upto, targets, group).where((F.col("rank") <= F.col("_upto")) & (F.col("rank") > F.col("_upto") - F.col("_n")))
-    held = held.select(*group, "_lead", "cut", (F.col("rank") - F.col("_upto") + F.col("_n")).alias("_at"))
-    near = join_keys(keys, held, [*group, "_lead"])
+    by, before = group, None
+    if "_lead" not in keys.columns:
+        keys = keys.withColumn("_lead", block_of(keys, [*by, *order]))
+    while True:
+        counts = keys.groupBy(*by, "_lead").agg(F.count(F.lit(1)).alias("_n"))
+        upto = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*by).orderBy("_lead")))
+        held = join_keys(upto, targets, by).where((F.col("rank") <= F.col("_upto")) & (F.col("rank") > F.col("_upto") - F.col("_n")))
+        at = (F.col("rank") - F.col("_upto") + F.col("_n")).alias("rank")
+        held = materialize(held.select(*group, "cut", "_lead", at, "_n"), "held")
+        near = join_keys(keys, held.drop("_n"), [*by, "_lead"]).drop("_lead")
+        largest = held.agg(F.max("_n")).first()[0] or 0
+        # A bucket that does not shrink holds rows equal in every order column.
+        if largest <= small or largest == before:
+            break
+        before, by = largest, [*group, "cut"]
+        targets, near = held.select(*by, "rank"), materialize(near.drop("rank"), "near")
+        keys = near.withColumn("_lead", block_of(near, [*by, *order]))
     near = near.withColumn("_rank", F.row_number().over(Window.partitionBy(*group, "cut").orderBy(*order)))
-    hit = near.where(F.col("_rank") == F.col("_at"))
+    hit = near.where(F.col("_rank") == F.col("rank"))
     return materialize(hit.select(*group, "cut", *[F.col(c).alias(f"_c{i}") for i, c in enumerate(order)]), "cutoffs")
 
 

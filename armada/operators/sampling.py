@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from armada.operators.ordinal import (
-    at_or_before, group_cutoffs, hash_lead, join_keys, with_group_ordinal, with_lead,
+    at_or_before, group_cutoffs, hash_lead, join_keys, with_group_ordinal,
 )
 
 
@@ -56,7 +56,7 @@ def four_way_cut(df: DataFrame, group, order, part: int | None = None) -> DataFr
     every row is then compared with its group's cut points."""
     order = [order] if isinstance(order, str) else list(order)
     base, gk, extra = _with_group(df, group)
-    keys = with_lead(base.select(*gk, *order), gk, order[0])
+    keys = base.select(*gk, *order)
     sizes = keys.groupBy(*gk).agg(F.floor(F.count(F.lit(1)) / 4).cast("long").alias("_size"))
     targets = sizes.where(F.col("_size") > 0).select(
         *gk, F.explode(F.array(*[F.struct(F.lit(k).alias("cut"), (F.col("_size") * k).alias("rank"))

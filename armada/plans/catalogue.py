@@ -54,6 +54,13 @@ def _graded(spark, sf):
     return grading.grade(tables.responses(tables.questions(spark, sf)), prompt_len="prompt_len")
 
 
+def _graded_texts(spark, sf):
+    """Graded responses with their whole prompt, written once."""
+    qs = tables.questions(spark, sf)
+    graded = _graded(spark, sf).withColumn("split", F.lit("test"))
+    return materialize(graded.join(qs.select("row_id", "prompt"), ["row_id"]), "graded_texts")
+
+
 def q01_prompt_build(spark, sf):
     it = tables.benchmark_items(spark, sf)
     return it.select("item_id", mc_prompt("question", "choices").alias("prompt"))
@@ -419,8 +426,10 @@ def q37_pair_labels(spark, sf):
     vec = tables.table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
     lab = tables.table(spark, sf, "labels").select(F.col("doc_id").alias("row_id"), "quality")
     both, counts = jobs.pair_labels(vec, lab)
-    sums = both.agg(F.count(F.lit(1)).alias("n"), F.sum("quality").cast("long").alias("n_good"))
-    return sums.join(F.broadcast(counts))  # one row beside one row
+    n, good = both.agg(F.count(F.lit(1)), F.sum("quality").cast("long")).first()
+    lost = counts.get
+    return spark.createDataFrame([(n, good, lost["labels_unmatched"], lost["vectors_unmatched"])],
+                                 "n long, n_good long, labels_unmatched long, vectors_unmatched long")
 
 
 def q38_split_data(spark, sf):
@@ -483,6 +492,69 @@ def q41_solve_512(spark, sf):
     return out.select("arm_idx", "i", _r(F.col("theta"), 6).alias("theta"), _r(F.col("spread"), 6).alias("spread"))
 
 
+def q46_cut_by_value(spark, sf):
+    """F5 in the order of a double, ties by id."""
+    ev = tables.table(spark, sf, "events").select("event_id", "event_type", "value")
+    return sampling.four_way_cut(ev, "event_type", ["value", "event_id"]).select("event_id", "event_type", "part")
+
+
+def q47_cut_by_name(spark, sf):
+    """F5 in the order of names that begin alike."""
+    docs = tables.table(spark, sf, "documents").select("lang", F.concat(F.lit("doc_"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("name"))
+    return sampling.four_way_cut(docs, "lang", "name").select("name", "lang", "part")
+
+
+def q48_last_token_embedding(spark, sf):
+    """M3 with M4: texts embedded token by token and pooled in their batch, padded on either side."""
+    conv = tables.table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    out = []
+    for left in (True, False):
+        vecs = inference.embed_last_token(conv, inference.offline_token_embedder_factory(left), text="text", keep=["conv_id", "turn"],
+                                          dtype="double", batch_rows=8)
+        out.append(vecs.select("conv_id", "turn", F.lit(left).alias("padded_left"), F.col("embedding")[0].alias("token"),
+                               F.col("embedding")[1].cast("long").alias("n_tokens")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def q49_file_trees(spark, sf):
+    """S1, S3: prompt and question files of every task, written as trees and read back with task, split and position."""
+    it = tables.question_file_rows(spark, sf)
+    base = fresh_dir(spark, "q49")
+    files.write_task_files(it.select("task", "item_id", F.col("question").alias("prompt"), (F.col("item_id") % 4).alias("answer")),
+                           f"{base}/prompts/test", "{task}_prompts.csv", ["item_id"])
+    files.write_task_files(it.select("task", "item_id", "question", F.col("choices_text").alias("choices")), f"{base}/questions",
+                           "{task}/train.csv", ["item_id"])
+    prompts = files.read_prompt_files(spark, f"{base}/prompts/test/*_prompts.csv").select(
+        F.lit("prompt").alias("kind"), "task", F.lit("test").alias("split"), "row_id", F.md5("prompt").alias("text"), F.col("answer").alias("n"))
+    asked = files.read_question_files(spark, f"{base}/questions", "auxiliary_train").select(
+        F.lit("question").alias("kind"), "task", "split", "row_id", F.md5("question").alias("text"), F.size("choices").alias("n"))
+    return prompts.unionByName(asked)
+
+
+def q50_sinks_rerun(spark, sf):
+    """K1-K3: predictions per task and of a whole split, and summaries, written
+    twice (the second time two models only) and read once."""
+    graded = _graded_texts(spark, sf)
+    summary = grading.accuracy(graded, ["model", "task"]).withColumn("split", F.lit("test"))
+    base, again = fresh_dir(spark, "q50"), F.col("model").isin(*tables.EVAL_MODELS[:2])
+    for rows in (graded, graded.where(again)):
+        files.write_predictions(rows, f"{base}/tasks")
+        files.write_predictions(rows.withColumn("split", F.lit("auxiliary_train")).drop("task"), f"{base}/whole")
+    for rows in (summary, summary.where(again)):
+        files.write_summary(rows, f"{base}/summary")
+
+    def read(name):
+        return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{base}/{name}")
+
+    right = F.count_if(F.col("ground_truth") == F.col("prediction")).alias("n_correct")
+    n, no_task = F.count(F.lit(1)).alias("n"), F.lit(None).cast("string").alias("task")
+    tasks = read("tasks").groupBy("model", "split", "task").agg(n, right)
+    whole = read("whole").groupBy("model", "split").agg(n, right).select("model", "split", no_task, "n", "n_correct")
+    sums = read("summary").groupBy("model", "split", "task").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.round(F.col("accuracy").cast("double") * F.col("n").cast("long"))).cast("long").alias("n_correct"))
+    return reduce(DataFrame.unionByName, [f.withColumn("sink", F.lit(k)) for k, f in (("tasks", tasks), ("whole", whole), ("summary", sums))])
+
+
 # ----------------------------------------------------------------- streams
 
 def _arrival():

@@ -14,7 +14,7 @@ the model-specific parts are the caller's batch functions.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from armada import config as C
@@ -100,14 +100,24 @@ def prepare_vectors(questions: DataFrame, embedder_factory, sink: str, embedder:
 
 def pair_labels(vectors: DataFrame, labels: DataFrame, keys: Sequence[str] = ("row_id",)):
     """Vectors with their labels, kept in two tables and paired by key (a
-    NULL key pairs with a NULL key), and one row with the counts of rows on
-    either side that found no partner. Vectors are shuffled once."""
+    NULL key pairs with a NULL key), and an observation that holds
+    ``labels_unmatched`` and ``vectors_unmatched``, the rows on either side
+    that found no partner, once an action on the pairs has run.
+
+    One full outer join gives both, each side shuffled once: the check that
+    vectors are unique by key (a repeated key fails the action) is a window
+    over the join's own partitioning."""
     keys = list(keys)
-    if vectors.groupBy(*keys).count().where("count > 1").limit(1).count():
-        raise ValueError(f"vectors are not unique by {', '.join(keys)}")
-    counts = grading.alignment_counts(labels, vectors, keys).select(
-        F.col("responses_unmatched").alias("labels_unmatched"), F.col("questions_unmatched").alias("vectors_unmatched"))
-    return join_keys(vectors, labels, keys, "inner"), counts
+    key = F.struct(*keys)  # equal structs may hold NULLs
+    left = vectors.withColumn("_pair", key).withColumn("_copies", F.count(F.lit(1)).over(Window.partitionBy("_pair")))
+    right = labels.select(key.alias("_pair"), *[c for c in labels.columns if c not in keys], F.lit(True).alias("_labelled"))
+    joined = left.join(right, ["_pair"], "full_outer")
+    counts = Observation()
+    joined = joined.observe(counts, F.count_if(F.col("_copies").isNull()).alias("labels_unmatched"),
+                            F.count_if(F.col("_labelled").isNull()).alias("vectors_unmatched"))
+    repeated = F.raise_error(F.lit(f"vectors are not unique by {', '.join(keys)}")).cast("boolean")
+    both = F.when(F.col("_copies") > 1, repeated).otherwise(F.col("_copies").isNotNull() & F.col("_labelled").isNotNull())
+    return joined.where(both).drop("_pair", "_copies", "_labelled"), counts
 
 
 def attach_task(vectors: DataFrame, prompts: DataFrame) -> DataFrame:

@@ -601,3 +601,33 @@ FROM decided JOIN {ARMS} USING (arm_idx) GROUP BY run"""
 
 
 SQL["q40_learning_repeats"] = _repeats_sql()
+
+
+def _cut(src: str, group: str, key: str, order: str) -> str:
+    return f"""
+SELECT {key}, {group}, CAST(CASE WHEN n // 4 = 0 THEN 4 ELSE least((rn - 1) // (n // 4) + 1, 4) END AS INTEGER) AS part
+FROM (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY {order}) AS rn, count(*) OVER (PARTITION BY {group}) AS n FROM ({src}))"""
+
+
+SQL["q46_cut_by_value"] = _cut("SELECT event_id, event_type, value FROM events", "event_type", "event_id", "value, event_id")
+
+SQL["q47_cut_by_name"] = _cut("SELECT lang, 'doc_' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS name FROM documents", "lang", "name", "name")
+
+SQL["q48_last_token_embedding"] = """
+SELECT conv_id, turn, padded_left, CASE WHEN len(w) > 0 THEN CAST(('0x' || substr(md5(w[-1]), 1, 4)) AS INTEGER) / 65536.0 END AS token,
+       CASE WHEN len(w) > 0 THEN len(w) END AS n_tokens
+FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\x{0B}\\x{0C}]+'), lambda t: t <> '') AS w FROM conversations),
+     (VALUES (true), (false)) s(padded_left)"""
+
+SQL["q49_file_trees"] = f"""
+WITH it AS (
+  SELECT t.task, md5(b.text) AS text, b.item_id, len(string_split(b.text, '. ')) AS n,
+         row_number() OVER (PARTITION BY t.task ORDER BY b.item_id) - 1 AS row_id
+  FROM benchmark b JOIN {TASKS} t ON t.task_idx = b.item_id % {len(C.TASKS)})
+SELECT 'prompt' AS kind, task, 'test' AS split, row_id, text, CAST(item_id % 4 AS INTEGER) AS n FROM it
+UNION ALL SELECT 'question', task, 'auxiliary_train', row_id, text, CAST(n AS INTEGER) FROM it"""
+
+SQL["q50_sinks_rerun"] = f"""WITH {GRADED}
+SELECT 'tasks' AS sink, model, 'test' AS split, task, count(*) AS n, CAST(sum(correct) AS BIGINT) AS n_correct FROM graded GROUP BY model, task
+UNION ALL SELECT 'whole', model, 'auxiliary_train', NULL, count(*), CAST(sum(correct) AS BIGINT) FROM graded GROUP BY model
+UNION ALL SELECT 'summary', model, 'test', task, 1, CAST(sum(correct) AS BIGINT) FROM graded GROUP BY model, task"""

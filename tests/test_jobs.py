@@ -1,5 +1,6 @@
 """End-to-end jobs on the given tables with the offline model stand-ins."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from armada.operators.inference import hashing_embedder_factory, offline_scorer_factory
@@ -89,11 +90,15 @@ def test_labels_and_tasks_from_other_tables(spark):
     vec = spark.createDataFrame([(i, [float(i or 0)]) for i in (*range(20), None)], "row_id long, embedding array<double>")
     lab = spark.createDataFrame([(i, (i or 0) % 2) for i in (*range(5, 30), None)], "row_id long, gemma int")
     both, counts = jobs.pair_labels(vec, lab)
-    assert both.count() == 16 and counts.first().asDict() == {"labels_unmatched": 10, "vectors_unmatched": 5}
+    assert both.count() == 16 and counts.get == {"labels_unmatched": 10, "vectors_unmatched": 5}
+    assert sorted(both.columns) == ["embedding", "gemma", "row_id"] and both.where("row_id is null").count() == 1
+    plan = jobs.pair_labels(vec, lab)[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # each side once
+    with pytest.raises(Exception, match="not unique by row_id"):
+        jobs.pair_labels(vec.unionAll(vec.limit(3)), lab)[0].count()
     prompts = spark.createDataFrame([(i, f"t{(i or 0) % 3}") for i in (*range(20), None)], "row_id long, task string")
     split = jobs.split_data(vec, prompts).collect()
     assert len(split) == 21 and sum(r["split"] == "train" for r in split) == 15
-    import pytest
     with pytest.raises(Exception, match="no task for row"):
         jobs.split_data(vec, prompts.where("row_id <> 3")).collect()
 

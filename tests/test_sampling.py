@@ -6,7 +6,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from armada.operators.ordinal import with_group_ordinal, with_running_sums
+from armada.operators.ordinal import block_of, group_cutoffs, with_group_ordinal, with_running_sums
 from armada.operators.sampling import fraction_sample, four_way_cut, stratified_split
 
 
@@ -128,3 +128,33 @@ def test_null_group_is_a_group(spark):
     assert fraction_sample(df, 0.5, "g", "k").where("g IS NULL").count() == 5
     assert four_way_cut(df, "g", "k").count() == 30
     assert stratified_split(df, "g", "k").count() == 30
+
+
+CURVES = {"outlier": "if(i = 0, 1e300D, cast(i as double) / 7)", "steep": "pow(2D, cast(i % 1000 as double))", "prefix": "concat('doc_', lpad(cast(i as string), 9, '0'))",
+          "decimal": "cast(i as decimal(30, 10)) / 3", "flag": "i % 3 = 0", "ties": "cast(i % 2 as double)"}
+
+
+def test_buckets_are_even_for_every_type_and_curve(spark):
+    base = spark.range(20_000).select((F.col("id") % 10 < 7).alias("hot"), F.col("id").alias("i"))
+    for name, expr in CURVES.items():
+        df = base.withColumn("k", F.expr(expr))
+        sizes = sorted(r["n"] for r in df.groupBy(block_of(df, ["hot", "k", "i"], 16).alias("b")).agg(F.count("*").alias("n")).collect())
+        if name != "decimal":  # its ties cannot be told apart by the id
+            assert len(sizes) == 16 and sizes[-1] <= 2 * sizes[len(sizes) // 2], name
+
+
+def test_cutoffs_are_refined_until_a_bucket_is_small(spark):
+    base = spark.range(3000).select((F.col("id") % 10 < 7).alias("hot"), F.col("id").alias("i"))
+    for name, expr in CURVES.items():
+        df = base.withColumn("k", F.expr(expr))
+        targets = spark.createDataFrame([(h, c, r) for h in (True, False) for c, r in ((1, 1), (2, 450), (3, 900))], "hot boolean, cut int, rank long")
+        got = {(r["hot"], r["cut"]): r["_c1"] for r in group_cutoffs(df, "hot", ["k", "i"], targets, small=4).collect()}
+        w = Window.partitionBy("hot").orderBy("k", "i")
+        want = {(r["hot"], r["rn"]): r["i"] for r in df.withColumn("rn", F.row_number().over(w)).where("rn in (1, 450, 900)").collect()}
+        assert got == {(h, {1: 1, 450: 2, 900: 3}[n]): i for (h, n), i in want.items()}, name
+
+
+def test_equal_rows_stop_the_refinement(spark):
+    df = spark.range(100).select(F.lit(1).alias("g"), F.lit(2.0).alias("k"))
+    targets = spark.createDataFrame([(1, 1, 40)], "g int, cut int, rank long")
+    assert [(r["cut"], r["_c0"]) for r in group_cutoffs(df, "g", "k", targets, small=4).collect()] == [(1, 2.0)]

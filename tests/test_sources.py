@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from armada.sources.files import (
     finished_units, pending_work, read_label_file, read_prompt_files, read_question_files, read_vectors,
-    write_predictions, write_summary, write_vectors,
+    write_predictions, write_summary, write_task_files, write_vectors,
 )
 
 
@@ -101,3 +101,30 @@ def test_summary_rounds_ties_to_even(spark):
     df = spark.createDataFrame([(0.00125, 0.125), (0.00375, 0.375)], "accuracy double, avg_time_sec double")
     got = [tuple(r)[2:] for r in format_summary(df).collect()]
     assert got == [(f"{0.125:.2f}%", f"{0.125:.2f}"), (f"{0.375:.2f}%", f"{0.375:.2f}")]
+
+
+def test_positions_of_split_files(spark, scratch):
+    """Files without line breaks in values are split; places go on over the splits."""
+    rows = [f"question {i} {'x' * (i % 50)},{i % 4}" for i in range(4000)]
+    for task, part in (("a", rows), ("b", rows[:7]), ("empty", [])):
+        _write(f"{scratch}/{task}_prompts.csv", "\n".join(["prompt,answer", *part]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        df = read_prompt_files(spark, f"{scratch}/*_prompts.csv", multi_line=False)
+        got = {(r["task"], r["row_id"]): r["prompt"] for r in df.collect()}
+        whole = read_prompt_files(spark, f"{scratch}/*_prompts.csv")
+        assert got == {(r["task"], r["row_id"]): r["prompt"] for r in whole.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {(t, i): r.split(",")[0] for t, part in (("a", rows), ("b", rows[:7])) for i, r in enumerate(part)}
+
+
+def test_task_files_are_written_as_they_are_read(spark, scratch):
+    rows = [("a_b", i, f' "q" {i},\nline ', i % 4) for i in range(5)] + [("c", 9, "x", 1)]
+    df = spark.createDataFrame(rows, "task string, i int, prompt string, answer int")
+    for _ in range(2):  # a rerun replaces the files
+        write_task_files(df, f"{scratch}/p/test", "{task}_prompts.csv", ["i"])
+    got = sorted((r["task"], r["row_id"], r["prompt"], r["answer"]) for r in read_prompt_files(spark, f"{scratch}/p/test/*_prompts.csv").collect())
+    assert got == [("a_b", i, f' "q" {i},\nline ', i % 4) for i in range(5)] + [("c", 0, "x", 1)]
+    assert sorted(os.path.basename(f) for f in os.listdir(f"{scratch}/p/test") if f.endswith(".csv") and f[0] != ".") == ["a_b_prompts.csv", "c_prompts.csv"]

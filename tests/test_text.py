@@ -87,3 +87,22 @@ def test_literal_fallback_and_strict(spark):
     with pytest.raises(Exception, match="more than four"):
         spark.createDataFrame([("t", "q", list("abcde"))], "t string, q string, c array<string>").select(
             instruct_prompt("t", "q", "c", strict=True)).collect()
+
+
+def test_last_token_of_a_padded_batch(spark):
+    import numpy as np
+    import pytest
+    from armada.operators import inference
+    mask = np.array([[0, 1, 1], [1, 1, 0], [0, 0, 0], [1, 1, 1]])
+    assert inference.last_real(mask).tolist() == [2, 1, -1, 2]
+    with pytest.raises(ValueError, match="contiguous"):
+        inference.last_real(np.array([[1, 0, 1]]))
+    rows = [(0, "a b c"), (1, None), (2, ""), (3, "a " * 500), (4, "z")]
+    df = spark.createDataFrame(rows, "i int, prompt string")
+    for left in (True, False):
+        factory = inference.offline_token_embedder_factory(left, max_tokens=100)
+        got = {r["i"]: r["embedding"] for r in inference.embed_last_token(df, factory, keep=["i"], batch_rows=2).collect()}
+        assert got[1] is None and got[2] is None and [got[i][1] for i in (0, 3, 4)] == [3, 100, 1]
+    wrong = lambda: lambda texts: (np.zeros((1, 1, 1)), np.zeros((2, 1)))
+    with pytest.raises(Exception, match="hidden states"):
+        inference.embed_last_token(df, wrong, keep=["i"]).collect()
