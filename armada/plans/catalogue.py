@@ -54,13 +54,6 @@ def _graded(spark, sf):
     return grading.grade(tables.responses(tables.questions(spark, sf)), prompt_len="prompt_len")
 
 
-def _graded_texts(spark, sf):
-    """Graded responses with their whole prompt, written once."""
-    qs = tables.questions(spark, sf)
-    graded = _graded(spark, sf).withColumn("split", F.lit("test"))
-    return materialize(graded.join(qs.select("row_id", "prompt"), ["row_id"]), "graded_texts")
-
-
 def q01_prompt_build(spark, sf):
     it = tables.benchmark_items(spark, sf)
     return it.select("item_id", mc_prompt("question", "choices").alias("prompt"))
@@ -534,7 +527,11 @@ def q49_file_trees(spark, sf):
 def q50_sinks_rerun(spark, sf):
     """K1-K3: predictions per task and of a whole split, and summaries, written
     twice (the second time two models only) and read once."""
-    graded = _graded_texts(spark, sf)
+    conv = tables.table(spark, sf, "conversations").where(F.col("role") == "user")
+    qs = conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), F.concat(F.lit("task_"), F.col("conv_id") % 20).alias("task"),
+                     F.col("text").alias("prompt"), (F.col("turn") % 4).cast("int").alias("answer"))
+    graded = grading.grade(tables.responses(qs, keep=["prompt"]), prompt_len="prompt_len").withColumn("split", F.lit("test"))
+    graded = materialize(graded, "graded_texts")
     summary = grading.accuracy(graded, ["model", "task"]).withColumn("split", F.lit("test"))
     base, again = fresh_dir(spark, "q50"), F.col("model").isin(*tables.EVAL_MODELS[:2])
     for rows in (graded, graded.where(again)):

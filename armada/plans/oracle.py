@@ -52,10 +52,12 @@ def models_list(ms) -> str:
     return values([[lit(m)] for m in ms], ["model"])
 
 
-GRADED = f"""
+QUESTIONS = """
 questions AS (
   SELECT d.doc_id AS row_id, d.source AS task, d.text AS prompt, CAST(l.quality + 2 * l.toxic AS INTEGER) AS answer
-  FROM documents d JOIN labels l USING (doc_id)),
+  FROM documents d JOIN labels l USING (doc_id))"""
+
+GRADING = f"""
 resp0 AS (
   SELECT q.*, m.model, {md5_byte('m.model', 'q.row_id')} AS k
   FROM questions q CROSS JOIN {models_list(T.EVAL_MODELS)} m),
@@ -78,6 +80,8 @@ graded AS (
     ground_truth IS NOT NULL AS answer_ok
   FROM graded0)"""
 
+GRADED = f"{QUESTIONS},{GRADING}"
+
 
 def ordinal_split(src: str, key: str, strata: str, seed: int, frac: float) -> str:
     """Stratified split CTEs over ``src``; defines ``split_rows``."""
@@ -627,7 +631,9 @@ WITH it AS (
 SELECT 'prompt' AS kind, task, 'test' AS split, row_id, text, CAST(item_id % 4 AS INTEGER) AS n FROM it
 UNION ALL SELECT 'question', task, 'auxiliary_train', row_id, text, CAST(n AS INTEGER) FROM it"""
 
-SQL["q50_sinks_rerun"] = f"""WITH {GRADED}
+SQL["q50_sinks_rerun"] = f"""WITH questions AS (
+  SELECT conv_id * 1000 + turn AS row_id, 'task_' || (conv_id % 20) AS task, text AS prompt, CAST(turn % 4 AS INTEGER) AS answer
+  FROM conversations WHERE role = 'user'),{GRADING}
 SELECT 'tasks' AS sink, model, 'test' AS split, task, count(*) AS n, CAST(sum(correct) AS BIGINT) AS n_correct FROM graded GROUP BY model, task
 UNION ALL SELECT 'whole', model, 'auxiliary_train', NULL, count(*), CAST(sum(correct) AS BIGINT) FROM graded GROUP BY model
 UNION ALL SELECT 'summary', model, 'test', task, 1, CAST(sum(correct) AS BIGINT) FROM graded GROUP BY model, task"""

@@ -42,7 +42,7 @@ def _md5_byte(model_col, key_col):
     return F.conv(F.substring(h, 1, 2), 16, 10).cast("int")
 
 
-def responses(qs: DataFrame, models=EVAL_MODELS) -> DataFrame:
+def responses(qs: DataFrame, models=EVAL_MODELS, keep=()) -> DataFrame:
     """Model responses: echo of the prompt plus a continuation chosen by
     ``k = first md5 byte of 'model:row_id'``: k%16 = 0 -> no response (NULL),
     k%16 = 1 -> no letter, else ``' The answer is <chr(65 + k%4)>.'``.
@@ -52,7 +52,7 @@ def responses(qs: DataFrame, models=EVAL_MODELS) -> DataFrame:
     text = (F.when(k % 16 == 0, F.lit(None).cast("string"))
             .when(k % 16 == 1, F.concat(F.col("prompt"), F.lit(" I cannot tell.")))
             .otherwise(F.concat(F.col("prompt"), F.lit(" The answer is "), F.char(F.lit(65) + k % 4), F.lit("."))))
-    return m.select("model", "task", "row_id", "answer", F.length("prompt").alias("prompt_len"), text.alias("generated_text"),
+    return m.select("model", "task", "row_id", "answer", *keep, F.length("prompt").alias("prompt_len"), text.alias("generated_text"),
                     ((k % 50 + 1).cast("double") / 100.0).alias("latency_sec"))
 
 
