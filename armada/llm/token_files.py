@@ -47,7 +47,7 @@ class ChunkCache:
     def __init__(self, limit: int = CACHE_CHUNKS):
         self.limit, self.young, self.old = limit, {}, {}
 
-    def missing(self, chunks: set) -> list:
+    def missing(self, chunks) -> list:
         young, old = self.young, self.old
         out = []
         for c in chunks:
@@ -89,23 +89,38 @@ def slices(column: pa.Array, limit: int = BATCH_BYTES):
         start = stop
 
 
-def encode_texts(texts: list, tokenizer_json: str, dtype: str, by_chunk: bool = True) -> list[bytes]:
-    """Ids of each text as little-endian bytes. ``texts``: UTF-8 bytes or None."""
+def encode_column(texts: pa.Array, tokenizer_json: str, dtype: str, end_id: int, by_chunk: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a string column, an end id behind each text, and their number
+    for every text. With ``by_chunk`` the column's distinct chunks are looked
+    up once and every text is put together by one gather."""
     tok = tokenizer_of(tokenizer_json)
 
     def ids(parts):
         return [np.asarray(e.ids, dtype).tobytes() for e in tok.encode_batch_fast(parts, add_special_tokens=False)]
 
-    if not by_chunk:
-        return ids([(t or b"").decode() for t in texts])
-    cache = _CACHES.setdefault((hash(tokenizer_json), dtype), ChunkCache())
-    split = [t.split() if t else [] for t in texts]  # bytes.split(): ASCII white space only
-    new = cache.missing(set(itertools.chain.from_iterable(split)))
-    cache.young.update(zip(new, ids([c.decode() for c in new])))
-    get = cache.young.__getitem__
-    out = [b"".join(map(get, chunks)) for chunks in split]
-    cache.turn()
-    return out
+    texts = pc.fill_null(texts, "")
+    if by_chunk:
+        split = pc.ascii_split_whitespace(texts)  # may hold empty chunks, which have no ids
+        parts = split.flatten().dictionary_encode()
+        known, code = parts.dictionary.to_pylist(), parts.indices.to_numpy()
+        chunks = split.value_lengths().to_numpy()
+        cache = _CACHES.setdefault((hash(tokenizer_json), dtype), ChunkCache())
+        new = cache.missing(known)
+        cache.young.update(zip(new, ids(new)))
+        values = list(map(cache.young.__getitem__, known))
+        cache.turn()
+    else:
+        values, code, chunks = ids(texts.to_pylist()), np.arange(len(texts)), np.ones(len(texts), np.int64)
+    width = np.dtype(dtype).itemsize
+    held = np.frombuffer(b"".join(values), dtype)
+    sizes = np.fromiter(map(len, values), np.int64, len(values)) // width
+    starts = np.cumsum(sizes) - sizes
+    size, text_of = sizes[code], np.repeat(np.arange(len(texts)), chunks)
+    before = np.cumsum(size) - size                      # ids of the chunks before
+    step = np.arange(int(size.sum()))
+    out = np.full(len(step) + len(texts), end_id, dtype)
+    out[step + np.repeat(text_of, size)] = held[step + np.repeat(starts[code] - before, size)]
+    return out, np.bincount(text_of, size, len(texts)).astype(np.int64) + 1
 
 
 def id_type(tokenizer_json: str, end_id: int) -> str:
@@ -128,8 +143,6 @@ def write_token_files(docs: DataFrame, tokenizer_json: str, end_id: int, id_col:
     # The hash keeps rows that share one id from meeting in a single task.
     ordered = (narrow.withColumn("h", F.xxhash64("t")).repartitionByRange(n, "id", "h")
                .sortWithinPartitions("id", "h").select("id", "t"))
-    end = np.asarray([end_id], dtype).tobytes()
-    width = np.dtype(dtype).itemsize
 
     def write(batches):
         from pyspark import TaskContext
@@ -137,15 +150,14 @@ def write_token_files(docs: DataFrame, tokenizer_json: str, end_id: int, id_col:
         stem = f"part-{ctx.partitionId():06d}-{ctx.taskAttemptId()}"
         files, total, n_docs = None, 0, 0
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
+            ids, texts = batch.column(0), batch.column(1)
             for a, b in slices(texts):
                 if files is None:
                     files = [storage.open_output(f"{folder}/{stem}.{k}") for k in ("ids", "off", "doc")]
                     files[1].write(np.zeros(1, "<u8").tobytes())
-                enc = encode_texts(texts.slice(a, b - a).to_pylist(), vocab.value, dtype, by_chunk)
-                lengths = np.fromiter((len(e) // width + 1 for e in enc), np.uint64, len(enc))
-                files[0].write(end.join(enc) + end)
-                files[1].write((np.cumsum(lengths) + np.uint64(total)).astype("<u8").tobytes())
+                enc, lengths = encode_column(texts.slice(a, b - a), vocab.value, dtype, end_id, by_chunk)
+                files[0].write(enc.tobytes())
+                files[1].write((np.cumsum(lengths) + total).astype("<u8").tobytes())
                 files[2].write(np.asarray(pc.fill_null(ids.slice(a, b - a), NULL_ID)).astype("<i8").tobytes())
                 total += int(lengths.sum())
                 n_docs += b - a
