@@ -11,8 +11,10 @@ band around them, with substitutions and gaps, gives the matched share of
 the template and the span of the text. Of overlapping finds the one with
 the best score stays.
 
-Texts are scanned in pieces that overlap (a find may not be longer than
-``MARGIN`` characters), so memory does not grow with a text. No shuffle: a document is one row.
+Texts are tokenised in pieces. A piece begins ``reach`` tokens before the end
+of the one before: more than the longest template and its band cover, so a
+find lies whole in one piece however many characters stand between its
+tokens. No shuffle: a document is one row.
 
 Defined results: NULL and empty texts have no finds; repeated rows are
 scanned one by one; an empty table or template list gives no rows; a
@@ -38,8 +40,7 @@ SHORT = 15                # templates of fewer tokens are not winnowed
 BAND = 8                  # diagonals on either side of the hits, but at most a fifth of the template
 MATCH, MISS, GAP = 2, -1, -1
 COVERAGE = 0.8            # share of the template's tokens that must be matched
-PIECE = 1 << 20           # characters scanned at a time,
-MARGIN = 1 << 14          # and on into the next piece: more than a match covers
+PIECE = 1 << 20           # characters tokenised at a time (more where these hold too few tokens)
 TOKEN = re.compile(r"[^\W_]+")
 
 #: License notices, by SPDX identifier.
@@ -92,6 +93,8 @@ class Index:
         self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for t in words for w in t}))}
         self.sequences = [np.array([self.vocabulary[w] for w in t], np.int64) for t in words]
         self.bands = [min(BAND, max(1, len(s) // 5)) for s in self.sequences]
+        #: Tokens of text that an alignment can cover: a band holds hits of up to BAND diagonals and BAND more on either side.
+        self.reach = max(len(t) for t in words) + 4 * BAND
         self.base = len(self.vocabulary) + 1
         self.postings: dict[int, dict[int, list]] = {GRAM: {}, GRAM - 1: {}}  # by size of the gram
         for k, seq in enumerate(self.sequences):
@@ -174,11 +177,18 @@ def candidates(index: Index, ids: np.ndarray):
 def find(index: Index, text: str) -> list[tuple]:
     """(start, end, template, matched, coverage, score) of a text, by start."""
     found, get = set(), index.vocabulary.get
-    for begin in range(0, len(text), PIECE):
-        piece = text[begin:begin + PIECE + MARGIN]
-        words = TOKEN.findall(piece)
+    begin, size, whole = 0, PIECE, False
+    while not whole:
+        piece, whole = text[begin:begin + size], begin + size >= len(text)
+        words, spans = TOKEN.findall(piece), None
+        if not whole:
+            spans = [m.span() for m in TOKEN.finditer(piece)]
+            if spans and spans[-1][1] == len(piece):  # the last token may go on
+                words.pop(), spans.pop()
+            if len(words) <= index.reach:
+                size *= 2
+                continue
         ids = np.fromiter((get(w.lower(), 0) for w in words), np.int64, len(words))
-        spans = None
         for k, low, high in candidates(index, ids):
             seq = index.sequences[k]
             score, matched, a, b = align(seq, ids, low, high)
@@ -186,6 +196,8 @@ def find(index: Index, text: str) -> list[tuple]:
                 continue
             spans = spans or [m.span() for m in TOKEN.finditer(piece)]
             found.add((begin + spans[a][0], begin + spans[b][1], k, matched, matched / len(seq), score))
+        if not whole:
+            begin, size = begin + spans[len(spans) - index.reach][0], PIECE
     # Best score first; a find that meets a better one goes. Starts and ends of
     # what stays are kept sorted, so a text with many finds is no problem.
     starts, stops, out = [], [], []

@@ -79,5 +79,26 @@ def test_odd_rows(spark, monkeypatch):
     text = " ".join(words(200, random.Random(4)) + [notice] + words(200, random.Random(5)) + [notice])
     whole = L.find(INDEX, text)
     monkeypatch.setattr(L, "PIECE", 300)
-    monkeypatch.setattr(L, "MARGIN", 200)
     assert len(whole) == 2 and L.find(INDEX, text) == whole
+
+
+def test_a_find_across_pieces_is_found_however_long(monkeypatch):
+    """Anything may stand between the tokens of a notice, and a notice anywhere to the ends of pieces."""
+    monkeypatch.setattr(L, "PIECE", 2_000)
+    notice = L.TEMPLATES[4][1]  # the permission notice
+    plain = " ".join(f"w{i}" for i in range(3_000))
+    for gap, before in ((" ", 1_950), (" " * 600, 1_990), (" -- ", 1_000), ("." * 5_000, 0), (" ", 15_000)):
+        text = plain[:before] + " " + gap.join(notice.split(" ")) + " " + plain
+        (start, end, k, matched, coverage, _), = L.find(INDEX, text)
+        assert L.TEMPLATES[k] == ("MIT", notice) and coverage == 1.0
+        assert text[start:end].startswith("Permission") and end - start >= len(notice)
+    assert L.find(INDEX, "-" * 50_000) == [] and L.find(INDEX, "x" * 50_000) == []
+    many = " | ".join([notice] * 40)
+    assert len(L.find(INDEX, many)) == 40
+
+
+def test_the_notice_of_a_megabyte_boundary():
+    notice = (" " * 500).join(L.TEMPLATES[4][1].split(" "))
+    assert len(notice) > 16_000
+    text = "y" * 9 + "-" * ((1 << 20) - 400) + " " + notice + " end" * 100
+    assert [(f[0], f[1] - f[0], f[4]) for f in L.find(INDEX, text)] == [(text.index("Permission"), len(notice), 1.0)]
