@@ -98,7 +98,7 @@ def test_a_find_across_pieces_is_found_however_long(monkeypatch):
 
 
 def test_the_notice_of_a_megabyte_boundary():
-    notice = (" " * 500).join(L.TEMPLATES[4][1].split(" "))
+    notice = (" " * 800).join(L.TEMPLATES[4][1].split(" "))
     assert len(notice) > 16_000
     text = "y" * 9 + "-" * ((1 << 20) - 400) + " " + notice + " end" * 100
     assert [(f[0], f[1] - f[0], f[4]) for f in L.find(INDEX, text)] == [(text.index("Permission"), len(notice), 1.0)]
