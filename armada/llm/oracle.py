@@ -77,35 +77,62 @@ FROM verdict
 
 DECONTAMINATION = r"""
 WITH docs AS (
-    SELECT DISTINCT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w
+    SELECT DISTINCT doc_id, list_filter(string_split_regex(regexp_replace(lower(coalesce(text, '')),
+        '([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]\p{M}*)', ' \1 ', 'g'), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w
     FROM documents
 ), items AS (
-    SELECT DISTINCT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS v
+    SELECT DISTINCT item_id, list_filter(string_split_regex(regexp_replace(lower(coalesce(text, '')),
+        '([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]\p{M}*)', ' \1 ', 'g'), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS v
     FROM benchmark
-), masks(m, span, kept) AS (
-    VALUES (0, 9, [1, 2, 3, 5, 7, 8]), (1, 9, [1, 2, 4, 6, 8, 9])
-    UNION ALL SELECT DISTINCT 9 + len(v), len(v), range(1, len(v) + 1) FROM items WHERE len(v) BETWEEN 5 AND 8
+), masks(m, least, most, span, kept) AS (
+    VALUES (0, 11, 1000000000, 6, [1, 3, 4, 5, 6]), (1, 11, 1000000000, 9, [1, 2, 3, 6, 9]),
+           (2, 9, 10, 5, [1, 2, 4, 5]), (3, 9, 10, 7, [1, 2, 4, 7]),
+           (4, 5, 8, 4, [1, 2, 3, 4]), (5, 5, 8, 5, [1, 2, 3, 5]), (6, 5, 8, 5, [1, 2, 4, 5]), (7, 5, 8, 5, [1, 3, 4, 5])
 ), test AS (
     SELECT item_id, v, m, q, list_transform(kept, lambda k: v[q + k]) AS seed
-    FROM (SELECT item_id, v, m, kept, unnest(range(0, len(v) - span + 1)) AS q FROM items, masks
-          WHERE CASE WHEN len(v) >= 9 THEN m < 2 WHEN len(v) >= 5 THEN m = 9 + len(v) ELSE false END)
+    FROM (SELECT item_id, v, m, kept, unnest(range(0, len(v) - span + 1)) AS q FROM items JOIN masks ON len(v) BETWEEN least AND most)
 ), training AS (
     SELECT doc_id, w, m, p, list_transform(kept, lambda k: w[p + k]) AS seed
-    FROM (SELECT doc_id, w, m, kept, unnest(range(0, len(w) - span + 1)) AS p FROM docs, masks WHERE len(w) >= span)
+    FROM (SELECT doc_id, w, m, kept, unnest(range(0, len(w) - span + 1)) AS p FROM docs, masks
+          WHERE len(w) >= span AND m IN (SELECT m FROM test))
 ), hits AS (
     SELECT DISTINCT doc_id, item_id, w, v, p - q AS d FROM training JOIN test USING (m, seed)
 ), compared AS (
-    SELECT doc_id, item_id, d, len(v) AS n_item,
-           len(list_filter(range(1, len(v) + 1), lambda i: i + d BETWEEN 1 AND len(w))) AS n_compared,
-           len(list_filter(range(1, len(v) + 1), lambda i: i + d BETWEEN 1 AND len(w) AND w[i + d] = v[i])) AS n_same
-    FROM hits
+    SELECT *, len(v) AS n_item, len(equal) AS n, list_sum(equal)::BIGINT AS n_eq FROM (
+        SELECT *, list_transform(list_filter(range(1, len(v) + 1), lambda i: i + d BETWEEN 1 AND len(w)),
+                                 lambda i: (w[i + d] = v[i])::INT) AS equal FROM hits)
+), whole AS (
+    SELECT doc_id, item_id, d, true AS whole, n_eq AS n_same, n AS n_compared FROM compared
+    WHERE n >= least(12, n_item) AND n_eq >= 0.8 * n
+), others AS (
+    SELECT row_number() OVER () AS r, * FROM compared WHERE NOT (n >= least(12, n_item) AND n_eq >= 0.8 * n)
+), stretches AS (
+    SELECT r, a, z, list_sum(equal[a + 1:z])::BIGINT AS same FROM (
+        SELECT r, equal, a, unnest(range(a + 12, n + 1)) AS z FROM (
+            SELECT r, equal, n, unnest(range(0, n - 11)) AS a FROM others WHERE n >= 12 AND n_eq >= 9.6))
+), stretch AS (
+    SELECT r, same, z - a AS n FROM stretches WHERE 5 * same >= 4 * (z - a)
+    QUALIFY row_number() OVER (PARTITION BY r ORDER BY 200 * same - 800 * (z - a - same) DESC, z - a DESC) = 1
+), lanes AS (
+    SELECT r, n_item, list_transform(range(1, n_item + 1), lambda i: coalesce((i + d - 1 BETWEEN 1 AND len(w) AND w[i + d - 1] = v[i])::INT, 0)) AS a,
+           list_transform(range(1, n_item + 1), lambda i: coalesce((i + d BETWEEN 1 AND len(w) AND w[i + d] = v[i])::INT, 0)) AS b,
+           list_transform(range(1, n_item + 1), lambda i: coalesce((i + d + 1 BETWEEN 1 AND len(w) AND w[i + d + 1] = v[i])::INT, 0)) AS c
+    FROM others WHERE n_item < 25 AND r NOT IN (SELECT r FROM stretch)
+), turns AS (
+    SELECT r, n_item, unnest([greatest(
+        coalesce(list_sum(a[1:k]), 0) + coalesce(list_sum(b[k + 1:n_item]), 0) - 1, coalesce(list_sum(b[1:k]), 0) + coalesce(list_sum(c[k + 1:n_item]), 0) - 1,
+        coalesce(list_sum(b[1:k]), 0) + coalesce(list_sum(a[k + 1:n_item]), 0), coalesce(list_sum(c[1:k]), 0) + coalesce(list_sum(b[k + 1:n_item]), 0))]) AS same
+    FROM (SELECT *, unnest(range(0, n_item + 1)) AS k FROM lanes)
+), gap AS (
+    SELECT r, max(same)::BIGINT AS same, any_value(n_item) AS n FROM turns GROUP BY r HAVING max(same) >= 0.8 * any_value(n_item)
 ), good AS (
-    SELECT * FROM compared WHERE n_compared >= least(12, n_item) AND n_same >= 0.8 * n_compared
+    SELECT * FROM whole
+    UNION ALL SELECT doc_id, item_id, d, false, s.same, s.n FROM others JOIN (SELECT * FROM stretch UNION ALL SELECT * FROM gap) s USING (r)
 )
 SELECT doc_id, item_id, d::BIGINT AS position, n_same::BIGINT AS n_same, n_compared::BIGINT AS n_compared,
        n_same / n_compared AS same
 FROM good
-QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_same DESC, n_compared DESC, d) = 1
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY whole DESC, n_same DESC, n_compared DESC, d) = 1
 """
 
 SUFFIXES = """

@@ -15,14 +15,18 @@ blocks of about ``BLOCK_HASHES`` seeds and ``BLOCK_BYTES`` at most, each broadca
 pass over the documents without shuffling any text. Hits are reduced to one
 row per document, item and alignment before anything is exchanged.
 
-The two spaced masks leave gaps in items with many substitutions, so every
-item also has unbroken masks of two to four tokens, as long as the run that
-must be left of it.
+The masks depend on the item's length and lose nothing: however the tokens
+that ``MIN_SAME`` lets be others lie in an item or in a stretch of
+``MIN_OVERLAP`` tokens or more, one mask finds only equal tokens somewhere. This
+is checked for every pattern of up to 21 tokens (see the tests); anything longer
+splits into parts of 11 to 21, one of which has no more than its share.
 
 Defined results: NULL and empty texts have no tokens and no overlaps; items
 of fewer than ``MIN_TOKENS`` tokens say nothing, and in scripts without
 spaces every letter is a token; repeated rows of a document or an item give the
-rows once; empty tables give no rows.
+rows once, of equally good alignments the first; very long texts are compared
+as a whole, token by token, and fit into a task as any row does; empty tables
+give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,10 +38,10 @@ from pyspark.sql import functions as F
 
 from armada.llm import storage
 
-#: The masks (1 keeps a token, 0 ignores it).
-MASKS = ("111010110", "110101011")
-SPAN = len(MASKS[0])
+#: The fewest tokens of an item and its masks (1 keeps a token, 0 ignores it).
+MASKS = ((11, ("101111", "111001001")), (9, ("11011", "1101001")), (5, ("1111", "11101", "11011", "10111")))
 UNSPACED = "[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}]"
+HIGH = "[\\x{0E00}-\\x{1FFF}\\x{2E80}-\\x{10FFFF}]"  # where these scripts lie
 MIN_TOKENS = 5             # shorter items say nothing
 MIN_SAME = 0.8             # share of equal tokens
 MIN_OVERLAP = 12           # tokens of an item that must lie inside the document, or the whole item
@@ -47,49 +51,36 @@ BLOCK_BYTES = 64 << 20     # and their size
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits; a letter of a script without spaces is a run of its own."""
+    """Lower-case runs of letters and digits; a letter of a script without spaces is a run of its own.
+    ASCII texts, and texts without a character from where such scripts lie, take cheaper patterns of the same meaning."""
     t = F.lower(F.coalesce(text.cast("string"), F.lit("")))
-    t = F.when(t.rlike(UNSPACED), F.regexp_replace(t, f"({UNSPACED}\\p{{M}}*)", " $1 ")).otherwise(t)
-    return F.filter(F.split(t, "[^\\p{L}\\p{M}\\p{N}]+", -1), lambda x: x != "")
+    apart = F.regexp_replace(t, f"({UNSPACED}\\p{{M}}*)", " $1 ")
+    wide = F.split(F.when(t.rlike(HIGH), apart).otherwise(t), "[^a-z0-9\\p{L}\\p{M}\\p{N}]+", -1)
+    runs = F.when(F.octet_length(t) == F.length(t), F.split(t, "[^a-z0-9]+", -1)).otherwise(wide)
+    return F.filter(runs, lambda x: x != "")
 
 
 def _let(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def _seeds(hashes: Column, mask: str, number: int) -> Column:
-    """The mask's hash at every position of an array of token hashes."""
-    kept = [i for i, c in enumerate(mask) if c == "1"]
-    last = len(mask) - 1
+def masks_of(n: int) -> tuple[str, ...]:
+    """The masks for an item of ``n`` tokens."""
+    return next((masks for least, masks in MASKS if n >= least), ())
 
-    def at(x, i):
-        return F.xxhash64(F.lit(number), x, *[hashes[i + k] for k in kept[1:]])
 
-    return F.transform(F.slice(hashes, 1, F.greatest(F.size(hashes) - last, F.lit(0))), at)
+def _seed(hashes: Column, place: Column, mask: str, last: Column) -> Column:
+    """The mask's hash at a place of an array of token hashes, NULL beyond ``last`` places."""
+    kept = [F.get(hashes, place + i) for i, c in enumerate(mask) if c == "1"]
+    return F.when(place + (len(mask) - 1) < last, F.xxhash64(F.lit(mask), *kept))
 
 
-def _all_seeds(hashes: Column, masks: list[tuple[int, str]]) -> Column:
-    """The seeds of every mask at every position, mask after mask."""
-    return F.concat(*[_seeds(hashes, mask, number) for number, mask in masks])
-
-
-def _place(i: Column, n: Column, masks: list[tuple[int, str]]) -> Column:
-    """The position that belongs to index ``i`` of ``_all_seeds`` over ``n`` tokens."""
-    before, out = F.lit(0), None
-    for _, mask in masks:
-        count = F.greatest(n - (len(mask) - 1), F.lit(0))
-        here = (i >= before) & (i < before + count)
-        out = F.when(here, i - before) if out is None else out.when(here, i - before)
-        before = before + count
-    return out
-
-
-def _run(n: int) -> int:
-    """Equal neighbours that an item of ``n`` tokens keeps somewhere, whichever tokens ``MIN_SAME``
-    lets be others. It is 4 from 16 tokens on, and so long are the runs of every stretch of
-    ``MIN_OVERLAP`` tokens or more, but for one of 15 that is found by the second of ``MASKS``."""
-    changed = n // 5
-    return min(4, -(-(n - changed) // (changed + 1)))
+def _with_seeds(df: DataFrame, name: str, masks: list[str]) -> DataFrame:
+    """A row for every mask at every place of the token hashes ``h``: the place as ``name``, the seed.
+    Places are taken from the array by index, so that all of it is generated code."""
+    df = df.select("*", F.posexplode("h").alias(name, "_first"))
+    seeds = F.array(*[_seed(F.col("h"), F.col(name), m, F.size("h")) for m in masks])
+    return df.select("*", F.explode(seeds).alias("seed")).where(F.col("seed").isNotNull()).drop("_first", "h")
 
 
 def _hashed(df: DataFrame, words: str) -> DataFrame:
@@ -103,19 +94,13 @@ def find_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     n_compared and same (their ratio) of the alignment with most equal tokens."""
     test = items.select(F.col(item_col).alias("_item"), tokens(F.col(item_text_col)).alias("item"))
     test = _hashed(test.where(F.size("item") >= MIN_TOKENS).distinct(), "item")
-    # Short items have few lengths, however many items.
-    n_items, fixed = F.size("item"), list(enumerate(MASKS))
-    lengths = [r[0] for r in test.where(n_items < SHORT).select(n_items).distinct().collect()]
-    runs = sorted({_run(n) for n in (*lengths, SHORT)})
-    masks, parts = [*fixed, *((SPAN + n, "1" * n) for n in runs)], []
-    sides = [(fixed, test.where(n_items >= SPAN))]
-    for n in runs:
-        mine = [x for x in lengths if _run(x) == n]
-        rows = n_items.isin(mine) | (n_items >= SHORT) if n == _run(SHORT) else n_items.isin(mine)
-        sides.append(([(SPAN + n, "1" * n)], test.where(rows)))
-    for use, rows in sides:
-        parts.append(rows.select("_item", "item", F.posexplode(_all_seeds(F.col("h"), use)).alias("i", "seed"))
-                     .select("seed", "_item", "item", _place(F.col("i"), n_items, use).alias("q")))
+    n_items = F.size("item")
+    parts, masks = [], []
+    for (least, mine), below in zip(MASKS, (None, *(n for n, _ in MASKS))):
+        rows = test.where(n_items >= least) if below is None else test.where(n_items.between(least, below - 1))
+        if below is None or not rows.isEmpty():     # the corpus takes the masks that some item needs
+            parts.append(_with_seeds(rows, "q", list(mine)))
+            masks += [m for m in mine if m not in masks]
     seeds = reduce(DataFrame.unionByName, parts)
     # A broadcast row holds its item's tokens (offsets and padding of 16 bytes each).
     n, size = seeds.agg(F.count(F.lit(1)), F.coalesce(F.sum(
@@ -123,13 +108,12 @@ def find_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     blocks = max(1, -(-n // BLOCK_HASHES), -(-size // BLOCK_BYTES))
 
     corpus = _let(docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("t")), "words", tokens(F.col("t")))
-    corpus = _hashed(corpus.drop("t"), "words").select(
-        "_doc", "words", F.posexplode(_all_seeds(F.col("h"), masks)).alias("i", "seed"))
+    corpus = _with_seeds(_hashed(corpus.drop("t"), "words"), "i", masks)
     found = []
     for b in range(blocks):
         block = seeds.where(F.pmod(F.col("seed"), F.lit(blocks)) == b) if blocks > 1 else seeds
         met = corpus.join(F.broadcast(block), "seed")
-        met = _let(met, "position", _place(F.col("i"), F.size("words"), masks) - F.col("q"))
+        met = _let(met, "position", F.col("i") - F.col("q"))
         met = _let(met, "equal", _equal(F.col("position")))
         found.append(_let(met, "c", _agreement(min_same)).select("_doc", "_item", "position", "c"))
     hits = reduce(DataFrame.unionByName, found)

@@ -1,4 +1,5 @@
 """Operators 1, 2 and 4 against brute force."""
+import itertools
 import random
 import re
 
@@ -235,3 +236,42 @@ def test_no_allowed_substitution_is_lost(spark):
     han = spark.createDataFrame([(0, "前文。" + text + "。後文"), (1, "別の文章です。関係はありません")], "doc_id long, text string")
     one = spark.createDataFrame([(0, text)], "item_id long, text string")
     assert [(x.doc_id, x.item_id) for x in spaced_seeds.find_overlaps(han, one).collect()] == [(0, 0)]
+
+
+def test_masks_lose_no_pattern():
+    for n in range(5, 22):
+        places = [{s + i for i, c in enumerate(m) if c == "1"} for m in spaced_seeds.masks_of(n) for s in range(n - len(m) + 1)]
+        for changed in itertools.combinations(range(n), n // 5):
+            assert any(p.isdisjoint(changed) for p in places), (n, changed)
+
+
+def test_overlaps_equal_their_sql(spark, tmp_path):
+    """Parts, gaps and substitutions in items of 5 to 40 tokens, a script without spaces, a very long text."""
+    import duckdb
+
+    from armada.llm.oracle import DECONTAMINATION
+    r = random.Random(13)
+    items = [words(n, r, 400) for n in (5, 6, 8, 9, 10, 11, 12, 15, 18, 22, 24, 25, 30, 40) for _ in range(3)]
+    rows = [(None, "naïve café"), (-1, None), (-2, "")]
+    for d in range(500):
+        part = list(r.choice(items))
+        if r.random() < .4:
+            a = r.randrange(len(part))
+            part = part[a:a + r.randint(8, 40)] or part
+        for _ in range(r.randrange(6)):
+            j, k = r.randrange(len(part)), r.random()
+            part[j:j + 1] = [] if k < .2 else [part[j], "more"] if k < .4 else [f"sub{j}"]
+            part = part or ["x"]
+        rows.append((d, " ".join([*words(r.randrange(15), r, 400), *part, *words(r.randrange(15), r, 400)])))
+    rows += [(1000, "天地玄黃宇宙洪荒日月盈昃 end"), (1001, "naïve " * 60_000 + " ".join(items[20])), rows[7], rows[8]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    test = spark.createDataFrame([*((i, " ".join(t)) for i, t in enumerate(items)), (99, "天地玄黃宇宙洪荒"), (100, None)],
+                                 "item_id long, text string")
+    want = duckdb.connect()
+    want.register("documents", docs.toArrow())
+    want.register("benchmark", test.toArrow())
+    key = lambda x: tuple((v is None, v) for v in x)
+    columns = "doc_id, item_id, position, n_same, n_compared, same"
+    expected = sorted(want.execute(f"SELECT {columns} FROM ({DECONTAMINATION})").fetchall(), key=key)
+    got = sorted(map(tuple, spaced_seeds.find_overlaps(docs, test).select(*columns.split(", ")).collect()), key=key)
+    assert len(got) > 200 and got == expected
