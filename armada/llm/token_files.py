@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import os
 import zlib
 
 import numpy as np
@@ -66,9 +67,11 @@ class ChunkCache:
 
 
 def tokenizer_of(tokenizer_json: str):
-    """The library's tokenizer, built once per worker."""
+    """The library's tokenizer, built once per worker. A task has one core, so the library's own
+    threads stay off unless the worker's environment says otherwise."""
     key = hash(tokenizer_json)
     if key not in _TOKENIZERS:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         tok = Tokenizer.from_str(tokenizer_json)
         tok.no_truncation()
