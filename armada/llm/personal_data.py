@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -41,7 +42,7 @@ SAMPLE_DOCS = 20_000                # documents (expected) to train on
 SAMPLE_WORDS = 200                  # training words of one document
 FEATURES = 1 << 12
 STEPS = 300
-ROUNDS = 20
+ROUNDS = 20                         # of messages at most; they stop earlier when nothing moves
 DAMPING = 0.5
 LIKELY = 0.9
 CLIP = 4.0
@@ -94,7 +95,17 @@ NUMBER = re.compile(r"[0-9]")
 
 
 def _shape(word: str) -> str:
-    return re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", "9", word))[:24]
+    return re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", "9", word))
+
+
+def _outer(runs: set) -> set:
+    """The runs (first, one past the last) that lie inside no other one, in one sweep."""
+    out, reach = set(), -1
+    for a, b in sorted(runs, key=lambda r: (r[0], -r[1])):
+        if b > reach:
+            out.add((a, b))
+            reach = b
+    return out
 
 
 def _size(n: int) -> int:
@@ -116,8 +127,10 @@ class Field:
         for i, (a, b) in enumerate(self.span):
             while j < len(by_start) and by_start[j][1] <= a:
                 j += 1
-            for x, y, k in by_start[j:j + 4]:
-                if x < b and y > a:
+            for x, y, k in itertools.islice(by_start, j, None):
+                if x >= b:
+                    break
+                if y > a:
                     self.known[i] = k + 1
                     break
         linked = np.array([at[i + 1] == at[i] + 1 for i in range(n - 1)], bool) if n else np.zeros(0, bool)
@@ -179,12 +192,11 @@ class Field:
                             out.setdefault(window[-TAIL:], set()).add((i, j + 1))
             at = end
         # A window inside another one is the same mention.
-        return {t: {(a, b) for a, b in m if not any((x, y) != (a, b) and x <= a and b <= y for x, y in m)} if len(m) < 200 else m
-                for t, m in out.items()}
+        return {t: _outer(m) for t, m in out.items()}
 
     def _run(self, a: int, b: int) -> None:
         shapes = [_shape(w) for w in self.word[a:b]]
-        digits = re.sub(r"[^0-9]", "", "".join(self.word[a:min(b, a + 8)]))
+        digits = re.sub(r"[^0-9]", "", "".join(self.word[a:b]))
         check = luhn(digits) if 12 <= len(digits) <= 19 else -1
         for i in range(a, b):
             w, s = self.word[i], shapes[i - a]
@@ -294,7 +306,8 @@ def fit(features: np.ndarray, labels: np.ndarray, pairs: np.ndarray, twins: np.n
 
 def train(docs: DataFrame, text_col: str = "text") -> Model:
     """Fit on a sample of about ``SAMPLE_DOCS`` documents; one row per sampled
-    document with nodes reaches the driver, its words bounded."""
+    document with nodes reaches the driver, its words bounded. The texts' hashes decide which
+    ones, and equal texts count once, so the model depends on the rows and not on their files."""
     total = docs.count()
 
     def learn(batches):
@@ -314,7 +327,9 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
                         "labels": [f.known[:SAMPLE_WORDS].astype(np.int8).tobytes()],
                         "pairs": [pairs.ravel().tolist()], "twins": [twins.ravel().tolist()]})
 
-    some = docs.select(F.col(text_col).cast("string").alias("t")).sample(False, min(1.0, SAMPLE_DOCS / max(1, total)), 7)
+    hashed = docs.select(F.col(text_col).cast("string").alias("t")).withColumn("h", F.xxhash64("t"))
+    some = hashed.where((F.pmod("h", F.lit(max(1, total))) < SAMPLE_DOCS) & F.col("t").rlike("[0-9@]"))
+    some = some.dropDuplicates(["h"]).select("t")
     got = some.mapInArrow(learn, "features binary, labels binary, pairs array<double>, twins array<double>").toArrow().to_pylist()
     got.sort(key=lambda r: (r["features"], r["labels"]))
     features = np.frombuffer(b"".join(r["features"] for r in got), np.int32).reshape(-1, 8)

@@ -103,3 +103,26 @@ def test_messages_equal_enumeration_on_a_tree():
 
 def test_overlapping_spans_are_masked_once():
     assert pii.mask("ab cd ef", [(0, 0, 4), (3, 1, 5), (6, 2, 8)]) == "<EMAIL> <CARD>"
+
+
+def test_model_is_the_same_on_any_files(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SAMPLE_DOCS", 300)
+    df = spark.createDataFrame(corpus(1200), "doc_id long, text string")
+    models = [pii.train(df.repartition(n)) for n in (1, 7, 50)]
+    twice = pii.train(df.where("doc_id < 600").unionByName(df.where("doc_id >= 600")).coalesce(3))
+    for m in (*models[1:], twice):
+        for a, b in ((m.weights, models[0].weights), (m.chain, models[0].chain), (m.skip, models[0].skip)):
+            assert np.array_equal(a, b)
+
+
+def test_runs_inside_others():
+    r = random.Random(4)
+    for _ in range(300):
+        runs = {(a, a + r.randint(1, 6)) for a in (r.randrange(12) for _ in range(r.randrange(12)))}
+        assert pii._outer(runs) == {(a, b) for a, b in runs if not any((x, y) != (a, b) and x <= a and b <= y for x, y in runs)}
+
+
+def test_many_mentions_of_one_number_are_told_by_one_rule():
+    one = "call +1 (851) 555-9673 or 1 (851) 555-9673 "
+    sizes = {len(pii.Field(one * n, pii.base_spans(one * n)).member) / n for n in (2, 150, 400)}
+    assert len(sizes) == 1
