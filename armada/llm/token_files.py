@@ -23,7 +23,9 @@ from __future__ import annotations
 import itertools
 import json
 import os
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -51,9 +53,7 @@ class ChunkCache:
     def missing(self, chunks: set) -> list:
         young, old = self.young, self.old
         out = []
-        for c in chunks:
-            if c in young:
-                continue
+        for c in chunks.difference(young):
             v = old.get(c)
             if v is None:
                 out.append(c)
@@ -96,8 +96,13 @@ def encode_texts(texts: list, tokenizer_json: str, dtype: str, by_chunk: bool =
     """Ids of each text as little-endian bytes. ``texts``: UTF-8 bytes or None."""
     tok = tokenizer_of(tokenizer_json)
 
+    code = {"<u2": "H", "<u4": "I"}[dtype]
+
     def ids(parts):
-        return [np.asarray(e.ids, dtype).tobytes() for e in tok.encode_batch_fast(parts, add_special_tokens=False)]
+        found = (array(code, e.ids) for e in tok.encode_batch_fast(parts, add_special_tokens=False))
+        if sys.byteorder == "big":
+            return [np.asarray(x).astype(dtype).tobytes() for x in found]
+        return [x.tobytes() for x in found]
 
     if not by_chunk:
         return ids([(t or b"").decode() for t in texts])
