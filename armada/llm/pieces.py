@@ -20,6 +20,7 @@ text (a literal U+2581 comes back as a space, as in the library).
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import re
 
@@ -51,6 +52,8 @@ class PieceModel:
                     self.trie.add(p, i)
         self.score = [s for _, s in pieces]
         self.reach = max((len(p) for p in self.text if p), default=1)
+        whole = (pieces, sorted(byte_ids.items()), unk, kind, dummy_prefix)
+        self.key = hashlib.sha256(repr(whole).encode("utf-8", "surrogatepass")).hexdigest()  # tells models apart
 
     @classmethod
     def load(cls, path: str) -> "PieceModel":
@@ -235,8 +238,10 @@ def encode_text(model: PieceModel, text: str) -> list[int]:
 
 def encode_texts(model: PieceModel, texts: list) -> list[bytes]:
     """Ids of each text as little-endian 32-bit bytes."""
-    key = (id(model), model.kind, len(model.text))
-    cache, cut = _CACHES.setdefault(key, (ChunkCache(), model.cutter()))
+    if model.key not in _CACHES:
+        _CACHES.clear()  # a worker keeps the chunks of one model
+        _CACHES[model.key] = ChunkCache(), model.cutter()
+    cache, cut = _CACHES[model.key]
     prefix = " " if model.dummy_prefix else ""
     enc = StreamEncoder(model)
 

@@ -75,3 +75,12 @@ def test_a_phrase_does_not_fail_a_long_line(spark):
     rows = [(0, one_line), (1, clean + "\nClick here"), (2, clean), (3, " ".join(f"w{i}" for i in range(80)) + " lorem ipsum and more")]
     got = {x.doc_id: x.text for x in line_quality.keep_clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {0: one_line.replace("We wrote it in JavaScript. ", ""), 1: clean, 2: clean, 3: rows[3][1]}
+
+
+def test_a_second_model_does_not_see_the_first_ones_ids():
+    chars = [(c, -10.0) for c in "\u2581abc"]
+    one = pieces.PieceModel([*chars, ("ab", -1.0)], {}, 0, "unigram")
+    two = pieces.PieceModel([*chars, ("bc", -1.0)], {}, 0, "unigram")
+    first, second = (np.frombuffer(pieces.encode_texts(m, ["abc abc"])[0], "<i4").tolist() for m in (one, two))
+    assert first == pieces.encode_text(one, "abc abc") != second == pieces.encode_text(two, "abc abc")
+    assert pieces.PieceModel([*chars, ("ab", -1.0)], {}, 0, "unigram").key == one.key and list(pieces._CACHES) == [two.key]
