@@ -19,7 +19,10 @@ from rounds of minimum labels over written tables.
 
 Defined results: a text without words (NULL, empty) has fingerprint zero
 and is linked like any other; NULL ids are skipped when the smallest id of
-a component is sought and keep their rows; an empty table gives no rows.
+a component is sought and keep their rows; repeated rows share a fingerprint
+and keep a row each; very long texts are hashed whole, with counts of bounded
+memory; an empty table gives no rows; other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -31,8 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from armada.llm import storage
+from armada.llm import hot, storage
 from armada.llm.token_files import slices
+from armada.session import remove_dir
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -156,19 +160,31 @@ def components(edges: DataFrame) -> DataFrame:
     """(v, root): the smallest vertex reachable from every vertex of ``edges``
     (a, b), by alternating large-star and small-star rounds over written
     tables; about log(n) rounds."""
-    now = storage.write_shared(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                               .where("u > v").distinct(), "edges")
+    spark = edges.sparkSession
+    folders: list[str] = []  # written tables that the next round reads
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        folders.append(storage.shared_uri(spark, name))
+        return storage.write_to(df, folders[-1])
+
+    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        large = storage.write_shared(large, "large-star")
+        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), "stars")
+        # The centre of a large star has as many edges as its component has vertices.
+        near = hot.join_per_key(both, low, "u", "n")
+        large = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = written(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        now = storage.write_shared(small.select("e.*").where("u > v").distinct(), "small-star")
+        done = list(folders)
+        now = written(small.select("e.*").where("u > v").distinct(), "small-star")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        for folder in done:  # the next round reads the table just written alone
+            remove_dir(spark, folder)
+            folders.remove(folder)
         if state == seen:
             return now.select(F.col("u").alias("v"), F.col("v").alias("root"))
         seen = state
@@ -178,14 +194,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     max_bits: int = MAX_BITS) -> DataFrame:
     """One row per document: doc_id, h, fp, root (the component's smallest
     fingerprint) and component_id (its smallest id, the document's own
-    included)."""
+    included). Documents meet their fingerprint, and fingerprints their
+    component, without a shuffle of those that very many share."""
     prints = storage.write_shared(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = storage.write_shared(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
+    distinct = storage.write_shared(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies")),
+                                    "distinct-fingerprints")
     roots = components(links(distinct, max_bits)).withColumnRenamed("v", "fp")
     linked = roots.unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
-    rooted = distinct.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return prints.join(rooted.join(lowest, "root").select("fp", "root", "component_id"), "fp")
+    rooted = storage.write_shared(distinct.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    lowest = storage.write_shared(rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("n")),
+                                  "components")
+    placed = hot.join_per_key(rooted, lowest, "root", "n").select("fp", "copies", "root", "component_id")
+    placed = storage.write_shared(placed, "placed-fingerprints")
+    return hot.join_per_key(prints, placed, "fp", "copies").drop("copies")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
@@ -193,10 +214,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """``docs`` with one row of every component: the one with the smallest id
     (NULL last), then the smallest text hash; equal rows count as one."""
     found = near_duplicates(docs, id_col, text_col, shingle, max_bits)
-    rows = found.groupBy("root", "doc_id", "h").agg(F.count(F.lit(1)).alias("copies"))
+    rows = storage.write_shared(found.groupBy("root", "doc_id", "h").agg(F.count(F.lit(1)).alias("copies")), "component-rows")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "h")
-    best = rows.groupBy("root").agg(F.min(order).alias("best"))
-    judged = rows.join(best, "root").select(
+    best = storage.write_shared(rows.groupBy("root").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("n")), "first-rows")
+    judged = hot.join_per_key(rows, best, "root", "n").select(
         F.col("doc_id").alias("id"), "h", "copies", order.eqNullSafe(F.col("best")).alias("first"))
     gone = storage.write_shared(judged.where(~F.col("first") | (F.col("copies") > 1)), "near-copies")
     out = storage.without_rows(docs, gone, id_col, text_col)

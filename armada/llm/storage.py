@@ -61,10 +61,13 @@ def map_array(uri: str, dtype) -> np.ndarray:
 def write_shared(df, name: str):
     """Write ``df`` once as Parquet in a fresh shared folder and read it back,
     so that every consumer and every retry sees the same rows."""
-    spark = df.sparkSession
-    path = shared_uri(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return write_to(df, shared_uri(df.sparkSession, name))
+
+
+def write_to(df, uri: str):
+    """Write ``df`` as Parquet into a fresh folder and read it back."""
+    df.write.parquet(uri)
+    return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
 BROADCAST_ROWS = 500_000  # (id, hash) rows of 16 bytes that may be broadcast; more are joined by shuffle
