@@ -10,14 +10,16 @@ Line rules:
   words, or a line of few words that does not end like a sentence;
 * navigation: items between separators, or nothing but a menu word;
 * boilerplate: a stock phrase in a line of few words (a long line loses the
-  short sentences that hold one), or a line equal to an earlier line of the
-  document.
+  short sentences that hold one, its other characters stay as they are), or a
+  line equal to an earlier line of the document.
 
 All work happens inside the row: no shuffle, memory bounded by a document.
 
 Defined results: a NULL text is an empty text, has no words and fails;
 lines without a word are kept as they are (they hold nothing to lose);
-repeated rows are judged one by one; other columns pass through unchanged.
+repeated rows are judged one by one; very long texts are judged whole, inside
+their row; an empty table gives no rows; other columns pass through unchanged,
+and names of theirs that clash with working columns are stepped around.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 MARKS = "[#*$%&|<>]+|[!?]{2,}"
 ENDING = "[.!?:;…。！？\"'”’»)\\]]\\s*$"
-SENTENCE = "(?<=[.!?…])\\s+|(?<=[。！？])"
+SENTENCE = "(?<=[.!?…])(?=[\\x20\\x09-\\x0D])|(?<=[。！？])"  # white space goes with the sentence after it
 SEPARATORS = "(^|\\s)[|>»›·•/\\\\]+(?=\\s|$)"
 MENU = "(?i)^\\W*(home|menu|search|login|log in|sign in|sign up|register|next|previous|back|top|contact|about|help|" \
        "sitemap|share|tweet|print|read more|skip to content|skip to main content)\\W*$"
@@ -105,7 +107,7 @@ def _left(x: Column) -> Column:
     words = lambda t: F.regexp_count(t, F.lit(WORD))
     kept = F.filter(F.split(line, SENTENCE, -1), lambda t: ~t.rlike(BOILERPLATE) | (words(t) >= LONG_LINE))
     return F.when(_line_fails(x), F.lit(None)).when(~line.rlike(BOILERPLATE), line).when(
-        words(line) >= LONG_LINE, F.nullif(F.array_join(kept, " "), F.lit("")))
+        words(line) >= LONG_LINE, F.when(F.exists(kept, lambda t: t.rlike(WORD)), F.array_join(kept, "")))
 
 
 def _line_fails(x: Column) -> Column:

@@ -54,14 +54,24 @@ WITH d AS (
         OR (n < 4 AND NOT regexp_matches(x, '[.!?:;…。！？"''”’»)\]]\s*$'))
         OR (separators >= 2 AND separators > 0.2 * n)
         OR regexp_matches(x, '(?i)^\W*(home|menu|search|login|log in|sign in|sign up|register|next|previous|back|top|contact|about|help|sitemap|share|tweet|print|read more|skip to content|skip to main content)\W*$')
-        OR again
-        OR regexp_matches(x, '(?i)javascript|cookie policy|uses cookies|privacy policy|terms of (use|service)|all rights reserved|lorem ipsum|click here|subscribe to our|sign up for our|404 not found|powered by wordpress')) AS bad,
+        OR again) AS bad,
+        regexp_matches(x, '(?i)javascript|cookie policy|uses cookies|privacy policy|terms of (use|service)|all rights reserved|lorem ipsum|click here|subscribe to our|sign up for our|404 not found|powered by wordpress') AS stock,
         length(translate(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS chars
     FROM judged
+), sentences AS (
+    SELECT r, i, unnest(string_split(regexp_replace(regexp_replace(x, '([.!?…])([\x20\x09-\x0D])', '\1' || chr(65535) || '\2', 'g'),
+                                                    '([。！？])', '\1' || chr(65535), 'g'), chr(65535))) AS y
+    FROM failed WHERE NOT bad AND stock AND n >= 40
+), stays AS (
+    SELECT r, i, sum(length(translate(y, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), ''))) AS chars
+    FROM sentences
+    WHERE NOT regexp_matches(y, '(?i)javascript|cookie policy|uses cookies|privacy policy|terms of (use|service)|all rights reserved|lorem ipsum|click here|subscribe to our|sign up for our|404 not found|powered by wordpress')
+       OR len(list_filter(string_split_regex(y, '[\x20\x09-\x0D]+'), lambda z: z <> '')) >= 40
+    GROUP BY ALL
 ), by_doc AS (
-    SELECT r, sum(CASE WHEN again AND n > 0 THEN 1 ELSE 0 END) AS n_dup_lines, sum(chars) AS word_chars,
-           sum(CASE WHEN bad THEN 0 ELSE chars END) AS kept_chars
-    FROM failed GROUP BY r
+    SELECT r, sum(CASE WHEN again AND n > 0 THEN 1 ELSE 0 END) AS n_dup_lines, sum(failed.chars) AS word_chars,
+           sum(CASE WHEN bad THEN 0 WHEN NOT stock THEN failed.chars ELSE coalesce(stays.chars, 0) END) AS kept_chars
+    FROM failed LEFT JOIN stays USING (r, i) GROUP BY r
 ), base AS (
     SELECT doc_id, len(w) AS n_words, word_chars, kept_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
            n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words

@@ -61,6 +61,39 @@ def test_rejects_what_loses_too_much_and_keeps_columns(spark):
     assert line_quality.report(df.limit(0)).count() == 0
 
 
+def long_line(*stock, n=50, seed=0):
+    """Sentences of ten words, with odd white space between them and ``stock`` sentences in their midst."""
+    parts = [" ".join(f"l{seed}n{i}k{j}" for j in range(10)) + "." for i in range(n // 10)]
+    parts[2:2] = stock
+    return "  ".join(parts[:3]) + " \t" + " ".join(parts[3:])
+
+
+def test_long_lines_lose_only_sentences_with_a_stock_phrase(spark):
+    phrase = "Please click here."
+    one = " ".join(f"v{i}" for i in range(45)) + " click here for more"
+    rows = [(1, long_line(phrase)), (2, "漢字です。click here! " + long_line()), (3, long_line(one + ".")),
+            (4, f"{phrase} " + long_line() + " "), (5, long_line(*[f"{phrase[:-1]} {i}." for i in range(40)])),
+            (6, long_line("Is a privacy policy here?", "x.y Lorem ipsum…", n=200)), (7, clean(5) + "\n" + phrase)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_quality.keep_clean(df).collect()}
+    assert got[1] == rows[0][1].replace(f"  {phrase}", "")
+    assert got[2] == "漢字です。" + " " + long_line() and got[3] == rows[2][1] and got[4] == " " + long_line() + " "
+    assert got[7] == clean(5) and "Lorem" not in got[6] and "privacy" not in got[6] and "x.y" not in got[6] and "n19k9." in got[6]
+
+    import duckdb
+
+    from armada.llm.oracle import QUALITY
+    both = df.unionByName(spark.createDataFrame(
+        list(enumerate(ODD, 100)) + [(50 + i, long_line(*[f"{phrase[:-1]} {j}." for j in range(i)], seed=i)) for i in range(12)],
+        "doc_id long, text string"))
+    con = duckdb.connect()
+    con.register("documents", both.toArrow())
+    columns = "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept"
+    verdicts = sorted(map(tuple, line_quality.report(both).select(*columns.split(", ")).collect()))
+    assert verdicts == sorted(con.execute(f"SELECT {columns} FROM ({QUALITY})").fetchall())
+    assert len({v[-1] for v in verdicts if v[0] < 100}) == 2
+
+
 def test_repeated_lines_are_removed(spark):
     text = clean(6) + "\n" + clean(1)
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
