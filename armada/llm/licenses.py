@@ -6,7 +6,7 @@ run of ``GRAM + WINDOW - 1`` tokens holds a kept one; of templates below
 ``SHORT`` tokens, whose finds need not share such a run, all grams are kept
 and all pairs of neighbours as well. The kept grams form an inverted index of (template, position), whose size is that of the template
 list, and which is broadcast. Every gram of every document is looked up;
-hits on nearby diagonals are one candidate, and a local alignment inside a
+hits on nearby diagonals are one candidate where the text holds enough of the template's tokens, and a local alignment inside a
 band around them, with substitutions and gaps, gives the matched share of
 the template and the span of the text. Of overlapping finds the one with
 the best score stays.
@@ -17,8 +17,10 @@ find lies whole in one piece however many characters stand between its
 tokens. No shuffle: a document is one row.
 
 Defined results: NULL and empty texts have no finds; repeated rows are
-scanned one by one; an empty table or template list gives no rows; a
-template of fewer than ``GRAM`` tokens is an error.
+scanned one by one; very long texts are scanned whole, piece by piece; of equal
+finds the first template of the list stays; an empty table or template list gives
+no rows; a template of fewer than ``GRAM`` tokens is an error; other columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ COVERAGE = 0.8            # share of the template's tokens that must be matched
 PIECE = 1 << 20           # characters tokenised at a time (more where these hold too few tokens)
 TOKEN = re.compile(r"[^\W_]+")
 
-#: License notices, by SPDX identifier.
+#: License notices and license texts, by SPDX identifier.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
@@ -75,6 +77,104 @@ TEMPLATES = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
     ("proprietary", "All rights reserved"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+           "documentation files (the \"Software\"), to deal in the Software without restriction, including without "
+           "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+           "Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
+           "conditions: The above copyright notice and this permission notice shall be included in all copies or "
+           "substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, "
+           "EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
+           "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, "
+           "DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+           "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted "
+                    "provided that the following conditions are met: 1. Redistributions of source code must retain the "
+                    "above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in "
+                    "binary form must reproduce the above copyright notice, this list of conditions and the following "
+                    "disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE "
+                    "IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+                    "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR "
+                    "A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE "
+                    "LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+                    "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR "
+                    "PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN "
+                    "CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF "
+                    "THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted "
+                    "provided that the following conditions are met: 1. Redistributions of source code must retain the "
+                    "above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in "
+                    "binary form must reproduce the above copyright notice, this list of conditions and the following "
+                    "disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither "
+                    "the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+                    "products derived from this software without specific prior written permission. THIS SOFTWARE IS "
+                    "PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+                    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+                    "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE "
+                    "FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT "
+                    "NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR "
+                    "BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+                    "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+                    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+           "hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE "
+           "SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING "
+           "ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY "
+           "SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, "
+           "DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+           "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+            "hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO "
+            "THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR "
+            "BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING "
+            "FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+            "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be "
+            "held liable for any damages arising from the use of this software. Permission is granted to anyone to use "
+            "this software for any purpose, including commercial applications, and to alter it and redistribute it "
+            "freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; "
+            "you must not claim that you wrote the original software. If you use this software in a product, an "
+            "acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source "
+            "versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. "
+            "This notice may not be removed or altered from any source distribution."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the "
+               "software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, "
+               "display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, "
+               "and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The "
+               "copyright notices in the Software and this entire statement, including the above license grant, this "
+               "restriction and the following disclaimer, must be included in all copies of the Software, in whole or in "
+               "part, and all derivative works of the Software, unless such copies or derivative works are solely in the "
+               "form of machine-executable object code generated by a source language processor."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+                 "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+                 "binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that "
+                 "recognize copyright laws, the author or authors of this software dedicate any and all copyright "
+                 "interest in the software to the public domain. We make this dedication for the benefit of the public at "
+                 "large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of "
+                 "relinquishment in perpetuity of all present and future rights to this software under copyright law."),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is "
+                  "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or "
+                  "implied. See the License for the specific language governing permissions and limitations under the "
+                  "License."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                "Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the "
+                "License"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                "Affero General Public License as published by the Free Software Foundation, either version 3 of the "
+                "License"),
+    ("GFDL-1.3", "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free "
+                "Documentation License, Version 1.3 or any later version published by the Free Software Foundation; with "
+                "no Invariant Sections, no Front-Cover Texts, and no Back-Cover Texts"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+               "License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
+    ("Artistic-2.0", "You may distribute this program under the terms of the Artistic License, Version 2.0"),
+    ("CC-BY-SA-3.0", "Text is available under the Creative Commons Attribution-ShareAlike License; additional terms may "
+                    "apply"),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 "
+                       "International License"),
+    ("WTFPL", "This program is free software. It comes without any warranty, to the extent permitted by applicable law. "
+             "You can redistribute it and/or modify it under the terms of the Do What The Fuck You Want To Public "
+             "License, Version 2"),
 )
 
 
@@ -96,6 +196,9 @@ class Index:
         #: Tokens of text that an alignment can cover: a band holds hits of up to BAND diagonals and BAND more on either side.
         self.reach = max(len(t) for t in words) + 4 * BAND
         self.base = len(self.vocabulary) + 1
+        self.member = np.zeros((len(words), self.base), bool)  # template x token: does it hold it
+        for k, seq in enumerate(self.sequences):
+            self.member[k, seq] = True
         self.postings: dict[int, dict[int, list]] = {GRAM: {}, GRAM - 1: {}}  # by size of the gram
         for k, seq in enumerate(self.sequences):
             grams = self.grams(seq)
@@ -191,6 +294,9 @@ def find(index: Index, text: str) -> list[tuple]:
         ids = np.fromiter((get(w.lower(), 0) for w in words), np.int64, len(words))
         for k, low, high in candidates(index, ids):
             seq = index.sequences[k]
+            # No more tokens can match than the stretch holds of the template's own.
+            if np.count_nonzero(index.member[k][ids[max(0, low):high + len(seq)]]) < COVERAGE * len(seq):
+                continue
             score, matched, a, b = align(seq, ids, low, high)
             if a < 0 or matched < COVERAGE * len(seq):
                 continue

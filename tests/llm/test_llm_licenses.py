@@ -38,6 +38,41 @@ def test_substitutions_and_gaps_are_tolerated_and_clean_text_is_left_alone():
         assert L.find(INDEX, " ".join(words(300, r) + ["licensed", "under", "the", "stars"])) == []
 
 
+def test_whole_texts_are_told_apart_and_edits_in_them_tolerated():
+    """Random edits in license texts, some of which hold others or share most of their words."""
+    r = random.Random(6)
+    whole = [k for k, s in enumerate(INDEX.sequences) if len(s) >= 100]
+    assert len(L.TEMPLATES) >= 30 and len(whole) >= 7
+    for k in whole:
+        for _ in range(6):
+            w = re.findall(r"[^\W_]+", L.TEMPLATES[k][1])
+            for _ in range(len(w) // 12):
+                i = r.randrange(5, len(w) - 5)
+                w[i:i + 1] = r.choice([["changed"], [w[i].upper()], []])
+            i = r.randrange(5, len(w) - 5)
+            w[i:i] = ["put", "in"]
+            got = L.find(INDEX, " ".join(words(30, r) + w + words(30, r)))
+            assert [INDEX.names[f[2]] for f in got] == [L.TEMPLATES[k][0]] and got[0][4] >= 0.8
+            a, b, _, matched, _, _ = got[0]
+            assert matched >= 0.8 * len(INDEX.sequences[k])
+
+
+def test_the_token_count_before_the_alignment_loses_nothing(monkeypatch):
+    r = random.Random(7)
+    texts = []
+    for _ in range(60):
+        w = words(20, r)
+        for _ in range(4):
+            t = L.tokens(r.choice(L.TEMPLATES)[1])
+            a = r.randrange(max(1, len(t) // 4))
+            w += [x if r.random() > .1 else "other" for x in t[a:]] + words(r.randrange(20), r)
+        texts.append(" ".join(w))
+    got = [L.find(INDEX, t) for t in texts]
+    free = L.Index(L.TEMPLATES)
+    free.member[:] = True
+    assert got == [L.find(free, t) for t in texts] and sum(map(len, got)) > 60
+
+
 def full(template, text):
     """Unbanded local alignment score."""
     h, best = np.zeros((len(template) + 1, len(text) + 1)), 0
