@@ -18,7 +18,9 @@ label pairs for chain and skip potentials. Everything else covers all rows.
 
 Defined results: NULL and empty texts have no spans; offsets are code
 points, ends exclusive; repeated rows are judged one by one; without
-anything to train on no span is added.
+anything to train on no span is added; very long texts are judged whole; an empty
+table gives no rows; ``masked`` passes other columns through unchanged, ``find``
+doesn't read them.
 """
 
 from __future__ import annotations

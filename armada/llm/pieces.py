@@ -15,7 +15,10 @@ start of a run of U+2581 or an unknown character, so all paths meet there;
 what lies between is encoded once per bounded cache.
 
 Defined results: NULL and empty texts have no ids; decoding gives back the
-text (a literal U+2581 comes back as a space, as in the library).
+text (a literal U+2581 comes back as a space, as in the library); repeated rows
+are encoded one by one; very long texts are encoded whole, with an open window of
+bounded length; an empty table gives no rows; other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations

@@ -9,8 +9,10 @@ to the shard that holds its middle byte, so shards are contiguous in id
 order and differ from the target by at most one document.
 
 Defined results: a NULL text has no bytes (and size 1); NULL ids come
-first; rows that share an id are kept and ordered by text and position; an
-empty table gives no rows.
+first; rows that share an id are kept and ordered by text and position; a text
+longer than a shard's target lies in the shard of its middle byte, and shards that
+it covers whole stay empty; an empty table gives no rows; other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations

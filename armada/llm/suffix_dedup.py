@@ -29,7 +29,9 @@ Strings are compared by fingerprints of 112 to 128 bits.
 
 Defined results: a NULL text is empty; a NULL id comes before all others;
 rows that share an id are ordered by text hash, and rows with equal id and
-text are one document and get the same result; an empty table gives no rows.
+text are one document and get the same result; very long texts are read whole,
+as one row; an empty table gives no rows; other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations

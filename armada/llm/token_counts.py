@@ -17,7 +17,9 @@ scan; only a chunk inside a single longer word waits for its neighbour.
 
 Defined results: NULL and empty texts have no tokens; the tokenizer's
 special strings inside a text count as the one token the library makes of
-them; rows that share a document id are counted one by one.
+them; rows that share a document id are counted one by one; very long texts are
+counted whole, chunk by chunk; an empty table gives no rows; other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ A tokenizer without that property is fed whole texts (``by_chunk=False``).
 
 Defined results: a NULL or empty text has only the end id; a NULL document
 id sorts first and comes back as NULL; rows that share a document id are
-kept, ordered by the text's hash; an empty table gives no rows.
+kept, ordered by the text's hash; very long texts are encoded chunk by chunk and
+stay one document; an empty table gives no rows; other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations

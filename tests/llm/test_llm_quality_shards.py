@@ -117,6 +117,15 @@ def test_shards_are_contiguous_gapless_and_near_equal(spark):
     assert shards.assign_shards(df.limit(0), 16).count() == 0
 
 
+def test_a_text_longer_than_a_shard_and_clashing_columns(spark):
+    rows = [(i, "y" * 9, 0, 1, "a") for i in range(40)] + [(20, "x" * 100_000, 0, 1, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard int, _at int, total string")
+    got = shards.assign_shards(df, 16).collect()
+    place = {r.size: r.shard for r in got if r.size > 10}
+    assert len(got) == 41 and place == {100_001: 7 + (place[100_001] == 8)} and {r.shard for r in got} == {0, place[100_001], 15}
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got))) for s in range(16))
+
+
 def test_few_documents(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert [(r.shard, r.slot) for r in shards.assign_shards(df, 16).collect()] == [(8, 0)]

@@ -53,6 +53,16 @@ def test_token_files(spark, table, word_bpe):
     assert token_files.read_token_files(spark, empty).count() == 0
 
 
+def test_token_files_of_very_long_texts(spark, word_bpe):
+    r = random.Random(9)
+    rows = [(2, " ".join(texts(9, 4000))), (1, "".join(r.choice("abcé漢") for _ in range(200_000))), (3, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = token_files.read_token_files(spark, token_files.write_token_files(df, vocabulary_text(WORD_BPE), 1, partitions=2))
+    want = {d: np.array(word_bpe.encode(t, add_special_tokens=False).ids + [1], "<u4") for d, t in rows}
+    assert {x.doc_id: (x.n_tokens, x.ids_crc32) for x in got.collect()} == {
+        d: (len(v), zlib.crc32(v.tobytes())) for d, v in want.items()}
+
+
 def test_token_counts(table, word_bpe, monkeypatch):
     monkeypatch.setattr(token_counts, "CHUNK", 64)
     counter = token_counts.Counter(vocabulary_text(WORD_BPE))
