@@ -36,6 +36,8 @@ from armada.llm import merges
 from armada.llm.token_files import ChunkCache, slices
 
 SPACE = "▁"
+CACHE_CHUNKS = 120_000        # distinct chunks held in each of two generations
+BATCH_BYTES = 1 << 20         # text split at a time
 _CACHES: dict = {}
 
 
@@ -243,7 +245,7 @@ def encode_texts(model: PieceModel, texts: list) -> list[bytes]:
     """Ids of each text as little-endian 32-bit bytes."""
     if model.key not in _CACHES:
         _CACHES.clear()  # a worker keeps the chunks of one model
-        _CACHES[model.key] = ChunkCache(), model.cutter()
+        _CACHES[model.key] = ChunkCache(CACHE_CHUNKS), model.cutter()
     cache, cut = _CACHES[model.key]
     prefix = " " if model.dummy_prefix else ""
     enc = StreamEncoder(model)
@@ -285,7 +287,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     def run(batches):
         m = model.value
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), BATCH_BYTES):
                 texts = batch.column(1).slice(a, b - a).to_pylist()
                 enc = encode_texts(m, texts)
                 sizes = np.fromiter((len(e) // 4 for e in enc), np.int32, len(enc))
