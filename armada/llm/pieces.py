@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import pickle
 import re
 
 import numpy as np
@@ -39,6 +40,7 @@ SPACE = "▁"
 CACHE_CHUNKS = 120_000        # distinct chunks held in each of two generations
 BATCH_BYTES = 1 << 20         # text split at a time
 _CACHES: dict = {}
+_MODELS: dict = {}
 
 
 class PieceModel:
@@ -277,15 +279,29 @@ def encode_texts(model: PieceModel, texts: list) -> list[bytes]:
     return out
 
 
+def packed(model: PieceModel) -> tuple[str, bytes]:
+    """A model as it is broadcast: its key and its bytes."""
+    return model.key, pickle.dumps(model)
+
+
+def unpacked(key: str, raw: bytes) -> PieceModel:
+    """The model of ``packed``. A worker keeps one, whichever job brought it."""
+    if key not in _MODELS:
+        _MODELS.clear()
+        _CACHES.clear()
+        _MODELS[key] = pickle.loads(raw)
+    return _MODELS[key]
+
+
 def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, ids array<int>, n_tokens, round_trip
     (whether decoding the ids gives back the text, U+2581 read as a space).
     No shuffle; the compiled model (its size is the vocabulary's) is
     broadcast."""
-    model = docs.sparkSession.sparkContext.broadcast(PieceModel.load(model_path))
+    model = docs.sparkSession.sparkContext.broadcast(packed(PieceModel.load(model_path)))
 
     def run(batches):
-        m = model.value
+        m = unpacked(*model.value)
         for batch in batches:
             for a, b in slices(batch.column(1), BATCH_BYTES):
                 texts = batch.column(1).slice(a, b - a).to_pylist()
@@ -319,10 +335,11 @@ def decode_fast(model: PieceModel, ids: np.ndarray) -> str:
 
 def decode_pieces(encoded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
     """``encoded`` with a ``text`` column decoded from its ids (NULL ids: NULL)."""
-    model = encoded.sparkSession.sparkContext.broadcast(PieceModel.load(model_path))
+    model = encoded.sparkSession.sparkContext.broadcast(packed(PieceModel.load(model_path)))
 
     @F.pandas_udf("string")
     def decode(ids):
-        return ids.map(lambda x: None if x is None else decode_fast(model.value, np.asarray(x, np.int64)))
+        m = unpacked(*model.value)
+        return ids.map(lambda x: None if x is None else decode_fast(m, np.asarray(x, np.int64)))
 
     return encoded.withColumn("text", decode(F.col(ids_col)))

@@ -84,3 +84,6 @@ def test_a_second_model_does_not_see_the_first_ones_ids():
     first, second = (np.frombuffer(pieces.encode_texts(m, ["abc abc"])[0], "<i4").tolist() for m in (one, two))
     assert first == pieces.encode_text(one, "abc abc") != second == pieces.encode_text(two, "abc abc")
     assert pieces.PieceModel([*chars, ("ab", -1.0)], {}, 0, "unigram").key == one.key and list(pieces._CACHES) == [two.key]
+    a = pieces.unpacked(*pieces.packed(one))
+    assert pieces.unpacked(*pieces.packed(one)) is a and not pieces._CACHES  # a second job of the model brings no copy
+    assert pieces.unpacked(*pieces.packed(two)) is not a and list(pieces._MODELS) == [two.key]
