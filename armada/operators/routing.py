@@ -69,6 +69,37 @@ def state_from_rows(rows, cfg: RouterConfig, d: int):
     return a, b
 
 
+#: Least diagonal number of a matrix that is solved.
+LEAST_DIAGONAL = 1e-300
+
+
+def kept_diagonal(a: np.ndarray) -> np.ndarray:
+    """``a`` with the diagonal numbers that long discounting has brought to
+    zero, or near it, raised to ``LEAST_DIAGONAL``: a direction of which nothing
+    is left keeps a finite score above every direction that was seen since."""
+    diagonal = np.diagonal(a)
+    gone = np.flatnonzero((diagonal >= 0.0) & (diagonal < LEAST_DIAGONAL))
+    if len(gone):
+        a = a.copy()
+        a[gone, gone] = LEAST_DIAGONAL
+    return a
+
+
+def lower_factor(a: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+    """Cholesky factor of ``a``. A matrix that only rounding keeps from having
+    one (its oldest part, the ridge, is below the last digit of the rest)
+    gets some last digits of ``diagonal`` added; any other fails."""
+    try:
+        return np.linalg.cholesky(a)
+    except np.linalg.LinAlgError:
+        for digits in 10.0 ** np.arange(4):
+            try:
+                return np.linalg.cholesky(a + np.diag(digits * len(a) * np.finfo(np.float64).eps * diagonal))
+            except np.linalg.LinAlgError:
+                pass
+        raise
+
+
 def solve(a: np.ndarray, b: np.ndarray) -> ArmModel:
     """``theta_k = A_k^-1 b_k`` by Cholesky, once per state version; equal
     matrices are factorised once."""
@@ -78,7 +109,8 @@ def solve(a: np.ndarray, b: np.ndarray) -> ArmModel:
     for i in range(k):
         key = a[i].tobytes()
         if key not in seen:
-            lo = np.linalg.cholesky(a[i])
+            whole = kept_diagonal(a[i])
+            lo = lower_factor(whole, np.diagonal(whole))
             seen[key] = len(factors)
             factors.append(np.linalg.solve(lo, np.eye(d)))
         factor_of[i] = seen[key]

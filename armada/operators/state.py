@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from armada.config import RouterConfig
-from armada.operators.routing import ArmModel
+from armada.operators.routing import ArmModel, kept_diagonal, lower_factor
 from armada.operators.stats import TILE
 from armada.session import materialize
 
@@ -51,9 +51,10 @@ def inverse_factor(a: np.ndarray, block: int = TILE) -> np.ndarray:
     """``L^-1`` of ``a = L L'``, block column by block column; ``a`` is overwritten."""
     d = len(a)
     cuts = [slice(i, min(i + block, d)) for i in range(0, d, block)]
-    inverse = np.zeros_like(a)
+    a = kept_diagonal(a)
+    inverse, diagonal = np.zeros_like(a), np.diagonal(a).copy()
     for k, here in enumerate(cuts):
-        low = np.linalg.cholesky(a[here, here])
+        low = lower_factor(a[here, here], diagonal[here])
         inv = np.linalg.solve(low, np.eye(len(low)))
         a[here, here], inverse[here, here] = low, inv
         below = slice(here.stop, d)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from armada.config import RouterConfig
 from armada.operators import online, state
-from armada.operators.routing import cold_start, solve
+from armada.operators.routing import _scores, choose, cold_start, solve
 from armada.plans import jobs
 from armada.sources.tables import user_events
 from numpy_learner import HistoryLinUCB
@@ -39,6 +39,37 @@ def test_cold_tiles_and_merge_equal_dense(spark, d):
     assert np.allclose(model.b[1], sums) and np.allclose(model.theta[1], np.linalg.solve(model.a[1], sums))
 
 
+@pytest.mark.parametrize("d", [3, 300])
+def test_a_direction_discounted_to_nothing_is_solved(spark, d):
+    """0.9^10000 is zero as a double: the rows taught only the last direction."""
+    rows = [(1, i, j, 10_000, [10.0 if i == j and i + p // w == d - 1 and p % w == w - 1 else 0.0 for p in range(min(256, d - i) * w)],
+             [0.0] * (min(256, d - i) - 1) + [4.0 if i + 256 >= d else 0.0] if i == j else None)
+            for i in range(0, d, 256) for j in range(i, d, 256) for w in [min(256, d - j)]]
+    stats = spark.createDataFrame(rows, "_arm int, ti int, tj int, n long, v array<double>, bv array<double>")
+    model = state.solve_state(state.merge_tiles(state.cold_tiles(spark, CFG, d), stats, 0.9), CFG, d)
+    assert model.a[1][0, 0] == 0.0 and model.a[1][d - 1, d - 1] == 10.0  # the state itself is kept as it is
+    other = solve(model.a, model.b)
+    for m in (model, other):
+        s = _scores(np.eye(d), m, CFG.alpha)
+        assert np.isfinite(s).all() and np.allclose(m.theta[1], [0.0] * (d - 1) + [0.4])
+        assert (s[:-1, 1] > 1e100).all() and abs(s[-1, 1] - (0.4 + 0.5 / np.sqrt(10))) < 1e-9
+        assert (choose(s)[0] == [1] * (d - 1) + [int(s[-1, 1] > s[-1, 0])]).all()
+
+
+@pytest.mark.parametrize("d", [4, 300])
+def test_a_ridge_below_the_last_digit_is_solved(d):
+    """Contexts of a subspace: discounts leave a matrix of lower rank."""
+    z = np.random.default_rng(d).standard_normal((d // 2, d))
+    a, x = z.T @ z, z[0]
+    inv = state.inverse_factor(a.copy())
+    model = solve(a[None], (a @ z[0])[None])
+    for mean, spread in ((x @ inv.T @ inv @ (a @ z[0]), np.square(inv @ x).sum()),
+                         (x @ model.theta[0], np.square(model.chol_inv[0][0] @ x).sum())):
+        assert abs(mean - x @ x) < 1e-3 * (x @ x) and abs(spread - 1) < 1e-3
+    with pytest.raises(np.linalg.LinAlgError):
+        state.inverse_factor(-np.eye(d))
+
+
 def test_warm_start_equals_numpy_and_an_empty_one_is_cold(spark):
     d, rng = 290, np.random.default_rng(4)
     x, r = rng.standard_normal((400, d)), rng.random((400, 2))
