@@ -1,7 +1,7 @@
 """Batch inference slots and vector preparation.
 
 Model inference stays with the caller: ``score_prompts`` and ``embed_text``
-run a caller-supplied batch function over Arrow batches (``mapInPandas``),
+run a caller-supplied batch function over batches (``mapInPandas``, ``mapInArrow``),
 keep the row key next to every output and time each batch. The function is
 built once per Python worker (pass a factory). The vector operators below
 (``hash_embedding``, ``last_token_pool``) are plain JVM aggregates.
@@ -38,6 +38,38 @@ def rebatched(batches, rows: int | None):
         yield pd.concat(held, ignore_index=True)
 
 
+#: Bytes of text that an embedder gets at a time where the caller sets no number of rows.
+BATCH_BYTES = 4 << 20
+
+
+def text_batches(batches, text: str, rows: int | None):
+    """Arrow batches of exactly ``rows`` rows (the last may be shorter), or of
+    about ``BATCH_BYTES`` of text (a longer text alone) when ``rows`` is None."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    held, n = [], 0
+    for batch in batches:
+        if rows:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= rows:
+                whole = pa.Table.from_batches(held)
+                for at in range(0, n - n % rows, rows):
+                    yield whole.slice(at, rows).combine_chunks().to_batches()[0]
+                rest = whole.slice(n - n % rows).combine_chunks()
+                held, n = rest.to_batches(), n % rows
+            continue
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0)), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            base = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, base + BATCH_BYTES, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def score_prompts(df: DataFrame, scorer_factory: Callable[[], Callable], prompt: str = "prompt",
                   keep: Sequence[str] = ("row_id",), batch_rows: int | None = None) -> DataFrame:
     """Generated text for every prompt.
@@ -103,21 +135,25 @@ def embed_text(df: DataFrame, embedder_factory: Callable[[], Callable[[list], np
     """Dense vector per text from a caller-supplied batch embedder
     (``list[str] -> ndarray (n, d)``), built once per Python worker. Row
     keys replace positions. Whole texts are passed; any length limit is the
-    embedder's own."""
+    embedder's own. Without ``batch_rows`` a batch holds about ``BATCH_BYTES``
+    of text; kept columns stay in Arrow. A NaN in a vector is a NULL."""
     keep = list(keep)
     elem = T.FloatType() if dtype == "float" else T.DoubleType()
     np_type = np.float32 if dtype == "float" else np.float64
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, T.ArrayType(elem))])
 
     def run(it):
+        import pyarrow as pa
         fn = embedder_factory()
-        for pdf in rebatched(it, batch_rows):
-            vecs = np.asarray(fn(pdf[text].tolist()), dtype=np_type)
-            res = pdf[keep].copy()
-            res[out] = list(vecs)
-            yield res
+        for batch in text_batches(it, text, batch_rows):
+            vecs = np.asarray(fn(batch.column(text).to_pylist()), dtype=np_type)
+            if vecs.shape != (batch.num_rows, vecs.shape[-1]):
+                raise ValueError(f"vectors {vecs.shape} for {batch.num_rows} texts")
+            ends = np.arange(batch.num_rows + 1, dtype=np.int32) * vecs.shape[1]
+            packed = pa.ListArray.from_arrays(pa.array(ends), pa.array(vecs.ravel(), from_pandas=True))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), packed], [*keep, out])
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInPandas(run, schema)
+    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
 
 
 def last_real(mask: np.ndarray) -> np.ndarray:
@@ -185,7 +221,7 @@ def offline_token_embedder_factory(left: bool, max_tokens: int | None = None):
     return factory
 
 
-def hashing_embedder_factory(d: int, cache_size: int = 1 << 20):
+def hashing_embedder_factory(d: int, cache_size: int = 1 << 18):
     """Offline embedder: L2-normalised hashed bag of words (tokens split on
     ASCII whitespace, bucket = first 16 bits of md5 mod d), vectorised per
     batch with numpy; each distinct token is hashed once per worker (bounded

@@ -352,7 +352,7 @@ def q31_scored_responses(spark, sf):
 
 
 def q32_embed_documents(spark, sf):
-    """Batch embedding slot (mapInPandas) with the offline hashing embedder,
+    """Batch embedding slot (mapInArrow) with the offline hashing embedder,
     over whole documents."""
     docs = tables.table(spark, sf, "documents").select("doc_id", "text")
     emb = inference.embed_text(docs, inference.hashing_embedder_factory(HASH_DIM), text="text", keep=["doc_id"],

@@ -106,3 +106,17 @@ def test_last_token_of_a_padded_batch(spark):
     wrong = lambda: lambda texts: (np.zeros((1, 1, 1)), np.zeros((2, 1)))
     with pytest.raises(Exception, match="hidden states"):
         inference.embed_last_token(df, wrong, keep=["i"]).collect()
+
+
+def test_embedder_batches_are_bounded_by_bytes_or_rows(spark):
+    import numpy as np
+    from armada.operators import inference
+    rows = [(i, "ab c " * n) for i, n in enumerate([600_000, 600_000, 1, 2, 1_000_000, 0])] + [(6, None), (None, "x")]
+    df = spark.createDataFrame(rows, "i int, prompt string").coalesce(1)
+    # every row's vector: texts and bytes of the batch it came in
+    sizes = lambda: lambda texts: np.array([[len(texts), sum(len(t or "") for t in texts), np.nan]] * len(texts))
+    got = {r["i"]: r["embedding"] for r in inference.embed_text(df, sizes, keep=["i"], dtype="double").collect()}
+    assert len(got) == 8 and all(v[0] == 1 or v[1] <= 4 << 20 for v in got.values()) and got[4][0] == 1 and got[2] == got[3]
+    assert all(v[2] is None for v in got.values())
+    got = [r["embedding"][0] for r in inference.embed_text(df, sizes, keep=["i", "prompt"], batch_rows=3).collect()]
+    assert got == [3, 3, 3, 3, 3, 3, 2, 2]
