@@ -11,7 +11,9 @@ Encoding cuts a text at ASCII white space. The tokenizer's normaliser and
 pre-tokeniser never join anything across white space and its special
 strings hold none, so the ids of a text are those of its chunks one after
 another; every distinct chunk goes to the library once per bounded cache.
-A tokenizer without that property is fed whole texts (``by_chunk=False``).
+Where the tokenizer's words are known (``by_word``), a new chunk of letters and
+marks is made of the ids of its words, and new words go to the library many at
+a time. A tokenizer without that property is fed whole texts (``by_chunk=False``).
 
 Defined results: a NULL or empty text has only the end id; a NULL document
 id sorts first and comes back as NULL; rows that share a document id are
@@ -26,6 +28,7 @@ import itertools
 import json
 import os
 import sys
+import unicodedata
 import zlib
 from array import array
 
@@ -39,7 +42,12 @@ from armada.llm import storage
 
 CACHE_CHUNKS = 250_000        # distinct chunks held in each of two generations
 BATCH_BYTES = 4 << 20         # text encoded at a time
+GROUP_WORDS = 100             # new words that go to the library as one text
 NULL_ID = -(1 << 63)
+#: ASCII marks that neither begin a contraction nor belong to a letter or a number.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: The pre-tokeniser whose words can be told apart here.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 _TOKENIZERS: dict = {}
 _CACHES: dict = {}
@@ -94,10 +102,45 @@ def slices(column: pa.Array, limit: int = BATCH_BYTES):
         start = stop
 
 
-def encode_texts(texts: list, tokenizer_json: str, dtype: str, by_chunk: bool = True) -> list[bytes]:
-    """Ids of each text as little-endian bytes. ``texts``: UTF-8 bytes or None."""
+def by_word(tokenizer_json: str) -> np.ndarray | None:
+    """For a tokenizer whose words are runs of letters, runs of marks and single digits, and end in
+    a token of their own kind: which ids end a word. None for any other tokenizer."""
+    spec = json.loads(tokenizer_json)
+    model, norm, pre = spec["model"], spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    end, vocab = model.get("end_of_word_suffix"), model.get("vocab")
+    known = (model.get("type") == "BPE" and end and not model.get("dropout") and not model.get("ignore_merges")
+             and not model.get("continuing_subword_prefix")
+             and [n["type"] for n in norm.get("normalizers") or []] == ["NFC", "Replace", "Lowercase"]
+             and norm["normalizers"][1]["pattern"] == {"Regex": r"\s+"} and norm["normalizers"][1]["content"] == " "
+             and [p["type"] for p in pre.get("pretokenizers") or []] == ["Split", "ByteLevel"]
+             and pre["pretokenizers"][0]["pattern"] == {"Regex": PATTERN} and pre["pretokenizers"][0]["invert"]
+             and pre["pretokenizers"][0]["behavior"] == "Removed" and not pre["pretokenizers"][1]["add_prefix_space"]
+             and not pre["pretokenizers"][1]["use_regex"])
+    added = spec.get("added_tokens") or []
+    # No special string is letters with marks behind, so none is inside a word or its marks.
+    if not known or any(word_and_marks(t["content"].encode()) or not t["content"].isascii() for t in added):
+        return None
+    ends = np.zeros(max([*vocab.values(), *(t["id"] for t in added)]) + 1, bool)
+    ends[[i for t, i in vocab.items() if t.endswith(end)]] = True
+    return ends
+
+
+def word_and_marks(chunk: bytes) -> tuple[bytes, bytes] | None:
+    """A chunk as its letters and the marks behind them (either may be empty), if it is no more than that."""
+    word = chunk.rstrip(MARKS)
+    if word.isalpha():       # of bytes: ASCII letters only
+        return word.lower(), chunk[len(word):]
+    if word:
+        text = "" if word.isascii() else word.decode()
+        if not (text.isalpha() and unicodedata.is_normalized("NFC", text) and text.lower().isalpha()):
+            return None
+    return word, chunk[len(word):]
+
+
+def encode_column(texts: pa.Array, tokenizer_json: str, dtype: str, end_id: int, by_chunk: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a string column, texts one after another with ``end_id`` behind each, and
+    the number of ids of every text. Chunks go to the library, not texts."""
     tok = tokenizer_of(tokenizer_json)
-
     code = {"<u2": "H", "<u4": "I"}[dtype]
 
     def ids(parts):
@@ -106,16 +149,60 @@ def encode_texts(texts: list, tokenizer_json: str, dtype: str, by_chunk: bool =
             return [np.asarray(x).astype(dtype).tobytes() for x in found]
         return [x.tobytes() for x in found]
 
+    end = np.asarray([end_id], dtype).tobytes()
     if not by_chunk:
-        return ids([(t or b"").decode() for t in texts])
-    cache = _CACHES.setdefault((hash(tokenizer_json), dtype), ChunkCache())
-    split = [t.split() if t else [] for t in texts]  # bytes.split(): ASCII white space only
-    new = cache.missing(set(itertools.chain.from_iterable(split)))
-    cache.young.update(zip(new, ids([c.decode() for c in new])))
-    get = cache.young.__getitem__
-    out = [b"".join(map(get, chunks)) for chunks in split]
+        enc = ids([t or "" for t in texts.to_pylist()])
+        lengths = np.fromiter((len(e) for e in enc), np.int64, len(enc)) // np.dtype(dtype).itemsize + 1
+        return np.frombuffer(b"".join(e + end for e in enc), dtype), lengths
+    key = hash(tokenizer_json), dtype
+    if key not in _CACHES:
+        _CACHES[key] = ChunkCache(), by_word(tokenizer_json)
+    cache, ends = _CACHES[key]
+
+    def fill(chunks: list) -> None:
+        if ends is None:
+            cache.young.update(zip(chunks, ids([c.decode() for c in chunks])))
+            return
+        # A chunk of letters and marks is two words of the tokenizer's at most; other texts have them, too.
+        cut = {c: word_and_marks(c) for c in chunks}
+        words = cache.missing({w for parts in cut.values() if parts for w in parts if w})
+        whole = [c for c, parts in cut.items() if not parts]
+        # Words go together, spaces between: each ends with the one of its ids that ends a word.
+        groups = [words[i:i + GROUP_WORDS] for i in range(0, len(words), GROUP_WORDS)]
+        for group, enc in zip(groups, tok.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
+            found = np.asarray(enc.ids, dtype)
+            stops = np.flatnonzero(ends[found]) + 1
+            if len(stops) != len(group) or len(found) != stops[-1]:
+                whole += group
+                continue
+            raw, at = found.tobytes(), (stops * found.itemsize).tolist()
+            cache.young.update(zip(group, [raw[i:j] for i, j in zip([0, *at], at)]))
+        cache.young.update(zip(whole, ids([c.decode() for c in whole])))
+        get = cache.young.__getitem__
+        cache.young.update((c, get(p[0]) + get(p[1]) if p[0] and p[1] else get(p[0] or p[1])) for c, p in cut.items() if p)
+
+    split = pc.ascii_split_whitespace(texts)
+    chunks = split.flatten().dictionary_encode()
+    known = chunks.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+    cache.young[b""] = b""   # beside white space at either end of a text
+    found = list(map(cache.young.get, known))
+    absent = [i for i, v in enumerate(found) if v is None]
+    new = cache.missing({known[i] for i in absent})
+    if new:
+        fill(new)
+    for i in absent:
+        found[i] = cache.young[known[i]]
+    # Every text's chunks, then the end id, as places in ``flat``.
+    found.append(end)
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(dtype).itemsize
+    flat, starts = np.frombuffer(b"".join(found), dtype), np.cumsum(sizes) - sizes
+    stops = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(split), 0)), dtype=np.int64)
+    order = np.insert(chunks.indices.to_numpy(zero_copy_only=False), stops, len(found) - 1)
+    n = sizes[order]
+    upto = np.cumsum(n)
+    out = flat[np.repeat(starts[order] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
     cache.turn()
-    return out
+    return out, np.diff(upto[stops + np.arange(len(stops))], prepend=0)
 
 
 def id_type(tokenizer_json: str, end_id: int) -> str:
@@ -138,8 +225,6 @@ def write_token_files(docs: DataFrame, tokenizer_json: str, end_id: int, id_col:
     # The hash keeps rows that share one id from meeting in a single task.
     ordered = (narrow.withColumn("h", F.xxhash64("t")).repartitionByRange(n, "id", "h")
                .sortWithinPartitions("id", "h").select("id", "t"))
-    end = np.asarray([end_id], dtype).tobytes()
-    width = np.dtype(dtype).itemsize
 
     def write(batches):
         from pyspark import TaskContext
@@ -147,15 +232,14 @@ def write_token_files(docs: DataFrame, tokenizer_json: str, end_id: int, id_col:
         stem = f"part-{ctx.partitionId():06d}-{ctx.taskAttemptId()}"
         files, total, n_docs = None, 0, 0
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
+            ids, texts = batch.column(0), batch.column(1)
             for a, b in slices(texts):
                 if files is None:
                     files = [storage.open_output(f"{folder}/{stem}.{k}") for k in ("ids", "off", "doc")]
                     files[1].write(np.zeros(1, "<u8").tobytes())
-                enc = encode_texts(texts.slice(a, b - a).to_pylist(), vocab.value, dtype, by_chunk)
-                lengths = np.fromiter((len(e) // width + 1 for e in enc), np.uint64, len(enc))
-                files[0].write(end.join(enc) + end)
-                files[1].write((np.cumsum(lengths) + np.uint64(total)).astype("<u8").tobytes())
+                enc, lengths = encode_column(texts.slice(a, b - a), vocab.value, dtype, end_id, by_chunk)
+                files[0].write(enc.astype(dtype, copy=False).tobytes())
+                files[1].write((np.cumsum(lengths) + total).astype("<u8").tobytes())
                 files[2].write(np.asarray(pc.fill_null(ids.slice(a, b - a), NULL_ID)).astype("<i8").tobytes())
                 total += int(lengths.sum())
                 n_docs += b - a

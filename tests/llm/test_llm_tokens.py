@@ -53,6 +53,37 @@ def test_token_files(spark, table, word_bpe):
     assert token_files.read_token_files(spark, empty).count() == 0
 
 
+def test_words_go_to_the_library_many_at_a_time(word_bpe, monkeypatch):
+    import pyarrow as pa
+    vocab, given = vocabulary_text(WORD_BPE), []
+
+    class Counting:
+        def encode_batch_fast(self, parts, add_special_tokens):
+            given.extend(parts)
+            return word_bpe.encode_batch_fast(parts, add_special_tokens=add_special_tokens)
+
+    monkeypatch.setattr(token_files, "tokenizer_of", lambda _: Counting())
+    monkeypatch.setattr(token_files, "_CACHES", {})
+    out, lengths = token_files.encode_column(pa.array([" Word word. word,, été... Été", None, "word."]), vocab, "<u2", 1)
+    want = [word_bpe.encode(t, add_special_tokens=False).ids + [1] for t in (" Word word. word,, été... Été", "", "word.")]
+    assert out.tolist() == sum(want, []) and lengths.tolist() == list(map(len, want))
+    assert len(given) == 1 and sorted(given[0].split()) == sorted([",,", ".", "...", "word", "été", "Été"])  # lower case is ASCII's here
+    every = ODD + texts(4, 300) + ["J\u030cx ﬀ Ǆ ª… x<|endoftext|>! end</w> </w> ½ x² naïve!? _a_ a_ ΟΔΟΣ. İ! ʼn"]
+    for monkey in (None, 3):  # a small cache is turned often
+        if monkey:
+            monkeypatch.setattr(token_files.ChunkCache.__init__, "__defaults__", (monkey,))
+            monkeypatch.setattr(token_files, "_CACHES", {})
+        for i in range(0, len(every), 50):
+            out, lengths = token_files.encode_column(pa.array(every[i:i + 50]), vocab, "<u2", 1)
+            want = [word_bpe.encode(t or "", add_special_tokens=False).ids + [1] for t in every[i:i + 50]]
+            assert out.tolist() == sum(want, []) and lengths.tolist() == list(map(len, want))
+    other = vocab.replace("NFC", "NFKC", 1)
+    assert token_files.by_word(vocab) is not None and token_files.by_word(other) is None
+    out, lengths = token_files.encode_column(pa.array(["a b"]), vocab, "<u4", 1, by_chunk=False)
+    assert out.tolist() == word_bpe.encode("a b", add_special_tokens=False).ids + [1] and lengths.tolist() == [3]
+    assert token_files.encode_column(pa.array([], pa.string()), vocab, "<u2", 1)[1].tolist() == []
+
+
 def test_token_files_of_very_long_texts(spark, word_bpe):
     r = random.Random(9)
     rows = [(2, " ".join(texts(9, 4000))), (1, "".join(r.choice("abcé漢") for _ in range(200_000))), (3, "short")]
