@@ -11,8 +11,9 @@ them meet in one boundary, so memory does not grow with the text.
 
 White space becomes U+2581, with one in front of a non-empty text.
 Characters outside the vocabulary become byte pieces. No piece crosses the
-start of a run of U+2581 or an unknown character, so all paths meet there;
-what lies between is encoded once per bounded cache.
+start of a run of U+2581, an unknown character or two neighbours that no
+piece holds, so all paths meet there; what lies between is encoded once per
+bounded cache. Words are cut from the marks behind them where that holds.
 
 Defined results: NULL and empty texts have no ids; decoding gives back the
 text (a literal U+2581 comes back as a space, as in the library); repeated rows
@@ -23,10 +24,13 @@ their names.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import pickle
 import re
+import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +43,7 @@ from armada.llm.token_files import ChunkCache, slices
 SPACE = "▁"
 CACHE_CHUNKS = 120_000        # distinct chunks held in each of two generations
 BATCH_BYTES = 1 << 20         # text split at a time
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"   # often behind words
 _CACHES: dict = {}
 _MODELS: dict = {}
 
@@ -85,6 +90,11 @@ class PieceModel:
         """Whether no piece goes on behind a space after something else."""
         return not any(SPACE in p.lstrip(SPACE) for p in self.text if p)
 
+    @functools.cached_property
+    def pairs(self) -> set[str]:
+        """All neighbouring characters in pieces. Between two others no piece lies, so all paths meet there."""
+        return {p[i:i + 2] for p in self.text if p for i in range(len(p) - 1)}
+
     def unknown(self, c: str) -> list[int]:
         return [self.byte_ids[b] for b in c.encode()] if len(self.byte_ids) == 256 else [self.unk]
 
@@ -202,24 +212,39 @@ def encode_window(model: PieceModel, text: str) -> list[int] | None:
     n, child, token = len(text), model.trie.child, model.trie.token
     merge, score = model.model, model.score
     known = merge._fits if merge else {}
-    back, piece, total = [0] * (n + 1), [-1] * (n + 1), [0.0] * (n + 1)
-    for start in range(n):  # all arcs into this boundary are drawn by now
-        last = piece[start]
-        if start and last < 0:
-            continue
-        node, end, pair = 0, start, last << 32
-        while end < n:
-            node = child[node].get(text[end])
-            if node is None:
-                break
-            end += 1
-            t = token[node]
-            if t < 0:
+    back, piece = [0] * (n + 1), [-1] * (n + 1)
+    if merge is None:
+        total = [0.0] * (n + 1)
+        for start in range(n):  # all arcs into this boundary are drawn by now
+            if start and piece[start] < 0:
                 continue
-            if merge is None:
-                if piece[end] < 0 or total[start] + score[t] > total[end]:
+            node, end = 0, start
+            for c in text[start:]:
+                node = child[node].get(c)
+                if node is None:
+                    break
+                end += 1
+                t = token[node]
+                if t >= 0 and (piece[end] < 0 or total[start] + score[t] > total[end]):
                     piece[end], back[end], total[end] = t, start, total[start] + score[t]
-            elif piece[end] < 0:
+    else:
+        for start in range(n):
+            last = piece[start]
+            if start and last < 0:
+                continue
+            if piece[n] >= 0:  # the first arc into a boundary is its only one
+                break
+            node, end, pair = 0, start, last << 32
+            for c in text[start:]:
+                node = child[node].get(c)
+                if node is None:
+                    break
+                end += 1
+                if piece[end] >= 0:
+                    continue
+                t = token[node]
+                if t < 0:
+                    continue
                 if start:
                     fit = known.get(pair | t)
                     if not (merge.fits(last, t) if fit is None else fit):
@@ -243,6 +268,14 @@ def encode_text(model: PieceModel, text: str) -> list[int]:
     return enc.push(escaped.replace(" ", SPACE)) + enc.finish()
 
 
+def packed_ids(ids: list) -> bytes:
+    """Ids as little-endian 32-bit bytes."""
+    packed = array("i", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 def encode_texts(model: PieceModel, texts: list) -> list[bytes]:
     """Ids of each text as little-endian 32-bit bytes."""
     if model.key not in _CACHES:
@@ -252,15 +285,24 @@ def encode_texts(model: PieceModel, texts: list) -> list[bytes]:
     prefix = " " if model.dummy_prefix else ""
     enc = StreamEncoder(model)
 
-    def fill(parts) -> None:
-        for part in cache.missing(set(parts)):
+    pairs, young, old = model.pairs, cache.young, cache.old
+
+    def ids_of(part: str) -> bytes:
+        """The ids of a chunk that is not among the young ones."""
+        ids = old.get(part)
+        if ids is None:
             inner = cut.findall(part)
             if len(inner) < 2:
-                ids = encode_window(model, part) if len(part) <= 2 * model.reach else None
-                cache.young[part] = np.asarray(enc.push(part) + enc.finish() if ids is None else ids, "<i4").tobytes()
-            else:  # a word with unknown characters inside: its parts are common, the whole seldom is
-                fill(inner)
-                cache.young[part] = b"".join(map(cache.young.__getitem__, inner))
+                word = part.rstrip(MARKS)
+                if word and len(word) < len(part) and part[len(word) - 1:len(word) + 1] not in pairs:
+                    inner = word, part[len(word):]
+            if len(inner) > 1:  # a word with marks behind or unknown characters inside: its parts are common, the whole seldom is
+                ids = b"".join([young.get(x) or ids_of(x) for x in inner])
+            else:
+                found = encode_window(model, part) if len(part) <= 2 * model.reach else None
+                ids = np.asarray(enc.push(part) + enc.finish(), "<i4").tobytes() if found is None else packed_ids(found)
+        young[part] = ids
+        return ids
 
     # With single spaces only and no literal U+2581, every word starts where all paths meet.
     by_word = model.dummy_prefix and model.cut_at_spaces
@@ -272,8 +314,10 @@ def encode_texts(model: PieceModel, texts: list) -> list[bytes]:
             split.append((SPACE + t.replace(" ", f" {SPACE}")).split(" "))
         else:
             split.append(cut.findall((prefix + t).replace(" ", SPACE)))
-    fill(itertools.chain.from_iterable(split))
-    get = cache.young.__getitem__
+    for part in set(itertools.chain.from_iterable(split)).difference(young):
+        if part not in young:
+            ids_of(part)
+    get = young.__getitem__
     out = [b"".join(map(get, parts)) for parts in split]
     cache.turn()
     return out

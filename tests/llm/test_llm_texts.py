@@ -87,3 +87,17 @@ def test_a_second_model_does_not_see_the_first_ones_ids():
     a = pieces.unpacked(*pieces.packed(one))
     assert pieces.unpacked(*pieces.packed(one)) is a and not pieces._CACHES  # a second job of the model brings no copy
     assert pieces.unpacked(*pieces.packed(two)) is not a and list(pieces._MODELS) == [two.key]
+
+
+def test_marks_behind_a_word_are_cut_off_where_no_piece_joins_them(monkeypatch):
+    every = [("the", -1.0), ("a.", -2.0), (".", -3.0), ("..", -3.5), *((c, -5.0) for c in "the a!\u2581")]
+    seen, window = [], pieces.encode_window
+    monkeypatch.setattr(pieces, "encode_window", lambda m, part: seen.append(part) or window(m, part))
+    for kind in ("unigram", "bpe"):
+        model = pieces.PieceModel(list(dict.fromkeys(every)), {}, 0, kind)
+        monkeypatch.setattr(pieces, "_CACHES", {})
+        seen.clear()
+        texts = ["the.. the... the! a. a.. tha..", "the the.", ".. !.", "the.x."]
+        got = [np.frombuffer(b, "<i4").tolist() for b in pieces.encode_texts(model, texts)]
+        assert got == [pieces.encode_text(model, t) for t in texts]
+        assert seen.count("\u2581the") == 1 and "\u2581the.." not in seen and "\u2581a.." in seen
