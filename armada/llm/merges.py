@@ -45,10 +45,11 @@ class MergeModel:
         self.symbols = {} if self.in_order else {t: tuple(seq) for t, seq in symbols.items()}
         self.left: dict[int, tuple] = {}    # token -> ((symbol, rank that consumes it), ...) at its left end
         self.right: dict[int, tuple] = {}
+        same: dict[tuple, tuple] = {}       # many tokens share a pair: it is kept once, pickled or not
         for t, seq in symbols.items():
             end = self._run(seq)
             if end is not None and end[0] == t:
-                self.left[t], self.right[t] = end[1], end[2]
+                self.left[t], self.right[t] = (tuple([same.setdefault(x, x) for x in life]) for life in end[1:])
         self._fits: dict[int, bool] = {}
 
     def _run(self, seq: list[int]):

@@ -276,6 +276,25 @@ def packed_ids(ids: list) -> bytes:
     return packed.tobytes()
 
 
+def chunk_ids(part: str, model: PieceModel, enc: StreamEncoder, cut: re.Pattern, young: dict, old: dict) -> bytes:
+    """The ids of a chunk that is not among the young ones. Not a closure: one that calls itself
+    is garbage only a full collection finds, and holds the generations dropped meanwhile."""
+    ids = old.get(part)
+    if ids is None:
+        inner = cut.findall(part)
+        if len(inner) < 2:
+            word = part.rstrip(MARKS)
+            if word and len(word) < len(part) and part[len(word) - 1:len(word) + 1] not in model.pairs:
+                inner = word, part[len(word):]
+        if len(inner) > 1:  # a word with marks behind or unknown characters inside: its parts are common, the whole seldom is
+            ids = b"".join([young.get(x) or chunk_ids(x, model, enc, cut, young, old) for x in inner])
+        else:
+            found = encode_window(model, part) if len(part) <= 2 * model.reach else None
+            ids = np.asarray(enc.push(part) + enc.finish(), "<i4").tobytes() if found is None else packed_ids(found)
+    young[part] = ids
+    return ids
+
+
 def encode_texts(model: PieceModel, texts: list) -> list[bytes]:
     """Ids of each text as little-endian 32-bit bytes."""
     if model.key not in _CACHES:
@@ -283,26 +302,7 @@ def encode_texts(model: PieceModel, texts: list) -> list[bytes]:
         _CACHES[model.key] = ChunkCache(CACHE_CHUNKS), model.cutter()
     cache, cut = _CACHES[model.key]
     prefix = " " if model.dummy_prefix else ""
-    enc = StreamEncoder(model)
-
-    pairs, young, old = model.pairs, cache.young, cache.old
-
-    def ids_of(part: str) -> bytes:
-        """The ids of a chunk that is not among the young ones."""
-        ids = old.get(part)
-        if ids is None:
-            inner = cut.findall(part)
-            if len(inner) < 2:
-                word = part.rstrip(MARKS)
-                if word and len(word) < len(part) and part[len(word) - 1:len(word) + 1] not in pairs:
-                    inner = word, part[len(word):]
-            if len(inner) > 1:  # a word with marks behind or unknown characters inside: its parts are common, the whole seldom is
-                ids = b"".join([young.get(x) or ids_of(x) for x in inner])
-            else:
-                found = encode_window(model, part) if len(part) <= 2 * model.reach else None
-                ids = np.asarray(enc.push(part) + enc.finish(), "<i4").tobytes() if found is None else packed_ids(found)
-        young[part] = ids
-        return ids
+    enc, young, old = StreamEncoder(model), cache.young, cache.old
 
     # With single spaces only and no literal U+2581, every word starts where all paths meet.
     by_word = model.dummy_prefix and model.cut_at_spaces
@@ -316,7 +316,7 @@ def encode_texts(model: PieceModel, texts: list) -> list[bytes]:
             split.append(cut.findall((prefix + t).replace(" ", SPACE)))
     for part in set(itertools.chain.from_iterable(split)).difference(young):
         if part not in young:
-            ids_of(part)
+            chunk_ids(part, model, enc, cut, young, old)
     get = young.__getitem__
     out = [b"".join(map(get, parts)) for parts in split]
     cache.turn()

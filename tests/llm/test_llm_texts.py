@@ -1,5 +1,7 @@
 """Operators 6, 8, 9 and 10 on small texts."""
+import gc
 import random
+import weakref
 
 import numpy as np
 
@@ -89,6 +91,24 @@ def test_a_second_model_does_not_see_the_first_ones_ids():
     assert pieces.unpacked(*pieces.packed(two)) is not a and list(pieces._MODELS) == [two.key]
 
 
+def test_a_dropped_generation_of_chunks_is_freed_at_once(monkeypatch):
+    class Chunks(dict):
+        """A dict that can be watched."""
+
+    model = pieces.PieceModel([(c, -1.0) for c in "\u2581abc"], {}, 0, "unigram")
+    monkeypatch.setattr(pieces, "_CACHES", {})
+    first = pieces.encode_texts(model, ["ab c"])
+    cache, _ = pieces._CACHES[model.key]
+    cache.old, cache.limit = Chunks(), 0
+    dropped = weakref.ref(cache.old)
+    gc.disable()
+    try:
+        assert pieces.encode_texts(model, ["ab c"]) == first
+        assert dropped() is None
+    finally:
+        gc.enable()
+
+
 def test_marks_behind_a_word_are_cut_off_where_no_piece_joins_them(monkeypatch):
     every = [("the", -1.0), ("a.", -2.0), (".", -3.0), ("..", -3.5), *((c, -5.0) for c in "the a!\u2581")]
     seen, window = [], pieces.encode_window
