@@ -12,8 +12,12 @@ neighbours; operators 6 and 7 build on it.
 from __future__ import annotations
 
 import json
+import struct
+from array import array
 
 INF = 1 << 60
+LOW = (1 << 32) - 1
+LIFE = struct.Struct("<qq")
 FITS_KEPT = 500_000  # pairs remembered
 
 
@@ -36,20 +40,20 @@ class MergeModel:
     """
 
     def __init__(self, merges: dict, symbols: dict):
-        self.merges = merges
+        # One number for each pair and each merge: a worker holds tens of thousands of them.
+        self.merges = {a << 32 | b: rank << 32 | new for (a, b), (rank, new) in merges.items()}
         born: dict[int, int] = {}
         for (_, _), (rank, new) in merges.items():
             born[new] = min(born.get(new, INF), rank)
         # Whether a symbol is always older than what it is merged into: then ranks tell the time.
         self.in_order = all(rank > max(born.get(a, -1), born.get(b, -1)) for (a, b), (rank, _) in merges.items())
-        self.symbols = {} if self.in_order else {t: tuple(seq) for t, seq in symbols.items()}
-        self.left: dict[int, tuple] = {}    # token -> ((symbol, rank that consumes it), ...) at its left end
-        self.right: dict[int, tuple] = {}
-        same: dict[tuple, tuple] = {}       # many tokens share a pair: it is kept once, pickled or not
+        self.symbols = {} if self.in_order else {t: array("i", seq).tobytes() for t, seq in symbols.items()}
+        self.left: dict[int, bytes] = {}    # token -> (symbol, rank that consumes it), ... at its left end, as LIFE
+        self.right: dict[int, bytes] = {}
         for t, seq in symbols.items():
             end = self._run(seq)
             if end is not None and end[0] == t:
-                self.left[t], self.right[t] = (tuple([same.setdefault(x, x) for x in life]) for life in end[1:])
+                self.left[t], self.right[t] = (b"".join([LIFE.pack(*pair) for pair in life]) for life in end[1:])
         self._fits: dict[int, bool] = {}
 
     def _run(self, seq: list[int]):
@@ -59,23 +63,24 @@ class MergeModel:
         while len(seq) > 1:
             best, at = None, -1
             for i in range(len(seq) - 1):
-                m = merges.get((seq[i], seq[i + 1]))
-                if m is not None and (best is None or m[0] < best[0]):
+                m = merges.get(seq[i] << 32 | seq[i + 1])
+                if m is not None and (best is None or m >> 32 < best >> 32):
                     best, at = m, i
             if best is None:
                 return None
             if at == 0:
-                left.append((seq[0], best[0]))
+                left.append((seq[0], best >> 32))
             if at == len(seq) - 2:
-                right.append((seq[-1], best[0]))
-            seq[at:at + 2] = [best[1]]
+                right.append((seq[-1], best >> 32))
+            seq[at:at + 2] = [best & LOW]
         return seq[0], (*left, (seq[0], INF)), (*right, (seq[0], INF))
 
     def encode(self, seq: list[int]) -> list[int]:
         """Plain greedy merging, for tests."""
         seq = list(seq)
         while True:
-            found = [(m[0], i, m[1]) for i in range(len(seq) - 1) if (m := self.merges.get((seq[i], seq[i + 1])))]
+            found = [(m >> 32, i, m & LOW) for i in range(len(seq) - 1)
+                     if (m := self.merges.get(seq[i] << 32 | seq[i + 1])) is not None]
             if not found:
                 return seq
             _, i, new = min(found)
@@ -86,8 +91,9 @@ class MergeModel:
         key = a << 32 | b
         known = self._fits.get(key)
         if known is None:
-            meet = [(m[0], gone_x, gone_y) for x, gone_x in self.right[a] for y, gone_y in self.left[b]
-                    if (m := self.merges.get((x, y))) is not None]
+            starts, merges = [*LIFE.iter_unpack(self.left[b])], self.merges
+            meet = [(m >> 32, gone_x, gone_y) for x, gone_x in LIFE.iter_unpack(self.right[a]) for y, gone_y in starts
+                    if (m := merges.get(x << 32 | y)) is not None]
             if self.in_order:
                 known = not any(rank < gone_x and rank <= gone_y for rank, gone_x, gone_y in meet)
             else:
@@ -99,18 +105,19 @@ class MergeModel:
 
     def _apart(self, a: int, b: int) -> bool:
         """Run both tokens together until a merge crosses from one to the other."""
-        seq, cut, merges = [*self.symbols[a], *self.symbols[b]], len(self.symbols[a]), self.merges
+        first, merges = array("i", self.symbols[a]), self.merges
+        seq, cut = [*first, *array("i", self.symbols[b])], len(first)
         while True:
             best, at = None, -1
             for i in range(len(seq) - 1):
-                m = merges.get((seq[i], seq[i + 1]))
-                if m is not None and (best is None or m[0] < best[0]):
+                m = merges.get(seq[i] << 32 | seq[i + 1])
+                if m is not None and (best is None or m >> 32 < best >> 32):
                     best, at = m, i
             if best is None:
                 return True
             if at == cut - 1:
                 return False
-            seq[at:at + 2] = [best[1]]
+            seq[at:at + 2] = [best & LOW]
             cut -= at < cut
 
     def __getstate__(self):

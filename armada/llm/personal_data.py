@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from armada.llm import workers
 from armada.llm.token_files import slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -313,6 +314,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     total = docs.count()
 
     def learn(batches):
+        workers.release()
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 if t and NODE.search(t):
@@ -367,6 +369,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     empty = hashlib.sha256(b"").hexdigest()
 
     def run(batches):
+        workers.release()
         m = model.value
         for batch in batches:
             for a, b in slices(batch.column(1)):

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from armada.llm import merges
+from armada.llm import merges, workers
 from armada.llm.token_files import ChunkCache, slices
 
 SPACE = "▁"
@@ -46,6 +46,7 @@ BATCH_BYTES = 1 << 20         # text split at a time
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"   # often behind words
 _CACHES: dict = {}
 _MODELS: dict = {}
+workers.holds(_CACHES, _MODELS)
 
 
 class PieceModel:

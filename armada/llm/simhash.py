@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from armada.llm import hot, storage
+from armada.llm import hot, storage, workers
 from armada.llm.token_files import slices
 from armada.session import remove_dir
 
@@ -105,6 +105,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, h, fp): h tells the texts of rows that share an id apart."""
     def run(batches):
+        workers.release()
         for batch in batches:
             texts = batch.column(2).cast(pa.binary())
             for a, b in slices(texts):

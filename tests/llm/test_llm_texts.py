@@ -5,7 +5,7 @@ import weakref
 
 import numpy as np
 
-from armada.llm import licenses, line_quality, personal_data, pieces
+from armada.llm import licenses, line_quality, personal_data, pieces, workers
 from armada.llm.queries import PIECE_BPE, vocabulary
 
 
@@ -109,6 +109,27 @@ def test_a_dropped_generation_of_chunks_is_freed_at_once(monkeypatch):
         gc.enable()
 
 
+def test_a_worker_gives_up_the_pieces_for_another_operator():
+    model = pieces.PieceModel([(c, -1.0) for c in "\u2581abc"], {}, 0, "unigram")
+    first = pieces.encode_texts(pieces.unpacked(*pieces.packed(model)), ["ab c"])
+    workers.release()
+    assert not pieces._MODELS and not pieces._CACHES
+    assert pieces.encode_texts(pieces.unpacked(*pieces.packed(model)), ["ab c"]) == first
+
+
+def test_a_packed_model_is_smaller_than_its_parts():
+    import pickle
+    import tracemalloc
+    raw = pickle.dumps(pieces.PieceModel.load(vocabulary(PIECE_BPE)))
+    tracemalloc.start()
+    try:
+        model = pickle.loads(raw)
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert model.model.merges and held < 45e6  # with tuples it was about 70 MB
+
+
 def test_marks_behind_a_word_are_cut_off_where_no_piece_joins_them(monkeypatch):
     every = [("the", -1.0), ("a.", -2.0), (".", -3.0), ("..", -3.5), *((c, -5.0) for c in "the a!\u2581")]
     seen, window = [], pieces.encode_window
