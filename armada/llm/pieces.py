@@ -30,6 +30,7 @@ import itertools
 import pickle
 import re
 import sys
+import zlib
 from array import array
 
 import numpy as np
@@ -42,7 +43,7 @@ from armada.llm.token_files import ChunkCache, slices
 
 SPACE = "▁"
 CACHE_CHUNKS = 120_000        # distinct chunks held in each of two generations
-BATCH_BYTES = 1 << 20         # text split at a time
+BATCH_BYTES = 1 << 18         # text split at a time
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"   # often behind words
 _CACHES: dict = {}
 _MODELS: dict = {}
@@ -325,8 +326,8 @@ def encode_texts(model: PieceModel, texts: list) -> list[bytes]:
 
 
 def packed(model: PieceModel) -> tuple[str, bytes]:
-    """A model as it is broadcast: its key and its bytes."""
-    return model.key, pickle.dumps(model)
+    """A model as it is broadcast: its key and its bytes, which a worker keeps as long as the broadcast."""
+    return model.key, zlib.compress(pickle.dumps(model), 1)
 
 
 def unpacked(key: str, raw: bytes) -> PieceModel:
@@ -334,7 +335,7 @@ def unpacked(key: str, raw: bytes) -> PieceModel:
     if key not in _MODELS:
         _MODELS.clear()
         _CACHES.clear()
-        _MODELS[key] = pickle.loads(raw)
+        _MODELS[key] = pickle.loads(zlib.decompress(raw))
     return _MODELS[key]
 
 
