@@ -15,10 +15,13 @@ import json
 import struct
 from array import array
 
+import numpy as np
+
 INF = 1 << 60
 LOW = (1 << 32) - 1
 LIFE = struct.Struct("<qq")
 FITS_KEPT = 500_000  # pairs remembered
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def byte_letters() -> dict[str, int]:
@@ -30,6 +33,40 @@ def byte_letters() -> dict[str, int]:
     return out | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Table:
+    """Fixed map of keys from 0 on to numbers, asked for many keys at a time: open addressing in arrays."""
+
+    def __init__(self, keys, values):
+        keys, values = np.asarray(keys, np.int64), np.asarray(values, np.int64)
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64)
+        slot = self._slots(keys)
+        while len(keys):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[free]  # one of those that meet in a slot stays
+            left = self.keys[slot] != keys
+            self.values[slot[~left]] = values[~left]
+            keys, values, slot = keys[left], values[left], slot[left] + 1 & self.mask
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * MIX >> self.shift).view(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The number of every key, -1 for those that are not there."""
+        slot = self._slots(keys)
+        found = self.keys[slot]
+        out = np.where(found == keys, self.values[slot], -1)
+        bad = np.flatnonzero((found != keys) & (found >= 0))
+        while len(bad):
+            slot[bad] = slot[bad] + 1 & self.mask
+            found = self.keys[slot[bad]]
+            hit = found == keys[bad]
+            out[bad[hit]] = self.values[slot[bad[hit]]]
+            bad = bad[~hit & (found >= 0)]
+        return out
+
+
 class MergeModel:
     """Tokens, their merges by priority, and the lives of the symbols at
     their two ends.
@@ -55,6 +92,7 @@ class MergeModel:
             if end is not None and end[0] == t:
                 self.left[t], self.right[t] = (b"".join([LIFE.pack(*pair) for pair in life]) for life in end[1:])
         self._fits: dict[int, bool] = {}
+        self._arrays = None
 
     def _run(self, seq: list[int]):
         """Encode alone: (token, left life, right life) if one token is left."""
@@ -103,6 +141,38 @@ class MergeModel:
             self._fits[key] = known
         return known
 
+    def fits_many(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``fits`` for every two neighbours in two arrays."""
+        if self._arrays is None:
+            ranks = np.fromiter(self.merges.values(), np.int64, len(self.merges)) >> 32
+            self._arrays = (Table(np.fromiter(self.merges, np.int64, len(self.merges)), ranks),
+                            self._lives(self.right), self._lives(self.left))
+        ranks, (x_at, x_life), (y_at, y_life) = self._arrays
+        n_y = y_at[b + 1] - y_at[b]
+        size = (x_at[a + 1] - x_at[a]) * n_y
+        row = np.repeat(np.arange(len(a)), size)
+        k = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        x, gone_x = x_life[x_at[a][row] + k // n_y[row]].T
+        y, gone_y = y_life[y_at[b][row] + k % n_y[row]].T
+        rank = ranks.get(x << 32 | y)
+        out = np.ones(len(a), bool)
+        if self.in_order:
+            out[row[(rank >= 0) & (rank < gone_x) & (rank <= gone_y)]] = False
+        else:
+            out[row[rank >= 0]] = False
+            meet = np.flatnonzero(~out)
+            out[meet] = [self._apart(*pair) for pair in zip(a[meet].tolist(), b[meet].tolist())]
+        return out
+
+    @staticmethod
+    def _lives(of: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Lives by token: where each token's begin, and all of them one after another."""
+        sizes = np.zeros(max(of, default=-1) + 2, np.int64)
+        for t, life in of.items():
+            sizes[t + 1] = len(life) // LIFE.size
+        raw = b"".join([of[t] for t in sorted(of)])
+        return np.cumsum(sizes), np.frombuffer(raw, "<i8").astype(np.int64).reshape(-1, 2)
+
     def _apart(self, a: int, b: int) -> bool:
         """Run both tokens together until a merge crosses from one to the other."""
         first, merges = array("i", self.symbols[a]), self.merges
@@ -121,11 +191,11 @@ class MergeModel:
             cut -= at < cut
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_fits"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_fits", "_arrays")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        self._fits = {}
+        self._fits, self._arrays = {}, None
 
 
 class Trie:

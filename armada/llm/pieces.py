@@ -14,6 +14,8 @@ Characters outside the vocabulary become byte pieces. No piece crosses the
 start of a run of U+2581, an unknown character or two neighbours that no
 piece holds, so all paths meet there; what lies between is encoded once per
 bounded cache. Words are cut from the marks behind them where that holds.
+With a merge-type model the new chunks of a slice that fit the open window
+run through the lattice many at a time, in lockstep.
 
 Defined results: NULL and empty texts have no ids; decoding gives back the
 text (a literal U+2581 comes back as a space, as in the library); repeated rows
@@ -44,6 +46,9 @@ from armada.llm.token_files import ChunkCache, slices
 SPACE = "▁"
 CACHE_CHUNKS = 120_000        # distinct chunks held in each of two generations
 BATCH_BYTES = 1 << 20         # text split at a time
+LANES = 8192                  # chunks in lockstep
+FEW = 50                      # chunks that are sooner done one by one
+PAIRS = 21                    # bits of the number of neighbours remembered in lockstep
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"   # often behind words
 _CACHES: dict = {}
 _MODELS: dict = {}
@@ -261,6 +266,86 @@ def encode_window(model: PieceModel, text: str) -> list[int] | None:
     return out[::-1]
 
 
+class Lockstep:
+    """``encode_window`` for many texts at a time and a merge-type model. Every text has a cell per
+    boundary; the arcs of all cells are drawn first, then all texts take the step from their first
+    boundary, from their second one, and so on."""
+
+    def __init__(self, model: PieceModel):
+        trie, self.merge = model.trie, model.model
+        letters = sorted(set().union(*trie.child))
+        self.code = np.zeros(max(map(ord, letters), default=0) + 2, np.int64)  # 0: no letter of a piece
+        self.code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.width = len(letters) + 1
+        code = dict(zip(letters, range(1, self.width)))
+        arcs = [(n * self.width + code[c], to) for n, child in enumerate(trie.child) for c, to in child.items()]
+        self.next = merges.Table(*np.array(arcs, np.int64).reshape(-1, 2).T)
+        self.token = np.array(trie.token, np.int64)
+        self.inner = np.array([len(c) > 0 for c in trie.child])
+        self.pairs = np.full(1 << PAIRS, -1, np.int64)  # neighbours << 1 | whether they fit; the last that came to a place
+
+    def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a << 31 | b
+        slot = (key.view(np.uint64) * merges.MIX >> np.uint64(64 - PAIRS)).view(np.int64)
+        known = self.pairs[slot]
+        out = (known & 1).astype(bool)
+        new = np.flatnonzero(known >> 1 != key)
+        if len(new):
+            _, one, every = np.unique(key[new], return_index=True, return_inverse=True)
+            out[new] = self.merge.fits_many(a[new[one]], b[new[one]])[every]
+            self.pairs[slot[new]] = key[new] << 1 | out[new]
+        return out
+
+    def arcs(self, codes: np.ndarray):
+        """(start, end, token) of all pieces in the cells."""
+        start = np.flatnonzero(codes)
+        node, end, found = np.zeros(len(start), np.int64), start, []
+        while len(start):
+            node = self.next.get(node * self.width + codes[end])
+            on = np.flatnonzero(node >= 0)
+            start, node, end = start[on], node[on], end[on] + 1
+            token = self.token[node]
+            hit = np.flatnonzero(token >= 0)
+            found.append((start[hit], end[hit], token[hit]))
+            on = np.flatnonzero(self.inner[node] & (codes[end] > 0))
+            start, node, end = start[on], node[on], end[on]
+        return [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 3
+
+    def encode(self, texts: list[str]) -> list[bytes | None]:
+        """Ids of each text, which is not empty, as little-endian 32-bit bytes; None as in ``encode_window``."""
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        last = np.cumsum(size + 1) - 1
+        first = last - size
+        points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+        codes = self.code[np.minimum(points, len(self.code) - 1)]
+        codes[last] = 0
+        start, end, token = self.arcs(codes)
+        at = (start - np.repeat(first, size + 1)[start]).astype(np.uint16)
+        order = np.argsort(at, kind="stable")
+        start, end, token = start[order], end[order], token[order]
+        ends = np.cumsum(np.bincount(at, minlength=1)).tolist()
+        back, piece = np.zeros(len(codes), np.int64), np.full(len(codes), -1, np.int64)
+        for k, (a, b) in enumerate(zip([0, *ends], ends)):
+            s, e, t = start[a:b], end[a:b], token[a:b]
+            if k:  # the first arc into a boundary is its only one
+                on = np.flatnonzero((piece[e] < 0) & (piece[s] >= 0))
+                s, e, t = s[on], e[on], t[on]
+                on = np.flatnonzero(self.fits(piece[s], t))
+                s, e, t = s[on], e[on], t[on]
+            piece[e], back[e] = t, s
+        solved = piece[last] >= 0
+        taken = np.zeros(len(codes), bool)
+        here, begin = last[solved], first[solved]
+        while len(here):
+            taken[here] = True
+            here = back[here]
+            on = np.flatnonzero(here > begin)
+            here, begin = here[on], begin[on]
+        ids = piece[taken].astype("<i4").tobytes()
+        ends = (4 * np.cumsum(taken)[last]).tolist()
+        return [ids[a:b] if b > a else None for a, b in zip([0, *ends], ends)]
+
+
 def encode_text(model: PieceModel, text: str) -> list[int]:
     """One text through the stream encoder, without any cache."""
     if not text:
@@ -278,33 +363,67 @@ def packed_ids(ids: list) -> bytes:
     return packed.tobytes()
 
 
-def chunk_ids(part: str, model: PieceModel, enc: StreamEncoder, cut: re.Pattern, young: dict, old: dict) -> bytes:
-    """The ids of a chunk that is not among the young ones. Not a closure: one that calls itself
-    is garbage only a full collection finds, and holds the generations dropped meanwhile."""
-    ids = old.get(part)
+def parts_of(part: str, model: PieceModel, cut: re.Pattern) -> list[str]:
+    """A chunk's parts if it is a word with marks behind or has unknown characters inside: they are
+    common, the whole seldom is."""
+    inner = [part] if part.isprintable() and part.rfind(SPACE) < 1 else cut.findall(part)  # none of \n\t\r is printable
+    if len(inner) < 2:
+        word = part.rstrip(MARKS)
+        if word and len(word) < len(part) and part[len(word) - 1:len(word) + 1] not in model.pairs:
+            return [word, part[len(word):]]
+    return inner
+
+
+def joined(part: str, inner: dict, young: dict) -> bytes:
+    """The ids of a chunk from those of its parts. Not a closure: one that calls itself is garbage
+    only a full collection finds, and holds the generations dropped meanwhile."""
+    ids = young.get(part)
     if ids is None:
-        inner = cut.findall(part)
-        if len(inner) < 2:
-            word = part.rstrip(MARKS)
-            if word and len(word) < len(part) and part[len(word) - 1:len(word) + 1] not in model.pairs:
-                inner = word, part[len(word):]
-        if len(inner) > 1:  # a word with marks behind or unknown characters inside: its parts are common, the whole seldom is
-            ids = b"".join([young.get(x) or chunk_ids(x, model, enc, cut, young, old) for x in inner])
-        else:
-            found = encode_window(model, part) if len(part) <= 2 * model.reach else None
-            ids = np.asarray(enc.push(part) + enc.finish(), "<i4").tobytes() if found is None else packed_ids(found)
-    young[part] = ids
+        ids = young[part] = b"".join([joined(x, inner, young) for x in inner[part]])
     return ids
 
 
+def learn_chunks(parts: set, model: PieceModel, cut: re.Pattern, lockstep: Lockstep | None, young: dict, old: dict) -> None:
+    """Brings chunks that are not among the young ones there: from the old ones, from their parts or
+    through the lattice."""
+    windows, inner = set(), {}
+    while parts:
+        below = set()
+        for part in parts:
+            ids = old.get(part)
+            if ids is not None:
+                young[part] = ids
+                continue
+            found = parts_of(part, model, cut)
+            if len(found) > 1:
+                inner[part] = found
+                below.update(found)
+            else:
+                windows.add(part)
+        parts = below.difference(young, windows, inner)
+    enc = StreamEncoder(model)
+    short = [p for p in windows if len(p) <= 2 * model.reach]
+    for i in range(0, len(short), LANES):
+        some = short[i:i + LANES]
+        if lockstep is not None and len(some) > FEW:
+            young.update((p, ids) for p, ids in zip(some, lockstep.encode(some)) if ids is not None)
+        else:
+            young.update((p, packed_ids(ids)) for p in some if (ids := encode_window(model, p)) is not None)
+    for part in windows:
+        if part not in young:
+            young[part] = packed_ids(enc.push(part) + enc.finish())
+    for part in inner:
+        joined(part, inner, young)
+
+
 def encode_texts(model: PieceModel, texts: list) -> list[bytes]:
     """Ids of each text as little-endian 32-bit bytes."""
     if model.key not in _CACHES:
         _CACHES.clear()  # a worker keeps the chunks of one model
-        _CACHES[model.key] = ChunkCache(CACHE_CHUNKS), model.cutter()
-    cache, cut = _CACHES[model.key]
+        _CACHES[model.key] = ChunkCache(CACHE_CHUNKS), (model.cutter(), Lockstep(model) if model.model else None)
+    cache, (cut, lockstep) = _CACHES[model.key]
     prefix = " " if model.dummy_prefix else ""
-    enc, young, old = StreamEncoder(model), cache.young, cache.old
+    young, old = cache.young, cache.old
 
     # With single spaces only and no literal U+2581, every word starts where all paths meet.
     by_word = model.dummy_prefix and model.cut_at_spaces
@@ -316,9 +435,7 @@ def encode_texts(model: PieceModel, texts: list) -> list[bytes]:
             split.append((SPACE + t.replace(" ", f" {SPACE}")).split(" "))
         else:
             split.append(cut.findall((prefix + t).replace(" ", SPACE)))
-    for part in set(itertools.chain.from_iterable(split)).difference(young):
-        if part not in young:
-            chunk_ids(part, model, enc, cut, young, old)
+    learn_chunks(set(itertools.chain.from_iterable(split)).difference(young), model, cut, lockstep, young, old)
     get = young.__getitem__
     out = [b"".join(map(get, parts)) for parts in split]
     cache.turn()

@@ -141,6 +141,51 @@ def test_window_and_stream_agree():
     assert pieces.encode_window(model, "▁a\ue123b") is None
 
 
+def test_new_chunks_run_through_the_lattice_many_at_a_time(monkeypatch):
+    import sentencepiece
+    library = sentencepiece.SentencePieceProcessor(model_file=vocabulary(PIECE_BPE))
+    model, r, alone, pushed = pieces.PieceModel.load(vocabulary(PIECE_BPE)), random.Random(8), [], []
+    window, push = pieces.encode_window, pieces.StreamEncoder.push
+    monkeypatch.setattr(pieces, "encode_window", lambda m, part: alone.append(part) or window(m, part))
+    monkeypatch.setattr(pieces.StreamEncoder, "push", lambda enc, part: pushed.append(part) or push(enc, part))
+    syllables = ["the", "er", "tion", "ö", "zz", "qu", "a", "B", "'", "-", "é", "7", "in", "st"]
+    words = ["".join(r.choices(syllables, k=r.randrange(1, 9))) for _ in range(3000)]
+    every = [" ".join(words[:1500]), "\n".join(words[1500:]), "one\ue123two " + ", ".join(words[::7]), *ODD, *texts(8, 100)]
+    for pairs, lanes in ((21, 8192), (4, 60)):  # neighbours are forgotten; chunks run in many groups
+        monkeypatch.setattr(pieces, "PAIRS", pairs)
+        monkeypatch.setattr(pieces, "LANES", lanes)
+        monkeypatch.setattr(pieces, "_CACHES", {})
+        alone.clear()
+        got = [np.frombuffer(b, "<i4").tolist() for b in pieces.encode_texts(model, every)]
+        assert got == [library.encode(t or "") for t in every]
+        assert len(alone) <= pieces.FEW and all(len(p) > 2 * model.reach or "\ue123" in p or not p.isalnum() for p in pushed)
+
+
+def test_lockstep_is_the_window():
+    model, r = pieces.PieceModel.load(vocabulary(PIECE_BPE)), random.Random(10)
+    step = pieces.Lockstep(model)
+    some = ["▁" + "".join(r.choices("aeinrstößédl-.,'▁\ue123\n", k=r.randrange(2 * model.reach))) for _ in range(3000)] * 2
+    want = [pieces.encode_window(model, t) for t in some]
+    assert step.encode(some) == [None if x is None else np.array(x, "<i4").tobytes() for x in want] and None in want
+    assert step.encode(["\ue123"]) == [None] and step.encode([]) == []
+
+
+def test_lockstep_of_small_merge_models():
+    r = random.Random(11)
+    for k in range(200):
+        grown = ["a", "b", "c"]
+        for _ in range(r.randrange(1, 9)):
+            grown.append(r.choice(grown) + r.choice(grown))
+        model = pieces.PieceModel([(p, -float(r.randrange(1, 6) if k % 2 else i)) for i, p in enumerate(dict.fromkeys(grown))],
+                                  {}, -1, "bpe", dummy_prefix=False)
+        some = ["".join(r.choices("abcx", (9, 9, 9, 1), k=r.randrange(1, 12))) for _ in range(60)]
+        want = [pieces.encode_window(model, t) for t in some]
+        assert pieces.Lockstep(model).encode(some) == [None if x is None else np.array(x, "<i4").tobytes() for x in want]
+        known = np.array(list(model.model.left))
+        a, b = known[[r.randrange(len(known)) for _ in some]], known[[r.randrange(len(known)) for _ in some]]
+        assert model.model.fits_many(a, b).tolist() == [model.model.fits(*pair) for pair in zip(a.tolist(), b.tolist())]
+
+
 def test_unigram_takes_the_best_path():
     scores = {"a": -2.0, "b": -2.0, "c": -2.5, "ab": -3.5, "bc": -2.8, "abc": -5.0, "ca": -3.0}
     model = pieces.PieceModel(list(scores.items()), {}, -1, "unigram", dummy_prefix=False)
