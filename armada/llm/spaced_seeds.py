@@ -11,9 +11,12 @@ other text, the lines that are left of an item), or of an item below
 ``SHORT`` tokens with one token put in or left out.
 
 The test side is small beside the corpus but may grow: it goes out in
-blocks of about ``BLOCK_HASHES`` seeds and ``BLOCK_BYTES`` at most, each broadcast and joined in a
-pass over the documents without shuffling any text. Hits are reduced to one
-row per document, item and alignment before anything is exchanged.
+blocks of items, about ``BLOCK_HASHES`` seeds and ``BLOCK_BYTES`` of tokens each. A block's seeds
+are broadcast and joined in a pass over the documents that shuffles no whole text; more
+blocks than one are written one after another. Every hit takes with it the tokens
+of the document that lie beside the item, and no others, and goes at once into one row per document, item
+and alignment: a document that quotes a thousand items is never held a thousand
+times. Only these rows are exchanged and compared.
 
 The masks depend on the item's length and lose nothing: however the tokens
 that ``MIN_SAME`` lets be others lie in an item or in a stretch of
@@ -46,8 +49,8 @@ MIN_TOKENS = 5             # shorter items say nothing
 MIN_SAME = 0.8             # share of equal tokens
 MIN_OVERLAP = 12           # tokens of an item that must lie inside the document, or the whole item
 SHORT = 25                 # items below are also compared with one token put in or left out
-BLOCK_HASHES = 200_000     # seeds broadcast at a time, each with its item's tokens,
-BLOCK_BYTES = 64 << 20     # and their size
+BLOCK_HASHES = 200_000     # seeds broadcast at a time,
+BLOCK_BYTES = 64 << 20     # and the size of their items' tokens
 
 
 def tokens(text: Column) -> Column:
@@ -93,41 +96,55 @@ def find_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     (of the item's first token in the document, may be negative), n_same,
     n_compared and same (their ratio) of the alignment with most equal tokens."""
     test = items.select(F.col(item_col).alias("_item"), tokens(F.col(item_text_col)).alias("item"))
-    test = _hashed(test.where(F.size("item") >= MIN_TOKENS).distinct(), "item")
+    test = test.where(F.size("item") >= MIN_TOKENS).distinct().select(F.monotonically_increasing_id().alias("_key"), "*")
+    test = storage.write_shared(test, "items")          # a key stays the same in every pass
     n_items = F.size("item")
     parts, masks = [], []
     for (least, mine), below in zip(MASKS, (None, *(n for n, _ in MASKS))):
         rows = test.where(n_items >= least) if below is None else test.where(n_items.between(least, below - 1))
         if below is None or not rows.isEmpty():     # the corpus takes the masks that some item needs
+            rows = _hashed(rows.select("_key", n_items.alias("n"), "item"), "item").drop("item")
             parts.append(_with_seeds(rows, "q", list(mine)))
             masks += [m for m in mine if m not in masks]
     seeds = reduce(DataFrame.unionByName, parts)
-    # A broadcast row holds its item's tokens (offsets and padding of 16 bytes each).
-    n, size = seeds.agg(F.count(F.lit(1)), F.coalesce(F.sum(
-        F.octet_length(F.array_join("item", "")) + 16 * n_items), F.lit(0))).first()
-    blocks = max(1, -(-n // BLOCK_HASHES), -(-size // BLOCK_BYTES))
+    # An item's tokens go out once (offsets and padding of 16 bytes each).
+    size = test.agg(F.coalesce(F.sum(F.octet_length(F.array_join("item", "")) + 16 * n_items), F.lit(0))).first()[0]
+    blocks = max(1, -(-seeds.count() // BLOCK_HASHES), -(-size // BLOCK_BYTES))
 
     corpus = _let(docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("t")), "words", tokens(F.col("t")))
     corpus = _with_seeds(_hashed(corpus.drop("t"), "words"), "i", masks)
-    found = []
-    for b in range(blocks):
-        block = seeds.where(F.pmod(F.col("seed"), F.lit(blocks)) == b) if blocks > 1 else seeds
-        met = corpus.join(F.broadcast(block), "seed")
-        met = _let(met, "position", F.col("i") - F.col("q"))
-        met = _let(met, "equal", _equal(F.col("position")))
-        found.append(_let(met, "c", _agreement(min_same)).select("_doc", "_item", "position", "c"))
+    if blocks == 1:
+        found = [_compared(corpus, seeds, test, min_same)]
+    else:                                               # of one plan, all broadcasts would be held at once
+        mine = [F.pmod(F.xxhash64("_key"), F.lit(blocks)) == b for b in range(blocks)]
+        found = [storage.write_shared(_compared(corpus, seeds.where(x), test.where(x), min_same), "overlaps") for x in mine]
     hits = reduce(DataFrame.unionByName, found)
     best = F.max(F.struct("c.whole", "c.n_same", "c.n_compared", (-F.col("position")).alias("p"))).alias("b")
-    return hits.where(F.col("c").isNotNull()).groupBy("_doc", "_item").agg(best).select(
+    return hits.groupBy("_doc", "_item").agg(best).select(
         F.col("_doc").alias(id_col), F.col("_item").alias(item_col), (-F.col("b.p")).cast("long").alias("position"),
         F.col("b.n_same").cast("long").alias("n_same"), F.col("b.n_compared").cast("long").alias("n_compared"),
         (F.col("b.n_same") / F.col("b.n_compared")).alias("same"))
 
 
-def _equal(position: Column) -> Column:
+def _compared(corpus: DataFrame, seeds: DataFrame, test: DataFrame, min_same: float) -> DataFrame:
+    """The alignments that agree, as ``c``. Join, part and distinct rows are one step of generated code, in which
+    a document's hits would otherwise wait together, each with all of its tokens."""
+    met = corpus.join(F.broadcast(seeds), "seed")
+    position = F.col("i") - F.col("q")
+    start = F.greatest(position - 1, F.lit(0))          # a token more on either side, for a gap
+    part = F.slice(F.col("words"), start + 1, position + F.col("n") + 1 - start)
+    met = met.select("_doc", "_key", position.alias("position"), part.alias("words")).distinct()
+    met = met.join(F.broadcast(test), "_key")
+    met = met.select("*", F.least(F.col("position"), F.lit(1)).alias("at"))     # of the item's first token in the part
+    met = _let(met, "equal", _equal(F.col("at")))
+    met = _let(met, "c", _agreement(min_same)).select("_doc", "_item", "position", "c")
+    return met.where(F.col("c").isNotNull())
+
+
+def _equal(at: Column) -> Column:
     """Whether (1 or 0) the tokens of the item that lie inside the document are equal along a hit, in their order."""
-    skip = F.greatest(-position, F.lit(0))              # item tokens before the document's start
-    part = F.slice(F.col("words"), F.greatest(position, F.lit(0)) + 1, F.size("item") - skip)
+    skip = F.greatest(-at, F.lit(0))                    # item tokens before the document's start
+    part = F.slice(F.col("words"), F.greatest(at, F.lit(0)) + 1, F.size("item") - skip)
     item = F.slice(F.col("item"), skip + 1, F.size("item"))
     pairs = F.zip_with(part, item, lambda a, b: a == b)  # NULL beyond the end of either
     return F.transform(F.filter(pairs, lambda x: x.isNotNull()), lambda x: x.cast("int"))
@@ -187,7 +204,7 @@ def _one_gap() -> Column:
 
     def along(d):
         return F.transform(item, lambda x, i: F.coalesce(
-            (F.get(words, F.col("position") + d + i) == x).cast("int"), F.lit(0)))
+            (F.get(words, F.col("at") + d + i) == x).cast("int"), F.lit(0)))
 
     def turned(first, second):
         """Tokens equal on ``first`` up to some place and on ``second`` from there on."""

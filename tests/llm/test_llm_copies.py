@@ -1,7 +1,10 @@
 """Operators 1, 2 and 4 against brute force."""
 import itertools
+import os
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -136,6 +139,46 @@ def test_test_side_in_blocks(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in spaced_seeds.find_overlaps(docs, test).collect()} == {(i, i) for i, _ in items}
 
 
+QUOTES = """
+import random
+from pyspark.sql import SparkSession
+from armada.llm import spaced_seeds
+from armada.session import ensure_checkpoint_dir
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+ensure_checkpoint_dir(spark)
+r = random.Random(14)
+words = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+items = [(i, words(60)) for i in range(150)]
+rows = [(0, words(9)), (1, "\\n".join(words(60) + " " + t for _, t in items))]
+found = spaced_seeds.find_overlaps(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+got = sorted((x.doc_id, x.item_id, x.position, x.n_same, x.n_compared) for x in found.collect())
+assert got == [(1, i, 60 + 120 * i, 60, 60) for i in range(150)], got[:3]
+"""
+
+
+def test_a_document_that_quotes_every_item_fits_a_small_heap():
+    """18 000 tokens with 16 000 hits, which held 7 GB when each hit had all tokens."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = {k: v for k, v in os.environ.items() if not k.startswith("SPARK_")} | {
+        "PYTHONPATH": f"{root}:{os.environ.get('PYTHONPATH', '')}", "PYSPARK_SUBMIT_ARGS": "--driver-memory 600m pyspark-shell"}
+    env = {k: v for k, v in env.items() if k not in ("PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    done = subprocess.run([sys.executable, "-c", QUOTES], env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_blocks_are_not_held_at_once(spark, monkeypatch):
+    r = random.Random(15)
+    items = [(i, " ".join(words(20, r))) for i in range(30)] + [(i % 3, " ".join(words(8, r))) for i in range(6)]
+    docs = spark.createDataFrame([(i, f"before {t} and {items[-i][1]}") for i, (_, t) in enumerate(items)], "doc_id long, text string")
+    test = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(tuple, spaced_seeds.find_overlaps(docs, test).collect()))
+    monkeypatch.setattr(spaced_seeds, "BLOCK_HASHES", 200)
+    found = spaced_seeds.find_overlaps(docs, test)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == whole and len(whole) >= 36
+
+
 def brute_removed(rows):
     first, out = set(), {}
     for d, t in sorted(rows, key=lambda r: -1 if r[0] is None else r[0]):
